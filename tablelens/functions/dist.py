@@ -13,6 +13,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _EPS = 1e-15
 _TINY = 1e-300
@@ -116,14 +117,14 @@ def _none_to_nan(v):
     return float("nan") if v is None else v
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     out = [f_sf(a, b, c) if pd.notna(a) and pd.notna(b) and pd.notna(c) else None
            for a, b, c in zip(f, d1, d2)]
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
     out = [chi2_sf(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(x, k)]
     return pd.Series(out, dtype="float64")

@@ -70,16 +70,21 @@ def documents_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # lineitem with leak-like columns derived from the target l_extendedprice.
-LK_SQL = """SELECT l_orderkey, l_quantity, l_discount, l_tax, l_returnflag,
-  l_extendedprice * 2 AS price_final, l_extendedprice AS label_copy, l_extendedprice
+LK_SQL = """SELECT l_orderkey * 8 + l_linenumber AS l_rowkey, l_quantity, l_discount, l_tax,
+  l_returnflag, l_extendedprice * 2 AS price_final, l_extendedprice AS label_copy,
+  CAST(l_extendedprice AS VARCHAR) AS price_text, l_extendedprice
 FROM lineitem"""
+LK_COLUMNS = ["l_rowkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "price_final",
+              "label_copy", "price_text", "l_extendedprice"]
 
 
 def lineitem_leak(spark: SparkSession, sf: str) -> DataFrame:
     li = read_table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("l_rowkey"),
+                     "l_quantity", "l_discount", "l_tax", "l_returnflag",
                      (F.col("l_extendedprice") * 2).alias("price_final"),
-                     F.col("l_extendedprice").alias("label_copy"), "l_extendedprice")
+                     F.col("l_extendedprice").alias("label_copy"),
+                     F.col("l_extendedprice").cast("string").alias("price_text"), "l_extendedprice")
 
 
 # Events rolled up to days: count and mean value per day.
