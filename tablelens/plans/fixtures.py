@@ -109,3 +109,14 @@ def orders_monthly(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
     return (o.groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts"))
             .agg(F.sum("o_totalprice").alias("value")))
+
+
+# First four embedding dimensions (doubles) with the id and label.
+EMB_FEATURES = ["e0", "e1", "e2", "e3"]
+EMB_SQL = """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
+  CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3, label FROM embeddings"""
+
+
+def embeddings4(spark: SparkSession, sf: str) -> DataFrame:
+    e = read_table(spark, sf, "embeddings")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)], "label")
