@@ -6,7 +6,7 @@ import importlib
 
 from tablelens.plans.catalog import ORACLE, QUERIES
 
-_MODULES = ["q_profile", "q_generic", "q_assoc", "q_series", "q_cluster", "q_features"]
+_MODULES = ["q_profile", "q_generic", "q_assoc", "q_series", "q_cluster", "q_features", "q_sources"]
 
 
 def load_all():
