@@ -13,12 +13,14 @@ with 0.0 for a constant column (pandas returns 0, Spark returns null).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import q
+from tablelens.functions.fused import agg_one_row
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -54,8 +56,8 @@ def quantiles(x: Column, probs: Iterable[float] = QUANTILES, exact: bool = True,
     return F.percentile_approx(x.cast("double"), arr, accuracy).cast("array<double>")
 
 
-def numeric_stats_exprs(name: str, exact: bool = True) -> list[Column]:
-    """Aggregate expressions for one numeric column; result fields are prefixed."""
+def moment_exprs(name: str) -> list[Column]:
+    """Codegen-friendly aggregate expressions for one numeric column (prefixed names)."""
     x = q(name).cast("double")
     p = f"{name}\u0001"
     return [
@@ -64,18 +66,26 @@ def numeric_stats_exprs(name: str, exact: bool = True) -> list[Column]:
         F.stddev_samp(x).alias(p + "std"),
         F.min(x).alias(p + "min"),
         F.max(x).alias(p + "max"),
-        quantiles(x, exact=exact).alias(p + "q"),
         sample_skew(x).alias(p + "skew"),
         sample_kurtosis(x).alias(p + "kurtosis"),
     ]
 
 
-def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True,
-                  batch: int = 50) -> DataFrame:
+# Above this many rows the exact quantiles switch from ``percentile`` (a map of
+# distinct values per column) to the bounded bracket-and-select method.
+SELECT_METHOD_ROWS = 20_000_000
+
+
+def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int = 50,
+                  method: str = "auto") -> DataFrame:
     """One row per numeric column: n, mean, std, min, q25, q50, q75, max, skew, kurtosis.
 
-    Wide tables are done in batches of ``batch`` columns per job so the
-    aggregation buffer of one task stays small.
+    Moments come from one codegen aggregate; quantiles from a separate one
+    (an object-buffer aggregate would take the moments out of codegen).
+    ``method``: "percentile" (Spark's exact ``percentile``), "select"
+    (``exact_quantiles``, bounded memory) or "auto" (select above
+    ``SELECT_METHOD_ROWS`` rows). ``exact=False`` uses ``percentile_approx``.
+    Wide tables are done in batches of ``batch`` columns per job.
     """
     spark = df.sparkSession
     schema = ("column string, position int, n long, mean double, std double, min double, "
@@ -85,17 +95,27 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True,
     parts = []
     for start in range(0, len(cols), batch):
         chunk = cols[start:start + batch]
-        exprs = [e for c in chunk for e in numeric_stats_exprs(c, exact)]
-        one = df.agg(*exprs)
+        mom = agg_one_row(df, [moment_exprs(c) for c in chunk], 20)
+        use = method
+        if exact and method == "auto":
+            use = "select" if df.count() > SELECT_METHOD_ROWS else "percentile"
+        if exact and use == "select":
+            qv = exact_quantiles(df, chunk)
+            qdf = spark.createDataFrame([tuple(x for c in chunk for x in qv[c])],
+                                        ", ".join(f"`q{i}_{k}` double" for i in range(len(chunk)) for k in range(3)))
+            qcols = {c: [F.col(f"`q{i}_{k}`") for k in range(3)] for i, c in enumerate(chunk)}
+        else:
+            qdf = df.agg(*[quantiles(q(c).cast("double"), exact=exact).alias(f"qa{i}") for i, c in enumerate(chunk)])
+            qcols = {c: [F.col(f"qa{i}")[k] for k in range(3)] for i, c in enumerate(chunk)}
+        one = mom.crossJoin(qdf)  # one row by one row
         rows = []
         for i, c in enumerate(chunk):
             p = f"{c}\u0001"
-            qa = F.col(f"`{p}q`")
             rows.append(F.struct(
                 F.lit(c).alias("column"), F.lit(start + i).alias("position"),
                 F.col(f"`{p}n`").alias("n"), F.col(f"`{p}mean`").alias("mean"),
                 F.col(f"`{p}std`").alias("std"), F.col(f"`{p}min`").alias("min"),
-                qa[0].alias("q25"), qa[1].alias("q50"), qa[2].alias("q75"),
+                qcols[c][0].alias("q25"), qcols[c][1].alias("q50"), qcols[c][2].alias("q75"),
                 F.col(f"`{p}max`").alias("max"), F.col(f"`{p}skew`").alias("skew"),
                 F.col(f"`{p}kurtosis`").alias("kurtosis")))
         parts.append(one.select(F.inline(F.array(*rows))))
@@ -111,12 +131,118 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, position int, n_rows long, missing_count long")
-    exprs = [F.count(F.lit(1)).alias("\u0001rows")]
+    groups = [[F.count(F.lit(1)).alias("\u0001rows")]]
     for i, c in enumerate(cols):
-        exprs.append(F.count_if(q(c).isNull()).alias(f"m{i}"))
-    one = df.agg(*exprs)
+        groups.append([F.count_if(q(c).isNull()).alias(f"m{i}")])
+    one = agg_one_row(df, groups, 1)
     rows = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                      F.col("`\u0001rows`").alias("n_rows"),
                      F.col(f"m{i}").cast("long").alias("missing_count"))
             for i, c in enumerate(cols)]
     return one.select(F.inline(F.array(*rows)))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: Iterable[float] = QUANTILES,
+                    accuracy: int = 10000, max_bracket: int = 200_000,
+                    max_rounds: int = 8) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles per column, with bounded memory at any scale.
+
+    The interpolated quantile at p needs the order statistics of rank
+    floor((n-1)p) and ceil((n-1)p). Pass 1 (one aggregate) counts the column
+    and asks the bounded-size sketch ``percentile_approx`` for values just
+    below and above p; pass 2 (one aggregate, codegen) counts the rows below
+    and inside each bracket, which verifies that both ranks fall inside (a
+    failed bracket is widened); pass 3 gathers only the bracket values (about
+    ``6 n / accuracy`` rows per quantile; when a bracket is larger than
+    ``max_bracket`` the sketch is re-run on the bracket rows alone) and picks
+    the two ranks. The result equals ``percentile`` exactly.
+    """
+    probs = [float(p) for p in probs]
+    if not cols:
+        return {}
+    xs = {c: q(c).cast("double") for c in cols}
+    d = 3.0 / accuracy
+    lo_p = [max(0.0, p - d) for p in probs]
+    hi_p = [min(1.0, p + d) for p in probs]
+    one = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.percentile_approx(xs[c], lo_p + hi_p, accuracy).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    # bracket[(col, j)] = [lo, hi, rank_lo, rank_hi]
+    out: dict[str, list[float | None]] = {}
+    brackets = {}
+    for i, c in enumerate(cols):
+        n = one[f"n{i}"]
+        if not n:
+            out[c] = [None] * len(probs)
+            continue
+        a = one[f"a{i}"]
+        for j, p in enumerate(probs):
+            pos = (n - 1) * p
+            lo = a[j] if lo_p[j] > 0 else float("-inf")
+            hi = a[len(probs) + j] if hi_p[j] < 1 else float("inf")
+            brackets[(c, j)] = [lo, hi, int(math.floor(pos)), int(math.ceil(pos)), pos]
+    for _ in range(max_rounds):
+        if not brackets:
+            break
+        keys = list(brackets)
+        counts = df.agg(*[e for k, (c, j) in enumerate(keys) for e in (
+            F.count_if(xs[c] < F.lit(brackets[(c, j)][0])).alias(f"b{k}"),
+            F.count_if((xs[c] >= F.lit(brackets[(c, j)][0])) & (xs[c] <= F.lit(brackets[(c, j)][1]))).alias(f"i{k}"))]).first()
+        widen, refine, ready = [], [], []
+        for k, key in enumerate(keys):
+            lo, hi, r_lo, r_hi, _ = brackets[key]
+            below, inside = counts[f"b{k}"], counts[f"i{k}"]
+            if below > r_lo or below + inside <= r_hi:
+                widen.append(key)
+            elif inside > max_bracket:
+                refine.append((key, below, inside))
+            else:
+                ready.append((key, below))
+        if ready:
+            # one pass gathers the values of every ready bracket
+            cand = F.array(*[F.when((xs[c] >= F.lit(brackets[(c, j)][0])) & (xs[c] <= F.lit(brackets[(c, j)][1])),
+                                    F.struct(F.lit(k).alias("k"), xs[c].alias("v")))
+                             for k, ((c, j), _) in enumerate(ready)])
+            got: dict[int, list[float]] = {}
+            for r in df.select(F.explode(F.filter(cand, lambda t: t.isNotNull())).alias("t")).select(
+                    "t.k", "t.v").collect():  # <= max_bracket per ready bracket
+                got.setdefault(r[0], []).append(r[1])
+            for k, ((c, j), below) in enumerate(ready):
+                lo, hi, r_lo, r_hi, pos = brackets.pop((c, j))
+                vals = sorted(got.get(k, []))
+                x_lo, x_hi = vals[r_lo - below], vals[r_hi - below]
+                out.setdefault(c, [None] * len(probs))[j] = (
+                    x_lo if r_lo == r_hi else (r_hi - pos) * x_lo + (pos - r_lo) * x_hi)
+        for key in widen:
+            lo, hi = brackets[key][0], brackets[key][1]
+            span = (hi - lo) if math.isfinite(hi - lo) and hi > lo else 1.0
+            brackets[key][0] = float("-inf") if not math.isfinite(lo) else lo - span
+            brackets[key][1] = float("inf") if not math.isfinite(hi) else hi + span
+        for key, below, inside in refine:
+            c, j = key
+            lo, hi, r_lo, r_hi, _ = brackets[key]
+            sub = df.where((xs[c] >= F.lit(lo)) & (xs[c] <= F.lit(hi)))
+            pl = max(0.0, (r_lo - below) / inside - d)
+            ph = min(1.0, (r_hi - below + 1) / inside + d)
+            a = sub.agg(F.percentile_approx(xs[c], [pl, ph], accuracy)).first()[0]
+            brackets[key][0] = a[0] if pl > 0 else lo
+            brackets[key][1] = a[1] if ph < 1 else hi
+    for c in cols:
+        out.setdefault(c, [None] * len(probs))
+    return out
+
+
+def quantile_row(df: DataFrame, cols: list[str], probs: Iterable[float] = QUANTILES, exact: bool = True,
+                 method: str = "auto", prefix: str = "q") -> DataFrame:
+    """One row with an array column ``<prefix><i>`` of quantiles per column, by the same
+    method choice as ``numeric_stats`` (kept apart from codegen aggregates)."""
+    probs = [float(p) for p in probs]
+    spark = df.sparkSession
+    use = method
+    if exact and method == "auto":
+        use = "select" if df.count() > SELECT_METHOD_ROWS else "percentile"
+    if exact and use == "select":
+        qv = exact_quantiles(df, cols, probs)
+        return spark.createDataFrame([tuple(qv[c] for c in cols)],
+                                     ", ".join(f"`{prefix}{i}` array<double>" for i in range(len(cols))))
+    return df.agg(*[quantiles(q(c).cast("double"), probs, exact=exact).alias(f"{prefix}{i}")
+                    for i, c in enumerate(cols)])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import q
 from tablelens.operators import correlation as co
+from tablelens.functions.fused import agg_one_row
 
 # Fixed values that must equal the reference's rules.
 MIN_FEATURES = 2
@@ -156,13 +157,11 @@ def hopkins(df: DataFrame, features: list[str], seed: int = SEED, m: int | None
             s = s + F.pow(F.col(c) - F.lit(float(v)), 2)
         return F.sqrt(s)
 
-    aggs = []
-    for i, p in enumerate(uni):
-        aggs.append(F.min(dist(p)).alias(f"u{i}"))
+    groups = [[F.min(dist(p)).alias(f"u{i}")] for i, p in enumerate(uni)]
     for i, p in enumerate(sample):
         d = dist(p)
-        aggs += [F.count_if(d == 0).alias(f"z{i}"), F.min(F.when(d > 0, d)).alias(f"w{i}")]
-    row = z.agg(*aggs).first()  # one row
+        groups.append([F.count_if(d == 0).alias(f"z{i}"), F.min(F.when(d > 0, d)).alias(f"w{i}")])
+    row = agg_one_row(z, groups, [1] * len(uni) + [2] * len(sample)).first()  # one row
     zk.unpersist()
     su = sum(row[f"u{i}"] for i in range(m))
     sw = 0.0

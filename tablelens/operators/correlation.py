@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import as_text, q
 from tablelens.functions.dist import chi2_pvalue
+from tablelens.functions.fused import agg_one_row
 
 
 def pearson_pairs(df: DataFrame, cols: list[str], complete_rows: bool = True) -> DataFrame:
@@ -34,17 +35,21 @@ def pearson_pairs(df: DataFrame, cols: list[str], complete_rows: bool = True) ->
     data = df.select(*[q(c).cast("double").alias(c) for c in cols])
     if complete_rows:
         data = data.dropna(subset=cols)
-    exprs = [F.count(F.lit(1)).alias("n_all")]
+    groups = [[F.count(F.lit(1)).alias("n_all")]]
+    weights = [1]
     for i, a in enumerate(cols):
-        exprs.append(F.stddev_samp(q(a)).alias(f"s{i}"))
+        groups.append([F.stddev_samp(q(a)).alias(f"s{i}")])
+        weights.append(3)
     for (i, a), (j, b) in itertools.combinations(enumerate(cols), 2):
-        exprs.append(F.covar_samp(q(a), q(b)).alias(f"c{i}_{j}"))
+        g = [F.covar_samp(q(a), q(b)).alias(f"c{i}_{j}")]
         if not complete_rows:
             both = q(a).isNotNull() & q(b).isNotNull()
-            exprs += [F.stddev_samp(F.when(both, q(a))).alias(f"sa{i}_{j}"),
-                      F.stddev_samp(F.when(both, q(b))).alias(f"sb{i}_{j}"),
-                      F.count_if(both).alias(f"n{i}_{j}")]
-    one = data.agg(*exprs)
+            g += [F.stddev_samp(F.when(both, q(a))).alias(f"sa{i}_{j}"),
+                  F.stddev_samp(F.when(both, q(b))).alias(f"sb{i}_{j}"),
+                  F.count_if(both).alias(f"n{i}_{j}")]
+        groups.append(g)
+        weights.append(11 if not complete_rows else 4)
+    one = agg_one_row(data, groups, weights)
     rows = []
     for i, a in enumerate(cols):
         rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(i).alias("pos_a"), F.lit(a).alias("col_b"),
@@ -64,6 +69,28 @@ def pearson_pairs(df: DataFrame, cols: list[str], complete_rows: bool = True) ->
     return one.select(F.inline(F.array(*rows)))
 
 
+def pairs_with_target(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """``(column, position, r, n)``: Pearson of each feature with the target on the rows where
+    both are present (pairwise complete). Only feature x target pairs are aggregated."""
+    t = q(target).cast("double")
+    groups = []
+    for i, c in enumerate(features):
+        x = q(c).cast("double")
+        both = x.isNotNull() & t.isNotNull()
+        groups.append([F.covar_samp(F.when(both, x), F.when(both, t)).alias(f"c{i}"),
+                       F.stddev_samp(F.when(both, x)).alias(f"sx{i}"),
+                       F.stddev_samp(F.when(both, t)).alias(f"sy{i}"),
+                       F.count_if(both).alias(f"n{i}")])
+    one = agg_one_row(df, groups, 11)
+    rows = []
+    for i, c in enumerate(features):
+        sx, sy = F.col(f"sx{i}"), F.col(f"sy{i}")
+        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when((sx > 0) & (sy > 0), F.col(f"c{i}") / (sx * sy))))
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), r.alias("r"),
+                             F.col(f"n{i}").cast("long").alias("n")))
+    return one.select(F.inline(F.array(*rows)))
+
+
 def average_ranks(df: DataFrame, col: str, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
     """``(value, avg_rank)`` for the non-null values of one column (ties get the mean rank).
 
@@ -95,7 +122,7 @@ def spearman_pairs(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFra
             "avg_rank", f"__r_{c}")
         ranked = ranked.join(rk, ranked[c] == rk[f"__v_{c}"])
     ranked = ranked.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
-    return pearson_pairs(ranked, cols, complete_rows=False)
+    return pearson_pairs(ranked, cols, complete_rows=True)
 
 
 def strongest_pair(pairs: DataFrame) -> DataFrame:

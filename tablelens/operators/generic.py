@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablelens.functions import freq as fq
 from tablelens.functions import moments as mo
 from tablelens.functions.columns import dtype_name, family, numeric_columns, q
+from tablelens.functions.fused import agg_one_row
 from tablelens.operators import profile as pr
 
 # Fixed values that must equal the reference's rules.
@@ -173,14 +174,12 @@ def top_values(df: DataFrame, k: int = 10, freq: DataFrame | None = None) -> Dat
 
 
 def fences(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Pass 1 of the outlier steps: one row with q1, q3, mean, population std and n per column."""
+    """Pass 1 of the outlier steps: one row with q1/median/q3, mean, population std and n per
+    column (moments in a codegen aggregate, quantiles in their own)."""
     cols = numeric_columns(df) if cols is None else cols
-    exprs = []
-    for i, c in enumerate(cols):
-        x = q(c).cast("double")
-        exprs += [mo.quantiles(x, (0.25, 0.5, 0.75), exact=exact).alias(f"q{i}"),
-                  F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
-    return df.agg(*exprs)
+    mom = agg_one_row(df, [[F.avg(q(c).cast("double")).alias(f"m{i}"), F.stddev_pop(q(c).cast("double")).alias(f"s{i}"),
+                            F.count(q(c)).alias(f"n{i}")] for i, c in enumerate(cols)], 6)
+    return mom.crossJoin(mo.quantile_row(df, cols, (0.25, 0.5, 0.75), exact=exact))  # one row by one row
 
 
 def outlier_table(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
@@ -204,13 +203,13 @@ def outlier_table(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
     aggs = []
     for i, _ in enumerate(cols):
         x, lo, hi, m, s = (F.col(f"x{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"m{i}"), F.col(f"s{i}"))
-        aggs += [F.count_if((x < lo) | (x > hi)).alias(f"io{i}"),
+        aggs.append([F.count_if((x < lo) | (x > hi)).alias(f"io{i}"),
                  F.count_if((s > 0) & (F.abs(x - m) > Z_K * s)).alias(f"zo{i}"),
                  F.min(F.when(x >= lo, x)).alias(f"wl{i}"), F.max(F.when(x <= hi, x)).alias(f"wh{i}"),
                  F.first(f"q{i}").alias(f"q{i}"), F.first(f"m{i}").alias(f"m{i}"),
                  F.first(f"s{i}").alias(f"s{i}"), F.first(f"n{i}").alias(f"n{i}"),
-                 F.first(f"lo{i}").alias(f"lo{i}"), F.first(f"hi{i}").alias(f"hi{i}")]
-    two = joined.agg(*aggs)
+                 F.first(f"lo{i}").alias(f"lo{i}"), F.first(f"hi{i}").alias(f"hi{i}")])
+    two = agg_one_row(joined, aggs, 14)
     rows = [F.struct(
         F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"n{i}").alias("n"),
         F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("median"), F.col(f"q{i}")[2].alias("q3"),

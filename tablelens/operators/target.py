@@ -198,13 +198,9 @@ def target_correlations(df: DataFrame, target: str, features: list[str] | None =
     features = [c for c in (numeric_columns(df) if features is None else features) if c != target]
     if not features:
         return df.sparkSession.createDataFrame([], "column string, position int, r double, n long")
-    cols = features + [target]
-    pairs = co.pearson_pairs(df, cols, complete_rows=False)
-    ti = len(features)
-    return (pairs.where((F.col("pos_b") == ti) & (F.col("pos_a") < ti) & (F.col("n") > min_rows)
-                        & F.col("r").isNotNull())
-            .select(F.col("col_a").alias("column"), F.col("pos_a").alias("position"),
-                    F.round("r", digits).alias("r"), "n"))
+    tc = co.pairs_with_target(df, target, features)
+    return (tc.where((F.col("n") > min_rows) & F.col("r").isNotNull())
+            .select("column", "position", F.round("r", digits).alias("r"), "n"))
 
 
 def top_correlated(df: DataFrame, target: str, features: list[str] | None = None, k: int = 3) -> DataFrame:

@@ -20,6 +20,8 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide fused aggregates (one per table) keep whole-stage codegen
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
