@@ -166,7 +166,7 @@ def build_preprocessor(train: DataFrame, num_cols: list[str], cat_cols: list[str
     if cat_cols:
         stages.append(StringIndexer(inputCols=cat_in, outputCols=idx_out, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=idx_out, outputCols=ohe_out, dropLast=True))
     stages.append(VectorAssembler(inputCols=num_out + ohe_out, outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=stages).fit(train)
 
