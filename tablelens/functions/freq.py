@@ -16,7 +16,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import as_text, q
+from pyspark.sql import types as T
+
+from tablelens.functions.columns import INTEGRAL_TYPES, as_text, q
+
+
+def _slots(df: DataFrame, name: str):
+    """(value, lval, dval): exactly one slot holds the cell, typed where the type allows."""
+    dtype = df.schema[name].dataType
+    c = q(name)
+    none_s, none_l, none_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+    if isinstance(dtype, INTEGRAL_TYPES):
+        return none_s, c.cast("long"), none_d
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return none_s, none_l, c.cast("double") + F.lit(0.0)   # folds -0.0 into 0.0
+    return as_text(df, name), none_l, none_d
 
 
 def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -28,13 +42,27 @@ def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Counts of each distinct value per column (nulls included as a null value)."""
+    """Counts of each distinct value per column (nulls included as a null value).
+
+    Cells are grouped in typed slots (``lval`` long, ``dval`` double, ``value``
+    text for everything else), so numbers are hashed as numbers; ``value`` is
+    filled with the text rendering only after aggregation, on the grouped rows.
+    Result: ``(column, position, value, n)``.
+    """
     cols = list(df.columns) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, position int, value string, n long")
-    return (unpivot_text(df, cols)
-            .groupBy("column", "position", "value")
-            .agg(F.count(F.lit(1)).alias("n")))
+    cells = []
+    for i, c in enumerate(cols):
+        v, lv, dv = _slots(df, c)
+        cells.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), v.alias("value"),
+                              lv.alias("lval"), dv.alias("dval")))
+    grouped = (df.select(F.inline(F.array(*cells)))
+               .groupBy("column", "position", "value", "lval", "dval")
+               .agg(F.count(F.lit(1)).alias("n")))
+    return grouped.select("column", "position",
+                          F.coalesce("value", F.col("lval").cast("string"), F.col("dval").cast("string")).alias("value"),
+                          "n")
 
 
 def distinct_summary(freq: DataFrame) -> DataFrame:
