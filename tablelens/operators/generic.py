@@ -183,41 +183,49 @@ def fences(df: DataFrame, cols: list[str] | None = None, exact: bool = True) ->
 
 
 def outlier_table(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """G13-G15 in two passes: fences (pass 1, one row) broadcast to a single fused count pass.
+    """G13-G15 in two passes over the data.
 
-    Per column: q1, median, q3, lower/upper fence, IQR outliers (strict), pct of
-    non-null, z-score outliers (|x - mean| > 3 std_pop; 0 if std is 0), and
-    whiskers (min/max inside the fences).
+    Pass 1 (``fences``) gives one row of quartiles, mean, population std and n
+    per column; it is read on the driver (one row) and the fences become
+    literals of pass 2, a single codegen aggregate: IQR outliers (strict), z
+    outliers (|x - mean| > 3 std_pop; none when std is 0) and the whiskers
+    (min/max inside the fences).
     """
     cols = numeric_columns(df) if cols is None else cols
-    f1 = fences(df, cols, exact)
-    sel = []
-    for i, _ in enumerate(cols):
-        q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[2]
+    spark = df.sparkSession
+    schema = ("column string, position int, n long, q1 double, median double, q3 double, lower double, "
+              "upper double, iqr_outliers long, iqr_outlier_pct double, z_score_outliers long, mean double, "
+              "std_pop double, whisker_low double, whisker_high double")
+    if not cols:
+        return spark.createDataFrame([], schema)
+    f1 = fences(df, cols, exact).first()  # one row
+    groups, meta = [], []
+    for i, c in enumerate(cols):
+        qs = f1[f"q{i}"]
+        n, m, s = f1[f"n{i}"], f1[f"m{i}"], f1[f"s{i}"]
+        if not n or qs is None or qs[0] is None:
+            continue
+        q1, med, q3 = qs
         iqr = q3 - q1
-        sel += [F.col(f"q{i}"), F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"n{i}"),
-                (q1 - IQR_K * iqr).alias(f"lo{i}"), (q3 + IQR_K * iqr).alias(f"hi{i}")]
-    f1 = f1.select(*sel)
-    joined = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).crossJoin(
-        F.broadcast(f1))  # the broadcast side is exactly one row
-    aggs = []
-    for i, _ in enumerate(cols):
-        x, lo, hi, m, s = (F.col(f"x{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"m{i}"), F.col(f"s{i}"))
-        aggs.append([F.count_if((x < lo) | (x > hi)).alias(f"io{i}"),
-                 F.count_if((s > 0) & (F.abs(x - m) > Z_K * s)).alias(f"zo{i}"),
-                 F.min(F.when(x >= lo, x)).alias(f"wl{i}"), F.max(F.when(x <= hi, x)).alias(f"wh{i}"),
-                 F.first(f"q{i}").alias(f"q{i}"), F.first(f"m{i}").alias(f"m{i}"),
-                 F.first(f"s{i}").alias(f"s{i}"), F.first(f"n{i}").alias(f"n{i}"),
-                 F.first(f"lo{i}").alias(f"lo{i}"), F.first(f"hi{i}").alias(f"hi{i}")])
-    two = agg_one_row(joined, aggs, 14)
+        lo, hi = q1 - IQR_K * iqr, q3 + IQR_K * iqr
+        x = q(c).cast("double")
+        z = (F.abs(x - F.lit(m)) > F.lit(Z_K * s)) if (s is not None and s > 0) else F.lit(False)
+        groups.append([F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"io{i}"),
+                       F.count_if(z).alias(f"zo{i}"),
+                       F.min(F.when(x >= F.lit(lo), x)).alias(f"wl{i}"),
+                       F.max(F.when(x <= F.lit(hi), x)).alias(f"wh{i}")])
+        meta.append((i, c, n, q1, med, q3, lo, hi, m, s))
+    if not groups:
+        return spark.createDataFrame([], schema)
+    two = agg_one_row(df, groups, 4)
     rows = [F.struct(
-        F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"n{i}").alias("n"),
-        F.col(f"q{i}")[0].alias("q1"), F.col(f"q{i}")[1].alias("median"), F.col(f"q{i}")[2].alias("q3"),
-        F.col(f"lo{i}").alias("lower"), F.col(f"hi{i}").alias("upper"),
-        F.col(f"io{i}").cast("long").alias("iqr_outliers"),
-        F.round(F.lit(100.0) * F.col(f"io{i}") / F.col(f"n{i}"), 2).alias("iqr_outlier_pct"),
-        F.col(f"zo{i}").cast("long").alias("z_score_outliers"),
-        F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std_pop"),
-        F.col(f"wl{i}").alias("whisker_low"), F.col(f"wh{i}").alias("whisker_high"))
-        for i, c in enumerate(cols)]
+        F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(n).cast("long").alias("n"),
+        F.lit(q1).cast("double").alias("q1"), F.lit(med).cast("double").alias("median"),
+        F.lit(q3).cast("double").alias("q3"), F.lit(lo).cast("double").alias("lower"),
+        F.lit(hi).cast("double").alias("upper"), F.col(f"io{i}").cast("long").alias("iqr_outliers"),
+        F.round(F.lit(100.0) * F.col(f"io{i}") / F.lit(n), 2).alias("iqr_outlier_pct"),
+        F.col(f"zo{i}").cast("long").alias("z_score_outliers"), F.lit(m).cast("double").alias("mean"),
+        F.lit(s).cast("double").alias("std_pop"), F.col(f"wl{i}").alias("whisker_low"),
+        F.col(f"wh{i}").alias("whisker_high"))
+        for (i, c, n, q1, med, q3, lo, hi, m, s) in meta]
     return two.select(F.inline(F.array(*rows))).where(F.col("n") >= MIN_OUTLIER_N)
