@@ -90,3 +90,13 @@ def u05_hopkins(spark, sf):
 @register("u06_kmeans_scan")
 def u06_kmeans_scan(spark, sf):
     return cl.kmeans_scan(fx.embeddings4(spark, sf), EMB)
+
+
+@register("u07_silhouette")
+def u07_silhouette(spark, sf):
+    return cl.kmeans_scan(fx.embeddings4(spark, sf), EMB).select("k", "silhouette")
+
+
+@register("u08_suggested_k")
+def u08_suggested_k(spark, sf):
+    return cl.kmeans_scan(fx.embeddings4(spark, sf), EMB).where("suggested").select(F.col("k").alias("suggested_k"))

@@ -264,3 +264,11 @@ def t12_pacf(spark, sf):
 def t13_lag_rolling(spark, sf):
     t = se.lag_rolling(positioned(spark, sf, "orders_monthly"), 12)
     return t.select("pos", *[F.round(c, 4).alias(c) for c in ("y", "lag_1", "lag_12", "roll_mean", "roll_std")])
+
+
+@register("t14_time_split", f"WITH s AS ({ED_SQL})\nSELECT CAST(ts AS VARCHAR) AS ts FROM (SELECT ts, row_number() OVER "
+          "(ORDER BY ts) AS rn, count(*) OVER () AS n FROM s) WHERE rn > CAST(floor(n * 0.8) AS BIGINT)")
+def t14_time_split(spark, sf):
+    from tablelens.operators import features as fe
+    _, test = fe.time_split(ed(spark, sf), "ts", 0.2, tiebreak=["ts"])
+    return test.select(F.col("ts").cast("string").alias("ts"))

@@ -161,3 +161,40 @@ def a03_plan(spark, sf):
 def a05_run_report(spark, sf):
     rep = an.analyze(fx.documents_labels(spark, sf), target="quality")
     return rep.findings
+
+
+@register("s04_delimiter_inference", "SELECT '|' AS delimiter, count(*) AS n_rows FROM orders")
+def s04_delimiter_inference(spark, sf):
+    """Orders written with '|' as the separator; the sniffed delimiter reads every row back."""
+    path = _scratch(spark, "orders-pipe") + ".csv"
+    fx.read_table(spark, sf, "orders").write.option("header", True).option("sep", "|").csv(path)
+    delim = ld.sniff_delimiter(spark, path)
+    return ld.read_csv(spark, path, sep=delim).agg(F.lit(delim).alias("delimiter"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("s06_json_array_roundtrip", "SELECT count(*) AS n_rows, round(sum(o_totalprice), 4) AS total FROM orders")
+def s06_json_array_roundtrip(spark, sf):
+    """Orders written as one pretty JSON array per input partition (a file per task); the
+    loader sees corrupt lines starting with '[' and re-reads the files as JSON documents."""
+    path = _scratch(spark, "orders-array") + ".json"
+    o = fx.read_table(spark, sf, "orders")
+    rec = o.select(F.spark_partition_id().alias("p"), F.to_json(F.struct(*o.columns)).alias("j"))
+    docs = rec.groupBy("p").agg(F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("j")), F.lit("\n]"))
+                                 .alias("value"))  # one group = one input partition
+    docs.write.partitionBy("p").text(path)  # one document per file
+    info = ld.load_dataset(spark, path, sample_threshold=None)
+    return info.df.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 4).alias("total"))
+
+
+@register("s09_row_count", "SELECT count(*) AS total_rows FROM lineitem")
+def s09_row_count(spark, sf):
+    info = ld.load_dataset(spark, os.path.join(sf, "lineitem.parquet"), sample_threshold=None)
+    return info.df.agg(F.count(F.lit(1)).alias("total_rows"))
+
+
+@register("a04_plan_edit")
+def a04_plan_edit(spark, sf):
+    """The proposed plan for documents x labels, edited to its generic steps in reverse order."""
+    plan = a03_plan(spark, sf).orderBy("step_order").collect()  # <= 13 steps
+    edited = an.edit_plan([r["step"] for r in plan if r["step"] in an.GENERIC_STEPS][::-1])
+    return spark.createDataFrame(list(enumerate(edited)), "step_order int, step string")
