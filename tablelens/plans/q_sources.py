@@ -133,7 +133,34 @@ def a01_missing_findings(spark, sf):
     return fi.missing_findings(ge.missing_summary(fx.lineitem_x(spark, sf)))
 
 
-@register("a02_severity")
+def _a02_sql() -> str:
+    from tablelens.plans.q_assoc import L_CORR_SQL
+    from tablelens.plans.q_generic import _outlier_sql
+    from tablelens.plans.q_profile import DL, LX_FAMILIES
+    from tablelens.plans.sqlgen import profile_cte
+
+    def bucket(v, w, c):
+        return f"CASE WHEN {v} >= {c} THEN 'critical' WHEN {v} >= {w} THEN 'warning' ELSE 'info' END"
+
+    tm = ("tm AS (" + " UNION ALL ".join(
+        f"SELECT avg(CASE WHEN CAST({c} AS VARCHAR) IS NOT DISTINCT FROM CAST(l_extendedprice AS VARCHAR) "
+        f"THEN 1.0 ELSE 0.0 END) AS rate FROM lk" for c in ("l_returnflag", "price_text")) + ")")
+    return (f"WITH {LX}, p AS ({profile_cte('lx', LX_FAMILIES)}),\n"
+            f"ld AS ({fx.LD_SQL}), g AS (SELECT count(*) AS n FROM ld GROUP BY l_returnflag, l_linestatus, l_linenumber),\n"
+            + _outlier_sql("events", EV_NUMERIC).rstrip("\n") + ",\n"
+            f"{DL}, cb AS (SELECT count(*) AS n FROM dl GROUP BY quality),\n"
+            f"lk AS ({fx.LK_SQL}), " + L_CORR_SQL.rstrip("\n") + f", {tm}\n"
+            f"SELECT 'missing_values' AS step, {bucket('v', 15, 50)} AS severity FROM (SELECT max(missing_pct) AS v FROM p)\n"
+            f"UNION ALL SELECT 'duplicates', {bucket('v', 5, 20)} FROM (SELECT round(100.0 * sum(n - 1) / sum(n), 2) AS v FROM g)\n"
+            f"UNION ALL SELECT 'outliers', {bucket('v', 5, 15)} FROM (SELECT max(round(100.0 * iqr_outliers / n, 2)) AS v "
+            "FROM f JOIN o ON f.\"column\" = o.\"column\" WHERE n >= 5)\n"
+            f"UNION ALL SELECT 'class_balance', {bucket('v', 3, 10)} FROM (SELECT round(max(n) / min(n), 2) AS v FROM cb)\n"
+            "UNION ALL SELECT 'leakage_checks', CASE WHEN (SELECT count(*) FROM hc WHERE abs(r) > 0.999) + "
+            "(SELECT count(*) FROM tm WHERE rate > 0.98) > 0 THEN 'critical' WHEN (SELECT count(*) FROM hc) > 0 "
+            "THEN 'warning' ELSE 'info' END")
+
+
+@register("a02_severity", _a02_sql())
 def a02_severity(spark, sf):
     parts = [fi.missing_findings(ge.missing_summary(fx.lineitem_x(spark, sf))),
              fi.duplicate_findings(ge.duplicate_summary(fx.lineitem_dup(spark, sf))),
