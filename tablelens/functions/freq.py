@@ -71,7 +71,8 @@ def distinct_summary(freq: DataFrame) -> DataFrame:
             .agg(F.count("value").alias("unique_count"),
                  F.count(F.lit(1)).alias("unique_with_null"),
                  F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-                 .cast("long").alias("null_count")))
+                 .cast("long").alias("null_count"),
+                 F.sum("n").cast("long").alias("n_rows")))
 
 
 def approx_distinct(df: DataFrame, cols: list[str], rsd: float = 0.02) -> DataFrame:

@@ -45,6 +45,15 @@ def lowest_k(df: DataFrame, key: Column, k_of_n, group_cols: list[str] | None =
     (a function Column -> Column), e.g. ``lambda n: F.round(n * 0.2)``.
     Returns ``df`` restricted to the chosen rows (columns unchanged).
     """
+    flagged = flag_lowest_k(df, key, k_of_n, group_cols, sigmas, max_rounds)
+    return flagged.where(F.col("__sel")).drop("__sel")
+
+
+def flag_lowest_k(df: DataFrame, key: Column, k_of_n, group_cols: list[str] | None = None,
+                  sigmas: float = 8.0, max_rounds: int = 6) -> DataFrame:
+    """``df`` plus a boolean ``__sel``: true for the ``k`` smallest keys of each group.
+
+    Both sides of a split come from this one frame (no anti-join)."""
     group_cols = list(group_cols or [])
     cols = df.columns
     data = df.withColumn("__h", key).withColumn("__u", unit_hash(F.col("__h")))
@@ -73,11 +82,36 @@ def lowest_k(df: DataFrame, key: Column, k_of_n, group_cols: list[str] | None =
     below = tagged.where(F.col("__u") < F.col("__lo"))
     inside = tagged.where((F.col("__u") >= F.col("__lo")) & (F.col("__u") <= F.col("__hi")))
     counts = check.select(*gcols, "__below")
+    outside = tagged.where((F.col("__u") < F.col("__lo")) | (F.col("__u") > F.col("__hi"))).select(
+        *cols, (F.col("__u") < F.col("__lo")).alias("__sel"))
     w = Window.partitionBy(*gcols).orderBy("__h")  # bracket rows only
     picked = (inside.join(counts, gcols)
               .withColumn("__rn", F.row_number().over(w))
-              .where(F.col("__rn") <= F.col("__k") - F.col("__below")))
-    return below.select(*cols).unionByName(picked.select(*cols))
+              .select(*cols, (F.col("__rn") <= F.col("__k") - F.col("__below")).alias("__sel")))
+    del below
+    return outside.unionByName(picked)
+
+
+def split_by_value(df: DataFrame, order: Column, k: int, tiebreak: list[str] | None = None,
+                   accuracy: int = 100000) -> tuple[DataFrame, DataFrame]:
+    """(first k rows, the rest) by ``order`` then ``tiebreak``: the k-th row's key is found
+    exactly (see ``lowest_k_by_value``) and both parts are filters on that cut."""
+    cols = df.columns
+    tb = tiebreak or []
+    n = df.count()
+    if k <= 0:
+        return df.limit(0), df
+    if k >= n:
+        return df, df.limit(0)
+    first = lowest_k_by_value(df, order, k, accuracy, tiebreak=tiebreak)
+
+    def keyed(frame):
+        return F.struct(order.cast("double").alias("o"), *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(tb)])
+
+    cut = (first.select(keyed(first).alias("__cut")).orderBy(F.desc("__cut")).limit(1))  # the k-th row
+    both = df.crossJoin(F.broadcast(cut))  # one-row side
+    inside = keyed(df) <= F.col("__cut")
+    return both.where(inside).select(*cols), both.where(~inside).select(*cols)
 
 
 def lowest_k_by_value(df: DataFrame, order: Column, k: int, accuracy: int = 100000,

@@ -91,14 +91,24 @@ def pairs_with_target(df: DataFrame, target: str, features: list[str]) -> DataFr
     return one.select(F.inline(F.array(*rows)))
 
 
-def average_ranks(df: DataFrame, col: str, buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+BUCKET_VALUES = 2_000_000   # distinct values per rank bucket (one window task each)
+
+
+def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy: int | None = None) -> DataFrame:
     """``(value, avg_rank)`` for the non-null values of one column (ties get the mean rank).
 
     Distributed prefix sums: distinct values with counts, bucketed by an
-    approximate-quantile sketch; a window runs inside each bucket only.
+    approximate-quantile sketch; a window runs inside each bucket only. The
+    bucket count comes from a HyperLogLog estimate of the distinct values
+    (about ``BUCKET_VALUES`` per bucket, at least 64), so no bucket grows with
+    the data; the offsets table has one row per bucket.
     """
     x = q(col).cast("double")
     vt = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    if buckets is None:
+        ndv = df.agg(F.approx_count_distinct(x)).first()[0] or 0  # one number
+        buckets = max(64, -(-ndv // BUCKET_VALUES))
+    accuracy = accuracy or max(10000, 8 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = vt.agg(F.percentile_approx("v", probs, accuracy).alias("bounds"))
     tagged = vt.crossJoin(F.broadcast(bounds)).select(  # one-row side

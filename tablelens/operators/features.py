@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions import freq as fq
 from tablelens.functions.columns import FLOAT_TYPES, family, q
-from tablelens.functions.sampling import SEED, lowest_k, lowest_k_by_value, md5_key
+from tablelens.functions.sampling import SEED, flag_lowest_k, lowest_k, split_by_value, md5_key
 
 # Fixed values that must equal the reference's rules.
 ALLOWED_OVERRIDES = ("numeric_impute", "categorical_impute", "scaling", "high_cardinality_threshold",
@@ -189,17 +189,15 @@ def stratified_split(df: DataFrame, target: str, key: str, test_size: float = 0.
     """
     k = md5_key(seed, F.col(f"`{key}`"))
     tagged = df.withColumn("__cls", F.coalesce(q(target).cast("string"), F.lit("\u0000null")))
-    test = lowest_k(tagged, k, lambda n: F.round(n * F.lit(float(test_size))), ["__cls"]).drop("__cls")
-    train = df.join(test.select(key), key, "left_anti")
-    return train, test
+    flagged = flag_lowest_k(tagged, k, lambda n: F.round(n * F.lit(float(test_size))), ["__cls"]).drop("__cls")
+    return flagged.where(~F.col("__sel")).drop("__sel"), flagged.where(F.col("__sel")).drop("__sel")
 
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """the round(test_size * n) rows with the smallest md5(seed:key) are test."""
     k = md5_key(seed, F.col(f"`{key}`"))
-    test = lowest_k(df, k, lambda n: F.round(n * F.lit(float(test_size))))
-    train = df.join(test.select(key), key, "left_anti")
-    return train, test
+    flagged = flag_lowest_k(df, k, lambda n: F.round(n * F.lit(float(test_size))))
+    return flagged.where(~F.col("__sel")).drop("__sel"), flagged.where(F.col("__sel")).drop("__sel")
 
 
 def time_split(df: DataFrame, order_col: str, test_size: float = 0.2,
@@ -212,14 +210,7 @@ def time_split(df: DataFrame, order_col: str, test_size: float = 0.2,
     dt = df.schema[order_col].dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         order = F.unix_micros(q(order_col).cast("timestamp"))
-    train = lowest_k_by_value(df, order, k, tiebreak=tiebreak)
-    test = _complement(df, train)
-    return train, test
-
-
-def _complement(df: DataFrame, part: DataFrame) -> DataFrame:
-    """Rows of ``df`` not in ``part`` (multiset difference by full row)."""
-    return df.exceptAll(part)
+    return split_by_value(df, order, k, tiebreak=tiebreak)
 
 
 def can_stratify(df: DataFrame, target: str) -> bool:
