@@ -98,8 +98,7 @@ def constant_and_id(df: DataFrame, freq: DataFrame | None = None,
     """Constant (distinct with null <= 1) and ID-like (> 1 and ratio > 0.98) columns."""
     freq = fq.frequency_table(df) if freq is None else freq
     ds = fq.distinct_summary(freq)
-    n = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    t = ds.crossJoin(n)  # per-column rows by one row
+    t = ds.withColumn("n", F.greatest(F.col("n_rows"), F.lit(1)))  # rows counted by the same table
     flag = (F.when(F.col("unique_with_null") <= 1, "constant")
             .when(F.col("unique_with_null") / F.col("n") > ID_LIKE_RATIO, "id_like"))
     out = t.select("column", "position", flag.alias("flag")).where(F.col("flag").isNotNull())
@@ -112,8 +111,7 @@ def uniqueness_table(df: DataFrame, freq: DataFrame | None = None, top: int = UN
     """Distinct values (null counted) and ratio (3 decimals), the ``top`` highest ratios."""
     freq = fq.frequency_table(df) if freq is None else freq
     ds = fq.distinct_summary(freq)
-    n = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-    t = ds.crossJoin(n).select("column", "position", F.col("unique_with_null").alias("unique_count"),
+    t = ds.withColumn("n", F.greatest(F.col("n_rows"), F.lit(1))).select("column", "position", F.col("unique_with_null").alias("unique_count"),
                                F.round(F.col("unique_with_null") / F.col("n"), 3).alias("unique_ratio"))
     w = Window.orderBy(F.desc("unique_ratio"), F.asc("position"))  # rows = number of columns
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -245,27 +245,28 @@ def with_position(series: DataFrame, freq: str) -> DataFrame:
 def regular_grid(series: DataFrame, freq: str) -> DataFrame:
     """Every period between the first and last time, value null where absent (asfreq).
 
-    The grid is generated by ``spark.range`` (distributed), then left-joined on position.
+    The grid is generated by ``spark.range`` (distributed) against the one-row
+    bounds frame (the start never leaves Spark, so no time-zone round trip),
+    then left-joined on position.
     """
     spark = series.sparkSession
     step = parse_step(freq)
     pos = with_position(series, freq).where(F.col("pos").isNotNull())
     bounds = series.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     if step.months:
-        span = bounds.select(((F.year("t1") * 12 + F.month("t1")) - (F.year("t0") * 12 + F.month("t0")))
-                             .alias("m"), "t0")
-        n = span.select((F.col("m") / step.months).cast("long") + 1).first()[0]  # one number
-        t0 = bounds.first()["t0"]
+        span = ((F.year("t1") * 12 + F.month("t1")) - (F.year("t0") * 12 + F.month("t0"))) / step.months
+    else:
+        span = F.expr("timestampdiff(MICROSECOND, t0, t1)") / step.micros
+    n = bounds.select(F.floor(span).cast("long") + 1).first()[0] or 0  # one number
+    grid = spark.range(0, n).select(F.col("id").alias("pos")).crossJoin(F.broadcast(bounds))  # one-row side
+    if step.months:
         month_end = freq.split("-")[0].lstrip("0123456789") in ("ME", "QE", "YE", "M", "Q", "Y", "A")
-        d = F.add_months(F.to_date(F.lit(t0)), (F.col("pos") * step.months).cast("int"))
+        d = F.add_months(F.to_date("t0"), (F.col("pos") * step.months).cast("int"))
         d = F.last_day(d) if month_end else d
-        grid = spark.range(0, n or 0).select(F.col("id").alias("pos")).withColumn("ts", d.cast("timestamp_ntz"))
+        ts = d.cast("timestamp_ntz")
     else:
-        row = bounds.select(F.expr("timestampdiff(MICROSECOND, t0, t1)").alias("us"), "t0").first()
-        n = (row["us"] // step.micros + 1) if row["us"] is not None else 0
-        t0 = row["t0"]
-        grid = spark.range(0, n).select(F.col("id").alias("pos")).withColumn(
-            "ts", F.timestamp_add("MICROSECOND", F.col("pos") * F.lit(step.micros), F.lit(t0).cast("timestamp_ntz")))
+        ts = F.timestamp_add("MICROSECOND", F.col("pos") * F.lit(step.micros), F.col("t0"))
+    grid = grid.select("pos", ts.alias("ts"))
     vals = pos.groupBy("pos").agg(F.first("y", ignorenulls=True).alias("y"))
     return grid.join(vals, "pos", "left").select("pos", "ts", "y")
 
