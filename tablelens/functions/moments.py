@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import q
@@ -198,18 +198,24 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: Iterable[float] = QUA
             else:
                 ready.append((key, below))
         if ready:
-            # one pass gathers the values of every ready bracket
+            # one pass tags the rows of every ready bracket; a window bounded by the bracket
+            # size picks the two needed order statistics, so the driver gets two numbers each
             cand = F.array(*[F.when((xs[c] >= F.lit(brackets[(c, j)][0])) & (xs[c] <= F.lit(brackets[(c, j)][1])),
                                     F.struct(F.lit(k).alias("k"), xs[c].alias("v")))
                              for k, ((c, j), _) in enumerate(ready)])
-            got: dict[int, list[float]] = {}
-            for r in df.select(F.explode(F.filter(cand, lambda t: t.isNotNull())).alias("t")).select(
-                    "t.k", "t.v").collect():  # <= max_bracket per ready bracket
-                got.setdefault(r[0], []).append(r[1])
+            want = F.create_map(*[x for k, ((c, j), below) in enumerate(ready)
+                                  for x in (F.lit(k), F.array(F.lit(brackets[(c, j)][2] - below + 1),
+                                                              F.lit(brackets[(c, j)][3] - below + 1)))])
+            tagged = df.select(F.explode(F.filter(cand, lambda t: t.isNotNull())).alias("t")).select("t.k", "t.v")
+            w = Window.partitionBy("k").orderBy("v")  # one bracket per partition, <= max_bracket rows
+            picked = (tagged.withColumn("rn", F.row_number().over(w))
+                      .where(F.array_contains(want[F.col("k")], F.col("rn"))).collect())  # <= 2 rows per bracket
+            got: dict[int, dict[int, float]] = {}
+            for r in picked:
+                got.setdefault(r["k"], {})[r["rn"]] = r["v"]
             for k, ((c, j), below) in enumerate(ready):
                 lo, hi, r_lo, r_hi, pos = brackets.pop((c, j))
-                vals = sorted(got.get(k, []))
-                x_lo, x_hi = vals[r_lo - below], vals[r_hi - below]
+                x_lo, x_hi = got[k][r_lo - below + 1], got[k][r_hi - below + 1]
                 out.setdefault(c, [None] * len(probs))[j] = (
                     x_lo if r_lo == r_hi else (r_hi - pos) * x_lo + (pos - r_lo) * x_hi)
         for key in widen:
