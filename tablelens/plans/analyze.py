@@ -122,12 +122,78 @@ def run_step(step: str, df: DataFrame, freq: DataFrame, target: str | None,
         if t["suggested_transform"]:
             texts.append(f"Target distribution is notably skewed — consider a {t['suggested_transform']} transform.")
         return fi.simple_findings(step, texts)
+    if step == "clustering_analysis":
+        return _clustering_findings(df, target, nums)
+    if step == "time_series_analysis":
+        return _series_findings(df, target)
     return fi.simple_findings(step, [f"Step '{step}' has no findings text in this run."])
 
 
+def _clustering_findings(df: DataFrame, target: str | None, nums: list[str]) -> DataFrame:
+    """U01-U08 summarised as bullets (scale spread, 95 % components, Hopkins band, k)."""
+    from tablelens.operators import cluster as cl
+    feats = [c for c in nums if c != target]
+    complete = df.select(*feats).dropna().count() if len(feats) >= cl.MIN_FEATURES else 0
+    if len(feats) < cl.MIN_FEATURES or complete < cl.MIN_ROWS:
+        return fi.simple_findings("clustering_analysis", ["Not enough numeric columns/rows to run clustering diagnostics."])
+    texts = []
+    stds = [r["std"] for r in cl.scale_report(df, feats).collect() if r["std"] and r["std"] > 0]
+    if stds and max(stds) / max(min(stds), 1e-9) > cl.SCALE_RATIO:
+        texts.append(f"Feature scales vary widely (std range {min(stds):.2f}-{max(stds):.2f}) — scale features "
+                     "(e.g. StandardScaler) before clustering or PCA.")
+    pca = cl.pca_variance(df, feats).first()
+    if pca and pca["n_components_for_95pct"]:
+        texts.append(f"{pca['n_components_for_95pct']} principal component(s) explain 95% of the variance.")
+    h = cl.hopkins(df, feats).first()["hopkins_statistic"]
+    if h is not None:
+        if h > cl.HOPKINS_STRONG:
+            texts.append(f"Hopkins statistic {h:.2f} indicates strong cluster tendency.")
+        elif h < cl.HOPKINS_RANDOM:
+            texts.append(f"Hopkins statistic {h:.2f} is close to random — the data may not have meaningful cluster structure.")
+        else:
+            texts.append(f"Hopkins statistic {h:.2f} indicates some cluster tendency.")
+    best = [r["k"] for r in cl.kmeans_scan(df, feats).where("suggested").collect()]
+    if best:
+        texts.append(f"Suggested number of clusters by silhouette score: k={best[0]}.")
+    return fi.simple_findings("clustering_analysis", texts or ["Clustering diagnostics ran but produced no notable findings."])
+
+
+def _series_findings(df: DataFrame, target: str | None) -> DataFrame:
+    """T01-T13 summarised as bullets (date column, frequency, gaps, strengths, advice)."""
+    from tablelens.operators import series as se
+    if not target:
+        return fi.simple_findings("time_series_analysis", [
+            "Couldn't reliably detect a date/time column, or no target is set — skipping time-series diagnostics."])
+    date_col = se.detect_date_column(df, target).first()["date_column"]
+    if date_col is None:
+        return fi.simple_findings("time_series_analysis", [
+            "Couldn't reliably detect a date/time column, or no target is set — skipping time-series diagnostics."])
+    s = se.ordered_series(df, date_col, target)
+    freq = se.infer_frequency(s).first()["inferred_freq"]
+    n = s.count()
+    texts = [f"Detected date column '{date_col}' (inferred freq: {freq or 'irregular'}), {n:,} points."]
+    gaps = se.gap_count(s).first()["gap_count"]
+    if gaps:
+        texts.append(f"{gaps} gap(s) larger than 1.5x the typical interval — check for missing periods before modeling.")
+    period = se.season_length(freq)
+    if freq and period:
+        reg = se.prepare_regular(s, freq)
+        if reg.count() >= 2 * period:
+            st = se.strengths(se.decompose(reg, period)).first()
+            tr = st["trend_strength"] if st["trend_strength"] is not None else "n/a"
+            ss = st["seasonal_strength"] if st["seasonal_strength"] is not None else "n/a"
+            texts.append(f"Seasonal decomposition (period={period}): trend strength {tr}, seasonal strength {ss}.")
+            texts.append(f"Consider lag features at lag 1 and lag {period} (seasonal), plus a rolling mean/std over "
+                         f"a window of {period}.")
+    texts.append("Use a time-ordered train/test split (no shuffling) for this problem type.")
+    return fi.simple_findings("time_series_analysis", texts)
+
+
 def analyze(df: DataFrame, target: str | None = None, problem_type: str | None = None,
-            steps: list[str] | None = None, numeric_limit: int | None = None) -> RunReport:
-    """Run the plan (or the edited ``steps``) and collect every finding."""
+            steps: list[str] | None = None, numeric_limit: int | None = None,
+            key: str | None = None, overrides: dict | None = None) -> RunReport:
+    """Run the plan (or the edited ``steps``), then, when a row ``key`` is given,
+    feature engineering and (for supervised types) the baseline model; collect every finding."""
     data = df.persist(StorageLevel.MEMORY_AND_DISK)
     if target is not None and problem_type is None:
         prof = pr.semantic_types(pr.column_profile(data))
@@ -136,9 +202,52 @@ def analyze(df: DataFrame, target: str | None = None, problem_type: str | None =
     freq = fq.frequency_table(data).persist(StorageLevel.MEMORY_AND_DISK)
     parts = [run_step(s, data, freq, target, numeric_limit).withColumn("order", F.lit(i))
              for i, s in enumerate(plan)]
+    if key is not None:
+        parts.append(_feature_findings(data, target, problem_type, key, overrides).withColumn("order", F.lit(len(plan))))
+        parts.append(_baseline_findings(data, target, problem_type, key).withColumn("order", F.lit(len(plan) + 1)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.withColumn("target", F.lit(target).cast("string")).withColumn(
         "problem_type", F.lit(problem_type).cast("string"))
-    return RunReport(target, problem_type, plan, out)
+    # findings are a few rows per step: materialise them, then release the cached input
+    rows = out.collect()
+    final = df.sparkSession.createDataFrame(rows, out.schema)
+    freq.unpersist()
+    data.unpersist()
+    return RunReport(target, problem_type, plan, final)
+
+
+def _feature_findings(df: DataFrame, target, problem_type, key, overrides) -> DataFrame:
+    """F01-F12 summarised as bullets."""
+    from tablelens.operators import features as fe
+    s = fe.feature_engineering(df, target, problem_type, key, overrides).summary.first()
+    texts = []
+    dropped = list(s["dropped_constant"]) + list(s["dropped_id_like"])
+    if dropped:
+        texts.append("Dropped " + ", ".join(f"'{c}'" for c in dropped) + " (constant/ID-like) before building the pipeline.")
+    if s["excluded_high_cardinality"]:
+        texts.append("Excluded high-cardinality categorical column(s) from one-hot encoding: "
+                     + ", ".join(s["excluded_high_cardinality"]) + " — consider target/frequency encoding these manually.")
+    texts.append(f"Pipeline: {s['numeric_impute']} imputation + {s['scaling']} scaling for {len(s['numeric_columns'])} "
+                 f"numeric column(s), {s['categorical_impute']} imputation + one-hot encoding for "
+                 f"{len(s['categorical_columns'])} categorical column(s) → {s['n_features_out']} output feature(s).")
+    if s["split_strategy"] != "none":
+        texts.append(f"Train/test split: {s['split_strategy']} ({s['train_rows']:,} train / {s['test_rows']:,} test rows).")
+    return fi.simple_findings("feature_engineering", texts)
+
+
+def _baseline_findings(df: DataFrame, target, problem_type, key) -> DataFrame:
+    """B01-B08 summarised as bullets."""
+    from tablelens.operators import model as mo
+    res = mo.baseline(df, target, problem_type, key)
+    reason = res.summary.first()["skipped_reason"]
+    if reason:
+        return fi.simple_findings("baseline_model", [f"Baseline model skipped: {reason}."])
+    m = res.metrics.first().asDict()
+    metrics = ", ".join(f"{k}={v:.4f}" for k, v in m.items() if v is not None)
+    top = [r["feature"] for r in res.importance.limit(3).collect()]  # top of a 10-row table
+    texts = [f"Random forest baseline ({problem_type}): {metrics}."]
+    if top:
+        texts.append("Most important features: " + ", ".join(top) + ".")
+    return fi.simple_findings("baseline_model", texts)

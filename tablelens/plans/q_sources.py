@@ -186,7 +186,7 @@ def a03_plan(spark, sf):
 
 @register("a05_run_report")
 def a05_run_report(spark, sf):
-    rep = an.analyze(fx.documents_labels(spark, sf), target="quality")
+    rep = an.analyze(fx.documents_labels(spark, sf), target="quality", key="doc_id")
     return rep.findings
 
 
@@ -225,3 +225,18 @@ def a04_plan_edit(spark, sf):
     plan = a03_plan(spark, sf).orderBy("step_order").collect()  # <= 13 steps
     edited = an.edit_plan([r["step"] for r in plan if r["step"] in an.GENERIC_STEPS][::-1])
     return spark.createDataFrame(list(enumerate(edited)), "step_order int, step string")
+
+
+@register("a05_run_report_series")
+def a05_run_report_series(spark, sf):
+    """A full run on the daily events series (time-series plan)."""
+    from tablelens.plans.q_series import ed
+    rep = an.analyze(ed(spark, sf), target="y", problem_type="time_series")
+    return rep.findings
+
+
+@register("a05_run_report_clustering")
+def a05_run_report_clustering(spark, sf):
+    """A full run without a target on the first embedding dimensions (clustering plan)."""
+    rep = an.analyze(fx.embeddings4(spark, sf).drop("vec_id", "label"))
+    return rep.findings
