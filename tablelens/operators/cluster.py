@@ -126,43 +126,48 @@ def hopkins(df: DataFrame, features: list[str], seed: int = SEED, m: int | None
     """Hopkins statistic on the standardised complete rows.
 
     Sample: the first ``min(n, 50)`` rows in ``md5(seed:key)`` order (the row's
-    feature text when no key column is given). Uniform
-    points: coordinate j of point i is ``lo_j + (hi_j - lo_j) * U`` with
-    ``U = int(md5('seed:u:i:j')[:8], 16) / 2^32``. u = nearest data distance of
-    each uniform point; w = nearest distance from each sample point to another
-    row (0 when the point is repeated). H = sum u / (sum u + sum w), 0.5 if both are 0.
+    feature text when no key column is given). Uniform points: coordinate j of
+    point i is ``lo_j + (hi_j - lo_j) * U`` with ``U = int(md5('seed:u:i:j')[:8],
+    16) / 2^32`` inside the standardised bounding box. u = nearest data
+    distance of each uniform point; w = nearest distance from each sample point
+    to another row (0 when the point is repeated). H = sum u / (sum u + sum w),
+    0.5 if both are 0.
+
+    Three passes, nothing cached: moments and ranges (one aggregate; the
+    standardisation and the box follow from them), the sample (a bounded
+    top-50), and one aggregate of the 100 nearest distances.
     """
     spark = df.sparkSession
-    keep = (key,) if key else ()
-    raw_key = F.col(key).cast("string") if key else _row_key(features)
-    zk = standardize(df.withColumn("__k", raw_key) if not key else df, features,
-                     keep=keep if key else ("__k",)).cache()
-    kcol = key if key else "__k"
-    z = zk.select(*features)
-    n = zk.count()
+    data = df.select(*([q(key)] if key else []), *[q(c).cast("double").alias(c) for c in features]).dropna(subset=features)
+    st = agg_one_row(data, [[F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"), F.min(c).alias(f"lo{i}"),
+                             F.max(c).alias(f"hi{i}")] + ([F.count(F.lit(1)).alias("n")] if i == 0 else [])
+                            for i, c in enumerate(features)], 8).first()  # one row
+    n = st["n"] or 0
     if n < 1:
         return spark.createDataFrame([(None, 0)], "hopkins_statistic double, sample_size int")
+    mean = [st[f"m{i}"] for i in range(len(features))]
+    std = [st[f"s{i}"] if st[f"s{i}"] and st[f"s{i}"] > 0 else 1.0 for i in range(len(features))]
+    lo = [(st[f"lo{i}"] - mean[i]) / std[i] for i in range(len(features))]
+    hi = [(st[f"hi{i}"] - mean[i]) / std[i] for i in range(len(features))]
+    z = data.select(*[((F.col(c) - F.lit(mean[i])) / F.lit(std[i])).alias(c) for i, c in enumerate(features)],
+                    *([F.col(key).cast("string").alias("__k")] if key else [_row_key(features).alias("__k")]))
     m = min(n, HOPKINS_SAMPLE) if m is None else m
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(kcol).cast("string")))
-    sample = [[r[c] for c in features] for r in zk.orderBy(order, *features).limit(m).collect()]  # <= 50 rows
-    rng = z.agg(*[e for c in features for e in (F.min(c), F.max(c))]).first()  # one row
-    lo = [rng[2 * j] for j in range(len(features))]
-    hi = [rng[2 * j + 1] for j in range(len(features))]
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("__k")))
+    sample = [[r[c] for c in features] for r in z.orderBy(order, *features).limit(m).collect()]  # <= 50 rows
     uni = [[lo[j] + (hi[j] - lo[j]) * _u01(f"{seed}:u:{i}:{j}") for j in range(len(features))]
            for i in range(m)]
 
     def dist(p):
-        s = F.lit(0.0)
+        s2 = F.lit(0.0)
         for c, v in zip(features, p):
-            s = s + F.pow(F.col(c) - F.lit(float(v)), 2)
-        return F.sqrt(s)
+            s2 = s2 + F.pow(F.col(c) - F.lit(float(v)), 2)
+        return F.sqrt(s2)
 
     groups = [[F.min(dist(p)).alias(f"u{i}")] for i, p in enumerate(uni)]
     for i, p in enumerate(sample):
         d = dist(p)
         groups.append([F.count_if(d == 0).alias(f"z{i}"), F.min(F.when(d > 0, d)).alias(f"w{i}")])
     row = agg_one_row(z, groups, [1] * len(uni) + [2] * len(sample)).first()  # one row
-    zk.unpersist()
     su = sum(row[f"u{i}"] for i in range(m))
     sw = 0.0
     for i in range(m):

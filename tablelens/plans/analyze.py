@@ -191,10 +191,13 @@ def _series_findings(df: DataFrame, target: str | None) -> DataFrame:
 
 def analyze(df: DataFrame, target: str | None = None, problem_type: str | None = None,
             steps: list[str] | None = None, numeric_limit: int | None = None,
-            key: str | None = None, overrides: dict | None = None) -> RunReport:
+            key: str | None = None, overrides: dict | None = None,
+            persist_input: bool = False) -> RunReport:
     """Run the plan (or the edited ``steps``), then, when a row ``key`` is given,
     feature engineering and (for supervised types) the baseline model; collect every finding."""
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # the input is re-read per step unless asked otherwise (caching a very large
+    # table costs more than rescanning its parquet columns); the frequency table is cached
+    data = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
     if target is not None and problem_type is None:
         prof = pr.semantic_types(pr.column_profile(data))
         problem_type = pr.problem_types(prof).where(F.col("column") == target).first()["problem_type"]
@@ -214,7 +217,8 @@ def analyze(df: DataFrame, target: str | None = None, problem_type: str | None =
     rows = out.collect()
     final = df.sparkSession.createDataFrame(rows, out.schema)
     freq.unpersist()
-    data.unpersist()
+    if persist_input:
+        data.unpersist()
     return RunReport(target, problem_type, plan, final)
 
 
