@@ -92,6 +92,7 @@ def pairs_with_target(df: DataFrame, target: str, features: list[str]) -> DataFr
 
 
 BUCKET_VALUES = 2_000_000   # distinct values per rank bucket (one window task each)
+SMALL_DISTINCT = 200_000    # below this (HLL estimate) one window over the distinct values
 
 
 def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy: int | None = None) -> DataFrame:
@@ -107,6 +108,10 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
     vt = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
     if buckets is None:
         ndv = df.agg(F.approx_count_distinct(x)).first()[0] or 0  # one number
+        if ndv <= SMALL_DISTINCT:
+            # checked size: the distinct table is small, one window over it is bounded
+            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            return vt.select("v", (F.sum("cnt").over(w) - F.col("cnt") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
         buckets = max(64, -(-ndv // BUCKET_VALUES))
     accuracy = accuracy or max(10000, 8 * buckets)
     probs = [i / buckets for i in range(1, buckets)]

@@ -199,7 +199,7 @@ def analyze(df: DataFrame, target: str | None = None, problem_type: str | None =
     # table costs more than rescanning its parquet columns); the frequency table is cached
     data = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
     if target is not None and problem_type is None:
-        prof = pr.semantic_types(pr.column_profile(data))
+        prof = pr.semantic_types(pr.column_profile(data, stats=False))
         problem_type = pr.problem_types(prof).where(F.col("column") == target).first()["problem_type"]
     plan = edit_plan(steps) if steps is not None else build_plan(problem_type)
     freq = fq.frequency_table(data).persist(StorageLevel.MEMORY_AND_DISK)

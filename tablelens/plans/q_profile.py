@@ -41,7 +41,8 @@ DL = f"dl AS ({fx.DL_SQL})"
 
 
 def _profile(df, exact=True):
-    return pr.semantic_types(pr.column_profile(df, exact=exact))
+    """Semantic types need distinct counts and types only: no numeric statistics."""
+    return pr.semantic_types(pr.column_profile(df, exact=exact, stats=False))
 
 
 @register("p01_missing", f"WITH {LX}\n" + "\nUNION ALL\n".join(
@@ -192,7 +193,7 @@ def p12_problem_types(spark, sf):
           "SELECT \"column\", CASE WHEN family = 'boolean' THEN 'Yes/no' WHEN family = 'datetime' THEN 'Date' "
           "WHEN family = 'numeric' THEN 'Number' ELSE 'Text' END AS kind FROM p")
 def p13_column_kind(spark, sf):
-    prof = pr.column_kind(pr.column_profile(fx.lineitem_x(spark, sf)))
+    prof = pr.column_kind(pr.column_profile(fx.lineitem_x(spark, sf), stats=False))
     return prof.select("column", "kind")
 
 
@@ -200,7 +201,7 @@ def p13_column_kind(spark, sf):
           "SELECT \"column\", row_number() OVER (ORDER BY missing_pct DESC, position) AS display_order "
           "FROM p WHERE contains(lower(\"column\"), 'l_')")
 def p14_search_sort(spark, sf):
-    prof = pr.column_profile(fx.lineitem_x(spark, sf))
+    prof = pr.column_profile(fx.lineitem_x(spark, sf), stats=False)
     out = pr.search_sort(prof, "L_", "missing")
     return out.select("column", F.col("display_order").cast("long").alias("display_order"))
 
@@ -209,7 +210,7 @@ def p14_search_sort(spark, sf):
           "SELECT \"column\", unique_count <= 1 AS is_constant, "
           "n_rows > 1 AND unique_count >= n_rows AS all_unique FROM p")
 def p15_badges(spark, sf):
-    return pr.badges(pr.column_profile(fx.lineitem_x(spark, sf))).select("column", "is_constant", "all_unique")
+    return pr.badges(pr.column_profile(fx.lineitem_x(spark, sf), stats=False)).select("column", "is_constant", "all_unique")
 
 
 def _glyph(c: str) -> str:
@@ -240,7 +241,7 @@ def p17_tones(spark, sf):
 
 @register("p18_context_records")
 def p18_context_records(spark, sf):
-    return pr.context_records(_profile(fx.lineitem_x(spark, sf)))
+    return pr.context_records(pr.semantic_types(pr.column_profile(fx.lineitem_x(spark, sf))))
 
 
 def flagship(spark, sf):

@@ -177,7 +177,7 @@ def a02_severity(spark, sf):
 
 @register("a03_plan")
 def a03_plan(spark, sf):
-    prof = pr.semantic_types(pr.column_profile(fx.documents_labels(spark, sf)))
+    prof = pr.semantic_types(pr.column_profile(fx.documents_labels(spark, sf), stats=False))
     t = pr.propose_target(prof).first()  # one row
     plan = an.build_plan(t["problem_type"])
     return spark.createDataFrame([(i, s, t["target_column"], t["problem_type"]) for i, s in enumerate(plan)],
