@@ -8,7 +8,6 @@ from tablelens.operators import cluster as cl
 from tablelens.plans import fixtures as fx
 from tablelens.plans.catalog import register
 from tablelens.plans.q_profile import LX
-from tablelens.plans.sqlgen import qn
 
 LN = fx.LN_COLUMNS
 EMB = fx.EMB_FEATURES

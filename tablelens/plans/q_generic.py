@@ -8,7 +8,7 @@ from tablelens.operators import generic as ge
 from tablelens.plans import fixtures as fx
 from tablelens.plans.catalog import register
 from tablelens.plans.q_profile import LX, LX_FAMILIES
-from tablelens.plans.sqlgen import d, freq_sql, numeric_stats_sql, profile_cte, qn
+from tablelens.plans.sqlgen import d, freq_sql, profile_cte, qn
 
 OX_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'x' AS o_const FROM orders"
 OX_FAMILIES = [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "string"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablelens.functions import freq as fq
 from tablelens.operators import profile as pr
 from tablelens.plans import fixtures as fx
 from tablelens.plans.catalog import register
