@@ -240,3 +240,24 @@ def a05_run_report_clustering(spark, sf):
     """A full run without a target on the first embedding dimensions (clustering plan)."""
     rep = an.analyze(fx.embeddings4(spark, sf).drop("vec_id", "label"))
     return rep.findings
+
+
+@register("s13_input_validation")
+def s13_input_validation(spark, sf):
+    """An empty export of orders (header only) and a non-JSON file are both rejected with
+    one error type; the orders export with rows loads."""
+    out = []
+    empty = _scratch(spark, "orders-empty") + ".csv"
+    fx.read_table(spark, sf, "orders").where(F.lit(False)).write.option("header", True).csv(empty)
+    full = _scratch(spark, "orders-full") + ".csv"
+    fx.read_table(spark, sf, "orders").write.option("header", True).csv(full)
+    bad = _scratch(spark, "orders-bad") + ".json"
+    fx.read_table(spark, sf, "orders").select(F.concat(F.lit("not json "), F.col("o_orderkey").cast("string"))
+                                              .alias("value")).write.text(bad)
+    for name, path in (("empty_csv", empty), ("full_csv", full), ("garbage_json", bad)):
+        try:
+            info = ld.load_dataset(spark, path, sample_threshold=None)
+            out.append((name, "loaded", int(info.total_rows)))
+        except ld.LoadError as exc:
+            out.append((name, "rejected: " + type(exc).__name__, 0))
+    return spark.createDataFrame(out, "input string, outcome string, rows long")
