@@ -95,7 +95,8 @@ BUCKET_VALUES = 2_000_000   # distinct values per rank bucket (one window task e
 SMALL_DISTINCT = 200_000    # below this (HLL estimate) one window over the distinct values
 
 
-def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy: int | None = None,
+                  ndv: int | None = None) -> DataFrame:
     """``(value, avg_rank)`` for the non-null values of one column (ties get the mean rank).
 
     Distributed prefix sums: distinct values with counts, bucketed by an
@@ -107,7 +108,8 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
     x = q(col).cast("double")
     vt = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
     if buckets is None:
-        ndv = df.agg(F.approx_count_distinct(x)).first()[0] or 0  # one number
+        if ndv is None:
+            ndv = df.agg(F.approx_count_distinct(x)).first()[0] or 0  # one number
         if ndv <= SMALL_DISTINCT:
             # checked size: the distinct table is small, one window over it is bounded
             w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -131,9 +133,10 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
 def spearman_pairs(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFrame:
     """Spearman matrix on complete rows: Pearson on average ranks."""
     data = df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    est = data.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()  # one row
     ranked = data
-    for c in cols:
-        rk = average_ranks(data, c, buckets).withColumnRenamed("v", f"__v_{c}").withColumnRenamed(
+    for i, c in enumerate(cols):
+        rk = average_ranks(data, c, buckets, ndv=est[f"d{i}"] or 0).withColumnRenamed("v", f"__v_{c}").withColumnRenamed(
             "avg_rank", f"__r_{c}")
         ranked = ranked.join(rk, ranked[c] == rk[f"__v_{c}"])
     ranked = ranked.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
