@@ -25,6 +25,11 @@ from tablelens.functions.fused import agg_one_row
 QUANTILES = (0.25, 0.5, 0.75)
 
 
+def finite(x: Column) -> Column:
+    """A statistic that is infinite or NaN is dropped (null), as the profile does."""
+    return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
+
+
 def sample_skew(x: Column) -> Column:
     n = F.count(x).cast("double")
     g1 = F.skewness(x)
@@ -113,11 +118,11 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int
             p = f"{c}\u0001"
             rows.append(F.struct(
                 F.lit(c).alias("column"), F.lit(start + i).alias("position"),
-                F.col(f"`{p}n`").alias("n"), F.col(f"`{p}mean`").alias("mean"),
-                F.col(f"`{p}std`").alias("std"), F.col(f"`{p}min`").alias("min"),
-                qcols[c][0].alias("q25"), qcols[c][1].alias("q50"), qcols[c][2].alias("q75"),
-                F.col(f"`{p}max`").alias("max"), F.col(f"`{p}skew`").alias("skew"),
-                F.col(f"`{p}kurtosis`").alias("kurtosis")))
+                F.col(f"`{p}n`").alias("n"), finite(F.col(f"`{p}mean`")).alias("mean"),
+                finite(F.col(f"`{p}std`")).alias("std"), finite(F.col(f"`{p}min`")).alias("min"),
+                finite(qcols[c][0]).alias("q25"), finite(qcols[c][1]).alias("q50"),
+                finite(qcols[c][2]).alias("q75"), finite(F.col(f"`{p}max`")).alias("max"),
+                finite(F.col(f"`{p}skew`")).alias("skew"), finite(F.col(f"`{p}kurtosis`")).alias("kurtosis")))
         parts.append(one.select(F.inline(F.array(*rows))))
     out = parts[0]
     for part in parts[1:]:

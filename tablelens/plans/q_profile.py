@@ -220,8 +220,7 @@ def _glyph(c: str) -> str:
           f"SELECT \"column\", {_glyph('q25')} AS pos_q1, {_glyph('q50')} AS pos_median, "
           f"{_glyph('q75')} AS pos_q3 FROM s")
 def p16_range_glyph(spark, sf):
-    prof = pr.column_profile(fx.lineitem_x(spark, sf))
-    g = pr.range_glyph(prof)
+    g = pr.range_glyph(pr.numeric_stats(fx.lineitem_x(spark, sf)))
     return g.select("column", *[F.round(c, 6).alias(c) for c in ("pos_q1", "pos_median", "pos_q3")])
 
 
