@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions import freq as fq
+from tablelens.functions import moments as mo
 from tablelens.functions.columns import FLOAT_TYPES, family, q
 from tablelens.functions.sampling import SEED, flag_lowest_k, lowest_k, split_by_value, md5_key
 
@@ -99,26 +100,30 @@ def high_cardinality(df: DataFrame, cat_cols: list[str], threshold: int, freq: D
 
 def fit_fill_values(train: DataFrame, num_cols: list[str], cat_cols: list[str],
                     numeric_impute: str = "median") -> dict[str, object]:
-    """Fill values fitted on the train rows (one aggregate).
+    """Fill values fitted on the train rows.
 
-    Numeric: exact median (or mean / most frequent). Categorical: most frequent,
-    the smallest value on ties (``mode(deterministic=True)``).
+    Numeric: exact median (bounded-memory quantiles, see ``moments.quantile_row``),
+    mean, or most frequent. Categorical: most frequent with the smallest value on
+    ties, read from the frequency table's top-1 (a partial top-k, no per-value
+    map in one task).
     """
-    exprs = []
-    for i, c in enumerate(num_cols):
-        x = q(c).cast("double")
-        e = {"median": F.median(x), "mean": F.avg(x), "most_frequent": F.mode(x, True)}[numeric_impute]
-        exprs.append(e.alias(f"n{i}"))
-    for i, c in enumerate(cat_cols):
-        exprs.append(F.mode(q(c).cast("string"), True).alias(f"c{i}"))
-    if not exprs:
-        return {}
-    row = train.agg(*exprs).first()  # one row
     out: dict[str, object] = {}
-    for i, c in enumerate(num_cols):
-        out[c] = row[f"n{i}"]
-    for i, c in enumerate(cat_cols):
-        out[c] = row[f"c{i}"]
+    if num_cols:
+        if numeric_impute == "median":
+            row = mo.quantile_row(train, num_cols, (0.5,)).first()  # one row
+            for i, c in enumerate(num_cols):
+                out[c] = row[f"q{i}"][0] if row[f"q{i}"] else None
+        else:
+            e = {"mean": F.avg, "most_frequent": lambda x: F.mode(x, True)}[numeric_impute]
+            row = train.agg(*[e(q(c).cast("double")).alias(f"n{i}") for i, c in enumerate(num_cols)]).first()
+            for i, c in enumerate(num_cols):
+                out[c] = row[f"n{i}"]
+    if cat_cols:
+        casted = train.select(*[q(c).cast("string").alias(c) for c in cat_cols])
+        top = fq.top_values(fq.frequency_table(casted, cat_cols), 1).select("column", "value").collect()  # <= 1 per column
+        found = {r["column"]: r["value"] for r in top}
+        for c in cat_cols:
+            out[c] = found.get(c)
     return out
 
 

@@ -97,8 +97,7 @@ def chi_square(df: DataFrame, target: str, features: list[str]) -> DataFrame:
 def quantile_bins(df: DataFrame, cols: list[str], bins: int = 10, exact: bool = True) -> DataFrame:
     """Adds ``<col>__bin`` = number of the ``bins``-quantile edges strictly below the value."""
     probs = [i / bins for i in range(1, bins)]
-    edges = df.agg(*[mo.quantiles(q(c).cast("double"), probs, exact=exact).alias(f"__e{i}")
-                     for i, c in enumerate(cols)])
+    edges = mo.quantile_row(df, cols, probs, exact=exact, prefix="__e")
     out = df.crossJoin(F.broadcast(edges))  # one-row side
     for i, c in enumerate(cols):
         x = q(c).cast("double")
@@ -110,10 +109,10 @@ def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """Numeric imputation with the exact median (one fused aggregate, then coalesce)."""
     if not cols:
         return df
-    med = df.agg(*[F.median(q(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(cols)])
+    med = mo.quantile_row(df, cols, (0.5,), prefix="__m")
     out = df.crossJoin(F.broadcast(med))  # one-row side
     for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(q(c).cast("double"), F.col(f"__m{i}")))
+        out = out.withColumn(c, F.coalesce(q(c).cast("double"), F.col(f"__m{i}")[0]))
     return out.drop(*[f"__m{i}" for i in range(len(cols))])
 
 
