@@ -148,12 +148,19 @@ def binned_mi(df: DataFrame, target: str, features: list[str], bins: int = 10,
         F.greatest(F.lit(0.0), F.sum(term)).alias("mutual_info"))
 
 
-def boxplot_by_class(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """Quartiles and range of each feature per class (for the top features by F)."""
+def boxplot_by_class(df: DataFrame, target: str, features: list[str], exact: bool | None = None) -> DataFrame:
+    """Quartiles and range of each feature per class (for the top features by F).
+
+    Exact quartiles keep one map of distinct values per (feature, class); above
+    ``moments.SELECT_METHOD_ROWS`` rows (``exact=None``) the bounded sketch
+    ``percentile_approx`` is used instead, since these are box-plot numbers.
+    """
+    if exact is None:
+        exact = df.count() <= mo.SELECT_METHOD_ROWS
     lp = _long_pairs(df, target, features)
     return lp.groupBy(F.col("feature").alias("column"), F.col("y").alias("class")).agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("min"),
-        mo.quantiles(F.col("x")).alias("qs"), F.max("x").alias("max")).select(
+        mo.quantiles(F.col("x"), exact=exact).alias("qs"), F.max("x").alias("max")).select(
         "column", "class", "n", "min", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
         F.col("qs")[2].alias("q3"), "max")
 
