@@ -31,3 +31,13 @@ def test_two_dates_is_irregular(spark):
                               "ts timestamp_ntz, y double")
     assert se.infer_frequency(s).first()["inferred_freq"] is None
     assert se.range_points(s).first()["n_points"] == 2
+
+
+def test_nested_columns_profile(spark):
+    rows = [({"k": 1}, [1, 2], "a"), ({"k": 1}, [1, 2], "a"), ({"k": 2}, [3], "b")]
+    df = spark.createDataFrame(rows, "m map<string,int>, arr array<int>, s string")
+    d = {r["column"]: r["unique_count"] for r in pr.distinct_counts(df).collect()}
+    assert d == {"m": 2, "arr": 2, "s": 2}
+    assert pr.duplicates(df).first()["duplicate_rows"] == 1
+    prof = pr.semantic_types(pr.column_profile(df))
+    assert prof.count() == 3
