@@ -41,3 +41,14 @@ def test_nested_columns_profile(spark):
     assert pr.duplicates(df).first()["duplicate_rows"] == 1
     prof = pr.semantic_types(pr.column_profile(df))
     assert prof.count() == 3
+
+
+def test_number_formatting_matches_python(spark):
+    from pyspark.sql import functions as F
+    from tablelens.plans import findings as fi
+    vals = [12.25, 0.125, 3.0, 99.95, 1234567.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(fi.f1(F.col("x"))).collect()]
+    assert got == [f"{v:.1f}" for v in vals]
+    got = [r[0] for r in df.select(fi.thousands(F.col("x"))).collect()]
+    assert got == [f"{int(v):,}" for v in vals]
