@@ -52,3 +52,16 @@ def test_number_formatting_matches_python(spark):
     assert got == [f"{v:.1f}" for v in vals]
     got = [r[0] for r in df.select(fi.thousands(F.col("x"))).collect()]
     assert got == [f"{int(v):,}" for v in vals]
+
+
+def test_pca_95_not_reached_is_null(spark):
+    """With 12 independent columns, 10 components cannot reach 95 %: the count is null."""
+    import random
+    from tablelens.operators import cluster as cl
+    rnd = random.Random(30)
+    cols = [f"c{i}" for i in range(12)]
+    rows = [tuple(rnd.gauss(0, 1) for _ in cols) for _ in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    p = cl.pca_variance(df, cols).collect()
+    assert len(p) == 10 and p[0]["n_components_for_95pct"] is None
+    assert p[-1]["cumulative"] < 0.95
