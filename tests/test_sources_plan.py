@@ -83,3 +83,13 @@ def test_severity_buckets(spark):
     assert sev == ["info", "warning", "warning", "critical"]
     texts = [r["text"] for r in fi.missing_findings(df.limit(1)).collect()]
     assert texts == ["No missing values were found in any column."]
+
+
+def test_sniff_pipe_and_tab_and_type_expr(spark, tmp_path):
+    from pyspark.sql import functions as F
+    body = "a|b|c\n1|2|3\n4|5|6\n"
+    assert ld.sniff_delimiter(spark, _write(tmp_path / "p.csv", body)) == "|"
+    assert ld.sniff_delimiter(spark, _write(tmp_path / "t.csv", body.replace("|", "\t"))) == "\t"
+    names = spark.createDataFrame([("x.PARQUET",), ("y.ndjson",), ("z.txt",)], "name string")
+    got = [r[0] for r in names.select(ld.file_type_expr(F.col("name"))).collect()]
+    assert got == ["parquet", "json_lines", None]
