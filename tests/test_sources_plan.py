@@ -93,3 +93,16 @@ def test_sniff_pipe_and_tab_and_type_expr(spark, tmp_path):
     names = spark.createDataFrame([("x.PARQUET",), ("y.ndjson",), ("z.txt",)], "name string")
     got = [r[0] for r in names.select(ld.file_type_expr(F.col("name"))).collect()]
     assert got == ["parquet", "json_lines", None]
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    from tablelens.sources import sinks
+    prof = spark.createDataFrame([("a", 0, 1.0)], "column string, position int, missing_pct double")
+    sinks.store_profile(prof, str(tmp_path / "prof"), "t1")
+    sinks.store_profile(prof, str(tmp_path / "prof"), "t2")
+    sinks.store_profile(prof, str(tmp_path / "prof"), "t1")  # overwrite only t1
+    assert spark.read.parquet(str(tmp_path / "prof")).count() == 2
+    f = fi.simple_findings("overview", ["one", "two"])
+    sinks.append_findings(f, str(tmp_path / "fnd"), "r1")
+    sinks.append_findings(f, str(tmp_path / "fnd"), "r2")
+    assert spark.read.parquet(str(tmp_path / "fnd")).count() == 4
