@@ -25,40 +25,61 @@ _DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tablelens") -> SparkSession:
-    """Return the active session, or build a local one for tests and benches."""
+    """Return the active session, or build one; settings given from outside are left alone.
+
+    A master, driver memory or checkpoint folder that spark-submit or the defaults file
+    has set wins. Without a master a local one is taken, and only a local master
+    gets a scratch checkpoint folder.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    from pyspark import SparkConf
+    given = SparkConf()
     builder = SparkSession.builder.appName(app_name)
-    builder = builder.master(master or os.environ.get("TABLELENS_MASTER", "local[8]"))
-    for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
-    builder = builder.config("spark.driver.memory", os.environ.get("TABLELENS_DRIVER_MEM", "16g"))
+    if master or not given.contains("spark.master"):
+        builder = builder.master(master or os.environ.get("TABLELENS_MASTER", "local[8]"))
+    for key, value in {**_DEFAULTS, "spark.driver.memory": os.environ.get("TABLELENS_DRIVER_MEM", "16g")}.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    # A locally built session has no cluster checkpoint folder: make one.
-    builder = builder.config("spark.checkpoint.dir",
-                             tempfile.mkdtemp(prefix="tablelens-ckpt-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once an application), so that they need no installation."""
+    import shutil
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tablelens-code-")
+    archive = shutil.make_archive(os.path.join(folder, "tablelens"), "zip", os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    Where it is unset, a local master gets a scratch folder; any other master raises,
+    because executors couldn't see each other's files.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    current = sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
-        # Unset: only in local tests. A cluster always names a shared folder.
-        current = tempfile.mkdtemp(prefix="tablelens-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
