@@ -50,6 +50,33 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (names are case-insensitive)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def unite(label, a, b):
+    """Join the sets of the index pairs (a, b) in a numpy array of smallest-member labels; returns the labels."""
+    import numpy as np
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(la, lb)[apart], np.minimum(la, lb)[apart])
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): smallest id reachable over undirected ``edges`` (a, b), for ids that have an edge.
 
@@ -63,9 +90,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        # large star keeps the edge of each node to its smallest neighbour through the smaller side
-        keep = low.where("m < a").select("a", F.col("m").alias("b"))
-        star = large.unionByName(keep).distinct()
+        star = large.distinct()
         low2 = star.groupBy("a").agg(F.min("b").alias("m"))
         small = (star.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low2.select("a", F.col("m").alias("b"))))

@@ -153,7 +153,7 @@ def encoded(spark: SparkSession, text: Column, model_path: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = Encoder(Transducer(tables.value))
+        enc = Encoder(_tokens.machine(tables.value))
         for s in batches:
             yield pd.Series(enc.encode(s.fillna("").tolist()), dtype=object)
 

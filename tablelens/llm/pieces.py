@@ -121,6 +121,7 @@ class PieceTables:
     """Arrays compiled from a merge vocabulary: trie, pair table and splits. A few MB, bounded by the vocabulary."""
 
     def __init__(self, pieces: list[tuple[str, float, int]]):
+        self.key = hash(tuple(pieces))
         normal = [(p, s, i) for i, (p, s, k) in enumerate(pieces) if k in (NORMAL, USER)]
         if any(k in (USER, UNUSED) for _, _, k in pieces):
             raise ValueError("user-defined and unused pieces are not supported")
@@ -137,6 +138,7 @@ class PieceTables:
         self.char_of = np.zeros(0x110000, np.int16)                     # 0: no piece
         for k, c in enumerate(chars):
             self.char_of[ord(c)] = k + 1
+        self.space = int(self.char_of[ord(SPACE)])
         self.byte_ids = np.full(256, -1, np.int32)
         for i, (p, _, k) in enumerate(pieces):
             if k == BYTE:
@@ -216,7 +218,7 @@ class PieceTables:
 class Transducer:
     """The automaton over one process's texts. State 0: start of a text."""
 
-    def __init__(self, tables: PieceTables, max_states: int = 400_000):
+    def __init__(self, tables: PieceTables, max_states: int = 300_000):
         self.t, self.max_states = tables, max_states
         self.reset()
 

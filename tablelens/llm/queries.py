@@ -1,4 +1,4 @@
 """The operators' registered queries and oracle SQL."""
 
-from tablelens.llm import encode, tokens  # noqa: F401
+from tablelens.llm import encode, mixing, simhash, tokens  # noqa: F401
 from tablelens.llm.common import ORACLE, QUERIES  # noqa: F401

@@ -1,12 +1,14 @@
 """Token counts by a compiled transducer (4).
 
-Each text is cut into chunks of ``CHUNK`` characters and all chunks of a batch are
-read side by side, one character a step. A chunk's entry state isn't known yet,
-so its map is first evaluated at the state that the ``LOOKBACK`` characters before
-it lead to. The maps entry -> (exit, tokens) are then composed in order: where a
-chunk's entry isn't its predecessor's exit, the map is evaluated again at that
-exit. When all join, a prefix scan by doubling adds up the counts. So the counts
-are exact whatever the guess; the guess only decides how often a chunk is read.
+Each text is cut into chunks of about ``CHUNK`` characters and all chunks of a batch
+are read side by side, one character a step. A chunk that opens at a word border (a
+space mark after another character, which no piece spans) has one map for all entry
+states. Elsewhere the entry state isn't known yet, so the map is first evaluated at
+the state that the ``LOOKBACK`` characters before it lead to. The maps entry ->
+(exit, tokens) are then composed in order: where a chunk's entry isn't its
+predecessor's exit, the map is evaluated again at that exit. When all join, a prefix
+scan by doubling adds up the counts. So the counts are exact whatever the guess; the
+guess only decides how often a chunk is read.
 
 Nothing is shuffled: a text never leaves its row. Texts above ``BLOCK``
 characters pass through in blocks that hand on the state, so memory is bounded by
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import register, table
 from tablelens.llm.pieces import SPACE, PieceTables, Transducer, code_points, read_model, utf8_extra
 
-CHUNK, LOOKBACK, BLOCK = 256, 32, 1_000_000
+CHUNK, LOOKBACK, BLOCK = 64, 32, 4_000_000
 TOKEN_LIMIT = 4096
 
 
@@ -69,11 +71,22 @@ def read_texts(tr: Transducer, chars: np.ndarray, offset: np.ndarray, entry: np.
     text = np.repeat(np.arange(n_texts), n_chunks)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
     start = offset[text] + nth * CHUNK
-    size = np.minimum(CHUNK, offset[text + 1] - start)
-    path = np.zeros(len(chars), np.int32) if keep_path else None
+    stop = offset[text + 1]
     first = nth == 0
-    enter = entry[text].astype(np.int64)
-    later = np.flatnonzero(~first)
+    free = np.zeros(len(text), bool)                     # opens at a word border: entered as at a text's start
+    mark = chars == tr.t.space
+    border = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1 if tr.t.spaced else np.zeros(0, np.int64)
+    if len(border):
+        at = np.searchsorted(border, start)
+        near = border[np.minimum(at, len(border) - 1)]
+        free = ~first & (at < len(border)) & (near < np.minimum(start + CHUNK, stop))
+        start = np.where(free, near, start)
+    size = np.append(start[1:], 0) - start
+    closing = np.append(first[1:], True)
+    size[closing] = (stop - start)[closing]
+    path = np.zeros(len(chars), np.int32) if keep_path else None
+    enter = np.where(first, entry[text], 0).astype(np.int64)
+    later = np.flatnonzero(~first & ~free)
     if len(later):
         back = np.full(len(later), LOOKBACK, np.int64)
         enter[later], _ = _run(tr, chars, start[later] - LOOKBACK, back, np.zeros(len(later), np.int64), None)
@@ -127,6 +140,17 @@ def count_tokens(tr: Transducer, texts: list[str]) -> np.ndarray:
     return out
 
 
+_MACHINES: dict[int, Transducer] = {}
+
+
+def machine(tables: PieceTables) -> Transducer:
+    """This process's automaton for the tables: later tasks of the same worker start with what earlier ones built."""
+    if tables.key not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[tables.key] = Transducer(tables)
+    return _MACHINES[tables.key]
+
+
 def compile_tables(model_path: str) -> PieceTables:
     """The transducer's fixed tables, compiled on the driver (a few MB, bounded by the vocabulary)."""
     with open(model_path, "rb") as f:
@@ -139,7 +163,7 @@ def token_count(spark: SparkSession, text: Column, model_path: str) -> Column:
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tr = Transducer(tables.value)
+        tr = machine(tables.value)
         for s in batches:
             yield pd.Series(count_tokens(tr, s.fillna("").tolist()), dtype="int64")
 
