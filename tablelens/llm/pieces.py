@@ -223,17 +223,20 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        k = self.t.max_len + 1
-        self.width = k
+        self.width = 4                                   # entries a state may hold: grows, at most max_len + 1
         self.n_states = 1
-        self.cols = np.full((1024, k, 3), -1, np.int32)  # (node, left, relative tokens)
+        self.cols = np.full((1024, 4, 3), -1, np.int32)  # (node, left, relative tokens)
         self.cols[0, 0] = (0, -1, 0)
         self.last = np.full(1024, -1, np.int32)          # rank of the last token
         self.single = np.zeros(1024, bool)               # nothing spans this point
         self.single[0] = True
-        self.known = {self.cols[0].tobytes() + b"\xff\xff\xff\xff": 0}
+        self.known = {self._name(self.cols[0], 1, -1): 0}
         self.moves = LongMap(16, 2)                      # state * chars + char -> (state, tokens)
 
+    @staticmethod
+    def _name(col: np.ndarray, entries: int, last: int) -> bytes:
+        return col[:entries].tobytes() + int(last).to_bytes(4, "little", signed=True)
+
     def trim(self) -> None:
         """Between batches only: forget the automaton when it has grown past its bound."""
         if self.n_states > self.max_states:
@@ -256,7 +259,7 @@ class Transducer:
             self.moves.put(part, np.stack([nxt, emit], 1))
 
     def _compute(self, state: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        t, k, m = self.t, self.width, len(state)
+        t, m = self.t, len(state)
         col = self.cols[state]
         node, left, rel = col[:, :, 0], col[:, :, 1], col[:, :, 2]
         live = node >= 0
@@ -277,20 +280,26 @@ class Transducer:
             raise ValueError("no compatible piece: the vocabulary is not a merge vocabulary")
         keep = t.inner[to]
         r, c, to, lf, rl = r[keep], c[keep], to[keep], lf[keep], rl[keep]
-        new = np.full((m, k, 3), -1, np.int32)
         slot = np.arange(len(r)) - np.searchsorted(r, r) + 1   # entry 0 is the fresh one
+        if len(slot) and int(slot.max()) >= self.width:
+            pad = np.full((len(self.cols), int(slot.max()) + 1 - self.width, 3), -1, np.int32)
+            self.cols = np.concatenate([self.cols, pad], 1)
+            self.width = self.cols.shape[1]
+        k = self.width
+        new = np.full((m, k, 3), -1, np.int32)
         new[r, slot, 0], new[r, slot, 1], new[r, slot, 2] = to, lf, rl - emit[r]
         new[:, 0, 0], new[:, 0, 1], new[:, 0, 2] = 0, np.maximum(last, -1), 0
         alone = new[:, 1, 0] < 0
         nxt = np.empty(m, np.int32)
-        rows, tails = new.reshape(m, -1), last.astype("<i4")
+        entries = np.ones(m, np.int64)
+        np.maximum.at(entries, r, slot + 1)
         while self.n_states + m > len(self.cols):
-            more = len(self.cols)
+            more = len(self.cols) // 2
             self.cols = np.concatenate([self.cols, np.full((more, k, 3), -1, np.int32)])
             self.last = np.concatenate([self.last, np.full(more, -1, np.int32)])
             self.single = np.concatenate([self.single, np.zeros(more, bool)])
         for i in range(m):
-            key = rows[i].tobytes() + tails[i].tobytes()
+            key = self._name(new[i], entries[i], last[i])
             s = self.known.get(key)
             if s is None:
                 s = self.n_states
