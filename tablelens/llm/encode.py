@@ -26,6 +26,10 @@ from tablelens.llm.common import register, table
 from tablelens.llm.pieces import SPACE, Transducer, code_points, utf8_extra
 
 
+#: texts encoded and decoded together
+SLICE = 500
+
+
 class Encoder:
     def __init__(self, tr: Transducer):
         if not tr.t.byte_fallback:
@@ -180,13 +184,32 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             .withColumn("n_pieces", F.size("piece_ids").cast("long")))
 
 
+def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_pieces, piece_ids, round_trip): ids of each text and whether decoding them gives it back.
+
+    One row per row; null text counts as empty. Both directions run in one Python worker,
+    ``SLICE`` texts at a time.
+    """
+    tables = docs.sparkSession.sparkContext.broadcast((_tokens.compile_tables(model_path), piece_bytes(model_path)))
+
+    @F.pandas_udf("piece_ids array<int>, round_trip boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled, of = tables.value
+        enc = Encoder(_tokens.machine(compiled))
+        for s in batches:
+            texts, ids, back = s.fillna("").tolist(), [], []
+            for lo in range(0, len(texts), SLICE):
+                part = enc.encode(texts[lo:lo + SLICE])
+                back += [decode_ids(i.tolist(), of) == t for i, t in zip(part, texts[lo:lo + SLICE])]
+                ids += part
+            yield pd.DataFrame({"piece_ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(back, dtype=bool)})
+
+    out = docs.select(F.col(id_col), both(F.col(text_col)).alias("both"))
+    return out.select(id_col, F.size("both.piece_ids").cast("long").alias("n_pieces"), "both.piece_ids", "both.round_trip")
+
+
 @register("op6_encode_decode")
 def op6_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document and whether decoding them gives the text back (null text: as empty)."""
+    """Ids of every document and whether decoding them gives the text back."""
     import public_tokenizers
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = encode_documents(docs, path)
-    back = decoded(spark, F.col("piece_ids"), path)
-    return out.select("doc_id", "n_pieces", "piece_ids",
-                      (back == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import register, table
 from tablelens.llm.pieces import SPACE, PieceTables, Transducer, code_points, read_model, utf8_extra
 
-CHUNK, LOOKBACK, BLOCK = 64, 32, 2_000_000
+CHUNK, LOOKBACK, BLOCK = 64, 32, 1_000_000
 TOKEN_LIMIT = 4096
 
 
