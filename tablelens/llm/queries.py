@@ -1,4 +1,4 @@
 """The operators' registered queries and oracle SQL."""
 
-from tablelens.llm import ann, ctw, encode, hnsw, mixing, simhash, tokens, toxicity  # noqa: F401
+from tablelens.llm import ann, ctw, encode, hnsw, mixing, simhash, substring, tokens, toxicity  # noqa: F401
 from tablelens.llm.common import ORACLE, QUERIES  # noqa: F401
