@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from tablelens.llm.pieces import SPACE, Transducer, code_points, utf8_extra
 
 
 #: texts encoded and decoded together
-SLICE = 500
+SLICE = 1000
 
 
 class Encoder:
@@ -151,15 +152,26 @@ def decode_ids(ids, of: list[bytes]) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
 
 
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    """One Arrow list a text, without Python objects for the ids."""
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    for lo in range(0, len(texts), SLICE):
+        yield [t or "" for t in texts.slice(lo, SLICE).to_pylist()]
+
+
 def encoded(spark: SparkSession, text: Column, model_path: str) -> Column:
     """Ids (array<int>) of a text column; null and empty texts have no ids."""
     tables = spark.sparkContext.broadcast(_tokens.compile_tables(model_path))
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(_tokens.machine(tables.value))
-        for s in batches:
-            yield pd.Series(enc.encode(s.fillna("").tolist()), dtype=object)
+        for texts in batches:
+            yield _id_lists([i for part in _slices(texts) for i in enc.encode(part)])
 
     return ids_of(text)
 
@@ -192,17 +204,17 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """
     tables = docs.sparkSession.sparkContext.broadcast((_tokens.compile_tables(model_path), piece_bytes(model_path)))
 
-    @F.pandas_udf("piece_ids array<int>, round_trip boolean")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("piece_ids array<int>, round_trip boolean")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compiled, of = tables.value
         enc = Encoder(_tokens.machine(compiled))
-        for s in batches:
-            texts, ids, back = s.fillna("").tolist(), [], []
-            for lo in range(0, len(texts), SLICE):
-                part = enc.encode(texts[lo:lo + SLICE])
-                back += [decode_ids(i.tolist(), of) == t for i, t in zip(part, texts[lo:lo + SLICE])]
-                ids += part
-            yield pd.DataFrame({"piece_ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(back, dtype=bool)})
+        for texts in batches:
+            ids, back = [], []
+            for part in _slices(texts):
+                some = enc.encode(part)
+                back += [decode_ids(i.tolist(), of) == t for i, t in zip(some, part)]
+                ids += some
+            yield pa.StructArray.from_arrays([_id_lists(ids), pa.array(back, pa.bool_())], names=["piece_ids", "round_trip"])
 
     out = docs.select(F.col(id_col), both(F.col(text_col)).alias("both"))
     return out.select(id_col, F.size("both.piece_ids").cast("long").alias("n_pieces"), "both.piece_ids", "both.round_trip")
