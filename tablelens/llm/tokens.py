@@ -69,6 +69,8 @@ def read_texts(tr: Transducer, chars: np.ndarray, offset: np.ndarray, entry: np.
     sizes = np.diff(offset)
     n_chunks = (sizes + CHUNK - 1) // CHUNK
     text = np.repeat(np.arange(n_texts), n_chunks)
+    if not len(text):
+        return entry.astype(np.int64), np.zeros(n_texts, np.int64), np.zeros(0, np.int32) if keep_path else None
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
     start = offset[text] + nth * CHUNK
     stop = offset[text + 1]
