@@ -19,7 +19,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.columns import q
+from tablelens.functions.columns import is_float, q
 from tablelens.functions.fused import agg_one_row
 
 QUANTILES = (0.25, 0.5, 0.75)
@@ -46,24 +46,20 @@ def sample_kurtosis(x: Column) -> Column:
             .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)))
 
 
-def quantiles(x: Column, probs: Iterable[float] = QUANTILES, exact: bool = True,
-              accuracy: int = 100000) -> Column:
-    """Linear-interpolated quantiles (pandas default) as an array column.
-
-    ``exact`` uses ``percentile``, whose buffer is a map of distinct value to
-    count, so it is bounded by the column's distinct count, not by rows.
-    ``exact=False`` uses the bounded-size sketch ``percentile_approx``.
-    """
-    probs = [float(p) for p in probs]
-    arr = F.array(*[F.lit(p) for p in probs])
-    if exact:
-        return F.percentile(x.cast("double"), arr)
+def quantiles(x: Column, probs: Iterable[float] = QUANTILES, accuracy: int = 100000) -> Column:
+    """Approximate quantiles (the bounded sketch ``percentile_approx``) as an array column."""
+    arr = F.array(*[F.lit(float(p)) for p in probs])
     return F.percentile_approx(x.cast("double"), arr, accuracy).cast("array<double>")
 
 
+def present(x: Column) -> Column:
+    """The value as a double; NaN counts as missing."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
 def moment_exprs(name: str) -> list[Column]:
     """Codegen-friendly aggregate expressions for one numeric column (prefixed names)."""
-    x = q(name).cast("double")
+    x = present(q(name))
     p = f"{name}\u0001"
     return [
         F.count(x).alias(p + "n"),
@@ -76,20 +72,11 @@ def moment_exprs(name: str) -> list[Column]:
     ]
 
 
-# Above this many rows the exact quantiles switch from ``percentile`` (a map of
-# distinct values per column) to the bounded bracket-and-select method.
-SELECT_METHOD_ROWS = 20_000_000
-
-
-def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int = 50,
-                  method: str = "auto") -> DataFrame:
+def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int = 50) -> DataFrame:
     """One row per numeric column: n, mean, std, min, q25, q50, q75, max, skew, kurtosis.
 
-    Moments come from one codegen aggregate; quantiles from a separate one
-    (an object-buffer aggregate would take the moments out of codegen).
-    ``method``: "percentile" (Spark's exact ``percentile``), "select"
-    (``exact_quantiles``, bounded memory) or "auto" (select above
-    ``SELECT_METHOD_ROWS`` rows). ``exact=False`` uses ``percentile_approx``.
+    Moments come from one codegen aggregate; quantiles from ``exact_quantiles``, the
+    same bounded method at every size (``exact=False``: one ``percentile_approx``).
     Wide tables are done in batches of ``batch`` columns per job.
     """
     spark = df.sparkSession
@@ -101,16 +88,13 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int
     for start in range(0, len(cols), batch):
         chunk = cols[start:start + batch]
         mom = agg_one_row(df, [moment_exprs(c) for c in chunk], 20)
-        use = method
-        if exact and method == "auto":
-            use = "select" if df.count() > SELECT_METHOD_ROWS else "percentile"
-        if exact and use == "select":
+        if exact:
             qv = exact_quantiles(df, chunk)
             qdf = spark.createDataFrame([tuple(x for c in chunk for x in qv[c])],
                                         ", ".join(f"`q{i}_{k}` double" for i in range(len(chunk)) for k in range(3)))
             qcols = {c: [F.col(f"`q{i}_{k}`") for k in range(3)] for i, c in enumerate(chunk)}
         else:
-            qdf = df.agg(*[quantiles(q(c).cast("double"), exact=exact).alias(f"qa{i}") for i, c in enumerate(chunk)])
+            qdf = df.agg(*[quantiles(present(q(c))).alias(f"qa{i}") for i, c in enumerate(chunk)])
             qcols = {c: [F.col(f"qa{i}")[k] for k in range(3)] for i, c in enumerate(chunk)}
         one = mom.crossJoin(qdf)  # one row by one row
         rows = []
@@ -138,7 +122,8 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return spark.createDataFrame([], "column string, position int, n_rows long, missing_count long")
     groups = [[F.count(F.lit(1)).alias("\u0001rows")]]
     for i, c in enumerate(cols):
-        groups.append([F.count_if(q(c).isNull()).alias(f"m{i}")])
+        gone = q(c).isNull() | F.isnan(q(c)) if is_float(df, c) else q(c).isNull()
+        groups.append([F.count_if(gone).alias(f"m{i}")])
     one = agg_one_row(df, groups, 1)
     rows = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                      F.col("`\u0001rows`").alias("n_rows"),
@@ -147,113 +132,106 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: Iterable[float] = QUANTILES,
+def exact_quantiles(df: DataFrame, cols: list[str] | dict[str, Column], probs: Iterable[float] = QUANTILES,
                     accuracy: int = 10000, max_bracket: int = 200_000,
-                    max_rounds: int = 8) -> dict[str, list[float | None]]:
+                    max_rounds: int = 20, nearest: bool = False) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles per column, with bounded memory at any scale.
 
-    The interpolated quantile at p needs the order statistics of rank
-    floor((n-1)p) and ceil((n-1)p). Pass 1 (one aggregate) counts the column
-    and asks the bounded-size sketch ``percentile_approx`` for values just
-    below and above p; pass 2 (one aggregate, codegen) counts the rows below
-    and inside each bracket, which verifies that both ranks fall inside (a
-    failed bracket is widened); pass 3 gathers only the bracket values (about
-    ``6 n / accuracy`` rows per quantile; when a bracket is larger than
-    ``max_bracket`` the sketch is re-run on the bracket rows alone) and picks
-    the two ranks. The result equals ``percentile`` exactly.
+    ``cols``: column names, or expressions by name. The interpolated quantile at p needs
+    the order statistics of rank floor((n-1)p) and ceil((n-1)p). One aggregate counts each
+    column and asks the bounded sketch ``percentile_approx`` for values just below and
+    above p. Each round then counts the rows below and inside every bracket, which
+    proves that both ranks lie inside (a failed bracket is widened):
+
+    * a bracket of one value is the answer, however many rows hold it;
+    * a bracket above ``max_bracket`` rows is sketched again on its own rows; when that
+      leaves it as it is, a few values hold nearly all of its rows;
+    * otherwise the bracket's distinct values are counted (map-side combined) and the
+      two ranks are picked from their running counts.
+
+    Equals ``percentile``; ``nearest`` takes the order statistic nearest to the position
+    instead. Null and NaN don't count. Raises if the rounds run out.
     """
     probs = [float(p) for p in probs]
     if not cols:
         return {}
-    xs = {c: q(c).cast("double") for c in cols}
+    xs = {c: present(x) for c, x in (
+        cols.items() if isinstance(cols, dict) else ((c, q(c)) for c in cols))}
     d = 3.0 / accuracy
     lo_p = [max(0.0, p - d) for p in probs]
     hi_p = [min(1.0, p + d) for p in probs]
-    one = df.agg(*[F.count(xs[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                 *[F.percentile_approx(xs[c], lo_p + hi_p, accuracy).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    # bracket[(col, j)] = [lo, hi, rank_lo, rank_hi]
-    out: dict[str, list[float | None]] = {}
-    brackets = {}
-    for i, c in enumerate(cols):
-        n = one[f"n{i}"]
-        if not n:
-            out[c] = [None] * len(probs)
-            continue
-        a = one[f"a{i}"]
-        for j, p in enumerate(probs):
-            pos = (n - 1) * p
+    one = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs.values())],
+                 *[F.percentile_approx(x, lo_p + hi_p, accuracy).alias(f"a{i}") for i, x in enumerate(xs.values())]).first()
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in xs}
+    brackets, stuck = {}, set()  # (column, quantile) -> [lo, hi, rank_lo, rank_hi, position]
+    for i, c in enumerate(xs):
+        n, a = one[f"n{i}"], one[f"a{i}"]
+        for j, p in enumerate(probs if n else []):
+            pos = float(round((n - 1) * p)) if nearest else (n - 1) * p
             lo = a[j] if lo_p[j] > 0 else float("-inf")
             hi = a[len(probs) + j] if hi_p[j] < 1 else float("inf")
             brackets[(c, j)] = [lo, hi, int(math.floor(pos)), int(math.ceil(pos)), pos]
+
+    def inside(key):
+        return (xs[key[0]] >= F.lit(brackets[key][0])) & (xs[key[0]] <= F.lit(brackets[key][1]))
+
     for _ in range(max_rounds):
         if not brackets:
-            break
+            return out
         keys = list(brackets)
-        counts = df.agg(*[e for k, (c, j) in enumerate(keys) for e in (
-            F.count_if(xs[c] < F.lit(brackets[(c, j)][0])).alias(f"b{k}"),
-            F.count_if((xs[c] >= F.lit(brackets[(c, j)][0])) & (xs[c] <= F.lit(brackets[(c, j)][1]))).alias(f"i{k}"))]).first()
-        widen, refine, ready = [], [], []
+        counts = df.agg(*[e for k, key in enumerate(keys) for e in (
+            F.count_if(xs[key[0]] < F.lit(brackets[key][0])).alias(f"b{k}"), F.count_if(inside(key)).alias(f"i{k}"))]).first()
+        refine, ready = [], []
         for k, key in enumerate(keys):
             lo, hi, r_lo, r_hi, _ = brackets[key]
-            below, inside = counts[f"b{k}"], counts[f"i{k}"]
-            if below > r_lo or below + inside <= r_hi:
-                widen.append(key)
-            elif inside > max_bracket:
-                refine.append((key, below, inside))
+            below, within = counts[f"b{k}"], counts[f"i{k}"]
+            if below > r_lo or below + within <= r_hi:
+                span = (hi - lo) if math.isfinite(hi - lo) and hi > lo else 1.0
+                brackets[key][0] = lo if below <= r_lo else lo - span
+                brackets[key][1] = hi if below + within > r_hi else hi + span
+                stuck.discard(key)
+            elif lo == hi:
+                out[key[0]][key[1]] = brackets.pop(key)[0]
+            elif within > max_bracket and key not in stuck:
+                refine.append((key, below, within))
             else:
                 ready.append((key, below))
         if ready:
-            # one pass tags the rows of every ready bracket; a window bounded by the bracket
-            # size picks the two needed order statistics, so the driver gets two numbers each
-            cand = F.array(*[F.when((xs[c] >= F.lit(brackets[(c, j)][0])) & (xs[c] <= F.lit(brackets[(c, j)][1])),
-                                    F.struct(F.lit(k).alias("k"), xs[c].alias("v")))
-                             for k, ((c, j), _) in enumerate(ready)])
-            want = F.create_map(*[x for k, ((c, j), below) in enumerate(ready)
-                                  for x in (F.lit(k), F.array(F.lit(brackets[(c, j)][2] - below + 1),
-                                                              F.lit(brackets[(c, j)][3] - below + 1)))])
-            tagged = df.select(F.explode(F.filter(cand, lambda t: t.isNotNull())).alias("t")).select("t.k", "t.v")
-            w = Window.partitionBy("k").orderBy("v")  # one bracket per partition, <= max_bracket rows
-            picked = (tagged.withColumn("rn", F.row_number().over(w))
-                      .where(F.array_contains(want[F.col("k")], F.col("rn"))).collect())  # <= 2 rows per bracket
-            got: dict[int, dict[int, float]] = {}
-            for r in picked:
-                got.setdefault(r["k"], {})[r["rn"]] = r["v"]
-            for k, ((c, j), below) in enumerate(ready):
-                lo, hi, r_lo, r_hi, pos = brackets.pop((c, j))
-                x_lo, x_hi = got[k][r_lo - below + 1], got[k][r_hi - below + 1]
-                out.setdefault(c, [None] * len(probs))[j] = (
-                    x_lo if r_lo == r_hi else (r_hi - pos) * x_lo + (pos - r_lo) * x_hi)
-        for key in widen:
-            lo, hi = brackets[key][0], brackets[key][1]
-            span = (hi - lo) if math.isfinite(hi - lo) and hi > lo else 1.0
-            brackets[key][0] = float("-inf") if not math.isfinite(lo) else lo - span
-            brackets[key][1] = float("inf") if not math.isfinite(hi) else hi + span
-        for key, below, inside in refine:
-            c, j = key
+            cand = F.array(*[F.when(inside(key), F.struct(F.lit(k).alias("k"), xs[key[0]].alias("v"))) for k, (key, _) in enumerate(ready)])
+            values = (df.select(F.explode(F.filter(cand, lambda t: t.isNotNull())).alias("t")).groupBy("t.k", "t.v")
+                      .agg(F.count(F.lit(1)).alias("m")))
+            w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # distinct values of one bracket
+            first = F.create_map(*[x for k, (key, below) in enumerate(ready) for x in (
+                F.lit(k), F.array(F.lit(brackets[key][2] - below), F.lit(brackets[key][3] - below)))])[F.col("k")]
+            run = values.withColumn("upto", F.sum("m").over(w))
+            hit = [(first[i] < F.col("upto")) & (first[i] >= F.col("upto") - F.col("m")) for i in (0, 1)]
+            got = {}
+            for r in run.where(hit[0] | hit[1]).select("k", "v", hit[0].alias("lo"), hit[1].alias("hi")).collect():  # <= 2 rows a bracket
+                for side in ("lo", "hi"):
+                    if r[side]:
+                        got[(r["k"], side)] = r["v"]
+            for k, (key, _) in enumerate(ready):
+                _, _, r_lo, r_hi, pos = brackets.pop(key)
+                x_lo, x_hi = got[(k, "lo")], got[(k, "hi")]
+                out[key[0]][key[1]] = x_lo if r_lo == r_hi else (r_hi - pos) * x_lo + (pos - r_lo) * x_hi
+        for key, below, within in refine:
             lo, hi, r_lo, r_hi, _ = brackets[key]
-            sub = df.where((xs[c] >= F.lit(lo)) & (xs[c] <= F.lit(hi)))
-            pl = max(0.0, (r_lo - below) / inside - d)
-            ph = min(1.0, (r_hi - below + 1) / inside + d)
-            a = sub.agg(F.percentile_approx(xs[c], [pl, ph], accuracy)).first()[0]
-            brackets[key][0] = a[0] if pl > 0 else lo
-            brackets[key][1] = a[1] if ph < 1 else hi
-    for c in cols:
-        out.setdefault(c, [None] * len(probs))
-    return out
+            pl = max(0.0, (r_lo - below) / within - d)
+            ph = min(1.0, (r_hi - below + 1) / within + d)
+            a = df.where(inside(key)).agg(F.percentile_approx(xs[key[0]], [pl, ph], accuracy)).first()[0]
+            new = [a[0] if pl > 0 else lo, a[1] if ph < 1 else hi]
+            if new == [lo, hi]:
+                stuck.add(key)
+            brackets[key][:2] = new
+    raise RuntimeError(f"quantiles not found in {max_rounds} rounds: {sorted(brackets)}")
 
 
 def quantile_row(df: DataFrame, cols: list[str], probs: Iterable[float] = QUANTILES, exact: bool = True,
-                 method: str = "auto", prefix: str = "q") -> DataFrame:
-    """One row with an array column ``<prefix><i>`` of quantiles per column, by the same
-    method choice as ``numeric_stats`` (kept apart from codegen aggregates)."""
+                 prefix: str = "q") -> DataFrame:
+    """One row with an array column ``<prefix><i>`` of quantiles per column."""
     probs = [float(p) for p in probs]
-    spark = df.sparkSession
-    use = method
-    if exact and method == "auto":
-        use = "select" if df.count() > SELECT_METHOD_ROWS else "percentile"
-    if exact and use == "select":
+    if exact:
         qv = exact_quantiles(df, cols, probs)
-        return spark.createDataFrame([tuple(qv[c] for c in cols)],
-                                     ", ".join(f"`{prefix}{i}` array<double>" for i in range(len(cols))))
-    return df.agg(*[quantiles(q(c).cast("double"), probs, exact=exact).alias(f"{prefix}{i}")
-                    for i, c in enumerate(cols)])
+        return df.sparkSession.createDataFrame([tuple(qv[c] for c in cols)],
+                                               ", ".join(f"`{prefix}{i}` array<double>" for i in range(len(cols))))
+    return df.agg(*[quantiles(q(c).cast("double"), probs).alias(f"{prefix}{i}") for i, c in enumerate(cols)])

@@ -20,16 +20,19 @@ The result is exact; the only sorted sets are the brackets.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.session import checkpoint_dir
+
 SEED = 42
+#: groups whose limits (one row each) may be broadcast after they have been counted
+BROADCAST_GROUPS = 100_000
 
 
 def md5_key(seed: int | str, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """Hex digest of ``seed:key``; a null key counts as the empty text, so no row is lost."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def unit_hash(hexkey: Column) -> Column:
@@ -53,100 +56,130 @@ def flag_lowest_k(df: DataFrame, key: Column, k_of_n, group_cols: list[str] | No
                   sigmas: float = 8.0, max_rounds: int = 6) -> DataFrame:
     """``df`` plus a boolean ``__sel``: true for the ``k`` smallest keys of each group.
 
-    Both sides of a split come from this one frame (no anti-join)."""
-    group_cols = list(group_cols or [])
-    cols = df.columns
+    Both sides of a split come from this one frame (no anti-join). A null group is a
+    group. Rows with equal keys are told apart by a running number, counted per
+    distinct key of the bracket, so a key that repeats often is cut at the right
+    count. The limits of the groups (one row per group) are broadcast when they are
+    few (``BROADCAST_GROUPS``), so the table itself isn't shuffled.
+    """
+    groups = list(group_cols or [])
+    gcols = [f"__g{i}" for i in range(max(1, len(groups)))]
+    keys = [F.col(f"`{c}`") for c in groups] or [F.lit(0)]
     data = df.withColumn("__h", key).withColumn("__u", unit_hash(F.col("__h")))
-    gkey = group_cols if group_cols else [F.lit(0).alias("__g")]
-    gcols = group_cols if group_cols else ["__g"]
-    if not group_cols:
-        data = data.withColumn("__g", F.lit(0))
+    for g, c in zip(gcols, keys):
+        data = data.withColumn(g, c)
+
+    def matched(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        r = right
+        for g in gcols:
+            r = r.withColumnRenamed(g, g + "r")
+        on = None
+        for g in gcols:
+            e = left[g].eqNullSafe(r[g + "r"])
+            on = e if on is None else on & e
+        return left.join(r, on, how).drop(*[g + "r" for g in gcols])
+
     sizes = data.groupBy(*gcols).agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.withColumn("__k", k_of_n(F.col("__n")).cast("long"))
+    few = sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    small = F.broadcast if few else (lambda x: x)
     width = float(sigmas)
     for _ in range(max_rounds):
         p = F.col("__k") / F.col("__n")
         half = F.lit(width) * F.sqrt(p * (1 - p) / F.col("__n")) + F.lit(2.0) / F.col("__n") + F.lit(1e-9)
         br = sizes.withColumn("__lo", F.when(F.col("__k") <= 0, F.lit(-1.0)).otherwise(p - half)) \
                   .withColumn("__hi", F.when(F.col("__k") >= F.col("__n"), F.lit(2.0)).otherwise(p + half))
-        tagged = data.join(F.broadcast(br) if not group_cols else br, gcols)
-        check = tagged.groupBy(*gcols).agg(
-            F.count_if(F.col("__u") < F.col("__lo")).alias("__below"),
-            F.count_if((F.col("__u") >= F.col("__lo")) & (F.col("__u") <= F.col("__hi"))).alias("__in"),
-            F.first("__k").alias("__kk"))
+        tagged = matched(data, small(br))
+        within = (F.col("__u") >= F.col("__lo")) & (F.col("__u") <= F.col("__hi"))
+        check = tagged.groupBy(*gcols).agg(F.count_if(F.col("__u") < F.col("__lo")).alias("__below"),
+                                           F.count_if(within).alias("__in"), F.first("__k").alias("__kk"))
         bad = check.where((F.col("__below") > F.col("__kk")) |
                           (F.col("__below") + F.col("__in") < F.col("__kk"))).limit(1).count()
         if bad == 0:
             break
         width *= 4.0
-    below = tagged.where(F.col("__u") < F.col("__lo"))
-    inside = tagged.where((F.col("__u") >= F.col("__lo")) & (F.col("__u") <= F.col("__hi")))
-    counts = check.select(*gcols, "__below")
-    outside = tagged.where((F.col("__u") < F.col("__lo")) | (F.col("__u") > F.col("__hi"))).select(
-        *cols, (F.col("__u") < F.col("__lo")).alias("__sel"))
-    w = Window.partitionBy(*gcols).orderBy("__h")  # bracket rows only
-    picked = (inside.join(counts, gcols)
-              .withColumn("__rn", F.row_number().over(w))
-              .select(*cols, (F.col("__rn") <= F.col("__k") - F.col("__below")).alias("__sel")))
-    del below
-    return outside.unionByName(picked)
+    else:
+        raise RuntimeError("no bracket found for the k smallest keys of a group")
+    # the key at which the group's count is reached, and how many rows of that key are taken
+    counted = tagged.where(within).groupBy(*gcols, "__h").agg(F.count(F.lit(1)).alias("__m"))
+    w = Window.partitionBy(*gcols).orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)  # distinct keys of a bracket
+    upto = matched(counted, check.select(*gcols, "__below", "__kk")).withColumn("__upto", F.col("__below") + F.sum("__m").over(w))
+    cut = upto.where((F.col("__upto") >= F.col("__kk")) & (F.col("__upto") - F.col("__m") < F.col("__kk"))).select(
+        *gcols, F.col("__h").alias("__cut"), (F.col("__kk") - F.col("__upto") + F.col("__m")).alias("__take"), F.col("__m").alias("__same"))
+    limits = matched(sizes.select(*gcols, "__k"), cut, "left")
+    out = matched(data, small(limits))
+    sure = F.col("__h") < F.coalesce(F.col("__cut"), F.lit(""))
+    whole = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__take") >= F.col("__same")), F.lit(False))
+    split = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__take") < F.col("__same")), F.lit(False))
+    plain = out.where(~split).select(*df.columns, (sure | whole).alias("__sel"))
+    if cut.where(F.col("__take") < F.col("__same")).limit(1).count() == 0:
+        return plain
+    # rows of a key that is only taken in part: numbered by running counts over tasks, never sorted together
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    part = out.where(split).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part = part.withColumn("__p", F.shiftright("__id", 33))
+    per = part.groupBy(*gcols, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    wp = Window.partitionBy(*gcols).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    per = per.withColumn("__before", F.coalesce(F.sum("__c").over(wp), F.lit(0))).withColumnRenamed("__p", "__q").drop("__c")
+    nth = matched(part, per).where(F.col("__p") == F.col("__q")).withColumn(
+        "__nth", F.col("__before") + F.row_number().over(Window.partitionBy(*gcols, "__p").orderBy("__id")))
+    return plain.unionByName(nth.select(*df.columns, (F.col("__nth") <= F.col("__take")).alias("__sel")))
 
 
 def split_by_value(df: DataFrame, order: Column, k: int, tiebreak: list[str] | None = None,
                    accuracy: int = 100000) -> tuple[DataFrame, DataFrame]:
-    """(first k rows, the rest) by ``order`` then ``tiebreak``: the k-th row's key is found
-    exactly (see ``lowest_k_by_value``) and both parts are filters on that cut."""
+    """(first k rows, the rest) by ``order`` then ``tiebreak``; null order values come last."""
     cols = df.columns
-    tb = tiebreak or []
-    n = df.count()
-    if k <= 0:
-        return df.limit(0), df
-    if k >= n:
-        return df, df.limit(0)
-    first = lowest_k_by_value(df, order, k, accuracy, tiebreak=tiebreak)
+    flagged = _flag_first_k(df, order, k, tiebreak, accuracy)
+    return flagged.where("__sel").select(*cols), flagged.where("NOT __sel").select(*cols)
 
-    def keyed(frame):
-        return F.struct(order.cast("double").alias("o"), *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(tb)])
 
-    cut = (first.select(keyed(first).alias("__cut")).orderBy(F.desc("__cut")).limit(1))  # the k-th row
-    both = df.crossJoin(F.broadcast(cut))  # one-row side
-    inside = keyed(df) <= F.col("__cut")
-    return both.where(inside).select(*cols), both.where(~inside).select(*cols)
+def lowest_k_by_value(df: DataFrame, order: Column, k: int, accuracy: int = 100000, max_rounds: int = 6,
+                      tiebreak: list[str] | None = None) -> DataFrame:
+    """The ``k`` rows with the smallest ``order`` value, nulls last (ties by ``tiebreak`` columns, else by
+    a hash of the whole row)."""
+    return _flag_first_k(df, order, k, tiebreak, accuracy, max_rounds).where("__sel").select(*df.columns)
 
 
-def lowest_k_by_value(df: DataFrame, order: Column, k: int, accuracy: int = 100000,
-                      max_rounds: int = 6, tiebreak: list[str] | None = None) -> DataFrame:
-    """The ``k`` rows with the smallest ``order`` value (ties by ``tiebreak`` columns, else by
-    a hash of the whole row), exact.
+def _flag_first_k(df: DataFrame, order: Column, k: int, tiebreak: list[str] | None, accuracy: int,
+                  max_rounds: int = 20) -> DataFrame:
+    """``df`` plus ``__sel``: exactly ``k`` rows, those first in (order, tiebreak).
 
-    A quantile sketch brackets the k-th value; counts verify the bracket; only
-    bracket rows (about 4 n / accuracy) are sorted.
+    The value at which the count is reached comes from ``exact_quantiles``-like counts: rows
+    below it are taken, rows above it not. Only rows of that one value are left, however many; they go
+    by their tiebreak, of which the md5-bracketed ``flag_lowest_k`` (no tiebreak) or
+    a second value cut (a single numeric tiebreak) takes the rest. So no task sorts a hot value.
     """
     cols = df.columns
-    data = df.withColumn("__o", order.cast("double"))
-    if tiebreak:
-        data = data.withColumn("__h", F.struct(*[F.col(f"`{c}`") for c in tiebreak]))
-    else:
-        data = data.withColumn("__h", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]))))
-    n = data.count()
-    if k <= 0:
-        return df.limit(0)
-    if k >= n:
-        return df
-    p = k / n
-    delta = 3.0 / accuracy
-    for _ in range(max_rounds):
-        lo_p, hi_p = max(0.0, p - delta), min(1.0, p + delta)
-        qs = data.agg(F.percentile_approx("__o", [lo_p, hi_p], accuracy).alias("q")).first()["q"]
-        lo, hi = (qs[0] if lo_p > 0 else -math.inf), (qs[1] if hi_p < 1 else math.inf)
-        c = data.agg(F.count_if(F.col("__o") < F.lit(lo)).alias("b"),
-                     F.count_if((F.col("__o") >= F.lit(lo)) & (F.col("__o") <= F.lit(hi))).alias("i")).first()
-        if c["b"] <= k <= c["b"] + c["i"]:
-            break
-        delta *= 4.0
-    below = data.where(F.col("__o") < F.lit(lo))
-    inside = data.where((F.col("__o") >= F.lit(lo)) & (F.col("__o") <= F.lit(hi)))
-    need = k - c["b"]
-    w = Window.orderBy("__o", "__h")  # bracket rows only
-    picked = inside.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= need)
-    return below.select(*cols).unionByName(picked.select(*cols))
+    n = df.count()
+    if k <= 0 or k >= n:
+        return df.withColumn("__sel", F.lit(k >= n))
+    data = df.withColumn("__o", F.nanvl(order.cast("double"), F.lit(None).cast("double")))
+    known = data.where("__o IS NOT NULL")
+    n_known = known.count()
+    if k >= n_known:
+        rest = _flag_ties(data.where("__o IS NULL"), cols, k - n_known, tiebreak, accuracy)
+        return known.select(*cols, F.lit(True).alias("__sel")).unionByName(rest)
+    value = _order_statistic(known, k, accuracy, max_rounds)
+    below = known.where(F.col("__o") < F.lit(value)).count()
+    ties = _flag_ties(known.where(F.col("__o") == F.lit(value)), cols, k - below, tiebreak, accuracy)
+    sure = data.where(F.col("__o").isNull() | (F.col("__o") != F.lit(value)))
+    return sure.select(*cols, F.coalesce(F.col("__o") < F.lit(value), F.lit(False)).alias("__sel")).unionByName(ties)
+
+
+def _order_statistic(known: DataFrame, k: int, accuracy: int, max_rounds: int) -> float:
+    """The k-th smallest ``__o``."""
+    from tablelens.functions.moments import exact_quantiles
+    n = known.count()
+    return exact_quantiles(known, {"o": F.col("__o")}, [(k - 1) / (n - 1) if n > 1 else 0.0], accuracy=min(accuracy, 10000),
+                           max_rounds=max_rounds, nearest=True)["o"][0]
+
+
+def _flag_ties(rows: DataFrame, cols: list[str], k: int, tiebreak: list[str] | None, accuracy: int) -> DataFrame:
+    """``cols`` plus ``__sel`` for the first ``k`` rows of one order value."""
+    if tiebreak and len(tiebreak) >= 1 and dict(rows.dtypes)[tiebreak[0]] in ("tinyint", "smallint", "int", "bigint", "double", "float"):
+        base = rows.select(*cols)
+        return _flag_first_k(base, F.col(f"`{tiebreak[0]}`"), k, tiebreak[1:] or None, accuracy)
+    key = F.struct(*[F.col(f"`{c}`") for c in (tiebreak or cols)])
+    return flag_lowest_k(rows.select(*cols), F.md5(F.to_json(key)), lambda m: F.least(m, F.lit(int(max(0, k)))))

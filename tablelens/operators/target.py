@@ -18,6 +18,7 @@ from tablelens.operators import generic as ge
 IMBALANCE_MODERATE = 3.0
 IMBALANCE_SEVERE = 10.0
 P_SIGNIFICANT = 0.05
+MAX_BOX_CLASSES = 200        # box plots by class: one column of quantiles per class
 MIN_PAIR_ROWS = 5            # correlations need more than 5 complete rows
 MIN_BP_ROWS = 10             # Breusch-Pagan needs more than 10 complete rows
 LEAK_NAME_HINTS = ("_after", "outcome", "status_final", "_final", "_result", "post_", "leak", "label")
@@ -80,12 +81,15 @@ def anova(df: DataFrame, target: str, features: list[str] | None = None) -> Data
         F.sum(F.col("n") * F.pow(F.col("m") - F.col("gm"), 2)).alias("ssb"),
         F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
     parts = parts.where(F.col("k") >= 2)
-    fstat = F.when(F.col("ssw") > 0, (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_total") - F.col("k"))))
+    # no spread inside any class: a perfect separator has an infinite F and p = 0
+    fstat = (F.when(F.col("ssw") > 0, (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n_total") - F.col("k"))))
+             .when(F.col("ssb") > 0, F.lit(float("inf"))))
     out = parts.select(F.col("feature").alias("column"), "position", fstat.alias("f"),
                        (F.col("k") - 1).alias("d1"), (F.col("n_total") - F.col("k")).alias("d2"))
     return out.where(F.col("f").isNotNull()).select(
-        "column", "position", F.round("f", 3).alias("f_stat"),
-        F.round(f_pvalue(F.col("f"), F.col("d1"), F.col("d2")), 5).alias("p_value"))
+        "column", "position", F.when(F.col("f") == float("inf"), F.col("f")).otherwise(F.round("f", 3)).alias("f_stat"),
+        F.when(F.col("f") == float("inf"), F.lit(0.0)).otherwise(
+            F.round(f_pvalue(F.when(F.col("f") != float("inf"), F.col("f")), F.col("d1"), F.col("d2")), 5)).alias("p_value"))
 
 
 def chi_square(df: DataFrame, target: str, features: list[str]) -> DataFrame:
@@ -148,21 +152,23 @@ def binned_mi(df: DataFrame, target: str, features: list[str], bins: int = 10,
         F.greatest(F.lit(0.0), F.sum(term)).alias("mutual_info"))
 
 
-def boxplot_by_class(df: DataFrame, target: str, features: list[str], exact: bool | None = None) -> DataFrame:
-    """Quartiles and range of each feature per class (for the top features by F).
+def boxplot_by_class(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """Exact quartiles and range of each feature per class (for the top features by F).
 
-    Exact quartiles keep one map of distinct values per (feature, class); above
-    ``moments.SELECT_METHOD_ROWS`` rows (``exact=None``) the bounded sketch
-    ``percentile_approx`` is used instead, since these are box-plot numbers.
+    Every (feature, class) is one column of ``exact_quantiles``; the classes are the rows of the
+    class table, at most ``MAX_BOX_CLASSES`` (a numeric target has no classes: raises).
     """
-    if exact is None:
-        exact = df.count() <= mo.SELECT_METHOD_ROWS
-    lp = _long_pairs(df, target, features)
-    return lp.groupBy(F.col("feature").alias("column"), F.col("y").alias("class")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("min"),
-        mo.quantiles(F.col("x"), exact=exact).alias("qs"), F.max("x").alias("max")).select(
-        "column", "class", "n", "min", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-        F.col("qs")[2].alias("q3"), "max")
+    spark = df.sparkSession
+    y = as_text(df, target)
+    ranges = (_long_pairs(df, target, features).groupBy(F.col("feature").alias("column"), F.col("y").alias("class"))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max")))
+    rows = ranges.limit(MAX_BOX_CLASSES * max(1, len(features)) + 1).collect()
+    if len(rows) > MAX_BOX_CLASSES * max(1, len(features)):
+        raise ValueError(f"'{target}' has more than {MAX_BOX_CLASSES} classes")
+    cells = {f"{i}": F.when(y == F.lit(r["class"]), q(r["column"])) for i, r in enumerate(rows)}
+    qs = mo.exact_quantiles(df, cells)
+    out = [(r["column"], r["class"], r["n"], r["min"], *qs[f"{i}"], r["max"]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(out, "column string, class string, n long, min double, q1 double, median double, q3 double, max double")
 
 
 def top_anova_features(anova_df: DataFrame, k: int = 3) -> DataFrame:
