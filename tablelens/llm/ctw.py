@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import held_out, register, table, written
+from tablelens.llm.pieces import LongMap
 
 DEPTH, TOP = 5, 2                 # bytes of context; levels 0 .. TOP-1 are mixed on the driver
-BLOCK_BYTES, CHUNK_BYTES = 40_000_000, 1_000_000
+BLOCK_BYTES, CHUNK_BYTES = 28_000_000, 1_000_000
 END = b"\n"
 HELD_OUT_FOLDS = 10
 LN_HALF = float(np.log(0.5))
@@ -218,18 +219,6 @@ def _gram_values(tops):
     return run
 
 
-class _Places(dict):
-    """Word -> its row in the block's sorted word keys."""
-
-    def __init__(self, keys: np.ndarray):
-        super().__init__()
-        self.keys = keys
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = int(np.searchsorted(self.keys, word_key(word)))
-        return at
-
-
 def _score_block(base_of):
     """Adds up the values of each text's grams and words. ``base_of``: a word's log10 base probability from its count."""
 
@@ -241,9 +230,11 @@ def _score_block(base_of):
         order = np.argsort(keys)
         keys, x = keys[order], x[order]
         split = int(np.searchsorted(keys, 0))
-        place = _Places(keys[:split])
         n, base = x[:split], base_of(x[:split])
-        gram_keys, gram_values = keys[split:], x[split:]
+        distinct = {w for t in docs["text"] for w in stream_words(t)} | {END}
+        place = dict(zip(distinct, np.searchsorted(keys[:split], np.fromiter(map(word_key, distinct), np.int64, len(distinct))).tolist()))
+        gram_values, grams = x[split:], LongMap(16)
+        grams.put(keys[split:], np.arange(len(keys) - split, dtype=np.int32))
         streams, out = [], []
         for t in docs["text"]:
             w = stream_words(t)
@@ -254,7 +245,7 @@ def _score_block(base_of):
         score = []
         for group in _chunks(streams):
             key, size = grams_of(group)
-            score.append(np.add.reduceat(gram_values[np.searchsorted(gram_keys, key)], np.cumsum(size) - size))
+            score.append(np.add.reduceat(gram_values[grams.get(key)], np.cumsum(size) - size))
         tokens, known, total = zip(*out)
         return pd.DataFrame({"doc": docs["doc"], "held": docs["held"], "n_tokens": tokens, "n_known": known,
                              "n_bytes": [len(s) for s in streams], "base_score": total, "score": np.concatenate(score)})[cols]

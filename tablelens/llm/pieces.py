@@ -65,7 +65,7 @@ class LongMap:
         if (self.n + len(keys)) * 2 > len(self.keys):
             live = self.keys != -1
             old_k, old_v, bits = self.keys[live], self.vals[live], self.bits
-            while (self.n + len(keys)) * 3 > (1 << bits):
+            while (self.n + len(keys)) * 2 > (1 << bits):
                 bits += 1
             self._alloc(bits)
             self._insert(old_k, old_v)
