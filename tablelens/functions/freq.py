@@ -28,8 +28,8 @@ def _slots(df: DataFrame, name: str):
     none_s, none_l, none_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
     if isinstance(dtype, INTEGRAL_TYPES):
         return none_s, c.cast("long"), none_d
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return none_s, none_l, c.cast("double") + F.lit(0.0)   # folds -0.0 into 0.0
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return none_s, none_l, F.nanvl(c.cast("double"), none_d) + F.lit(0.0)   # NaN is missing; folds -0.0 into 0.0
     return as_text(df, name), none_l, none_d
 
 

@@ -91,8 +91,7 @@ def pairs_with_target(df: DataFrame, target: str, features: list[str]) -> DataFr
     return one.select(F.inline(F.array(*rows)))
 
 
-BUCKET_VALUES = 2_000_000   # distinct values per rank bucket (one window task each)
-SMALL_DISTINCT = 200_000    # below this (HLL estimate) one window over the distinct values
+BUCKET_VALUES = 200_000     # distinct values per rank bucket (one window task each)
 
 
 def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy: int | None = None,
@@ -102,7 +101,7 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
     Distributed prefix sums: distinct values with counts, bucketed by an
     approximate-quantile sketch; a window runs inside each bucket only. The
     bucket count comes from a HyperLogLog estimate of the distinct values
-    (about ``BUCKET_VALUES`` per bucket, at least 64), so no bucket grows with
+    (about ``BUCKET_VALUES`` per bucket, at least 8), so no bucket grows with
     the data; the offsets table has one row per bucket.
     """
     x = q(col).cast("double")
@@ -110,11 +109,7 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
     if buckets is None:
         if ndv is None:
             ndv = df.agg(F.approx_count_distinct(x)).first()[0] or 0  # one number
-        if ndv <= SMALL_DISTINCT:
-            # checked size: the distinct table is small, one window over it is bounded
-            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-            return vt.select("v", (F.sum("cnt").over(w) - F.col("cnt") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
-        buckets = max(64, -(-ndv // BUCKET_VALUES))
+        buckets = max(8, -(-ndv // BUCKET_VALUES))
     accuracy = accuracy or max(10000, 8 * buckets)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = vt.agg(F.percentile_approx("v", probs, accuracy).alias("bounds"))
@@ -130,7 +125,7 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
                                + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
 
 
-def spearman_pairs(df: DataFrame, cols: list[str], buckets: int = 64) -> DataFrame:
+def spearman_pairs(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """Spearman matrix on complete rows: Pearson on average ranks."""
     data = df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
     est = data.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()  # one row

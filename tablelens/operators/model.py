@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import freq as fq
@@ -30,6 +30,7 @@ MAX_DEPTH = 8
 MIN_ROWS = 20
 TEST_SIZE = 0.2
 MAX_LEVELS = 15
+MAX_CLASSES = 1000   # classes of a target (own bound)
 TOP_IMPORTANCE = 10
 CLASSIFICATION = ("binary_classification", "multiclass_classification")
 SUPERVISED = (*CLASSIFICATION, "regression")
@@ -112,6 +113,29 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
                       F.round(r2, 4).alias("r2"))
 
 
+def class_labels(df: DataFrame, target: str) -> list[str]:
+    """The classes as text, in order (numbers by value): at most ``MAX_CLASSES``, else it raises."""
+    rows = df.where(q(target).isNotNull()).groupBy(q(target).alias("y")).count().orderBy("y").limit(MAX_CLASSES + 1)
+    found = [r[0] for r in rows.select(F.col("y").cast("string")).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"'{target}' has more than {MAX_CLASSES} classes")
+    return found
+
+
+def label_index(target: str, classes: list[str]) -> Column:
+    """Position of the row's class among ``classes`` as a double (null for an unknown class)."""
+    at = F.array_position(F.array(*[F.lit(c) for c in classes]), q(target).cast("string"))
+    return F.when(at > 0, (at - 1).cast("double"))
+
+
+def positive_class(classes: list[str], wanted: str | None = None) -> str | None:
+    """The class that binary metrics are about: the wanted one, else '1' or 'true', else the last in order."""
+    for c in (wanted, "1", "true"):
+        if c is not None and c in classes:
+            return c
+    return classes[-1] if classes else None
+
+
 @dataclass
 class BaselineResult:
     summary: DataFrame
@@ -141,8 +165,11 @@ def _prepare(df: DataFrame, target: str, key: str, problem_type: str):
 
 
 def baseline(df: DataFrame, target: str, problem_type: str, key: str, seed: int = SEED,
-             n_trees: int = N_TREES, max_depth: int = MAX_DEPTH) -> BaselineResult:
-    """Fit the forest on the train rows and score the test rows."""
+             n_trees: int = N_TREES, max_depth: int = MAX_DEPTH, positive: str | None = None) -> BaselineResult:
+    """Fit the forest on the train rows and score the test rows.
+
+    Class labels of any type are indexed in order; ``predictions`` has ``predicted_class`` as text.
+    """
     spark = df.sparkSession
     reason = gate(df, target, problem_type)
     skip_schema = "target string, problem_type string, skipped_reason string"
@@ -159,14 +186,18 @@ def baseline(df: DataFrame, target: str, problem_type: str, key: str, seed: int
     if is_cls:
         weights = class_weights(train, target)
         tr = tr.join(F.broadcast(weights.select(target, "weight")), target)  # one row per class
-        tr = tr.withColumn("label", q(target).cast("double"))
-        te = te.withColumn("label", q(target).cast("double"))
+        classes = class_labels(data, target)
+        about = positive_class(classes, positive)
+        tr = tr.withColumn("label", label_index(target, classes))
+        te = te.withColumn("label", label_index(target, classes))
         model = RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed, labelCol="label",
                                        featuresCol="features", weightCol="weight").fit(tr)
-        pred = model.transform(te).withColumn("p1", vector_to_array("probability")[1])
-        m = classification_metrics(pred.select(F.col("label").cast("long").alias("label"),
-                                               F.col("prediction").cast("long").alias("prediction")))
-        auc = roc_auc(pred, "label", "p1", positive="1.0")
+        names_of = F.array(*[F.lit(c) for c in classes])
+        pred = (model.transform(te).withColumn("p1", vector_to_array("probability")[classes.index(about)])
+                .withColumn("predicted_class", names_of[F.col("prediction").cast("int")]))
+        m = classification_metrics(pred.select(q(target).cast("string").alias("label"),
+                                               F.col("predicted_class").alias("prediction")), positive=about)
+        auc = roc_auc(pred, target, "p1", positive=about)
         metrics = m.crossJoin(auc)  # one row by one row
     else:
         tr = tr.withColumn("label", q(target).cast("double"))
@@ -205,13 +236,14 @@ def permutation_importance(df: DataFrame, target: str, problem_type: str, key: s
     data = df.where(q(target).isNotNull())
     num, cat, train, test, pre = _prepare(data, target, key, problem_type)
     is_cls = problem_type in CLASSIFICATION
-    tr = pre.transform(train).withColumn("label", q(target).cast("double"))
+    label = label_index(target, class_labels(data, target)) if is_cls else q(target).cast("double")
+    tr = pre.transform(train).withColumn("label", label)
     est = (RandomForestClassifier if is_cls else RandomForestRegressor)(
         numTrees=n_trees, maxDepth=max_depth, seed=seed, labelCol="label", featuresCol="features")
     model = est.fit(tr)
 
     def score(frame):
-        pred = model.transform(pre.transform(frame).withColumn("label", q(target).cast("double")))
+        pred = model.transform(pre.transform(frame).withColumn("label", label))
         if is_cls:
             return pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
         return regression_metrics(pred).first()["r2"]

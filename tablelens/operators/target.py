@@ -198,7 +198,7 @@ def target_transform(df: DataFrame, target: str) -> DataFrame:
                  F.coalesce(F.min(y), F.lit(0.0)).alias("min"))
     tr = (F.when(F.abs("skew") <= 1, F.lit(None).cast("string"))
           .when(F.col("min") > 0, "log")
-          .when(F.col("min") >= 0, "Box-Cox (after adding a small positive offset) or Yeo-Johnson")
+          .when(F.col("min") >= 0, "Yeo-Johnson, or Box-Cox on values moved above zero")
           .otherwise("Yeo-Johnson"))
     return one.select(F.lit(target).alias("target"), F.round("skew", 3).alias("skew"), "min",
                       tr.alias("suggested_transform"))

@@ -53,18 +53,18 @@ def _bullets(one: DataFrame, step: str, severity: Column, texts: list[Column]) -
 def missing_findings(summary: DataFrame) -> DataFrame:
     """summary: columns_with_missing, total_missing_cells, worst_column, worst_pct."""
     none = F.col("columns_with_missing") == 0
-    t1 = F.when(none, F.lit("No missing values were found in any column.")).otherwise(F.format_string(
-        "%s column(s) have missing values, %s missing cells in total.",
+    t1 = F.when(none, F.lit("Every column is complete.")).otherwise(F.format_string(
+        "Incomplete columns: %s; empty cells: %s.",
         F.col("columns_with_missing").cast("string"), thousands(F.col("total_missing_cells"))))
     t2 = F.when(~none & F.col("worst_column").isNotNull(), F.format_string(
-        "'%s' is the worst offender at %s%% missing.", F.col("worst_column"), f1(F.col("worst_pct"))))
+        "Most gaps: '%s', %s%% of its cells.", F.col("worst_column"), f1(F.col("worst_pct"))))
     return _bullets(summary, "missing_values", bucket(F.col("worst_pct"), *MISSING_BUCKET), [t1, t2])
 
 
 def duplicate_findings(summary: DataFrame) -> DataFrame:
     """summary: duplicate_rows, duplicate_pct."""
-    t = F.when(F.col("duplicate_rows") == 0, F.lit("No exact duplicate rows were found.")).otherwise(
-        F.format_string("%s exact duplicate rows (%s%% of the data).", thousands(F.col("duplicate_rows")),
+    t = F.when(F.col("duplicate_rows") == 0, F.lit("No row occurs twice.")).otherwise(
+        F.format_string("Repeated rows: %s, that is %s%% of the table.", thousands(F.col("duplicate_rows")),
                         f1(F.col("duplicate_pct"))))
     return _bullets(summary, "duplicates", bucket(F.col("duplicate_pct"), *DUPLICATE_BUCKET), [t])
 
@@ -79,10 +79,10 @@ def constant_id_findings(flags: DataFrame) -> DataFrame:
                                                                      F.struct("position", "column")))),
                                  lambda s: s["column"]), ", ").alias("ids"),
         F.count(F.lit(1)).alias("n"))  # the inputs are per-column rows
-    t1 = F.when(F.col("const") != "", F.format_string("Constant columns (a single value throughout): %s.", F.col("const"))) \
-        .otherwise(F.lit("No constant columns found."))
+    t1 = F.when(F.col("const") != "", F.format_string("One value only: %s.", F.col("const"))) \
+        .otherwise(F.lit("Every column varies."))
     t2 = F.when(F.col("ids") != "", F.format_string(
-        "ID-like columns (>98%% unique values): %s — consider dropping these before modeling.", F.col("ids")))
+        "Over 98%% distinct, so probably row names: %s. A model should not see them.", F.col("ids")))
     return _bullets(one, "constant_and_id_columns", bucket(F.col("n"), *CONSTANT_ID_BUCKET), [t1, t2])
 
 
@@ -92,11 +92,11 @@ def distribution_findings(skews: DataFrame) -> DataFrame:
     one = skews.agg(F.count(F.lit(1)).alias("n")).crossJoin(ranked.agg(  # one row by one row
         F.slice(F.sort_array(F.collect_list(F.struct((-F.abs("skew")).alias("a"), "position", "column", "skew"))), 1, 3)
         .alias("top")))
-    t1 = F.when(F.col("n") == 0, F.lit("No numeric columns were available to profile.")).otherwise(
-        F.format_string("Profiled distributions for %s numeric column(s).", F.col("n").cast("string")))
-    listed = F.array_join(F.transform("top", lambda s: F.format_string("%s (skew=%s)", s["column"], f2(s["skew"]))), ", ")
+    t1 = F.when(F.col("n") == 0, F.lit("There is no numeric column whose shape could be described.")).otherwise(
+        F.format_string("Numeric columns described: %s.", F.col("n").cast("string")))
+    listed = F.array_join(F.transform("top", lambda s: F.format_string("%s: skew %s", s["column"], f2(s["skew"]))), ", ")
     t2 = F.when((F.col("n") > 0) & (F.size("top") > 0), F.format_string(
-        "Notably skewed columns: %s — consider a log or Box-Cox transform.", listed))
+        "Lopsided: %s. A power or logarithm transform would even them out.", listed))
     return _bullets(one, "univariate_distributions", F.lit("info"), [t1, t2])
 
 
@@ -108,10 +108,10 @@ def outlier_findings(table: DataFrame) -> DataFrame:
         .alias("top"), F.max("iqr_outlier_pct").alias("worst"), F.count(F.lit(1)).alias("n"))
     items = F.filter("top", lambda s: s["iqr_outliers"] > 0)
     texts = F.transform(items, lambda s: F.format_string(
-        "'%s': %s IQR outliers (%s%%), %s points beyond 3 standard deviations.", s["column"],
+        "'%s': outside the quartile fences %s rows (%s%%), over three deviations from the mean %s.", s["column"],
         s["iqr_outliers"].cast("string"), f1(s["iqr_outlier_pct"]), s["z_score_outliers"].cast("string")))
-    fallback = F.when(F.col("n") == 0, F.lit("No numeric columns were available to check for outliers.")).otherwise(
-        F.lit("No significant outliers detected by IQR or z-score."))
+    fallback = F.when(F.col("n") == 0, F.lit("There is no numeric column to search for outliers.")).otherwise(
+        F.lit("Neither the quartile fences nor the z-scores mark a row."))
     arr = F.when(F.size(texts) > 0, texts).otherwise(F.array(fallback))
     return one.select(F.lit("outliers").alias("step"), bucket(F.col("worst"), *OUTLIER_BUCKET).alias("severity"),
                       F.posexplode(arr).alias("bullet", "text"))
@@ -126,26 +126,26 @@ def correlation_findings(strongest: DataFrame, vif: DataFrame | None = None) ->
         v = vif.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(
             F.col("vif") > 10, F.struct((-F.col("vif")).alias("k"), "column")))), lambda x: x["column"]), ", ").alias("high"))
     one = s.crossJoin(v)  # one row by one row
-    t1 = F.when(F.col("a").isNotNull(), F.format_string("Strongest correlation: %s vs %s (Pearson r=%s).",
+    t1 = F.when(F.col("a").isNotNull(), F.format_string("Closest linear pair: %s and %s, r = %s.",
                                                          F.col("a"), F.col("b"), f2(F.col("r"))))
     t2 = F.when(F.col("high") != "", F.format_string(
-        "High multicollinearity (VIF > 10): %s — consider dropping or combining these.", F.col("high")))
+        "Largely explained by the other columns (variance inflation over 10): %s. Keep one of each such set.", F.col("high")))
     sev = F.when((F.abs(F.coalesce("r", F.lit(0.0))) >= STRONG_CORRELATION) | (F.col("high") != ""), "warning").otherwise("info")
     out = _bullets(one, "correlations", sev, [t1, t2])
     fallback = one.where(F.col("a").isNull() & (F.col("high") == "")).select(
         F.lit("correlations").alias("step"), F.lit("info").alias("severity"), F.lit(0).alias("bullet"),
-        F.lit("Not enough numeric or categorical columns to compute correlations.").alias("text"))
+        F.lit("Correlations need two columns of one kind.").alias("text"))
     return out.unionByName(fallback)
 
 
 def class_balance_findings(imb: DataFrame, target: str) -> DataFrame:
     """imb: majority_class, minority_class, minority_pct, n_classes, imbalance_ratio."""
-    t1 = F.format_string("Target '%s' has %s classes; minority class '%s' is %s%% of the data.", F.lit(target),
+    t1 = F.format_string("'%s' takes %s classes; the rarest, '%s', holds %s%% of the rows.", F.lit(target),
                          F.col("n_classes").cast("string"), F.col("minority_class"), f1(F.col("minority_pct")))
     t2 = F.when(F.col("imbalance_ratio") >= 3, F.format_string(
-        "%s class imbalance (majority:minority ratio %s:1) — consider `class_weight='balanced'`, or resampling "
-        "(SMOTE/undersampling via imbalanced-learn), and prefer PR-AUC/F1 over accuracy.",
-        F.when(F.col("imbalance_ratio") >= 10, "Severe").otherwise("Moderate"), f1(F.col("imbalance_ratio"))))
+        "%s: the largest class has %s rows for each row of the rarest. Weight the classes or undersample, and judge "
+        "a model by F1 or precision and recall rather than accuracy.",
+        F.when(F.col("imbalance_ratio") >= 10, "Very uneven classes").otherwise("Uneven classes"), f1(F.col("imbalance_ratio"))))
     return _bullets(imb, "class_balance", bucket(F.col("imbalance_ratio"), *IMBALANCE_BUCKET), [t1, t2])
 
 
@@ -157,24 +157,21 @@ def leakage_findings(near_dup: DataFrame, high_corr: DataFrame, id_corr: DataFra
     one = (listed(near_dup, "nd").crossJoin(listed(id_corr, "ic")).crossJoin(listed(names, "nm"))  # one-row sides
            .crossJoin(high_corr.join(near_dup, "column", "left_anti").agg(
                F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("position", "column", "correlation"))), 1, 3),
-                                        lambda s: F.format_string("%s (r=%s)", s["column"], f2(s["correlation"]))), ", ").alias("hc"))))
+                                        lambda s: F.format_string("%s: r %s", s["column"], f2(s["correlation"]))), ", ").alias("hc"))))
     t1 = F.when(F.col("nd") != "", F.format_string(
-        "Possible target leakage: %s look like near-duplicates of the target — verify these aren't derived from it "
-        "and drop them if so.", F.col("nd")))
+        "Almost equal to the target, row by row: %s. If they are computed from it, they must go.", F.col("nd")))
     t2 = F.when(F.col("hc") != "", F.format_string(
-        "Suspiciously high correlation with the target: %s — check for leakage.", F.col("hc")))
+        "Follows the target too closely to be an input by chance: %s.", F.col("hc")))
     t3 = F.when(F.col("ic") != "", F.format_string(
-        "ID-like column(s) correlated with the target: %s — likely an artifact of row ordering or a leak, not a "
-        "real feature.", F.col("ic")))
+        "Row names that go with the target: %s. The table's order or a leak explains this, not a property.", F.col("ic")))
     t4 = F.when(F.col("nm") != "", F.format_string(
-        "Column name(s) suggest post-outcome information: %s — confirm these were known before the prediction "
-        "point.", F.col("nm")))
+        "Named like something recorded after the outcome: %s. Make sure of when each value was known.", F.col("nm")))
     sev = (F.when((F.col("nd") != "") | (F.col("ic") != ""), "critical")
            .when((F.col("hc") != "") | (F.col("nm") != ""), "warning").otherwise("info"))
     out = _bullets(one, "leakage_checks", sev, [t1, t2, t3, t4])
     none = one.where((F.col("nd") == "") & (F.col("hc") == "") & (F.col("ic") == "") & (F.col("nm") == "")).select(
         F.lit("leakage_checks").alias("step"), F.lit("info").alias("severity"), F.lit(0).alias("bullet"),
-        F.lit("No obvious target leakage detected by name, correlation, or duplication checks.").alias("text"))
+        F.lit("Names, correlations and copies give no sign of leakage.").alias("text"))
     return out.unionByName(none)
 
 

@@ -59,12 +59,12 @@ def lineitem_num(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # documents joined to labels: a binary target with numeric and categorical features.
-DL_SQL = """SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+DL_SQL = """SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 
 def documents_labels(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     lab = read_table(spark, sf, "labels")
     return d.join(lab, "doc_id")
 
@@ -111,12 +111,13 @@ def orders_monthly(spark: SparkSession, sf: str) -> DataFrame:
             .agg(F.sum("o_totalprice").alias("value")))
 
 
-# First four embedding dimensions (doubles) with the id and label.
-EMB_FEATURES = ["e0", "e1", "e2", "e3"]
-EMB_SQL = """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1,
-  CAST(embedding[3] AS DOUBLE) AS e2, CAST(embedding[4] AS DOUBLE) AS e3, label FROM embeddings"""
+# All embedding dimensions (doubles) with the id and label.
+EMB_DIM = 64
+EMB_FEATURES = [f"e{i}" for i in range(EMB_DIM)]
+EMB_SQL = ("SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMB_DIM))
+           + ", label FROM embeddings")
 
 
-def embeddings4(spark: SparkSession, sf: str) -> DataFrame:
+def embeddings_wide(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)], "label")
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_DIM)], "label")

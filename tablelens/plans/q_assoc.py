@@ -226,7 +226,7 @@ def c07_significant_features(spark, sf):
 @register("r01_target_transform", "SELECT 'value' AS target, round(CASE WHEN count(value) < 3 THEN 0.0 "
           "WHEN var_pop(value) = 0 THEN 0.0 ELSE skewness(value) END, 3) AS skew, min(value) AS min, "
           "CASE WHEN abs(skewness(value)) <= 1 THEN NULL WHEN min(value) > 0 THEN 'log' WHEN min(value) >= 0 "
-          "THEN 'Box-Cox (after adding a small positive offset) or Yeo-Johnson' ELSE 'Yeo-Johnson' END "
+          "THEN 'Yeo-Johnson, or Box-Cox on values moved above zero' ELSE 'Yeo-Johnson' END "
           "AS suggested_transform FROM events")
 def r01_target_transform(spark, sf):
     return tg.target_transform(fx.read_table(spark, sf, "events"), "value")

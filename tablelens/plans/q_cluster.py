@@ -83,19 +83,19 @@ def _hopkins_sql() -> str:
 
 @register("u05_hopkins", _hopkins_sql())
 def u05_hopkins(spark, sf):
-    return cl.hopkins(fx.embeddings4(spark, sf), EMB, key="vec_id")
+    return cl.hopkins(fx.embeddings_wide(spark, sf), EMB, key="vec_id")
 
 
 @register("u06_kmeans_scan")
 def u06_kmeans_scan(spark, sf):
-    return cl.kmeans_scan(fx.embeddings4(spark, sf), EMB)
+    return cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB)
 
 
 @register("u07_silhouette")
 def u07_silhouette(spark, sf):
-    return cl.kmeans_scan(fx.embeddings4(spark, sf), EMB).select("k", "silhouette")
+    return cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB).select("k", "silhouette")
 
 
 @register("u08_suggested_k")
 def u08_suggested_k(spark, sf):
-    return cl.kmeans_scan(fx.embeddings4(spark, sf), EMB).where("suggested").select(F.col("k").alias("suggested_k"))
+    return cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB).where("suggested").select(F.col("k").alias("suggested_k"))

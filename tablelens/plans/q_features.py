@@ -69,13 +69,13 @@ def f05_categorical_impute(spark, sf):
 
 @register("f06_scaling", f"WITH {LX}, md AS (SELECT " + ", ".join(f"median({c}) AS m{i}" for i, c in enumerate(_F04)) +
           " FROM lx)\n" + "\nUNION ALL\n".join(
-              f"SELECT '{c}' AS \"column\", round(avg(coalesce({c}, m{i})), 6) AS mean, "
-              f"round(stddev_pop(coalesce({c}, m{i})), 6) AS std FROM lx, md" for i, c in enumerate(_F04)))
+              f"SELECT '{c}' AS \"column\", avg(coalesce({c}, m{i})) AS mean, "
+              f"stddev_pop(coalesce({c}, m{i})) AS std FROM lx, md" for i, c in enumerate(_F04)))
 def f06_scaling(spark, sf):
     df = fx.lineitem_x(spark, sf)
     fills = fe.fit_fill_values(df, _F04, [], "median")
     sc = fe.fit_scaling(df, _F04, fills)
-    return spark.createDataFrame([(c, round(m, 6), round(s, 6)) for c, (m, s) in sc.items()],
+    return spark.createDataFrame([(c, m, s) for c, (m, s) in sc.items()],
                                  "column string, mean double, std double")
 
 

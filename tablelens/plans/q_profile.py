@@ -34,7 +34,7 @@ def lineitem_quality(spark, sf):
                      "l_linenumber", F.lit("x").alias("l_const"))
 
 
-DL_FAMILIES = [("doc_id", "numeric"), ("lang", "string"), ("source", "string"),
+DL_FAMILIES = [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"),
                ("n_chars", "numeric"), ("quality", "numeric"), ("toxic", "numeric")]
 DL = f"dl AS ({fx.DL_SQL})"
 
@@ -59,11 +59,10 @@ def p02_distinct(spark, sf):
     return pr.distinct_counts(fx.lineitem_x(spark, sf)).select("column", "unique_count", "unique_with_null")
 
 
-@register("p03_numeric_stats", f"WITH {LX}\n" + numeric_stats_sql("lx", fx.LX_NUMERIC))
+@register("p03_numeric_stats", f"WITH {LX}\n" + numeric_stats_sql("lx", fx.LX_NUMERIC, None))
 def p03_numeric_stats(spark, sf):
     s = pr.numeric_stats(fx.lineitem_x(spark, sf))
-    return s.select("column", "n", *[F.round(c, 6).alias(c) for c in
-                                     ("mean", "std", "min", "q25", "q50", "q75", "max", "skew", "kurtosis")])
+    return s.select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max", "skew", "kurtosis")
 
 
 _TOP_CATS = ["l_returnflag", "l_linestatus", "l_shipdate", "l_const"]
@@ -118,11 +117,11 @@ def p07_quality_score(spark, sf):
 
 
 @register("p08_quality_issues", _quality_sql(LQ, "lq", LQ_FAMILIES) +
-          "SELECT 0 AS kind, position, printf('Column ''%s'' has %s%% missing values.', \"column\", "
+          "SELECT 0 AS kind, position, printf('''%s'': %s%% of the cells are empty.', \"column\", "
           "CAST(round(missing_pct, 1) AS VARCHAR)) AS issue FROM p WHERE missing_pct > 20\n"
-          "UNION ALL SELECT 1, 0, printf('%s%% of rows are exact duplicates.', "
+          "UNION ALL SELECT 1, 0, printf('%s%% of the rows repeat an earlier one.', "
           f"CAST({d('round(dup_pct, 1)')} AS VARCHAR)) FROM dup WHERE dup_pct > 5\n"
-          "UNION ALL SELECT 2, position, printf('Column ''%s'' has a single constant value across all rows.', "
+          "UNION ALL SELECT 2, position, printf('''%s'' never changes.', "
           "\"column\") FROM p WHERE unique_with_null <= 1")
 def p08_quality_issues(spark, sf):
     return pr.quality_issues(lineitem_quality(spark, sf))

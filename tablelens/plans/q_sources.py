@@ -122,10 +122,10 @@ def _a01_sql() -> str:
             f"arg_max(\"column\", (missing_pct, -position)) AS worst, max(missing_pct) AS pct FROM p)")
     return (f"WITH {LX}, p AS ({profile_cte('lx', LX_FAMILIES)}), {miss}\n"
             "SELECT 'missing_values' AS step, CASE WHEN pct >= 50 THEN 'critical' WHEN pct >= 15 THEN 'warning' ELSE 'info' END "
-            "AS severity, 0 AS bullet, printf('%d column(s) have missing values, %s missing cells in total.', c, "
+            "AS severity, 0 AS bullet, printf('Incomplete columns: %d; empty cells: %s.', c, "
             "format('{:,}', CAST(cells AS BIGINT))) AS text FROM ms UNION ALL "
             "SELECT 'missing_values', CASE WHEN pct >= 50 THEN 'critical' WHEN pct >= 15 THEN 'warning' ELSE 'info' END, 1, "
-            "printf('''%s'' is the worst offender at %.1f%% missing.', worst, pct) FROM ms")
+            "printf('Most gaps: ''%s'', %.1f%% of its cells.', worst, pct) FROM ms")
 
 
 @register("a01_missing_findings", _a01_sql())
@@ -238,7 +238,7 @@ def a05_run_report_series(spark, sf):
 @register("a05_run_report_clustering")
 def a05_run_report_clustering(spark, sf):
     """A full run without a target on the first embedding dimensions (clustering plan)."""
-    rep = an.analyze(fx.embeddings4(spark, sf).drop("vec_id", "label"))
+    rep = an.analyze(fx.embeddings_wide(spark, sf).drop("vec_id", "label"))
     return rep.findings
 
 

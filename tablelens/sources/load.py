@@ -42,7 +42,8 @@ def file_type(name: str) -> str:
 
 def file_type_expr(name: Column) -> Column:
     """S01 as an expression over a column of names (null for unsupported names)."""
-    low = F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))
+    path = F.regexp_replace(name, r"[?#].*$", "")
+    low = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
     m = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))])
     return m[low]
 
@@ -50,14 +51,12 @@ def file_type_expr(name: Column) -> Column:
 def sniff_delimiter(spark: SparkSession, path: str, default: str = ",") -> str:
     """The candidate whose count per line is the same non-zero number on most lines
     of the first 64 KiB (one bounded read of the file head)."""
-    head = spark.read.text(path, wholetext=False).limit(2000)
-    lines = [r[0] for r in head.collect()]  # <= 2000 lines of the head only
     size, kept = 0, []
-    for line in lines:
-        size += len(line.encode("utf-8")) + 1
+    for row in spark.read.text(path, wholetext=False).toLocalIterator():  # stops after SNIFF_BYTES
+        size += len(row[0].encode("utf-8")) + 1
         if size > SNIFF_BYTES:
             break
-        kept.append(line)
+        kept.append(row[0])
     kept = [ln for ln in kept if ln.strip()]
     best, best_score = default, 0
     for cand in DELIMITER_CANDIDATES:
@@ -105,10 +104,11 @@ class LoadInfo:
     sample_size: int | None
 
 
-def load_dataset(spark: SparkSession, path: str, sample_threshold: int | None = SAMPLE_THRESHOLD,
+def load_dataset(spark: SparkSession, path: str, sample_threshold: int | None = None,
                  sample_size: int = SAMPLE_SIZE, seed: int = SEED, sep: str | None = None,
                  encoding: str = "UTF-8") -> LoadInfo:
-    """Read by type, NaN to null, reject empty data, sample when large."""
+    """Read by type, NaN to null, reject empty data; all rows unless a ``sample_threshold``
+    (``SAMPLE_THRESHOLD`` is the usual one) asks for an exact-size sample of larger tables."""
     kind = file_type(path)
     try:
         if kind in ("csv", "tsv"):

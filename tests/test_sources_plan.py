@@ -82,7 +82,7 @@ def test_severity_buckets(spark):
     sev = [r["severity"] for r in fi.missing_findings(df).where("bullet = 0").collect()]
     assert sev == ["info", "warning", "warning", "critical"]
     texts = [r["text"] for r in fi.missing_findings(df.limit(1)).collect()]
-    assert texts == ["No missing values were found in any column."]
+    assert texts == ["Every column is complete."]
 
 
 def test_sniff_pipe_and_tab_and_type_expr(spark, tmp_path):
