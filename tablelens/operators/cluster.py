@@ -17,6 +17,7 @@ import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def hopkins(df: DataFrame, features: list[str], seed: int = SEED, m: int | None
 
     Three passes, nothing cached: moments and ranges (one aggregate; the
     standardisation and the box follow from them), the sample (a bounded
-    top-50), and one aggregate of the 100 nearest distances.
+    top-50), and one pass that keeps the 100 nearest distances per task.
     """
     spark = df.sparkSession
     data = df.select(*([q(key)] if key else []), *[q(c).cast("double").alias(c) for c in features]).dropna(subset=features)
@@ -157,23 +158,28 @@ def hopkins(df: DataFrame, features: list[str], seed: int = SEED, m: int | None
     uni = [[lo[j] + (hi[j] - lo[j]) * _u01(f"{seed}:u:{i}:{j}") for j in range(len(features))]
            for i in range(m)]
 
-    def dist(p):
-        s2 = F.lit(0.0)
-        for c, v in zip(features, p):
-            s2 = s2 + F.pow(F.col(c) - F.lit(float(v)), 2)
-        return F.sqrt(s2)
-
-    groups = [[F.min(dist(p)).alias(f"u{i}")] for i, p in enumerate(uni)]
-    for i, p in enumerate(sample):
-        d = dist(p)
-        groups.append([F.count_if(d == 0).alias(f"z{i}"), F.min(F.when(d > 0, d)).alias(f"w{i}")])
-    row = agg_one_row(z, groups, [1] * len(uni) + [2] * len(sample)).first()  # one row
-    su = sum(row[f"u{i}"] for i in range(m))
-    sw = 0.0
-    for i in range(m):
-        if row[f"z{i}"] >= 2 or row[f"w{i}"] is None:
-            continue
-        sw += row[f"w{i}"]
+    points = np.array(uni + sample, dtype=float)
+
+    def nearest(batches):
+        """Per task: each probe's smallest distance and smallest positive one, and its number of zeros."""
+        low = np.full(len(points), np.inf)
+        positive, zeros = low.copy(), np.zeros(len(points), np.int64)
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            for i, p in enumerate(points if len(x) else []):
+                d = np.sqrt(((x - p) ** 2).sum(1))
+                at_zero = d == 0
+                zeros[i] += int(at_zero.sum())
+                low[i] = min(low[i], d.min())
+                if not at_zero.all():
+                    positive[i] = min(positive[i], d[~at_zero].min())
+        yield pd.DataFrame({"i": np.arange(len(points)), "low": low, "positive": positive, "zeros": zeros})
+
+    found = (z.select(*features).mapInPandas(nearest, "i int, low double, positive double, zeros long").groupBy("i")
+             .agg(F.min("low").alias("low"), F.min("positive").alias("positive"), F.sum("zeros").alias("zeros"))
+             .orderBy("i").collect())  # one row per probe, <= 100
+    su = sum(r["low"] for r in found[:m])
+    sw = sum(r["positive"] for r in found[m:] if r["zeros"] < 2 and np.isfinite(r["positive"]))
     h = su / (su + sw) if (su + sw) > 0 else 0.5
     return spark.createDataFrame([(round(float(h), 4), int(m))], "hopkins_statistic double, sample_size int")
 
