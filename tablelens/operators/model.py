@@ -23,6 +23,7 @@ from tablelens.functions.columns import family, q
 from tablelens.functions.sampling import SEED, md5_key
 from tablelens.operators import correlation as co
 from tablelens.operators import features as fe
+from tablelens.session import checkpoint_dir
 
 # Fixed values that must equal the reference's rules.
 N_TREES = 200
@@ -159,6 +160,8 @@ def _prepare(df: DataFrame, target: str, key: str, problem_type: str):
         train, test = fe.stratified_split(df, target, key, TEST_SIZE)
     else:
         train, test = fe.random_split(df, key, TEST_SIZE)
+    checkpoint_dir(df.sparkSession)
+    train, test = train.checkpoint(), test.checkpoint()   # fitting reads them many times: the split runs once
     settings = fe.FeatureSettings(scaling="none")
     pre = fe.build_preprocessor(train, num, cat, settings)
     return num, cat, train, test, pre
