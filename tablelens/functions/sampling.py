@@ -106,9 +106,9 @@ def flag_lowest_k(df: DataFrame, key: Column, k_of_n, group_cols: list[str] | No
     upto = matched(counted, check.select(*gcols, "__below", "__kk")).withColumn("__upto", F.col("__below") + F.sum("__m").over(w))
     cut = upto.where((F.col("__upto") >= F.col("__kk")) & (F.col("__upto") - F.col("__m") < F.col("__kk"))).select(
         *gcols, F.col("__h").alias("__cut"), (F.col("__kk") - F.col("__upto") + F.col("__m")).alias("__take"), F.col("__m").alias("__same"))
-    limits = matched(sizes.select(*gcols, "__k"), cut, "left")
+    limits = matched(br.select(*gcols, "__lo"), cut, "left")     # no cut: the count is reached below the bracket
     out = matched(data, small(limits))
-    sure = F.col("__h") < F.coalesce(F.col("__cut"), F.lit(""))
+    sure = (F.col("__u") < F.col("__lo")) | (F.col("__h") < F.coalesce(F.col("__cut"), F.lit("")))
     whole = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__take") >= F.col("__same")), F.lit(False))
     split = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__take") < F.col("__same")), F.lit(False))
     plain = out.where(~split).select(*df.columns, (sure | whole).alias("__sel"))

@@ -39,17 +39,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    from pyspark import SparkConf
-    given = SparkConf()
     builder = SparkSession.builder.appName(app_name)
-    if master or not given.contains("spark.master"):
+    # started by spark-submit or with its arguments: master and memory are settled there
+    submitted = bool(os.environ.get("PYSPARK_GATEWAY_PORT") or os.environ.get("PYSPARK_SUBMIT_ARGS"))
+    if master or not submitted:
         builder = builder.master(master or os.environ.get("TABLELENS_MASTER", "local[8]"))
-    for key, value in {**_DEFAULTS, "spark.driver.memory": os.environ.get("TABLELENS_DRIVER_MEM", "16g")}.items():
-        if not given.contains(key):
+    if not submitted:
+        for key, value in {**_DEFAULTS, "spark.driver.memory": os.environ.get("TABLELENS_DRIVER_MEM", "16g")}.items():
             builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in _DEFAULTS.items() if submitted else ():
+        if key.startswith("spark.sql.") and not given.contains(key):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
     return spark
