@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.llm import tokens as _tokens
 from tablelens.llm.common import register, table
@@ -28,7 +29,7 @@ from tablelens.llm.pieces import SPACE, Transducer, code_points, utf8_extra
 
 
 #: texts encoded and decoded together
-SLICE = 1000
+SLICE = 300
 
 
 class Encoder:
@@ -187,13 +188,27 @@ def decoded(spark: SparkSession, ids: Column, model_path: str) -> Column:
     return text_of(ids)
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``piece_ids`` and ``n_pieces``, one row per row; null text: no ids.
 
-    A column of one of those names is replaced. Empty table: empty result.
+    A column of one of those names is replaced. Empty table: empty result. Rows pass through
+    as Arrow slices of ``SLICE`` texts, so a task holds the ids of one slice.
     """
-    return (docs.withColumn("piece_ids", encoded(docs.sparkSession, F.col("text"), model_path))
-            .withColumn("n_pieces", F.size("piece_ids").cast("long")))
+    tables = docs.sparkSession.sparkContext.broadcast(_tokens.compile_tables(model_path))
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("piece_ids", "n_pieces")])
+    at = [c.lower() for c in kept.columns].index(text_col.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = Encoder(_tokens.machine(tables.value))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                ids = enc.encode([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, _id_lists(ids), pa.array([len(i) for i in ids], pa.int64())],
+                                                 names=[*part.schema.names, "piece_ids", "n_pieces"])
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType())])
+    return kept.mapInArrow(run, schema)
 
 
 def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ EPOCHS, RATE, DECAY, BATCHES = 150, 0.1, 0.0, 4
 #: a minibatch's unlabelled risk may fall below zero by this share of the prior (sampling noise) before it is turned round
 SLACK = 1.0
 HELD_OUT_FOLDS = 5
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 
 def word_parts(word: str) -> list[int]:
