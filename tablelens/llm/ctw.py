@@ -33,7 +33,7 @@ from tablelens.llm.common import held_out, register, table, written
 from tablelens.llm.pieces import LongMap
 
 DEPTH, TOP = 5, 2                 # bytes of context; levels 0 .. TOP-1 are mixed on the driver
-BLOCK_BYTES, CHUNK_BYTES = 28_000_000, 1_000_000
+BLOCK_BYTES, CHUNK_BYTES = 14_000_000, 1_000_000
 END = b"\n"
 HELD_OUT_FOLDS = 10
 LN_HALF = float(np.log(0.5))
