@@ -378,3 +378,51 @@ def test_chains_equal_brute_force():
 def test_cut_passages_keeps_the_rest():
     assert substring.cut_passages("  a b\tc  d\n", [(1, 3)]) == "  a d\n"
     assert substring.cut_passages("a b", [(0, 2)]) == "" and substring.cut_passages("", [(0, 1)]) == ""
+
+
+def covered(rows, i, of):
+    """Words of document i that passages report, against documents for which ``of`` holds."""
+    out = set()
+    for r in rows:
+        if r.doc_id == i and of(r.other_id):
+            out |= set(range(r.start, r.end))
+        if r.other_id == i and of(r.doc_id):
+            out |= set(range(r.ostart, r.oend))
+    return out
+
+
+def test_passages_whose_ends_a_third_document_quotes(spark):
+    texts = []
+    for k in range(30):
+        p = words(55, 2000 + k).split()
+        quotes = " ".join([words(30, 2100 + k), *p[:20], words(30, 2200 + k), *p[-20:], words(30, 2300 + k)])
+        texts += [quotes, words(40, 2400 + k) + " " + " ".join(p), " ".join(p) + " " + words(40, 2500 + k)]
+    rows = substring.passages(frame(spark, texts, list(range(90)))).collect()
+    for k in range(30):
+        b, c = 3 * k + 1, 3 * k + 2
+        assert set(range(40, 95)) <= covered(rows, b, lambda o: o == c) and set(range(55)) <= covered(rows, c, lambda o: o == b)
+
+
+def test_widest_passage_around_a_segment():
+    r = random.Random(9)
+    for _ in range(300):
+        n, m = r.randrange(0, 40), r.randrange(0, 40)
+        same = np.array([r.random() < 0.6 for _ in range(n)] + [True] * 50 + [r.random() < 0.6 for _ in range(m)])
+        a = np.arange(len(same))
+        b = np.where(same, a, -1)
+        (x0, x1, y0, y1, equal), = substring._within(a, b, n, n, n + 50, n + 50)
+        best = max(j - i for i in range(n + 1) for j in range(n + 50, len(same) + 1) if same[i] and same[j - 1]
+                   and same[i:j].sum() >= 0.8 * (j - i) - 1e-9)
+        assert (x0, x1) == (y0, y1) and x1 - x0 == best and equal == same[x0:x1].sum() and same[x0] and same[x1 - 1]
+
+
+def test_ranges_kept_hold_all_words():
+    r = random.Random(4)
+    for _ in range(200):
+        lo = np.array([r.randrange(80) for _ in range(r.randrange(1, 20))])
+        hi, doc = lo + np.array([r.randrange(3, 15) for _ in lo]), np.array([r.randrange(2) for _ in lo])
+        kept = substring._cover(doc, doc, lo, hi)
+        for d in set(doc):
+            held = [{w for i in of if doc[i] == d for w in range(lo[i], hi[i])} for of in (range(len(lo)), kept)]
+            assert held[0] == held[1]
+    assert len(substring._cover(np.zeros(100, int), np.zeros(100, int), np.arange(100), np.arange(100) + 50)) == 3
