@@ -403,6 +403,25 @@ def test_passages_whose_ends_a_third_document_quotes(spark):
         assert set(range(40, 95)) <= covered(rows, b, lambda o: o == c) and set(range(55)) <= covered(rows, c, lambda o: o == b)
 
 
+def test_passages_held_twice(spark):
+    texts = []
+    for k in range(12):
+        p, q = words(100, 2600 + k), words(60, 2700 + k)
+        half = " ".join(q.split()[:30])
+        texts += [" ".join([words(70, 2800 + k), p, words(70, 2900 + k), p, words(20, 3000 + k)]), words(35, 3100 + k) + " " + p,
+                  " ".join([half, words(80, 3200 + k), q, words(20, 3300 + k)]), words(25, 3400 + k) + " " + q]
+    docs = frame(spark, texts, list(range(48)))
+    rows = substring.passages(docs).collect()
+    left = {r.doc_id: r.text for r in substring.without_repeats(docs).collect()}
+    for k in range(12):
+        a, b, c, d = range(4 * k, 4 * k + 4)
+        if any(r.doc_id == a for r in rows):
+            assert {*range(70, 170), *range(240, 340)} <= covered(rows, a, lambda o: o == b)
+        p, q = words(100, 2600 + k), words(60, 2700 + k)
+        assert not (p in left[a] and p in left.get(b, "")) and not (q in left[c] and q in left.get(d, ""))
+        assert any({r.doc_id, r.other_id} == {c, d} for r in rows)
+
+
 def test_widest_passage_around_a_segment():
     r = random.Random(9)
     for _ in range(300):
