@@ -429,7 +429,7 @@ def test_widest_passage_around_a_segment():
         same = np.array([r.random() < 0.6 for _ in range(n)] + [True] * 50 + [r.random() < 0.6 for _ in range(m)])
         a = np.arange(len(same))
         b = np.where(same, a, -1)
-        (x0, x1, y0, y1, equal), = substring._within(a, b, n, n, n + 50, n + 50)
+        (x0, x1, y0, y1, equal), = substring._within(a, b, n, n, n + 50, n + 50, 50)
         best = max(j - i for i in range(n + 1) for j in range(n + 50, len(same) + 1) if same[i] and same[j - 1]
                    and same[i:j].sum() >= 0.8 * (j - i) - 1e-9)
         assert (x0, x1) == (y0, y1) and x1 - x0 == best and equal == same[x0:x1].sum() and same[x0] and same[x1 - 1]
@@ -445,3 +445,24 @@ def test_ranges_kept_hold_all_words():
             held = [{w for i in of if doc[i] == d for w in range(lo[i], hi[i])} for of in (range(len(lo)), kept)]
             assert held[0] == held[1]
     assert len(substring._cover(np.zeros(100, int), np.zeros(100, int), np.arange(100), np.arange(100) + 50)) == 3
+
+
+@pytest.mark.parametrize("changed", ["replaced", "mixed"])
+def test_passages_with_changed_words(spark, changed):
+    r, texts = random.Random(6), []
+    kinds = [(n, rate) for n in (50, 70, 100) for rate in (0.05, 0.1, 0.15, 0.2) for _ in range(10)]
+    for k, (n, rate) in enumerate(kinds):
+        p = words(n, 4000 + k, 5000).split()
+        q = list(p)
+        for i in r.sample(range(1, n - 1), round(n * rate) - (changed == "mixed")):
+            q[i] = "new%d" % r.randrange(10**9)
+        if changed == "mixed":
+            q.insert(n // 2, "more%d" % k)
+        texts += [" ".join([words(60, 5000 + k, 5000), *p, words(60, 6000 + k, 5000)]),
+                  " ".join([words(80, 7000 + k, 5000), *q, words(70, 8000 + k, 5000)])]
+    rows = substring.passages(frame(spark, texts, list(range(len(texts))))).collect()
+    assert all(r.equal >= 0.8 * max(r.end - r.start, r.oend - r.ostart) and max(r.end - r.start, r.oend - r.ostart) >= 50 for r in rows)
+    found = {frozenset((r.doc_id, r.other_id)) for r in rows}
+    missed = Counter(kinds[k] for k in range(len(kinds)) if frozenset((2 * k, 2 * k + 1)) not in found)
+    assert sum(missed.values()) <= 0.02 * len(kinds), missed
+    assert len(rows) == len({(r.doc_id, r.other_id, r.start, r.end) for r in rows}) and len(rows) <= 1.1 * len(kinds)
