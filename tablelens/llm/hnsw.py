@@ -6,9 +6,12 @@ hierarchical graph. Query blocks of the same label go to every shard, once each,
 (shard, block) groups of bounded size, so a hot label is many even groups.
 
 A search keeps a beam of ``BEAM`` candidates. While a query's beam is full of links it is
-widened (doubled), so a group of thousands is found whole. A sample of each
-block is audited by brute force over the shard; as long as a true link is missing, the
-whole block's beam is doubled. Found candidates are verified by cosine in double
+widened (doubled), so a group of thousands is found whole. Every point of a shard is searched
+for by its own vector once the graph is built; those not found (few links lead there) are
+compared with every query instead. Of each block ``AUDIT`` rows are audited by brute force
+over the shard: while one of their true ``NEAR`` nearest points is missing, whatever its cosine, the
+block's beam is doubled (no miss in 256 points: recall above 98.8 % at 95 % confidence), and from a
+``SCAN``-th of the shard on the whole shard is compared. Found candidates are verified by cosine in double
 precision. Tasks return link counts per point and a spanning forest of their links, never
 the pairs of a group; components join the forests.
 """
@@ -27,7 +30,7 @@ from tablelens.llm.common import broadcast_if_small, components, register, table
 
 SHARD, QUERY_BLOCK = 16_384, 8192
 OUT_LINKS, IN_LINKS, BUILD_BEAM, BEAM, LANES, EXPAND = 12, 24, 40, 32, 512, 4
-AUDIT = 16
+AUDIT, NEAR, SCAN = 64, 4, 16
 THRESHOLD = 0.93
 
 
@@ -172,14 +175,29 @@ class Graph:
         order = np.argsort(-sim, 1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of q, point) of at least that similarity, as far as the beam finds them; full beams are widened."""
-        q = q.astype(np.float32)
-        n = len(self.x)
+    def _start(self, q: np.ndarray) -> np.ndarray:
         start = np.zeros(len(q), np.int64)
         for layer in reversed(self.links[1:]):
             ids, _ = self._walk(layer, q, start, 8)
             start = ids[:, 0]
+        return start
+
+    def nearest(self, q: np.ndarray, beam: int) -> np.ndarray:
+        """The points in each row's beam, best first."""
+        q = q.astype(np.float32)
+        return self._walk(self.links[0], q, self._start(q), min(beam, len(self.x)))[0]
+
+    def lost(self, beam: int) -> np.ndarray:
+        """Points that a search for their own vector doesn't find."""
+        if not len(self.x):
+            return np.zeros(0, np.int64)
+        return np.flatnonzero((self.nearest(self.x, beam) != np.arange(len(self.x))[:, None]).all(1))
+
+    def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of q, point) of at least that similarity, as far as the beam finds them; full beams are widened."""
+        q = q.astype(np.float32)
+        n = len(self.x)
+        start = self._start(q)
         rows, found_r, found_i = np.arange(len(q)), [], []
         while len(rows):
             beam = min(beam, n)
@@ -205,7 +223,31 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     g = Graph.build(x)
     return pd.DataFrame({"label": [rows["label"][0]], "shard": [rows["shard"][0]], "blocks": [rows["blocks"][0]],
                          "points": [rows["point"].to_numpy(np.int64).tobytes()], "copies": [rows["copies"].to_numpy(np.int64).tobytes()],
-                         "x": [x.tobytes()], "sizes": [[len(a) for a in g.links]], "links": [[a.tobytes() for a in g.links]]})
+                         "x": [x.tobytes()], "lost": [g.lost(BEAM).astype(np.int64).tobytes()], "sizes": [[len(a) for a in g.links]], "links": [[a.tobytes() for a in g.links]]})
+
+
+def _scan(u: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (row of u, row of x) of at least that similarity."""
+    found = [(k + r, c) for k in range(0, len(u), 512) for r, c in [np.nonzero(u[k:k + 512] @ x.T >= least)]]
+    return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+
+
+def _candidates(g: Graph, u: np.ndarray, x: np.ndarray, lost: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of u, point) of at least that similarity, by a beam that passes the audit or by comparing all."""
+    probe = np.unique(np.linspace(0, len(u) - 1, AUDIT).astype(int))
+    near = np.argsort(-(u[probe] @ x.T), 1, kind="stable")[:, :NEAR]
+    easy, beam = np.isin(near, lost), BEAM
+    while beam * SCAN < len(x):
+        ids = g.nearest(u[probe], beam)
+        if (easy | (near[:, :, None] == ids[:, None]).any(2)).all():
+            row, at = g.within(u, least, beam)
+            if not len(lost):
+                return row, at
+            walked = ~np.isin(at, lost)
+            r, c = _scan(u, x[lost], least)
+            return np.concatenate([row[walked], r]), np.concatenate([at[walked], lost[c]])
+        beam *= 2
+    return _scan(u, x, least)
 
 
 def _probe(threshold: float):
@@ -221,18 +263,11 @@ def _probe(threshold: float):
         g = Graph(x, [np.frombuffer(b, np.int32).reshape(n, -1) for b, n in zip(s["links"], s["sizes"])])
         q = q.sort_values("point").reset_index(drop=True)
         u, own = _stack(q["u"]), q["point"].to_numpy(np.int64)
-        least, beam = threshold - 1e-4, min(BEAM, len(points))
-        probe = np.unique(np.linspace(0, len(u) - 1, AUDIT).astype(int))
-        truth = (u[probe] @ x.T >= threshold).sum()
-        while True:
-            row, at = g.within(u, least, beam)
-            sim = np.concatenate([np.einsum("ij,ij->i", u[row[k:k + 200_000]], x[at[k:k + 200_000]])
-                                  for k in range(0, max(1, len(row)), 200_000)])
-            linked = sim >= threshold
-            row, at = row[linked], at[linked]
-            if np.isin(row, probe).sum() >= truth or beam >= len(points):
-                break
-            beam = min(beam * 2, len(points))
+        row, at = _candidates(g, u, x, np.frombuffer(s["lost"], np.int64), threshold - 1e-4)
+        sim = np.concatenate([np.einsum("ij,ij->i", u[row[k:k + 200_000]], x[at[k:k + 200_000]])
+                              for k in range(0, max(1, len(row)), 200_000)])
+        linked = sim >= threshold
+        row, at = row[linked], at[linked]
         other = own[row] != points[at]
         row, at = row[other], at[other]
         counts = np.bincount(row, copies[at], len(u)).astype(np.int64)
@@ -272,7 +307,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
             .withColumn("block", F.pmod(F.xxhash64("point", F.lit(1)), F.col("blocks")).cast("int")))
     kind = unit.schema["label"].dataType.simpleString()
     graphs = written(unit.select("label", "shard", "blocks", "point", "copies", "u").groupBy("label", "shard").applyInPandas(
-        _pack, f"label {kind}, shard int, blocks int, points binary, copies binary, x binary, sizes array<long>, links array<binary>"))
+        _pack, f"label {kind}, shard int, blocks int, points binary, copies binary, x binary, lost binary, sizes array<long>, links array<binary>"))
     asked = unit.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("label", "shard", "block", "point", "u")
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     keys = ("label", "shard", "block")

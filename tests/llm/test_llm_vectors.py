@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,41 @@ def test_graph_search_is_no_scan():
     assert np.mean([len(set(t) & set(i)) / 10 for t, i in zip(true, ids)]) > 0.9
 
 
+def test_points_that_the_graph_lost_are_linked(monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    build, hidden = hnsw.Graph.build, []
+
+    def cut(v):
+        g = build(v)
+        hidden.append(v[2000])
+        g.links = [np.where(a == 2000, -1, a).astype(np.int32) for a in g.links]      # nothing leads to this point
+        return g
+
+    monkeypatch.setattr(hnsw.Graph, "build", staticmethod(cut))
+    shard = hnsw._pack(pd.DataFrame({"label": 1, "shard": 0, "blocks": 1, "point": range(3000), "copies": 1, "u": list(x)}))
+    near = r.standard_normal((300, 16))
+    near[150] = hidden[0] + 0.005 * r.standard_normal(16)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    out = hnsw._probe(0.93)(pd.DataFrame({"point": range(5000, 5300), "u": list(near)}), shard)
+    want = (near @ x.T >= 0.93).sum(1)
+    got = out[out.b.isna()].set_index("a").n
+    assert want[150] and {int(a) - 5000: int(n) for a, n in got.items()} == {i: int(n) for i, n in enumerate(want) if n}
+
+
+def test_audit_without_links_is_not_empty():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ring = np.stack([(np.arange(3000) + d) % 3000 for d in (1, 2)], 1).astype(np.int32)    # a graph that leads nowhere
+    u = np.concatenate([r.standard_normal((300, 16)), x[1500:1501] + 0.005])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    row, at = hnsw._candidates(hnsw.Graph(x, [ring]), u, x, np.zeros(0, np.int64), 0.93)
+    want = u @ x.T >= 0.93
+    assert want[300, 1500] and sorted(zip(row, at)) == sorted(zip(*np.nonzero(want)))
+
+
 def plain_nearest(rows, k):
     ids = np.array([r[0] for r in rows])
     x = np.array([r[1] for r in rows], np.float64)
