@@ -40,6 +40,8 @@ from tablelens.session import checkpoint_dir
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: words of a segment; positions between its documents, longest span that can be asked; windows that are asked together
 SEGMENT, REACH, BLOCK = 1 << 20, 32, 100_000
+#: keys of needed lists that are broadcast (16 bytes each) after they have been counted; more are joined by a shuffle
+KEYS = 1_000_000
 
 
 # ---- words
@@ -273,8 +275,14 @@ def occurrences(index: DataFrame, windows: DataFrame, slack: int = 2) -> DataFra
             continue
         rare = postings.select("segment", "term", "positions").join(asked_terms(asked.rarest()), "term")
         found = written(rare.groupBy("segment").applyInPandas(_places(asked), "segment long, window long, at array<int>"))
-        needed = broadcast_if_small(found.join(windows, "window").select("segment", F.explode("terms").alias("term")).distinct())
-        lists = postings.join(needed, ["segment", "term"]).select("segment", "term", "positions", "base", "owned", "doc", "first")
+        left = [r["window"] for r in found.select("window").distinct().collect()]
+        vocabulary = sorted({t for w in left for t, _ in asked.plan[asked.at[w]]})
+        # lists are told by a hash of (segment, term): one too many does no harm, its term isn't looked up
+        key = F.xxhash64("segment", "term")
+        needed = written(found.join(windows, "window").select("segment", F.explode("terms").alias("term")).select(key.alias("key")).distinct())
+        lists = (postings.join(asked_terms(vocabulary), "term").withColumn("key", key)
+                 .join(F.broadcast(needed) if needed.count() <= KEYS else needed, "key", "left_semi")
+                 .select("segment", "term", "positions", "base", "owned", "doc", "first"))
         own = (parts.join(broadcast_if_small(found.select("segment").distinct()), "segment")
                .select("segment", "term", "positions", "base", "owned", "doc", "first"))
         hits = found.groupBy("segment").cogroup(lists.unionByName(own).groupBy("segment")).applyInPandas(_verify(asked), _HITS)
