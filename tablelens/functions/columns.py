@@ -82,7 +82,7 @@ def as_text(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     c = q(name)
     if isinstance(dtype, FLOAT_TYPES):
-        return (c + F.lit(0.0)).cast("string")
+        return (F.nanvl(c, F.lit(None).cast(dtype)) + F.lit(0.0)).cast("string")
     if isinstance(dtype, NESTED_TYPES):
         return F.to_json(c) if not isinstance(dtype, T.ArrayType) else F.to_json(F.struct(c.alias("v")))
     return c.cast("string")

@@ -57,6 +57,11 @@ def present(x: Column) -> Column:
     return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
 
 
+def gone(df: DataFrame, name: str) -> Column:
+    """The cell is missing: null, or NaN in a float column."""
+    return q(name).isNull() | F.isnan(q(name)) if is_float(df, name) else q(name).isNull()
+
+
 def moment_exprs(name: str) -> list[Column]:
     """Codegen-friendly aggregate expressions for one numeric column (prefixed names)."""
     x = present(q(name))
@@ -122,8 +127,7 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return spark.createDataFrame([], "column string, position int, n_rows long, missing_count long")
     groups = [[F.count(F.lit(1)).alias("\u0001rows")]]
     for i, c in enumerate(cols):
-        gone = q(c).isNull() | F.isnan(q(c)) if is_float(df, c) else q(c).isNull()
-        groups.append([F.count_if(gone).alias(f"m{i}")])
+        groups.append([F.count_if(gone(df, c)).alias(f"m{i}")])
     one = agg_one_row(df, groups, 1)
     rows = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                      F.col("`\u0001rows`").alias("n_rows"),
@@ -234,4 +238,4 @@ def quantile_row(df: DataFrame, cols: list[str], probs: Iterable[float] = QUANTI
         qv = exact_quantiles(df, cols, probs)
         return df.sparkSession.createDataFrame([tuple(qv[c] for c in cols)],
                                                ", ".join(f"`{prefix}{i}` array<double>" for i in range(len(cols))))
-    return df.agg(*[quantiles(q(c).cast("double"), probs).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
+    return df.agg(*[quantiles(present(q(c)), probs).alias(f"{prefix}{i}") for i, c in enumerate(cols)])

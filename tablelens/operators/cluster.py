@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import q
 from tablelens.operators import correlation as co
 from tablelens.functions.fused import agg_one_row
+from tablelens.functions.moments import present
 
 # Fixed values that must equal the reference's rules.
 MIN_FEATURES = 2
@@ -46,7 +47,7 @@ def complete_rows(df: DataFrame, features: list[str]) -> DataFrame:
 def scale_report(df: DataFrame, features: list[str]) -> DataFrame:
     """Std (ddof 1) of each feature over all its non-null rows, 3 decimals, plus the
     flag 'scales differ' (max/min of the positive stds > 10)."""
-    one = df.agg(*[F.stddev_samp(q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)])
+    one = df.agg(*[F.stddev_samp(present(q(c))).alias(f"s{i}") for i, c in enumerate(features)])
     rows = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                      F.round(F.col(f"s{i}"), 3).alias("std")) for i, c in enumerate(features)]
     long = one.select(F.inline(F.array(*rows)))

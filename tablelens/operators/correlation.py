@@ -1,8 +1,7 @@
 """Association steps (G16-G20) and the contingency machinery shared with C04.
 
-* Pearson: one fused aggregate of ``covar_samp`` / ``stddev_samp`` pairs
-  (numerically stable online updates; zero variance gives null, never a
-  division error).
+* Pearson: one scan that keeps a mergeable Gramian per task (``functions.gram``);
+  zero variance and non-finite moments give null, NaN cells are missing.
 * Spearman: average ranks from distinct values. Each column is reduced to
   ``(value, count)``; values are placed in equal-count buckets by an
   approximate-quantile sketch so the running count is a window over one
@@ -23,72 +22,35 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import as_text, q
 from tablelens.functions.dist import chi2_pvalue
-from tablelens.functions.fused import agg_one_row
+from tablelens.functions.gram import gram
+from tablelens.functions.moments import present
+
+
+def _value(x: float) -> float | None:
+    return None if np.isnan(x) else float(x)
 
 
 def pearson_pairs(df: DataFrame, cols: list[str], complete_rows: bool = True) -> DataFrame:
     """Long form ``(col_a, pos_a, col_b, pos_b, r, n)`` for every ordered pair incl. the diagonal.
 
-    ``complete_rows`` drops rows with a null in any chosen column first (the
-    correlation step); otherwise each pair uses its own non-null rows.
+    ``complete_rows`` drops rows with a missing cell (null or NaN) in any chosen column first (the
+    correlation step); otherwise each pair uses the rows where both are present. r is null where a
+    column has no spread or a moment is not finite. One scan (see ``functions.gram``).
     """
-    data = df.select(*[q(c).cast("double").alias(c) for c in cols])
-    if complete_rows:
-        data = data.dropna(subset=cols)
-    groups = [[F.count(F.lit(1)).alias("n_all")]]
-    weights = [1]
-    for i, a in enumerate(cols):
-        groups.append([F.stddev_samp(q(a)).alias(f"s{i}")])
-        weights.append(3)
-    for (i, a), (j, b) in itertools.combinations(enumerate(cols), 2):
-        g = [F.covar_samp(q(a), q(b)).alias(f"c{i}_{j}")]
-        if not complete_rows:
-            both = q(a).isNotNull() & q(b).isNotNull()
-            g += [F.stddev_samp(F.when(both, q(a))).alias(f"sa{i}_{j}"),
-                  F.stddev_samp(F.when(both, q(b))).alias(f"sb{i}_{j}"),
-                  F.count_if(both).alias(f"n{i}_{j}")]
-        groups.append(g)
-        weights.append(11 if not complete_rows else 4)
-    one = agg_one_row(data, groups, weights)
-    rows = []
-    for i, a in enumerate(cols):
-        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(i).alias("pos_a"), F.lit(a).alias("col_b"),
-                             F.lit(i).alias("pos_b"),
-                             F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("r"),
-                             F.col("n_all").alias("n")))
-    for (i, a), (j, b) in itertools.combinations(enumerate(cols), 2):
-        if complete_rows:
-            sa, sb, n = F.col(f"s{i}"), F.col(f"s{j}"), F.col("n_all")
-        else:
-            sa, sb, n = F.col(f"sa{i}_{j}"), F.col(f"sb{i}_{j}"), F.col(f"n{i}_{j}").cast("long")
-        r = F.when((sa > 0) & (sb > 0), F.col(f"c{i}_{j}") / (sa * sb))
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-        for (x, px), (y, py) in (((a, i), (b, j)), ((b, j), (a, i))):
-            rows.append(F.struct(F.lit(x).alias("col_a"), F.lit(px).alias("pos_a"), F.lit(y).alias("col_b"),
-                                 F.lit(py).alias("pos_b"), r.alias("r"), n.alias("n")))
-    return one.select(F.inline(F.array(*rows)))
+    g = gram(df, cols, complete_rows=complete_rows)
+    r = g.correlation()
+    rows = [(a, i, b, j, (1.0 if not np.isnan(r[i, i]) else None) if i == j else _value(r[i, j]), int(g.n[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "col_a string, pos_a int, col_b string, pos_b int, r double, n long")
 
 
 def pairs_with_target(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """``(column, position, r, n)``: Pearson of each feature with the target on the rows where
-    both are present (pairwise complete). Only feature x target pairs are aggregated."""
-    t = q(target).cast("double")
-    groups = []
-    for i, c in enumerate(features):
-        x = q(c).cast("double")
-        both = x.isNotNull() & t.isNotNull()
-        groups.append([F.covar_samp(F.when(both, x), F.when(both, t)).alias(f"c{i}"),
-                       F.stddev_samp(F.when(both, x)).alias(f"sx{i}"),
-                       F.stddev_samp(F.when(both, t)).alias(f"sy{i}"),
-                       F.count_if(both).alias(f"n{i}")])
-    one = agg_one_row(df, groups, 11)
-    rows = []
-    for i, c in enumerate(features):
-        sx, sy = F.col(f"sx{i}"), F.col(f"sy{i}")
-        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when((sx > 0) & (sy > 0), F.col(f"c{i}") / (sx * sy))))
-        rows.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), r.alias("r"),
-                             F.col(f"n{i}").cast("long").alias("n")))
-    return one.select(F.inline(F.array(*rows)))
+    both are present. Only feature x target pairs are aggregated."""
+    g = gram(df, features, [target])
+    r = g.correlation()
+    rows = [(c, i, _value(r[i, 0]), int(g.n[i, 0])) for i, c in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "column string, position int, r double, n long")
 
 
 BUCKET_VALUES = 200_000     # distinct values per rank bucket (one window task each)
@@ -104,7 +66,7 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
     (about ``BUCKET_VALUES`` per bucket, at least 8), so no bucket grows with
     the data; the offsets table has one row per bucket.
     """
-    x = q(col).cast("double")
+    x = present(q(col))
     vt = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
     if buckets is None:
         if ndv is None:
@@ -127,7 +89,7 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
 
 def spearman_pairs(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """Spearman matrix on complete rows: Pearson on average ranks."""
-    data = df.select(*[q(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    data = df.select(*[present(q(c)).alias(c) for c in cols]).dropna(subset=cols)
     est = data.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()  # one row
     ranked = data
     for i, c in enumerate(cols):

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions import freq as fq
 from tablelens.functions import moments as mo
-from tablelens.functions.columns import FLOAT_TYPES, family, q
+from tablelens.functions.columns import FLOAT_TYPES, family, nan_to_null, q
 from tablelens.functions.sampling import SEED, flag_lowest_k, lowest_k, split_by_value, md5_key
 
 # Fixed values that must equal the reference's rules.
@@ -103,7 +103,7 @@ def fit_fill_values(train: DataFrame, num_cols: list[str], cat_cols: list[str],
     """Fill values fitted on the train rows.
 
     Numeric: exact median (bounded-memory quantiles, see ``moments.quantile_row``),
-    mean, or most frequent. Categorical: most frequent with the smallest value on
+    mean, or most frequent (smallest on ties; counts per value, map-side combined). Categorical: most frequent with the smallest value on
     ties, read from the frequency table's top-1 (a partial top-k, no per-value
     map in one task).
     """
@@ -113,11 +113,17 @@ def fit_fill_values(train: DataFrame, num_cols: list[str], cat_cols: list[str],
             row = mo.quantile_row(train, num_cols, (0.5,)).first()  # one row
             for i, c in enumerate(num_cols):
                 out[c] = row[f"q{i}"][0] if row[f"q{i}"] else None
-        else:
-            e = {"mean": F.avg, "most_frequent": lambda x: F.mode(x, True)}[numeric_impute]
-            row = train.agg(*[e(q(c).cast("double")).alias(f"n{i}") for i, c in enumerate(num_cols)]).first()
+        elif numeric_impute == "mean":
+            row = train.agg(*[F.avg(mo.present(q(c))).alias(f"n{i}") for i, c in enumerate(num_cols)]).first()
             for i, c in enumerate(num_cols):
                 out[c] = row[f"n{i}"]
+        else:
+            cells = F.array(*[F.struct(F.lit(i).alias("i"), mo.present(q(c)).alias("x")) for i, c in enumerate(num_cols)])
+            counts = train.select(F.inline(cells)).where("x is not null").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
+            best = counts.groupBy("i").agg(F.min_by("x", F.struct(-F.col("n"), F.col("x"))).alias("x"))
+            found = {r["i"]: r["x"] for r in best.collect()}  # one row per column
+            for i, c in enumerate(num_cols):
+                out[c] = found.get(i)
     if cat_cols:
         casted = train.select(*[q(c).cast("string").alias(c) for c in cat_cols])
         top = fq.top_values(fq.frequency_table(casted, cat_cols), 1).select("column", "value").collect()  # <= 1 per column
@@ -133,7 +139,7 @@ def fit_scaling(train: DataFrame, num_cols: list[str], fills: dict[str, object])
         return {}
     exprs = []
     for i, c in enumerate(num_cols):
-        x = F.coalesce(q(c).cast("double"), F.lit(fills.get(c)).cast("double"))
+        x = F.coalesce(mo.present(q(c)), F.lit(fills.get(c)).cast("double"))
         exprs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
     row = train.agg(*exprs).first()  # one row
     return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0) for i, c in enumerate(num_cols)}
@@ -239,6 +245,7 @@ def feature_engineering(df: DataFrame, target: str | None, problem_type: str | N
     """F01-F12 end to end; returns the fitted pipeline and a one-row summary."""
     s = FeatureSettings.from_overrides(overrides)
     spark = df.sparkSession
+    df = nan_to_null(df)
     freq = fq.frequency_table(df)
     drops = drop_plan(df, target, s.drop_columns, freq)
     drop_rows = drops.collect()  # one row per dropped column
@@ -317,5 +324,5 @@ def frequency_encode(df: DataFrame, col: str) -> DataFrame:
 
 def target_encode(df: DataFrame, col: str, target: str) -> DataFrame:
     """Add ``<col>_target_mean`` = mean of the target per level (no smoothing)."""
-    means = df.groupBy(q(col).alias("__v")).agg(F.avg(q(target).cast("double")).alias(f"{col}_target_mean"))
+    means = df.groupBy(q(col).alias("__v")).agg(F.avg(mo.present(q(target))).alias(f"{col}_target_mean"))
     return df.join(means, df[col].eqNullSafe(means["__v"]), "left").drop("__v")

@@ -66,7 +66,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def missing_patterns(df: DataFrame) -> DataFrame:
     """G04 (re-aimed heat map): rows per pattern of missing cells, pattern = 0/1 per column."""
-    flags = [F.when(q(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in df.columns]
+    flags = [F.when(mo.gone(df, c), F.lit("1")).otherwise(F.lit("0")) for c in df.columns]
     return (df.select(F.concat(*flags).alias("pattern"))
             .groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
 
@@ -133,7 +133,7 @@ def skew_finding(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), q(c).cast("double").alias("x")) for c in cols]
+    cells = [F.struct(F.lit(c).alias("column"), mo.present(q(c)).alias("x")) for c in cols]
     return df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull())
 
 
@@ -146,7 +146,7 @@ def histogram(df: DataFrame, bins: int = 10, cols: list[str] | None = None) -> D
     """
     cols = numeric_columns(df) if cols is None else cols
     one = df.agg(*[e for i, c in enumerate(cols) for e in
-                   (F.min(q(c).cast("double")).alias(f"lo{i}"), F.max(q(c).cast("double")).alias(f"hi{i}"))])
+                   (F.min(mo.present(q(c))).alias(f"lo{i}"), F.max(mo.present(q(c))).alias(f"hi{i}"))])
     ranges = one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                  F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, c in enumerate(cols)])))
@@ -175,8 +175,8 @@ def fences(df: DataFrame, cols: list[str] | None = None, exact: bool = True) ->
     """Pass 1 of the outlier steps: one row with q1/median/q3, mean, population std and n per
     column (moments in a codegen aggregate, quantiles in their own)."""
     cols = numeric_columns(df) if cols is None else cols
-    mom = agg_one_row(df, [[F.avg(q(c).cast("double")).alias(f"m{i}"), F.stddev_pop(q(c).cast("double")).alias(f"s{i}"),
-                            F.count(q(c)).alias(f"n{i}")] for i, c in enumerate(cols)], 6)
+    mom = agg_one_row(df, [[F.avg(mo.present(q(c))).alias(f"m{i}"), F.stddev_pop(mo.present(q(c))).alias(f"s{i}"),
+                            F.count(mo.present(q(c))).alias(f"n{i}")] for i, c in enumerate(cols)], 6)
     return mom.crossJoin(mo.quantile_row(df, cols, (0.25, 0.5, 0.75), exact=exact))  # one row by one row
 
 
@@ -206,7 +206,7 @@ def outlier_table(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
         q1, med, q3 = qs
         iqr = q3 - q1
         lo, hi = q1 - IQR_K * iqr, q3 + IQR_K * iqr
-        x = q(c).cast("double")
+        x = mo.present(q(c))
         z = (F.abs(x - F.lit(m)) > F.lit(Z_K * s)) if (s is not None and s > 0) else F.lit(False)
         groups.append([F.count_if((x < F.lit(lo)) | (x > F.lit(hi))).alias(f"io{i}"),
                        F.count_if(z).alias(f"zo{i}"),

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import freq as fq
-from tablelens.functions.columns import family, q
+from tablelens.functions import moments as mo
+from tablelens.functions.columns import family, nan_to_null, q
 from tablelens.functions.sampling import SEED, md5_key
 from tablelens.operators import correlation as co
 from tablelens.operators import features as fe
@@ -91,7 +92,7 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 def roc_auc(pred: DataFrame, label: str, score: str, positive: str = "1") -> DataFrame:
     """ROC AUC by the rank-sum statistic (average ranks for ties); two classes only."""
-    data = pred.select(q(label).cast("string").alias("y"), q(score).cast("double").alias("s")).where(
+    data = pred.select(q(label).cast("string").alias("y"), mo.present(q(score)).alias("s")).where(
         F.col("y").isNotNull() & F.col("s").isNotNull())
     ranks = co.average_ranks(data, "s")
     j = data.join(ranks, data["s"] == ranks["v"])
@@ -106,7 +107,7 @@ def roc_auc(pred: DataFrame, label: str, score: str, positive: str = "1") -> Dat
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """RMSE, MAE and R^2 (1 - SSE / SST around the label mean), 4 decimals, one aggregate."""
-    y, p = q(label).cast("double"), q(prediction).cast("double")
+    y, p = mo.present(q(label)), mo.present(q(prediction))
     one = pred.agg(F.avg(F.pow(y - p, 2)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"),
                    F.sum(F.pow(y - p, 2)).alias("sse"), F.var_pop(y).alias("vy"), F.count(y).alias("n"))
     r2 = F.when(F.col("vy") > 0, 1 - F.col("sse") / (F.col("vy") * F.col("n")))
@@ -174,6 +175,7 @@ def baseline(df: DataFrame, target: str, problem_type: str, key: str, seed: int
     Class labels of any type are indexed in order; ``predictions`` has ``predicted_class`` as text.
     """
     spark = df.sparkSession
+    df = nan_to_null(df)
     reason = gate(df, target, problem_type)
     skip_schema = "target string, problem_type string, skipped_reason string"
     if reason:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import DATETIME_TYPES, family, q
+from tablelens.functions.moments import present
 
 # Fixed values that must equal the reference's rules.
 # Season length per frequency prefix (the text before "-"):
@@ -78,7 +79,7 @@ def ordered_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """(ts, y) with parsed dates, null dates dropped. Order is applied by position later."""
     dt = df.schema[date_col].dataType
     ts = q(date_col) if isinstance(dt, DATETIME_TYPES) else F.try_to_timestamp(q(date_col))
-    return (df.select(ts.cast("timestamp_ntz").alias("ts"), q(value_col).cast("double").alias("y"))
+    return (df.select(ts.cast("timestamp_ntz").alias("ts"), present(q(value_col)).alias("y"))
             .where(F.col("ts").isNotNull()))
 
 

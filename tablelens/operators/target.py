@@ -54,7 +54,7 @@ def imbalance(df: DataFrame, target: str) -> DataFrame:
 def _long_pairs(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """(feature, y, x) for rows where both the feature and the target are present."""
     y = as_text(df, target)
-    cells = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), q(c).cast("double").alias("x"))
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), mo.present(q(c)).alias("x"))
              for i, c in enumerate(features)]
     return (df.select(y.alias("y"), F.inline(F.array(*cells)))
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
@@ -104,7 +104,7 @@ def quantile_bins(df: DataFrame, cols: list[str], bins: int = 10, exact: bool =
     edges = mo.quantile_row(df, cols, probs, exact=exact, prefix="__e")
     out = df.crossJoin(F.broadcast(edges))  # one-row side
     for i, c in enumerate(cols):
-        x = q(c).cast("double")
+        x = mo.present(q(c))
         out = out.withColumn(f"{c}__bin", F.when(x.isNotNull(), F.size(F.filter(f"__e{i}", lambda e: e < x))))
     return out.drop(*[f"__e{i}" for i in range(len(cols))])
 
@@ -116,7 +116,7 @@ def median_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     med = mo.quantile_row(df, cols, (0.5,), prefix="__m")
     out = df.crossJoin(F.broadcast(med))  # one-row side
     for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(q(c).cast("double"), F.col(f"__m{i}")[0]))
+        out = out.withColumn(c, F.coalesce(mo.present(q(c)), F.col(f"__m{i}")[0]))
     return out.drop(*[f"__m{i}" for i in range(len(cols))])
 
 
@@ -131,7 +131,7 @@ def binned_mi(df: DataFrame, target: str, features: list[str], bins: int = 10,
     spark = df.sparkSession
     if not features:
         return spark.createDataFrame([], "column string, mutual_info double")
-    data = df.where(q(target).isNotNull())
+    data = df.where(~mo.gone(df, target))
     data = median_fill(data, features)
     ycol = q(target)
     if bin_target:
@@ -193,7 +193,7 @@ def significant_features(anova_df: DataFrame, chi_df: DataFrame, mi_df: DataFram
 
 def target_transform(df: DataFrame, target: str) -> DataFrame:
     """Target skew (G1, 3 decimals), minimum, and the suggested transform."""
-    y = q(target).cast("double")
+    y = mo.present(q(target))
     one = df.agg(F.coalesce(mo.sample_skew(y), F.lit(0.0)).alias("skew"),
                  F.coalesce(F.min(y), F.lit(0.0)).alias("min"))
     tr = (F.when(F.abs("skew") <= 1, F.lit(None).cast("string"))
@@ -226,11 +226,11 @@ def scatter_bins(df: DataFrame, target: str, features: list[str], bins: int = 20
     """R03 (re-aimed scatter plot): 2-D equal-width binned counts of target against each feature."""
     cols = features + [target]
     one = df.agg(*[e for i, c in enumerate(cols) for e in
-                   (F.min(q(c).cast("double")).alias(f"lo{i}"), F.max(q(c).cast("double")).alias(f"hi{i}"))])
+                   (F.min(mo.present(q(c))).alias(f"lo{i}"), F.max(mo.present(q(c))).alias(f"hi{i}"))])
     data = df.crossJoin(F.broadcast(one))  # one-row side
 
     def b(c, i):
-        lo, hi, x = F.col(f"lo{i}"), F.col(f"hi{i}"), q(c).cast("double")
+        lo, hi, x = F.col(f"lo{i}"), F.col(f"hi{i}"), mo.present(q(c))
         return F.when(hi == lo, F.lit(0)).otherwise(
             F.least(F.floor((x - lo) / ((hi - lo) / bins)), F.lit(bins - 1))).cast("int")
 
@@ -277,8 +277,8 @@ def breusch_pagan(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     if not features:
         return spark.createDataFrame([], schema)
     names = [f"x{i}" for i in range(len(features))]
-    data = df.select(*[q(c).cast("double").alias(n) for c, n in zip(features, names)],
-                     q(target).cast("double").alias("y")).dropna()
+    data = df.select(*[mo.present(q(c)).alias(n) for c, n in zip(features, names)],
+                     mo.present(q(target)).alias("y")).dropna()
     cols = names + ["y"]
     one = data.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols],
                    *_cov_aggs(cols)).collect()[0].asDict()  # one row
@@ -330,7 +330,7 @@ def high_correlation(df: DataFrame, target: str) -> DataFrame:
     if not _numeric_like(df, target):
         return df.sparkSession.createDataFrame([], "column string, position int, correlation double, near_duplicate boolean")
     feats = [c for c in df.columns if c != target and _numeric_like(df, c)]
-    data = df.select(*[q(c).cast("double").alias(c) for c in feats + [target]])
+    data = df.select(*[mo.present(q(c)).alias(c) for c in feats + [target]])
     tc = target_correlations(data, target, feats, digits=12)
     pos = {c: i for i, c in enumerate(df.columns)}
     posmap = F.create_map(*[x for c in feats for x in (F.lit(c), F.lit(pos[c]))])

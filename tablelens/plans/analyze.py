@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import freq as fq
-from tablelens.functions.columns import numeric_columns
+from tablelens.functions.columns import nan_to_null, numeric_columns
 from tablelens.operators import correlation as co
 from tablelens.operators import generic as ge
 from tablelens.operators import profile as pr
@@ -204,6 +204,7 @@ def analyze(df: DataFrame, target: str | None = None, problem_type: str | None =
     feature engineering and (for supervised types) the baseline model; collect every finding."""
     # the input is re-read per step unless asked otherwise (caching a very large
     # table costs more than rescanning its parquet columns); the frequency table is cached
+    df = nan_to_null(df)
     data = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
     if target is not None and problem_type is None:
         prof = pr.semantic_types(pr.column_profile(data, stats=False))
