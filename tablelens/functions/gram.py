@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import q
-from tablelens.functions.moments import present
+from tablelens.functions.moments import complete, present
 
 #: groups that merge the tasks' rows of a column before the last step
 SLOTS = 32
@@ -85,7 +85,7 @@ def gram(df: DataFrame, left: list[str], right: list[str] | None = None, complet
     cols = list(dict.fromkeys([*left, *right]))
     data = df.select(*[present(q(c)).alias(f"c{i}") for i, c in enumerate(cols)])
     if complete_rows:
-        data = data.dropna()
+        data = complete(data)
     at_left, at_right = [cols.index(c) for c in left], [cols.index(c) for c in right]
     width = len(right)
 

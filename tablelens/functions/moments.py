@@ -13,6 +13,7 @@ with 0.0 for a constant column (pandas returns 0, Spark returns null).
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable
 
@@ -62,6 +63,16 @@ def gone(df: DataFrame, name: str) -> Column:
     return q(name).isNull() | F.isnan(q(name)) if is_float(df, name) else q(name).isNull()
 
 
+def complete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """The rows without a null in the columns (of a frame whose NaN are null already, see ``present``).
+
+    One condition a column: the single condition of ``dropna`` names them all, and Catalyst doubles the
+    constraints it infers from it with every renamed column (64 columns don't end).
+    """
+    cols = list(df.columns) if cols is None else cols
+    return df.where(functools.reduce(lambda a, b: a & b, [q(c).isNotNull() for c in cols], F.lit(True)))
+
+
 def moment_exprs(name: str) -> list[Column]:
     """Codegen-friendly aggregate expressions for one numeric column (prefixed names)."""
     x = present(q(name))

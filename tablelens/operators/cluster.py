@@ -7,24 +7,25 @@
   md5-based pseudo-uniform points are inlined as literals; the nearest
   distances are 100 ``min`` aggregates in a single pass over the data, so no
   join and no pairs are materialised.
-* k-means / silhouette use ``pyspark.ml``; the restarts of one k run as
-  concurrent Spark jobs.
+* k-means: all (k, restart) models in one scan per iteration, all silhouettes in
+  two scans (``functions.lloyd``).
 """
 
 from __future__ import annotations
 
 import hashlib
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions import lloyd
 from tablelens.functions.columns import q
 from tablelens.operators import correlation as co
 from tablelens.functions.fused import agg_one_row
-from tablelens.functions.moments import present
+from tablelens.functions.moments import complete, present
+from tablelens.session import written
 
 # Fixed values that must equal the reference's rules.
 MIN_FEATURES = 2
@@ -41,7 +42,7 @@ SEED = 42
 
 
 def complete_rows(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.select(*[q(c).cast("double").alias(c) for c in features]).dropna()
+    return complete(df.select(*[present(q(c)).alias(c) for c in features]))
 
 
 def scale_report(df: DataFrame, features: list[str]) -> DataFrame:
@@ -59,13 +60,11 @@ def scale_report(df: DataFrame, features: list[str]) -> DataFrame:
 def standardize(df: DataFrame, features: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(x - mean) / std with ddof 0 over the complete rows; zero std leaves x - mean.
     Columns in ``keep`` are carried through unchanged."""
-    data = df.select(*[q(c) for c in keep], *[q(c).cast("double").alias(c) for c in features]).dropna(subset=features)
+    data = complete(df.select(*[q(c) for c in keep], *[present(q(c)).alias(c) for c in features]), features)
     st = data.agg(*[e for i, c in enumerate(features) for e in
-                    (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))])
-    j = data.crossJoin(F.broadcast(st))  # one-row side
-    return j.select(*[q(c) for c in keep], *[((F.col(c) - F.col(f"m{i}")) /
-                       F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(F.lit(1.0))).alias(c)
-                      for i, c in enumerate(features)])
+                    (F.avg(q(c)).alias(f"m{i}"), F.stddev_pop(q(c)).alias(f"s{i}"))]).first()  # one row
+    return data.select(*[q(c) for c in keep], *[((q(c) - F.lit(st[f"m{i}"]).cast("double")) / F.lit(st[f"s{i}"] if st[f"s{i}"] else 1.0)).alias(c)
+                                                for i, c in enumerate(features)])
 
 
 def _corr_matrix(df: DataFrame, features: list[str]) -> tuple[np.ndarray, int]:
@@ -140,7 +139,7 @@ def hopkins(df: DataFrame, features: list[str], seed: int = SEED, m: int | None
     top-50), and one pass that keeps the 100 nearest distances per task.
     """
     spark = df.sparkSession
-    data = df.select(*([q(key)] if key else []), *[q(c).cast("double").alias(c) for c in features]).dropna(subset=features)
+    data = complete(df.select(*([q(key)] if key else []), *[present(q(c)).alias(c) for c in features]), features)
     st = agg_one_row(data, [[F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"), F.min(c).alias(f"lo{i}"),
                              F.max(c).alias(f"hi{i}")] + ([F.count(F.lit(1)).alias("n")] if i == 0 else [])
                             for i, c in enumerate(features)], 8).first()  # one row
@@ -190,35 +189,24 @@ def hopkins_band(h) -> str:
 
 
 def kmeans_scan(df: DataFrame, features: list[str], max_k: int = MAX_K, n_init: int = N_INIT,
-                seed: int = SEED, workers: int = 8, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+                seed: int = SEED, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """For k = 2..min(8, n-1): lowest k-means cost over ``n_init`` seeded restarts
     (iterated to convergence: ``max_iter`` 300, ``tol`` 1e-4), its silhouette (squared
-    Euclidean, linear cost), and the suggested k (best silhouette)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
+    Euclidean, linear cost), and the suggested k (best silhouette).
 
+    All (k, restart) models advance together, one scan of the standardised complete rows an
+    iteration (see ``functions.lloyd``); the rows are written once, for the scans to read.
+    """
     spark = df.sparkSession
-    z = standardize(df, features)
-    vec = VectorAssembler(inputCols=features, outputCol="features").transform(z).select("features").cache()
-    n = vec.count()
+    z = written(standardize(df, features))
+    n = z.count()
     top = min(max_k, n - 1)
     rows = []
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction",
-                                    metricName="silhouette", distanceMeasure="squaredEuclidean")
-
-    def fit(args):
-        k, s = args
-        model = KMeans(k=k, seed=s, featuresCol="features", maxIter=max_iter, tol=tol).fit(vec)
-        return k, s, model.summary.trainingCost, model
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        fits = list(pool.map(fit, [(k, seed + r) for k in range(2, top + 1) for r in range(n_init)]))
-    for k in range(2, top + 1):
-        best = min((f for f in fits if f[0] == k), key=lambda f: (f[2], f[1]))
-        sil = evaluator.evaluate(best[3].transform(vec))
-        rows.append((k, round(float(best[2]), 3), round(float(sil), 4)))
-    vec.unpersist()
+    if top >= 2:
+        sample = lloyd.seed_rows(z, seed)
+        models = lloyd.settle(z, [lloyd.start(sample, k, seed + r) for k in range(2, top + 1) for r in range(n_init)], max_iter, tol)
+        best = [min((m for m in models if m.k == k), key=lambda m: (m.cost, m.seed)) for k in range(2, top + 1)]
+        rows = [(m.k, round(m.cost, 3), round(s, 4)) for m, s in zip(best, lloyd.silhouettes(z, best))]
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     if not rows:
         return out.withColumn("suggested", F.lit(False))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.columns import as_text, q
 from tablelens.functions.dist import chi2_pvalue
 from tablelens.functions.gram import gram
-from tablelens.functions.moments import present
+from tablelens.functions.moments import complete, present
 
 
 def _value(x: float) -> float | None:
@@ -89,7 +89,7 @@ def average_ranks(df: DataFrame, col: str, buckets: int | None = None, accuracy:
 
 def spearman_pairs(df: DataFrame, cols: list[str], buckets: int | None = None) -> DataFrame:
     """Spearman matrix on complete rows: Pearson on average ranks."""
-    data = df.select(*[present(q(c)).alias(c) for c in cols]).dropna(subset=cols)
+    data = complete(df.select(*[present(q(c)).alias(c) for c in cols]))
     est = data.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()  # one row
     ranked = data
     for i, c in enumerate(cols):

@@ -277,8 +277,8 @@ def breusch_pagan(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     if not features:
         return spark.createDataFrame([], schema)
     names = [f"x{i}" for i in range(len(features))]
-    data = df.select(*[mo.present(q(c)).alias(n) for c, n in zip(features, names)],
-                     mo.present(q(target)).alias("y")).dropna()
+    data = mo.complete(df.select(*[mo.present(q(c)).alias(n) for c, n in zip(features, names)],
+                                 mo.present(q(target)).alias("y")))
     cols = names + ["y"]
     one = data.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols],
                    *_cov_aggs(cols)).collect()[0].asDict()  # one row

