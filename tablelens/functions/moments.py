@@ -17,11 +17,12 @@ import functools
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.columns import is_float, q
 from tablelens.functions.fused import agg_one_row
+from tablelens.functions.ranks import order_statistics
 
 QUANTILES = (0.25, 0.5, 0.75)
 
@@ -148,97 +149,33 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str] | dict[str, Column], probs: Iterable[float] = QUANTILES,
-                    accuracy: int = 10000, max_bracket: int = 200_000,
-                    max_rounds: int = 20, nearest: bool = False) -> dict[str, list[float | None]]:
+                    max_bracket: int = 200_000, max_rounds: int = 20, nearest: bool = False) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles per column, with bounded memory at any scale.
 
-    ``cols``: column names, or expressions by name. The interpolated quantile at p needs
-    the order statistics of rank floor((n-1)p) and ceil((n-1)p). One aggregate counts each
-    column and asks the bounded sketch ``percentile_approx`` for values just below and
-    above p. Each round then counts the rows below and inside every bracket, which
-    proves that both ranks lie inside (a failed bracket is widened):
-
-    * a bracket of one value is the answer, however many rows hold it;
-    * a bracket above ``max_bracket`` rows is sketched again on its own rows; when that
-      leaves it as it is, a few values hold nearly all of its rows;
-    * otherwise the bracket's distinct values are counted (map-side combined) and the
-      two ranks are picked from their running counts.
-
-    Equals ``percentile``; ``nearest`` takes the order statistic nearest to the position
-    instead. Null and NaN don't count. Raises if the rounds run out.
+    ``cols``: column names, or expressions by name. The interpolated quantile at p needs the order
+    statistics of rank floor((n-1)p) and ceil((n-1)p); those of all columns and probabilities are
+    found together in two or three passes (see ``functions.ranks``). Equals ``percentile``;
+    ``nearest`` takes the order statistic nearest to the position instead. Null and NaN don't count.
     """
     probs = [float(p) for p in probs]
     if not cols:
         return {}
-    xs = {c: present(x) for c, x in (
-        cols.items() if isinstance(cols, dict) else ((c, q(c)) for c in cols))}
-    d = 3.0 / accuracy
-    lo_p = [max(0.0, p - d) for p in probs]
-    hi_p = [min(1.0, p + d) for p in probs]
-    one = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs.values())],
-                 *[F.percentile_approx(x, lo_p + hi_p, accuracy).alias(f"a{i}") for i, x in enumerate(xs.values())]).first()
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in xs}
-    brackets, stuck = {}, set()  # (column, quantile) -> [lo, hi, rank_lo, rank_hi, position]
-    for i, c in enumerate(xs):
-        n, a = one[f"n{i}"], one[f"a{i}"]
+
+    def place(n: int, p: float) -> float:
+        return float(round((n - 1) * p)) if nearest else (n - 1) * p
+
+    def ranks(n: int) -> list[int]:
+        return [f(place(n, p)) for p in probs for f in (math.floor, math.ceil)]
+
+    exprs = {c: present(x) for c, x in (cols.items() if isinstance(cols, dict) else ((c, q(c)) for c in cols))}
+    out: dict[str, list[float | None]] = {}
+    for c, (n, at) in order_statistics(df, exprs, ranks, max_bracket, max_rounds).items():
+        out[c] = [None] * len(probs)
         for j, p in enumerate(probs if n else []):
-            pos = float(round((n - 1) * p)) if nearest else (n - 1) * p
-            lo = a[j] if lo_p[j] > 0 else float("-inf")
-            hi = a[len(probs) + j] if hi_p[j] < 1 else float("inf")
-            brackets[(c, j)] = [lo, hi, int(math.floor(pos)), int(math.ceil(pos)), pos]
-
-    def inside(key):
-        return (xs[key[0]] >= F.lit(brackets[key][0])) & (xs[key[0]] <= F.lit(brackets[key][1]))
-
-    for _ in range(max_rounds):
-        if not brackets:
-            return out
-        keys = list(brackets)
-        counts = df.agg(*[e for k, key in enumerate(keys) for e in (
-            F.count_if(xs[key[0]] < F.lit(brackets[key][0])).alias(f"b{k}"), F.count_if(inside(key)).alias(f"i{k}"))]).first()
-        refine, ready = [], []
-        for k, key in enumerate(keys):
-            lo, hi, r_lo, r_hi, _ = brackets[key]
-            below, within = counts[f"b{k}"], counts[f"i{k}"]
-            if below > r_lo or below + within <= r_hi:
-                span = (hi - lo) if math.isfinite(hi - lo) and hi > lo else 1.0
-                brackets[key][0] = lo if below <= r_lo else lo - span
-                brackets[key][1] = hi if below + within > r_hi else hi + span
-                stuck.discard(key)
-            elif lo == hi:
-                out[key[0]][key[1]] = brackets.pop(key)[0]
-            elif within > max_bracket and key not in stuck:
-                refine.append((key, below, within))
-            else:
-                ready.append((key, below))
-        if ready:
-            cand = F.array(*[F.when(inside(key), F.struct(F.lit(k).alias("k"), xs[key[0]].alias("v"))) for k, (key, _) in enumerate(ready)])
-            values = (df.select(F.explode(F.filter(cand, lambda t: t.isNotNull())).alias("t")).groupBy("t.k", "t.v")
-                      .agg(F.count(F.lit(1)).alias("m")))
-            w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # distinct values of one bracket
-            first = F.create_map(*[x for k, (key, below) in enumerate(ready) for x in (
-                F.lit(k), F.array(F.lit(brackets[key][2] - below), F.lit(brackets[key][3] - below)))])[F.col("k")]
-            run = values.withColumn("upto", F.sum("m").over(w))
-            hit = [(first[i] < F.col("upto")) & (first[i] >= F.col("upto") - F.col("m")) for i in (0, 1)]
-            got = {}
-            for r in run.where(hit[0] | hit[1]).select("k", "v", hit[0].alias("lo"), hit[1].alias("hi")).collect():  # <= 2 rows a bracket
-                for side in ("lo", "hi"):
-                    if r[side]:
-                        got[(r["k"], side)] = r["v"]
-            for k, (key, _) in enumerate(ready):
-                _, _, r_lo, r_hi, pos = brackets.pop(key)
-                x_lo, x_hi = got[(k, "lo")], got[(k, "hi")]
-                out[key[0]][key[1]] = x_lo if r_lo == r_hi else (r_hi - pos) * x_lo + (pos - r_lo) * x_hi
-        for key, below, within in refine:
-            lo, hi, r_lo, r_hi, _ = brackets[key]
-            pl = max(0.0, (r_lo - below) / within - d)
-            ph = min(1.0, (r_hi - below + 1) / within + d)
-            a = df.where(inside(key)).agg(F.percentile_approx(xs[key[0]], [pl, ph], accuracy)).first()[0]
-            new = [a[0] if pl > 0 else lo, a[1] if ph < 1 else hi]
-            if new == [lo, hi]:
-                stuck.add(key)
-            brackets[key][:2] = new
-    raise RuntimeError(f"quantiles not found in {max_rounds} rounds: {sorted(brackets)}")
+            pos = place(n, p)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            out[c][j] = at[lo][0] if lo == hi else (hi - pos) * at[lo][0] + (pos - lo) * at[hi][0]
+    return out
 
 
 def quantile_row(df: DataFrame, cols: list[str], probs: Iterable[float] = QUANTILES, exact: bool = True,

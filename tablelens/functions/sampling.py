@@ -146,7 +146,7 @@ def _flag_first_k(df: DataFrame, order: Column, k: int, tiebreak: list[str] | No
                   max_rounds: int = 20) -> DataFrame:
     """``df`` plus ``__sel``: exactly ``k`` rows, those first in (order, tiebreak).
 
-    The value at which the count is reached comes from ``exact_quantiles``-like counts: rows
+    The value at which the count is reached, and the rows below it, come from ``order_statistics``: rows
     below it are taken, rows above it not. Only rows of that one value are left, however many; they go
     by their tiebreak, of which the md5-bracketed ``flag_lowest_k`` (no tiebreak) or
     a second value cut (a single numeric tiebreak) takes the rest. So no task sorts a hot value.
@@ -155,27 +155,19 @@ def _flag_first_k(df: DataFrame, order: Column, k: int, tiebreak: list[str] | No
     n = df.count()
     if k <= 0 or k >= n:
         return df.withColumn("__sel", F.lit(k >= n))
+    from tablelens.functions.ranks import order_statistics
     data = df.withColumn("__o", F.nanvl(order.cast("double"), F.lit(None).cast("double")))
-    known = data.where("__o IS NOT NULL")
-    n_known = known.count()
+    n_known, at = order_statistics(data, {"o": F.col("__o")}, lambda m: [k - 1] if k < m else [], max_rounds=max_rounds)["o"]
     if k >= n_known:
+        known = data.where("__o IS NOT NULL")
         rest = _flag_ties(data.where("__o IS NULL"), cols, k - n_known, tiebreak, accuracy)
         return known.select(*cols, F.lit(True).alias("__sel")).unionByName(rest)
-    value = _order_statistic(known, k, accuracy, max_rounds)
-    below = known.where(F.col("__o") < F.lit(value)).count()
-    ties = _flag_ties(known.where(F.col("__o") == F.lit(value)), cols, k - below, tiebreak, accuracy)
+    value, below = at[k - 1]
+    ties = _flag_ties(data.where(F.col("__o") == F.lit(value)), cols, k - below, tiebreak, accuracy)
     sure = data.where(F.col("__o").isNull() | (F.col("__o") != F.lit(value)))
     return sure.select(*cols, F.coalesce(F.col("__o") < F.lit(value), F.lit(False)).alias("__sel")).unionByName(ties)
 
 
-def _order_statistic(known: DataFrame, k: int, accuracy: int, max_rounds: int) -> float:
-    """The k-th smallest ``__o``."""
-    from tablelens.functions.moments import exact_quantiles
-    n = known.count()
-    return exact_quantiles(known, {"o": F.col("__o")}, [(k - 1) / (n - 1) if n > 1 else 0.0], accuracy=min(accuracy, 10000),
-                           max_rounds=max_rounds, nearest=True)["o"][0]
-
-
 def _flag_ties(rows: DataFrame, cols: list[str], k: int, tiebreak: list[str] | None, accuracy: int) -> DataFrame:
     """``cols`` plus ``__sel`` for the first ``k`` rows of one order value."""
     if tiebreak and len(tiebreak) >= 1 and dict(rows.dtypes)[tiebreak[0]] in ("tinyint", "smallint", "int", "bigint", "double", "float"):

@@ -17,7 +17,7 @@ def test_bracket_quantiles_equal_percentile(spark):
     rows = [(float(rnd.randint(0, 400)), rnd.gauss(0, 1) if i % 7 else None) for i in range(5000)]
     df = spark.createDataFrame(rows, "a double, b double")
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
-    sel = mo.exact_quantiles(df, ["a", "b"], probs, accuracy=200, max_bracket=300)
+    sel = mo.exact_quantiles(df, ["a", "b"], probs, max_bracket=300)
     ref = df.agg(*[F.percentile(c, list(probs)).alias(c) for c in ("a", "b")]).first()
     for c in ("a", "b"):
         assert sel[c] == list(ref[c])

@@ -24,13 +24,13 @@ def test_quantiles_of_hot_values_equal_percentile(spark):
         (F.col("id") % 3).cast("double").alias("few"),
         F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("id") % 1000).alias("nan"),
         F.lit(None).cast("double").alias("none")).persist()
-    got = mo.exact_quantiles(df, df.columns, PROBS, accuracy=200, max_bracket=500)
+    got = mo.exact_quantiles(df, df.columns, PROBS, max_bracket=500)
     ref = df.withColumn("nan", F.nanvl("nan", F.lit(None))).agg(*[F.percentile(c, list(PROBS)).alias(c) for c in df.columns]).first()
     for c in ("hot", "few", "nan"):
         assert got[c] == pytest.approx(list(ref[c]))
     assert got["none"] == [None] * len(PROBS)
     with pytest.raises(RuntimeError):
-        mo.exact_quantiles(df, ["hot"], (0.2,), accuracy=20, max_bracket=1, max_rounds=1)
+        mo.exact_quantiles(df, ["hot"], (0.2,), max_bracket=1, max_rounds=1)
     df.unpersist()
 
 
