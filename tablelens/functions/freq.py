@@ -44,26 +44,19 @@ def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
 def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Counts of each distinct value per column (nulls included as a null value).
 
-    One narrow aggregate per column (a column-pruned scan, codegen, map-side
-    combine), unioned; values are grouped in typed slots (``lval`` long,
-    ``dval`` double, ``value`` text for everything else), so numbers are hashed
-    as numbers, and ``value`` gets the text rendering only after aggregation.
-    Result: ``(column, position, value, n)``.
+    One scan: each row expands into a typed cell per column (``lval`` long, ``dval`` double, ``value``
+    text for everything else), counted per task before the shuffle (Spark's hash aggregate, which goes
+    on sorted and spilled when a task's distinct cells outgrow its memory). Numbers are hashed as numbers;
+    ``value`` gets the text rendering only after aggregation. Result: ``(column, position, value, n)``.
     """
     cols = list(df.columns) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, position int, value string, n long")
-    parts = []
-    for i, c in enumerate(cols):
-        v, lv, dv = _slots(df, c)
-        parts.append(df.groupBy(F.lit(c).alias("column"), F.lit(i).alias("position"), v.alias("value"),
-                                lv.alias("lval"), dv.alias("dval")).agg(F.count(F.lit(1)).alias("n")))
-    grouped = parts[0]
-    for part in parts[1:]:
-        grouped = grouped.unionByName(part)
-    return grouped.select("column", "position",
-                          F.coalesce("value", F.col("lval").cast("string"), F.col("dval").cast("string")).alias("value"),
-                          "n")
+    cells = [F.struct(F.lit(i).alias("position"), *[x.alias(n) for x, n in zip(_slots(df, c), ("value", "lval", "dval"))]) for i, c in enumerate(cols)]
+    grouped = df.select(F.inline(F.array(*cells))).groupBy("position", "value", "lval", "dval").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return grouped.select(names[F.col("position")].alias("column"), "position",
+                          F.coalesce("value", F.col("lval").cast("string"), F.col("dval").cast("string")).alias("value"), "n")
 
 
 def distinct_summary(freq: DataFrame) -> DataFrame:
