@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tablelens.operators import generic as ge
@@ -59,15 +60,31 @@ def s03_tsv_sniffed_roundtrip(spark, sf):
     return _checksum(ld.read_csv(spark, path, sep=delim)).select(F.lit(delim).alias("delimiter"), "*")
 
 
+@register("s02_csv_line_breaks", "SELECT count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, "
+          "CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS n_breaks, "
+          "CAST(sum(length(text) - length(replace(text, '\"', ''))) AS BIGINT) AS n_quotes "
+          "FROM documents")
+def s02_csv_line_breaks(spark, sf):
+    """Document texts, with their line breaks and quotes, survive a CSV export."""
+    path = _scratch(spark, "documents") + ".csv"
+    d = fx.read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    (d.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    t = F.col("text")
+    return ld.load_dataset(spark, path).df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(t)).alias("n_chars"),
+        F.sum(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).alias("n_breaks"),
+        F.sum(F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))).alias("n_quotes"))
+
+
 @register("s05_malformed_skip", "SELECT count(*) AS n_rows FROM orders")
 def s05_malformed_skip(spark, sf):
     """Orders as CSV plus one line per order with an extra field: the long lines are skipped."""
     path = _scratch(spark, "orders-bad") + ".csv"
-    o = fx.read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    good = o.select(F.concat_ws(",", *[F.col(c).cast("string") for c in o.columns]).alias("value"))
-    bad = o.select(F.concat_ws(",", *[F.col(c).cast("string") for c in o.columns], F.lit("extra")).alias("value"))
-    header = spark.createDataFrame([("o_orderkey,o_orderstatus,o_totalprice",)], "value string")
-    header.unionByName(good).unionByName(bad).coalesce(1).write.text(path)
+    o = fx.read_table(spark, sf, "orders").select(*[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")])
+    long = o.withColumn("o_totalprice", F.concat("o_totalprice", F.lit(",extra")))
+    # without a quote character the writer leaves the comma as it is; every part file has its header
+    o.unionByName(long).write.option("header", True).option("quote", "\u0000").csv(path)
     return ld.read_csv(spark, path, sep=",").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -201,14 +218,20 @@ def s04_delimiter_inference(spark, sf):
 
 @register("s06_json_array_roundtrip", "SELECT count(*) AS n_rows, round(sum(o_totalprice), 4) AS total FROM orders")
 def s06_json_array_roundtrip(spark, sf):
-    """Orders written as one pretty JSON array per input partition (a file per task); the
-    loader sees corrupt lines starting with '[' and re-reads the files as JSON documents."""
+    """Orders written as one JSON array per task, a record a line; the loader sees the bracket and cuts
+    the arrays into their elements, split by split."""
     path = _scratch(spark, "orders-array") + ".json"
     o = fx.read_table(spark, sf, "orders")
-    rec = o.select(F.spark_partition_id().alias("p"), F.to_json(F.struct(*o.columns)).alias("j"))
-    docs = rec.groupBy("p").agg(F.concat(F.lit("[\n"), F.concat_ws(",\n", F.collect_list("j")), F.lit("\n]"))
-                                 .alias("value"))  # one group = one input partition
-    docs.write.partitionBy("p").text(path)  # one document per file
+
+    def array_lines(batches):
+        """A task's records as the lines of one array."""
+        mark = "["
+        for rows in batches:
+            yield rows.assign(value=[f"{mark if i == 0 else ','} {r}" for i, r in enumerate(rows["value"])])
+            mark = "," if len(rows) else mark
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    o.select(F.to_json(F.struct(*o.columns)).alias("value")).mapInPandas(array_lines, "value string").write.text(path)
     info = ld.load_dataset(spark, path, sample_threshold=None)
     return info.df.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 4).alias("total"))
 

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from tablelens.functions.columns import nan_to_null
 from tablelens.functions.sampling import SEED, lowest_k, md5_key
+from tablelens.sources.delimited import read_delimited
+from tablelens.sources.json_array import read_json_array
 
 # Fixed values that must equal the reference's rules.
 # File extension -> file type (case-insensitive):
@@ -73,27 +75,32 @@ def sniff_delimiter(spark: SparkSession, path: str, default: str = ",") -> str:
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8",
              skip_bad_lines: bool = True) -> DataFrame:
-    """Header, inferred types; rows with too many fields are skipped
-    (too-short rows are kept with nulls, as the reference's reader does)."""
+    """Header, inferred types, quoted line breaks; rows with too many fields are skipped,
+    too-short rows are kept with nulls (see ``delimited``)."""
     sep = sep or sniff_delimiter(spark, path)
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    if encoding.upper().replace("-", "") == "UTF8" and skip_bad_lines:
+        return read_delimited(spark, path, sep)
+    # other encodings: Spark's own reader, where a line break always ends a record
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
     inferred = reader.option("inferSchema", True).csv(path)
     if not skip_bad_lines:
         return inferred
-    schema = T.StructType(inferred.schema.fields + [T.StructField("_extra", T.StringType(), True)])
+    extra = "extra"
+    while extra.lower() in {c.lower() for c in inferred.columns}:
+        extra += "_"
+    schema = T.StructType(inferred.schema.fields + [T.StructField(extra, T.StringType(), True)])
     full = reader.schema(schema).option("mode", "PERMISSIVE").csv(path)
-    return full.where(F.col("_extra").isNull()).drop("_extra")
+    return full.where(F.col(extra).isNull()).drop(extra)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON Lines first; a file that is one JSON array is re-read in multi-line mode."""
-    lines = spark.read.json(path)
-    if "_corrupt_record" not in lines.columns:
-        return lines
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()  # one line
-    if first and first[0][0].lstrip().startswith("["):
-        return spark.read.option("multiLine", True).json(path)
-    raise LoadError(f"Could not parse {os.path.basename(path)} as JSON or JSON Lines")
+    """Files that begin with a bracket are JSON arrays, cut into their elements by many tasks; else JSON Lines."""
+    first = spark.read.option("lineSep", "}").text(path).where(F.trim("value") != "").limit(1).collect()  # text up to one brace
+    array = bool(first) and first[0][0].lstrip("\ufeff \t\r\n").startswith("[")
+    table = read_json_array(spark, path) if array else spark.read.json(path)
+    if "_corrupt_record" in table.columns:
+        raise LoadError(f"Could not parse {os.path.basename(path)} as JSON or JSON Lines")
+    return table
 
 
 @dataclass
