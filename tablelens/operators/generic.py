@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablelens.functions import freq as fq
 from tablelens.functions import moments as mo
 from tablelens.functions.columns import dtype_name, family, numeric_columns, q
+from tablelens.functions.duplicates import repeated_rows
 from tablelens.functions.fused import agg_one_row
 from tablelens.operators import profile as pr
 
@@ -74,13 +75,12 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 def duplicate_preview(df: DataFrame, limit: int = 20) -> DataFrame:
     """All members of duplicate groups, sorted by every column, first ``limit`` rows.
 
-    Equal rows are identical, so the preview is built from the grouped table:
-    the first ``limit`` groups in sort order (a bounded top-k, no global sort),
+    Equal rows are identical, so the preview is built from the repeated rows (found by digest, see
+    ``functions.duplicates``): the first ``limit`` groups in sort order (a bounded top-k, no global sort),
     each expanded to at most ``limit`` copies, then cut to ``limit`` rows.
     """
     cols = list(df.columns)
-    groups = (df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
-              .where(F.col("__n") > 1))
+    groups = repeated_rows(df)
     order = [F.asc_nulls_first(q(c)) for c in cols]
     first = groups.orderBy(*order).limit(limit)
     expanded = first.select(*[q(c) for c in cols],
