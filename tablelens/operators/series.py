@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.columns import DATETIME_TYPES, family, q
 from tablelens.functions.moments import present
+from tablelens.functions.ranks import order_statistics
+from tablelens.session import written
 
 # Fixed values that must equal the reference's rules.
 # Season length per frequency prefix (the text before "-"):
@@ -34,6 +36,8 @@ FREQ_ALIASES = {"ME": "M", "QE": "Q", "YE": "Y", "YS": "Y", "AS": "A", "h": "H",
 PARSE_RATE = 0.95
 GAP_FACTOR = 1.5
 MAX_ACF_LAGS = 24
+#: positions of a block in the window steps
+HALO_BLOCK = 65_536
 MIN_ACF_POINTS = 10
 
 
@@ -88,22 +92,49 @@ def ordered_series(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
 def with_prev(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """Adds ``prev`` = previous value of ``col`` in ascending order, without a global window.
 
-    Range-partitions by ``col``; lags inside each partition; the first row of a
+    Range-partitions by ``col`` (written once); lags inside each partition; the first row of a
     partition takes the maximum of all earlier partitions from a table with one
     row per partition (broadcast; its size is the partition count).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, col).withColumn("__pid", F.spark_partition_id())
+    r, before = _ranged(df, [col], partitions)
     w = Window.partitionBy("__pid").orderBy(col)
-    r = r.withColumn("prev", F.lag(col).over(w))
     ends = r.groupBy("__pid").agg(F.max(col).alias("__end"))
-    wp = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    carry = ends.select("__pid", F.max("__end").over(wp).alias("__carry"))
-    return (r.join(F.broadcast(carry), "__pid")
+    carry = ends.select("__pid", F.max("__end").over(before).alias("__carry"))
+    return (r.withColumn("prev", F.lag(col).over(w)).join(F.broadcast(carry), "__pid")      # one row per partition
             .withColumn("prev", F.coalesce("prev", "__carry")).drop("__pid", "__carry"))
 
 
+def _ranged(df: DataFrame, cols: list[str], partitions: int | None = None):
+    """The rows range-partitioned by ``cols`` with their partition in ``__pid``, written once, and the window of earlier partitions."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = written(df.repartitionByRange(n, *cols).withColumn("__pid", F.spark_partition_id()))
+    return r, Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)             # over one row per partition
+
+
+def numbered(series: DataFrame) -> DataFrame:
+    """(pos, ts, y): the place of each row in the order of (ts, y), from 0, without a global window."""
+    r, before = _ranged(series.select("ts", "y"), ["ts", "y"])
+    counts = r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offset = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__pid").orderBy("ts", "y")
+    return (r.withColumn("__i", F.row_number().over(inside) - 1).join(F.broadcast(offset), "__pid")      # one row per partition
+            .select((F.col("__before") + F.col("__i")).alias("pos"), "ts", "y"))
+
+
+def with_halo(series: DataFrame, before: int, after: int, block: int | None = None) -> tuple[DataFrame, "Window"]:
+    """Rows dealt to blocks of neighbouring positions, with border rows copied to the blocks that need them.
+
+    A row at ``pos`` is needed by the positions pos - after .. pos + before, so it goes to their blocks (one, or
+    two near a border); ``__own`` marks it in its own block. Returns the rows and the window
+    over a block by position, in which every own row sees its neighbours.
+    """
+    size = block or max(HALO_BLOCK, 8 * (before + after))
+    home = F.floor(F.col("pos") / size)
+    reach = F.sequence(F.floor((F.col("pos") - after) / size), F.floor((F.col("pos") + before) / size))
+    rows = series.withColumn("__block", F.explode(reach)).withColumn("__own", F.col("__block") == home)
+    return rows, Window.partitionBy("__block").orderBy("pos")
+
+
 def gaps(series: DataFrame) -> DataFrame:
     """Distinct times with multiplicity and the gap (microseconds) to the previous time."""
     distinct = series.groupBy("ts").agg(F.count(F.lit(1)).alias("mult"))
@@ -185,18 +216,19 @@ def infer_frequency(series: DataFrame) -> DataFrame:
 def gap_count(series: DataFrame) -> DataFrame:
     """Gaps larger than 1.5 x the median gap (median over all consecutive differences,
     repeated times counting as zero gaps), only when the median is positive."""
-    g = gaps(series)
-    diffs = (g.where(F.col("gap_us").isNotNull()).select("gap_us", F.lit(1).alias("w"))
-             .unionByName(g.where(F.col("mult") > 1).select(F.lit(0).cast("long").alias("gap_us"),
-                                                             (F.col("mult") - 1).alias("w"))))
-    med = diffs.agg(F.percentile("gap_us", 0.5, F.col("w")).alias("median_gap_us"),
-                    F.sum("w").alias("n_diffs"))
-    counted = diffs.crossJoin(F.broadcast(med))  # one-row side
-    return counted.agg(
-        F.first("median_gap_us").alias("median_gap_us"),
-        F.coalesce(F.sum(F.when((F.col("median_gap_us") > 0) &
-                                (F.col("gap_us") > F.col("median_gap_us") * GAP_FACTOR), F.col("w"))), F.lit(0))
-        .cast("long").alias("gap_count"))
+    g = written(gaps(series))
+    zeros = g.agg(F.coalesce(F.sum(F.col("mult") - 1), F.lit(0))).first()[0]
+
+    def middle(m: int) -> list[int]:
+        """The middle places among ``zeros`` zero gaps and ``m`` positive ones."""
+        return [(zeros + m - 1) // 2, (zeros + m) // 2]
+
+    m, at = order_statistics(g, {"g": F.col("gap_us")}, lambda m: [r - zeros for r in middle(m) if r >= zeros])["g"]
+    median = None
+    if zeros + m:
+        median = sum(0.0 if r < zeros else at[r - zeros][0] for r in middle(m)) / 2
+    over = g.where(F.col("gap_us") > F.lit(median) * GAP_FACTOR).count() if median else 0
+    return series.sparkSession.createDataFrame([(median, over)], "median_gap_us double, gap_count long")
 
 
 def range_points(series: DataFrame) -> DataFrame:
@@ -294,23 +326,17 @@ def interpolate(grid: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- T09, T10
 
-def _neighbour_sum(series: DataFrame, offsets_weights: list[tuple[int, float]], name: str) -> DataFrame:
-    """sum_o w_o * y(pos + o) at every position where all offsets exist (expansion + group)."""
-    arr = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in offsets_weights])
-    ex = series.select("pos", "y", F.explode(arr).alias("e")).select(
-        (F.col("pos") - F.col("e.o")).alias("pos"), (F.col("y") * F.col("e.w")).alias("v"))
-    need = len(offsets_weights)
-    return (ex.groupBy("pos").agg(F.sum("v").alias(name), F.count(F.lit(1)).alias("__c"))
-            .where(F.col("__c") == need).drop("__c"))
-
-
-def moving_average_weights(period: int) -> list[tuple[int, float]]:
-    """Centered moving average: 2 x p for even p (half weight at both ends), p for odd."""
+def moving_average(series: DataFrame, period: int, block: int | None = None) -> DataFrame:
+    """The series plus ``ma``, its centered moving average (2 x p for an even period: half weight at both ends);
+    null where a neighbour is missing. One shuffle, border rows copied (see ``with_halo``)."""
+    h = period // 2
+    rows, w = with_halo(series, h, h, block)
+    frame = w.rangeBetween(-h, h)
+    total = F.sum("y").over(frame)
     if period % 2 == 0:
-        h = period // 2
-        return [(o, (0.5 if abs(o) == h else 1.0) / period) for o in range(-h, h + 1)]
-    h = (period - 1) // 2
-    return [(o, 1.0 / period) for o in range(-h, h + 1)]
+        total = total - 0.5 * (F.max("y").over(w.rangeBetween(-h, -h)) + F.max("y").over(w.rangeBetween(h, h)))
+    ma = F.when(F.count("y").over(frame) == 2 * h + 1, total / period)
+    return rows.withColumn("ma", ma).where("__own").drop("__block", "__own")
 
 
 def decompose(series: DataFrame, period: int) -> DataFrame:
@@ -321,9 +347,8 @@ def decompose(series: DataFrame, period: int) -> DataFrame:
     trend values; seasonal = mean of (y - trend) per phase, centered to mean 0;
     resid = y - trend - seasonal.
     """
-    ma = _neighbour_sum(series, moving_average_weights(period), "ma")
-    s = series.join(ma, "pos", "left")
-    ends = ma.agg(F.min("pos").alias("front"), F.max("pos").alias("back"))
+    s = moving_average(series, period)
+    ends = s.where(F.col("ma").isNotNull()).agg(F.min("pos").alias("front"), F.max("pos").alias("back"))
     s = s.crossJoin(F.broadcast(ends))  # one-row side
     fit_front = (s.where((F.col("pos") >= F.col("front")) & (F.col("pos") < F.least(F.col("front") + period, F.col("back"))))
                  .agg(F.regr_slope("ma", "pos").alias("kf"), F.regr_intercept("ma", "pos").alias("nf")))
@@ -354,9 +379,9 @@ def strengths(decomp: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------------------- T11 - T13
 
-def acf(series: DataFrame, max_lags: int | None = None) -> DataFrame:
+def acf(series: DataFrame, max_lags: int | None = None, block: int | None = None) -> DataFrame:
     """Autocorrelation (biased, as plotted by the reference) for lags 1..L,
-    L = min(24, n // 2 - 1); needs >= 10 points. Positions are joined to lag positions."""
+    L = min(24, n // 2 - 1); needs >= 10 points and some spread. One shuffle, border rows copied (see ``with_halo``)."""
     stats = series.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"))
     row = stats.first()  # one row
     n = row["n"]
@@ -364,13 +389,12 @@ def acf(series: DataFrame, max_lags: int | None = None) -> DataFrame:
     if n < MIN_ACF_POINTS:
         return spark.createDataFrame([], "lag int, acf double")
     lags = max_lags or max(1, min(MAX_ACF_LAGS, n // 2 - 1))
-    c = series.select("pos", (F.col("y") - F.lit(row["m"])).alias("d"))
-    ex = c.select(F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "pos", "d").select(
-        "lag", (F.col("pos") + F.col("lag")).alias("pos"), F.col("d").alias("d0"))
-    prod = ex.join(c, "pos").groupBy("lag").agg(F.sum(F.col("d0") * F.col("d")).alias("s"))
-    c0 = prod.where(F.col("lag") == 0).select(F.col("s").alias("s0"))
-    return (prod.where(F.col("lag") > 0).crossJoin(F.broadcast(c0))  # one-row side
-            .select(F.col("lag").cast("int").alias("lag"), (F.col("s") / F.col("s0")).alias("acf")))
+    rows, w = with_halo(series.select("pos", (F.col("y") - F.lit(row["m"])).alias("d")), 0, lags, block)
+    later = [F.max("d").over(w.rangeBetween(k, k)) for k in range(lags + 1)]
+    seen = rows.select("d", "__own", *[x.alias(f"d{k}") for k, x in enumerate(later)]).where("__own")
+    sums = seen.agg(*[F.sum(F.col("d") * F.col(f"d{k}")).alias(f"s{k}") for k in range(lags + 1)])
+    out = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"s{k}") / F.when(F.col("s0") > 0, F.col("s0"))).alias("acf")) for k in range(1, lags + 1)])
+    return sums.select(F.inline(out)).where(F.col("acf").isNotNull())
 
 
 def pacf_from_acf(acf_df: DataFrame) -> DataFrame:
@@ -394,17 +418,21 @@ def pacf_from_acf(acf_df: DataFrame) -> DataFrame:
     return spark.createDataFrame(out, "lag int, pacf double")
 
 
-def lag_rolling(series: DataFrame, period: int) -> DataFrame:
-    """Lag 1, lag p, rolling mean and std (ddof 1) over the last p points (full windows)."""
-    base = series.select("pos", "ts", "y") if "ts" in series.columns else series.select("pos", "y")
-    l1 = series.select((F.col("pos") + 1).alias("pos"), F.col("y").alias("lag_1"))
-    lp = series.select((F.col("pos") + period).alias("pos"), F.col("y").alias(f"lag_{period}"))
-    ex = series.select(F.explode(F.sequence(F.lit(0), F.lit(period - 1))).alias("o"), "pos", "y").select(
-        (F.col("pos") + F.col("o")).alias("pos"), "y")
-    roll = (ex.groupBy("pos").agg(F.avg("y").alias("roll_mean"), F.stddev_samp("y").alias("roll_std"),
-                                  F.count(F.lit(1)).alias("__c"))
-            .where(F.col("__c") == period).drop("__c"))
-    return (base.join(l1, "pos", "left").join(lp, "pos", "left").join(roll, "pos", "left"))
+def lag_rolling(series: DataFrame, period: int, block: int | None = None) -> DataFrame:
+    """Lag 1, lag p, rolling mean and std (ddof 1) over the last p points (full windows).
+    One shuffle, border rows copied (see ``with_halo``)."""
+    rows, w = with_halo(series.select(*[c for c in ("pos", "ts", "y") if c in series.columns]), period, 0, block)
+    last = w.rangeBetween(-(period - 1), 0)
+    full = F.count("y").over(last) == period
+    return (rows.withColumn("lag_1", F.max("y").over(w.rangeBetween(-1, -1))).withColumn(f"lag_{period}", F.max("y").over(w.rangeBetween(-period, -period)))
+            .withColumn("roll_mean", F.when(full, F.avg("y").over(last))).withColumn("roll_std", F.when(full, F.stddev_samp("y").over(last)))
+            .where("__own").drop("__block", "__own"))
+
+
+def prepare_irregular(series: DataFrame) -> DataFrame:
+    """``(pos, ts, y)`` of a series without a frequency: places in time order, missing values filled
+    linearly by place, so ACF, PACF and lags work as on a regular one."""
+    return written(interpolate(numbered(series)))
 
 
 def prepare_regular(series: DataFrame, freq: str, checkpoint: bool = True) -> DataFrame:

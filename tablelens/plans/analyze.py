@@ -167,6 +167,14 @@ def _clustering_findings(df: DataFrame, target: str | None, nums: list[str]) ->
     return fi.simple_findings("clustering_analysis", texts or ["Nothing stands out for clustering."])
 
 
+def _has_grid(freq: str) -> bool:
+    from tablelens.operators import series as se
+    try:
+        return bool(se.parse_step(freq))
+    except ValueError:          # business days have no even step
+        return False
+
+
 def _series_findings(df: DataFrame, target: str | None) -> DataFrame:
     """T01-T13 summarised as bullets (date column, frequency, gaps, strengths, advice)."""
     from tablelens.operators import series as se
@@ -185,9 +193,17 @@ def _series_findings(df: DataFrame, target: str | None) -> DataFrame:
     if gaps:
         texts.append(f"Steps over 1.5 times the usual one: {gaps}. Periods may be missing.")
     period = se.season_length(freq)
-    if freq and period:
-        reg = se.prepare_regular(s, freq)
-        if reg.count() >= 2 * period:
+    known = s.where(F.col("y").isNotNull()).count()
+    if known:
+        # without a frequency the points count by their place in time order
+        reg = se.prepare_regular(s, freq) if freq and _has_grid(freq) else se.prepare_irregular(s)
+        auto = se.acf(reg)
+        top = auto.orderBy(F.abs("acf").desc(), "lag").first()
+        if top is not None:
+            part = se.pacf_from_acf(auto).orderBy(F.abs("pacf").desc(), "lag").first()
+            texts.append(f"Autocorrelation is largest at lag {top['lag']} ({top['acf']:.3f}), "
+                         f"partial autocorrelation at lag {part['lag']} ({part['pacf']:.3f}).")
+        if freq and period and reg.count() >= 2 * period:
             st = se.strengths(se.decompose(reg, period)).first()
             tr = st["trend_strength"] if st["trend_strength"] is not None else "n/a"
             ss = st["seasonal_strength"] if st["seasonal_strength"] is not None else "n/a"
