@@ -89,12 +89,12 @@ def moment_exprs(name: str) -> list[Column]:
     ]
 
 
-def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int = 50) -> DataFrame:
+def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int = 50, quartiles: bool = True) -> DataFrame:
     """One row per numeric column: n, mean, std, min, q25, q50, q75, max, skew, kurtosis.
 
     Moments come from one codegen aggregate; quantiles from ``exact_quantiles``, the
     same bounded method at every size (``exact=False``: one ``percentile_approx``).
-    Wide tables are done in batches of ``batch`` columns per job.
+    ``quartiles=False`` leaves those out (null). Wide tables are done in batches of ``batch`` columns per job.
     """
     spark = df.sparkSession
     schema = ("column string, position int, n long, mean double, std double, min double, "
@@ -105,8 +105,8 @@ def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int
     for start in range(0, len(cols), batch):
         chunk = cols[start:start + batch]
         mom = agg_one_row(df, [moment_exprs(c) for c in chunk], 20)
-        if exact:
-            qv = exact_quantiles(df, chunk)
+        if exact or not quartiles:
+            qv = exact_quantiles(df, chunk) if quartiles else {c: [None] * 3 for c in chunk}
             qdf = spark.createDataFrame([tuple(x for c in chunk for x in qv[c])],
                                         ", ".join(f"`q{i}_{k}` double" for i in range(len(chunk)) for k in range(3)))
             qcols = {c: [F.col(f"`q{i}_{k}`") for k in range(3)] for i, c in enumerate(chunk)}
@@ -174,7 +174,8 @@ def exact_quantiles(df: DataFrame, cols: list[str] | dict[str, Column], probs: I
         for j, p in enumerate(probs if n else []):
             pos = place(n, p)
             lo, hi = math.floor(pos), math.ceil(pos)
-            out[c][j] = at[lo][0] if lo == hi else (hi - pos) * at[lo][0] + (pos - lo) * at[hi][0]
+            x, y = at[lo][0], at[hi][0]
+            out[c][j] = x if x == y else (hi - pos) * x + (pos - lo) * y
     return out
 
 

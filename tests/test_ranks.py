@@ -48,3 +48,8 @@ def test_sorted_input_and_single_values(spark):
     got = mo.exact_quantiles(df, ["a", "b", "c"], (0.0, 0.3333, 1.0))
     assert got == {"a": [0.0, pytest.approx(49_999 * 0.3333), 49_999.0], "b": [2.5] * 3, "c": [None] * 3}
     assert mo.exact_quantiles(df.limit(0), ["a"]) == {"a": [None] * 3}
+
+
+def test_equal_neighbours_are_not_rounded(spark):
+    df = spark.createDataFrame([(0.05,)] * 8 + [(0.1,)] * 3, "a double")
+    assert mo.exact_quantiles(df, ["a"], (0.3, 0.55)) == {"a": [0.05, 0.05]}
