@@ -74,61 +74,31 @@ def complete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.where(functools.reduce(lambda a, b: a & b, [q(c).isNotNull() for c in cols], F.lit(True)))
 
 
-def moment_exprs(name: str) -> list[Column]:
-    """Codegen-friendly aggregate expressions for one numeric column (prefixed names)."""
-    x = present(q(name))
-    p = f"{name}\u0001"
-    return [
-        F.count(x).alias(p + "n"),
-        F.avg(x).alias(p + "mean"),
-        F.stddev_samp(x).alias(p + "std"),
-        F.min(x).alias(p + "min"),
-        F.max(x).alias(p + "max"),
-        sample_skew(x).alias(p + "skew"),
-        sample_kurtosis(x).alias(p + "kurtosis"),
-    ]
-
-
-def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, batch: int = 50, quartiles: bool = True) -> DataFrame:
+def numeric_stats(df: DataFrame, cols: list[str], exact: bool = True, quartiles: bool = True) -> DataFrame:
     """One row per numeric column: n, mean, std, min, q25, q50, q75, max, skew, kurtosis.
 
-    Moments come from one codegen aggregate; quantiles from ``exact_quantiles``, the
-    same bounded method at every size (``exact=False``: one ``percentile_approx``).
-    ``quartiles=False`` leaves those out (null). Wide tables are done in batches of ``batch`` columns per job.
+    Moments come from one scan (``functions.scan_moments``), quantiles from ``exact_quantiles``, the
+    same bounded method at every size (``exact=False``: one ``percentile_approx``);
+    ``quartiles=False`` leaves those out (null). Statistics that are not finite are null.
     """
+    from tablelens.functions.scan_moments import column_statistics
     spark = df.sparkSession
     schema = ("column string, position int, n long, mean double, std double, min double, "
               "q25 double, q50 double, q75 double, max double, skew double, kurtosis double")
     if not cols:
         return spark.createDataFrame([], schema)
-    parts = []
-    for start in range(0, len(cols), batch):
-        chunk = cols[start:start + batch]
-        mom = agg_one_row(df, [moment_exprs(c) for c in chunk], 20)
-        if exact or not quartiles:
-            qv = exact_quantiles(df, chunk) if quartiles else {c: [None] * 3 for c in chunk}
-            qdf = spark.createDataFrame([tuple(x for c in chunk for x in qv[c])],
-                                        ", ".join(f"`q{i}_{k}` double" for i in range(len(chunk)) for k in range(3)))
-            qcols = {c: [F.col(f"`q{i}_{k}`") for k in range(3)] for i, c in enumerate(chunk)}
-        else:
-            qdf = df.agg(*[quantiles(present(q(c))).alias(f"qa{i}") for i, c in enumerate(chunk)])
-            qcols = {c: [F.col(f"qa{i}")[k] for k in range(3)] for i, c in enumerate(chunk)}
-        one = mom.crossJoin(qdf)  # one row by one row
-        rows = []
-        for i, c in enumerate(chunk):
-            p = f"{c}\u0001"
-            rows.append(F.struct(
-                F.lit(c).alias("column"), F.lit(start + i).alias("position"),
-                F.col(f"`{p}n`").alias("n"), finite(F.col(f"`{p}mean`")).alias("mean"),
-                finite(F.col(f"`{p}std`")).alias("std"), finite(F.col(f"`{p}min`")).alias("min"),
-                finite(qcols[c][0]).alias("q25"), finite(qcols[c][1]).alias("q50"),
-                finite(qcols[c][2]).alias("q75"), finite(F.col(f"`{p}max`")).alias("max"),
-                finite(F.col(f"`{p}skew`")).alias("skew"), finite(F.col(f"`{p}kurtosis`")).alias("kurtosis")))
-        parts.append(one.select(F.inline(F.array(*rows))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if not quartiles:
+        qv = {c: [None] * 3 for c in cols}
+    elif exact:
+        qv = exact_quantiles(df, cols)
+    else:
+        got = df.agg(*[quantiles(present(q(c))).alias(f"qa{i}") for i, c in enumerate(cols)]).first()
+        qv = {c: got[f"qa{i}"] or [None] * 3 for i, c in enumerate(cols)}
+    rows = []
+    for i, (c, s) in enumerate(zip(cols, column_statistics(df, cols))):
+        q3 = [x if x is not None and math.isfinite(x) else None for x in qv[c]]
+        rows.append((c, i, s["n"], s["mean"], s["std"], s["min"], *q3, s["max"], s["skew"], s["kurtosis"]))
+    return spark.createDataFrame(rows, schema)
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from tablelens.functions import freq as fq
 from tablelens.functions import moments as mo
 from tablelens.functions.columns import dtype_name, family, numeric_columns, q
 from tablelens.functions.duplicates import repeated_rows
+from tablelens.functions.scan_moments import column_statistics
 from tablelens.functions.fused import agg_one_row
 from tablelens.operators import profile as pr
 
@@ -173,10 +174,11 @@ def top_values(df: DataFrame, k: int = 10, freq: DataFrame | None = None) -> Dat
 
 def fences(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Pass 1 of the outlier steps: one row with q1/median/q3, mean, population std and n per
-    column (moments in a codegen aggregate, quantiles in their own)."""
+    column (moments in one scan, quantiles in their own)."""
     cols = numeric_columns(df) if cols is None else cols
-    mom = agg_one_row(df, [[F.avg(mo.present(q(c))).alias(f"m{i}"), F.stddev_pop(mo.present(q(c))).alias(f"s{i}"),
-                            F.count(mo.present(q(c))).alias(f"n{i}")] for i, c in enumerate(cols)], 6)
+    st = column_statistics(df, cols)
+    mom = df.sparkSession.createDataFrame([tuple(v for s in st for v in (s["mean"], s["std_pop"], s["n"]))], ", ".join(
+        f"m{i} double, s{i} double, n{i} long" for i in range(len(cols))))
     return mom.crossJoin(mo.quantile_row(df, cols, (0.25, 0.5, 0.75), exact=exact))  # one row by one row
 
 

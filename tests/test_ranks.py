@@ -53,3 +53,19 @@ def test_sorted_input_and_single_values(spark):
 def test_equal_neighbours_are_not_rounded(spark):
     df = spark.createDataFrame([(0.05,)] * 8 + [(0.1,)] * 3, "a double")
     assert mo.exact_quantiles(df, ["a"], (0.3, 0.55)) == {"a": [0.05, 0.05]}
+
+
+def test_moments_of_one_scan_equal_pandas(spark):
+    import pandas as pd
+    from tablelens.functions.scan_moments import column_statistics
+    r = np.random.default_rng(7)
+    p = pd.DataFrame({"a": r.standard_normal(5000) + 1e8, "b": np.exp(r.standard_normal(5000)), "c": 2.5, "d": np.nan, "e": [1.0, 2.0] + [np.nan] * 4998})
+    p.loc[::9, "a"] = np.nan
+    got = dict(zip(p.columns, column_statistics(spark.createDataFrame(p).repartition(7), list(p.columns))))
+    for c in "abe":
+        for k, want in (("n", p[c].count()), ("mean", p[c].mean()), ("std", p[c].std()), ("std_pop", p[c].std(ddof=0)), ("min", p[c].min()), ("max", p[c].max())):
+            assert got[c][k] == pytest.approx(want, rel=1e-9), (c, k)
+    for c in "ab":
+        assert got[c]["skew"] == pytest.approx(p[c].skew(), abs=1e-6) and got[c]["kurtosis"] == pytest.approx(p[c].kurt(), abs=1e-5)
+    assert (got["c"]["std"], got["c"]["skew"], got["c"]["kurtosis"], got["c"]["min"]) == (0.0, 0.0, 0.0, 2.5)
+    assert got["d"] == {"n": 0, **dict.fromkeys(("mean", "std", "std_pop", "min", "max", "skew", "kurtosis"))} and got["e"]["skew"] is None
