@@ -7,7 +7,7 @@ key), so a passage in n documents gives n - 1 links a seed and never all pairs.
 
 The shared seeds of a document and one owner are chained: seeds on one diagonal join to
 segments, and a Fenwick tree over the owner's positions finds each segment's best
-predecessor under linear gap costs. The words of both sides of a chain are then aligned:
+predecessor within ``MAX_GAP`` words on both sides under linear gap costs. The words of both sides of a chain are then aligned:
 equal words along segments, edit distance inside the gaps between them, and X-drop
 extension at both ends. Passages of ``MIN_WORDS`` words or more with ``SIMILARITY`` of their
 words equal are reported. Two seeds of a pair are enough to start; where the X-drop extension
@@ -17,7 +17,8 @@ is cut at its widest gap and tried again.
 Owners are chosen seed by seed, so a third document that quotes parts of a passage can take
 its seeds. Stretches where all seeds are shared are therefore read again: every run of
 ``MIN_WORDS`` words there that no reported passage covers is joined, whole, to the first
-place of the smallest document that has it. No run of ``MIN_WORDS`` equal words is left
+place of the smallest document that has it: the uncovered runs go out first, and of the
+other runs only those that equal one of them. No run of ``MIN_WORDS`` equal words is left
 unreported, wherever its seeds went and however often a document repeats it.
 
 Documents move twice, for those runs and as the texts that chains ask for. A seed's places
@@ -28,6 +29,7 @@ execution splits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -40,22 +42,77 @@ K, WINDOW = 5, 4
 MIN_WORDS, SIMILARITY = 50, 0.8
 GAP_COST, MAX_GAP = 0.05, 40       # score lost per skipped word (both sides); words a chain may skip at once
 PAD, GRID = MIN_WORDS, 32           # words fetched beyond a chain; fetched spans begin and end on this grid
-WORD_CACHE = 150_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+PIECE = 1 << 18                     # bytes or words hashed at a time
+RUN_KEYS = 1_000_000                # uncovered runs that are broadcast (8 bytes each) after they have been counted; more are joined by a shuffle
+
+_BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: a random number for each byte, A-Z as a-z
+_BYTE = np.random.default_rng(10).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 .. n - 1 of the base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS
+
+
+def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] for each range, by differences of a running polynomial modulo 2^64."""
+    up, down = _powers(max(PIECE, len(values) + 1))
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:len(values)], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def word_hashes(text: str | None, cache: _Hashes) -> np.ndarray:
-    """XXH64 of each lower-cased word of a whole text."""
-    words = (text or "").encode().lower().split()
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes, each cut behind white space."""
+    lo, raw = 0, np.frombuffer(data, np.uint8)
+    while lo < len(data):
+        hi = lo + PIECE
+        while hi < len(data):
+            stop = np.flatnonzero(_SPACE[raw[hi:hi + PIECE]])
+            if len(stop):
+                hi += int(stop[0]) + 1
+                break
+            hi += PIECE
+        yield data[lo:hi]
+        lo = hi
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each lower-cased word of a whole text."""
+    found = [np.zeros(0, np.uint64)]
+    for piece in _pieces((text or "").encode()):
+        raw = np.frombuffer(piece, np.uint8)
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = ~_SPACE[raw]
+        edge = np.diff(inside)
+        found.append(_range_hashes(_BYTE[raw], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
+    return np.concatenate(found)
+
+
+def wide_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """As ``run_hashes``, with a few steps a word whatever ``size``."""
+    n = max(0, len(words) - size + 1)
+    out = np.empty(n, np.uint64)
+    for lo in range(0, n, PIECE):
+        hi = min(lo + PIECE, n)
+        at = np.arange(hi - lo)
+        out[lo:hi] = _range_hashes(words[lo:hi + size - 1], at, at + size)
+    return out
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -101,11 +158,10 @@ def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = _Hashes()
     for x in batches:
         for lo in range(0, len(x), 1000):
             part = x.iloc[lo:lo + 1000]
-            found = [seeds_of(word_hashes(t, cache)) for t in part["text"]]
+            found = [seeds_of(word_hashes(t)) for t in part["text"]]
             yield pd.DataFrame({"seed": np.concatenate([f[0] for f in found]),
                                 "doc": np.repeat(part["doc"].to_numpy(np.int64), [len(f[0]) for f in found]),
                                 "pos": np.concatenate([f[1] for f in found])})
@@ -136,27 +192,37 @@ def _link_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": doc[held], "owner": np.repeat(owner, size)[held], "pos": pos[held], "opos": np.repeat(opos, size)[held]})
 
 
-class MaxTree:
-    """Fenwick tree: best (value, item) over a prefix of positions."""
-
-    def __init__(self, n: int):
-        self.n, self.best = n, [(-1e18, -1)] * (n + 1)
+class ReachTree:
+    """Best (value, item) among the entries at most ``reach`` behind a point on both axes.
 
-    def put(self, i: int, value: float, item: int) -> None:
-        i += 1
-        while i <= self.n:
-            if value > self.best[i][0]:
-                self.best[i] = (value, item)
-            i += i & -i
+    Fenwick trees over blocks of reach + 1 positions of y, one upwards and one downwards, so a
+    reach is the end of one block and the beginning of the next. A node keeps a heap;
+    entries that x has left behind leave it when they come up. x may only grow.
+    """
 
-    def top(self, i: int) -> tuple[float, int]:
-        """Over positions 0 .. i."""
-        i, out = i + 1, (-1e18, -1)
-        while i > 0:
-            if self.best[i][0] > out[0]:
-                out = self.best[i]
-            i -= i & -i
-        return out
+    def __init__(self, reach: int):
+        self.reach, self.size = reach, reach + 1
+        self.nodes: dict[tuple[int, int, int], list] = {}
+
+    def put(self, x: int, y: int, value: float, item: int) -> None:
+        block, i = divmod(y, self.size)
+        for side, at in enumerate((i + 1, self.size - i)):
+            while at <= self.size:
+                heappush(self.nodes.setdefault((side, block, at), []), (-value, item, x))
+                at += at & -at
+
+    def top(self, x: int, y: int) -> tuple[float, int]:
+        block, i = divmod(y, self.size)
+        best = (1e18, -1, 0)
+        for side, of, at in ((0, block, i + 1), (1, block - 1, self.size - i - 1)):
+            while at > 0:
+                heap = self.nodes.get((side, of, at))
+                while heap and heap[0][2] < x - self.reach:
+                    heappop(heap)
+                if heap and heap[0] < best:
+                    best = heap[0]
+                at &= at - 1
+        return -best[0], best[1]
 
 
 def segments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -178,18 +244,17 @@ def chains(seg: np.ndarray) -> list[list[int]]:
         return [[0]]
     order = sorted(range(n), key=lambda i: (seg[i][0], seg[i][1]))
     end_order = sorted(range(n), key=lambda i: seg[i][0] + seg[i][2])
-    ys = np.unique(seg[:, 1] + seg[:, 2])
-    tree, score, prev, at = MaxTree(len(ys)), [0.0] * n, [-1] * n, 0
+    tree, score, prev, at = ReachTree(MAX_GAP), [0.0] * n, [-1] * n, 0
     for j in order:
         x, y, length = (int(v) for v in seg[j])
         while at < n and int(seg[end_order[at]][0] + seg[end_order[at]][2]) <= x:
             i = end_order[at]
             ex, ey = int(seg[i][0] + seg[i][2]), int(seg[i][1] + seg[i][2])
-            tree.put(int(np.searchsorted(ys, ey)), score[i] + GAP_COST * (ex + ey), i)
+            tree.put(ex, ey, score[i] + GAP_COST * (ex + ey), i)
             at += 1
-        value, i = tree.top(int(np.searchsorted(ys, y, side="right")) - 1)
+        value, i = tree.top(x, y)
         gain = value - GAP_COST * (x + y)
-        if i >= 0 and gain > 0 and max(x - seg[i][0] - seg[i][2], y - seg[i][1] - seg[i][2]) <= MAX_GAP:
+        if i >= 0 and gain > 0:
             score[j], prev[j] = length + gain, i
         else:
             score[j] = float(length)
@@ -264,19 +329,20 @@ def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _whole_groups(batches, ["doc"], work)
 
 
-def _open_runs(words: np.ndarray, spans, covered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, open) of the runs of MIN_WORDS words in the spans; open: a word of it is in no covered span."""
-    bare = np.ones(len(words), bool)
-    for a, b in covered:
-        bare[a:b] = False
+def _runs_in(words: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the runs of MIN_WORDS words in the spans."""
+    h = wide_hashes(words, MIN_WORDS)
+    at = np.concatenate([np.zeros(0, np.int64), *(np.arange(p["a"], min(p["b"], len(words)) - MIN_WORDS + 1) for p in spans)])
+    return h[at].view(np.int64), at.astype(np.int32)
+
+
+def _uncovered(at: np.ndarray, n_words: int, covered) -> np.ndarray:
+    """Which runs of MIN_WORDS words have a word that is in no covered span."""
+    bare = np.ones(n_words, bool)
+    for p in covered if covered is not None else ():
+        bare[p["start"]:p["end"]] = False
     bare = np.append(0, np.cumsum(bare))
-    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in spans:
-        h = run_hashes(words[a:b], MIN_WORDS)
-        hashes.append(h)
-        places.append(np.arange(a, a + len(h)))
-    at = np.concatenate(places)
-    return np.concatenate(hashes).view(np.int64), at.astype(np.int32), bare[at + MIN_WORDS] > bare[at]
+    return bare[at + MIN_WORDS] > bare[at]
 
 
 def _cover(doc: np.ndarray, owner: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
@@ -433,23 +499,38 @@ def _exact_chains(rows: DataFrame, linked: DataFrame, found: DataFrame) -> DataF
     # disjoint ranges of a document: bounded by its length
     asked = written(stretches.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(covered, "doc", "left"))
 
-    def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Hashes()
-        for x in batches:
-            for lo in range(0, len(x), 500):
-                part = x.iloc[lo:lo + 500]
-                out = [_open_runs(word_hashes(t, cache), [(p["a"], p["b"]) for p in of],
-                                  [] if c is None else [(p["start"], p["end"]) for p in c])
-                       for t, of, c in zip(part["text"], part["spans"], part["covered"])]
-                yield pd.DataFrame({"run": np.concatenate([o[0] for o in out]),
-                                    "doc": np.repeat(part["doc"].to_numpy(np.int64), [len(o[0]) for o in out]),
-                                    "pos": np.concatenate([o[1] for o in out]), "open": np.concatenate([o[2] for o in out])})
-
-    runs = written(rows.join(broadcast_if_small(asked), "doc").select("doc", "text", "spans", "covered")
-                   .mapInPandas(run_rows, "run long, doc long, pos int, open boolean"))
-    owned = (runs.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("own"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last"))
-             .where("own.doc < last").select("run", F.col("own.doc").alias("owner"), F.col("own.pos").alias("opos")))
-    left = runs.where("open").join(owned, "run").where("doc <> owner").select("doc", "owner", "pos", "opos").distinct()
+    source = rows.join(broadcast_if_small(asked), "doc").select("doc", "text", "spans", "covered")
+
+    def runs(open_only: bool, keys=None) -> DataFrame:
+        def run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                for lo in range(0, len(x), 500):
+                    out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)]
+                    for doc, text, spans, covered in x.iloc[lo:lo + 500].itertuples(index=False):
+                        words = word_hashes(text)
+                        run, at = _runs_in(words, spans)
+                        keep = np.ones(len(at), bool)
+                        if open_only:
+                            keep = _uncovered(at, len(words), covered)
+                        elif keys is not None:
+                            at_key = np.searchsorted(keys.value, run)
+                            keep = np.append(keys.value, 0)[at_key] == run
+                            keep &= at_key < len(keys.value)
+                        out.append((run[keep], np.full(int(keep.sum()), doc, np.int64), at[keep]))
+                    yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("run", "doc", "pos"))})
+
+        return source.mapInPandas(run_rows, "run long, doc long, pos int")
+
+    opened = written(runs(True).distinct())
+    wanted = written(opened.select("run").distinct())
+    if wanted.count() <= RUN_KEYS:
+        keys = np.sort(wanted.toPandas()["run"].to_numpy(np.int64))
+        alike = runs(False, rows.sparkSession.sparkContext.broadcast(keys))
+    else:
+        alike = runs(False).join(wanted, "run", "left_semi")
+    owned = alike.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("own")).select(
+        "run", F.col("own.doc").alias("owner"), F.col("own.pos").alias("opos"))
+    left = opened.join(owned, "run").where("doc <> owner").select("doc", "owner", "pos", "opos")
     ordered = left.repartition("doc").sortWithinPartitions("doc", "owner", F.col("pos") - F.col("opos"), "pos")
     return written(ordered.mapInPandas(_exact_rows, _CHAIN))
 
@@ -470,12 +551,11 @@ def _aligned(rows: DataFrame, chained: DataFrame, kind) -> DataFrame:
     wanted = broadcast_if_small(written(spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))))
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Hashes()
         for x in batches:
             for lo in range(0, len(x), 500):
                 out = []
                 for doc, doc_id, text, of in x.iloc[lo:lo + 500].itertuples(index=False):
-                    words = word_hashes(text, cache).view(np.int64)
+                    words = word_hashes(text).view(np.int64)
                     out += [(doc, doc_id, s["a"], s["b"], words[s["a"]:s["b"]]) for s in of]
                 yield pd.DataFrame(out, columns=["doc", "doc_id", "a", "b", "words"])
 

@@ -345,36 +345,87 @@ def test_passages_of_a_hot_line(spark):
     assert len(rows) == 119 and len({r.doc_id for r in rows}) == 119 and len({r.other_id for r in rows}) == 1
 
 
-def test_chains_equal_brute_force():
+@pytest.mark.parametrize("reach", [substring.MAX_GAP, 7, 10**6])
+def test_chains_equal_brute_force(monkeypatch, reach):
+    monkeypatch.setattr(substring, "MAX_GAP", reach)
     r = random.Random(5)
     for _ in range(60):
-        seg = np.array([(x, r.randrange(0, 120), r.randrange(5, 12)) for x in sorted(r.sample(range(0, 160), 9))], np.int64)
+        seg = np.array([(x, r.randrange(0, 120), r.randrange(5, 12)) for x in sorted(r.sample(range(0, 160), 12))], np.int64)
 
-        def best(j, memo={}):
+        def best(j):
             x, y, n = (int(v) for v in seg[j])
             out = float(n)
             for i in range(len(seg)):
                 a, b, m = (int(v) for v in seg[i])
-                if a + m <= x and b + m <= y:
+                if 0 <= x - a - m <= reach and 0 <= y - b - m <= reach:
                     out = max(out, n + best(i) - substring.GAP_COST * ((x - a - m) + (y - b - m)))
             return out
 
         def score(chain):
             s = seg[chain]
             gaps = (s[1:, 0] - s[:-1, 0] - s[:-1, 2]) + (s[1:, 1] - s[:-1, 1] - s[:-1, 2])
+            assert (s[1:, 0] - s[:-1, 0] - s[:-1, 2]).max(initial=0) <= reach and (s[1:, 1] - s[:-1, 1] - s[:-1, 2]).max(initial=0) <= reach
             return float(s[:, 2].sum() - substring.GAP_COST * gaps.sum())
 
         found = substring.chains(seg)
-        wide = substring.MAX_GAP
-        substring.MAX_GAP = 10**6
-        try:
-            free = substring.chains(seg)
-        finally:
-            substring.MAX_GAP = wide
-        assert score(free[0]) == pytest.approx(max(best(j) for j in range(len(seg))))
+        assert score(found[0]) == pytest.approx(max(best(j) for j in range(len(seg))))
         assert sorted(i for c in found for i in c) == list(range(len(seg)))
 
 
+def test_a_long_block_out_of_reach_does_not_hide_a_near_segment():
+    seg = np.array([(0, 0, 200), (250, 250, 8), (262, 262, 8)], np.int64)
+    assert sorted(map(tuple, substring.chains(seg))) == [(0,), (1, 2)]
+
+
+def test_hashes_tell_words_and_runs_apart(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgäß€") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    text = "".join(r.choice(["", " ", "\t"]) + w.upper() + r.choice([" ", "\n", "\x0b\x0c"]) for w in words)
+    lower = [w.lower() for w in text.encode().split()]
+    whole = substring.word_hashes(text)
+    assert len(whole) == len(lower) and len(set(whole.tolist())) == len(set(lower))
+    assert len({(h, w) for h, w in zip(whole.tolist(), lower)}) == len(set(lower))
+    wide = substring.wide_hashes(whole, 50)
+    monkeypatch.setattr(substring, "PIECE", 64)                # words and runs cross the pieces' borders
+    assert (substring.word_hashes(text) == whole).all() and (substring.word_hashes("x" * 1000) == substring.word_hashes("X" * 1000)).all()
+    assert (substring.wide_hashes(whole, 50) == wide).all() and len(wide) == len(lower) - 49
+    assert len(substring.word_hashes(None)) == len(substring.word_hashes(" \n")) == len(substring.wide_hashes(whole[:49], 50)) == 0
+
+
+@pytest.mark.parametrize("keys", [1_000_000, 0])
+def test_exact_runs_equal_brute_force(spark, monkeypatch, keys):
+    """Every run of 50 words that a document of a smaller key has too lies in a passage, whether the runs are broadcast or joined."""
+    monkeypatch.setattr(substring, "RUN_KEYS", keys)
+    r = random.Random(11)
+    pool = [[f"w{r.randrange(400)}" for _ in range(r.randrange(50, 75))] for _ in range(4)]
+    texts = []
+    for _ in range(24):
+        words = [f"x{r.randrange(10**6)}" for _ in range(r.randrange(0, 60))]
+        for _ in range(r.randrange(0, 3)):
+            whole = r.choice(pool)
+            part = whole if r.random() < 0.5 else whole[:15]
+            at = r.randrange(0, len(words) + 1)
+            words[at:at] = part
+        texts.append(" ".join(words))
+    docs = frame(spark, texts, list(range(24)))
+    key = {x.doc_id: x.k for x in docs.select("doc_id", substring._keyed(docs, "doc_id", "text").alias("k")).collect()}
+    covered = {i: set() for i in key}
+    for p in substring.passages(docs).collect():
+        covered[p.doc_id] |= set(range(p.start, p.end))
+    holders: dict = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for at in range(len(w) - 49):
+            holders.setdefault(tuple(w[at:at + 50]), []).append((key[i], i, at))
+    shared = 0
+    for places in holders.values():
+        for k, i, at in places:
+            if k != min(places)[0]:
+                shared += 1
+                assert set(range(at, at + 50)) <= covered[i]
+    assert shared > 20
+
+
 def test_cut_passages_keeps_the_rest():
     assert substring.cut_passages("  a b\tc  d\n", [(1, 3)]) == "  a d\n"
     assert substring.cut_passages("a b", [(0, 2)]) == "" and substring.cut_passages("", [(0, 1)]) == ""
