@@ -242,22 +242,22 @@ def chains(seg: np.ndarray) -> list[list[int]]:
     n = len(seg)
     if n == 1:
         return [[0]]
-    order = sorted(range(n), key=lambda i: (seg[i][0], seg[i][1]))
-    end_order = sorted(range(n), key=lambda i: seg[i][0] + seg[i][2])
+    begin = [(x, y, x + length, y + length) for x, y, length in seg.tolist()]
+    order = sorted(range(n), key=begin.__getitem__)
+    end_order = sorted(range(n), key=lambda i: begin[i][2])
     tree, score, prev, at = ReachTree(MAX_GAP), [0.0] * n, [-1] * n, 0
     for j in order:
-        x, y, length = (int(v) for v in seg[j])
-        while at < n and int(seg[end_order[at]][0] + seg[end_order[at]][2]) <= x:
+        x, y, ex, _ = begin[j]
+        score[j] = float(ex - x)
+        while at < n and begin[end_order[at]][2] <= x:
             i = end_order[at]
-            ex, ey = int(seg[i][0] + seg[i][2]), int(seg[i][1] + seg[i][2])
-            tree.put(ex, ey, score[i] + GAP_COST * (ex + ey), i)
+            _, _, ix, iy = begin[i]
+            tree.put(ix, iy, score[i] + GAP_COST * (ix + iy), i)
             at += 1
         value, i = tree.top(x, y)
         gain = value - GAP_COST * (x + y)
         if i >= 0 and gain > 0:
-            score[j], prev[j] = length + gain, i
-        else:
-            score[j] = float(length)
+            score[j], prev[j] = score[j] + gain, i
     used, out = [False] * n, []
     for j in sorted(range(n), key=lambda i: -score[i]):
         chain = []
