@@ -16,16 +16,20 @@ Everything runs on counts of distinct (context, byte) grams, never on positions:
 3. Every block gets the values of its own grams and words back and adds them up per text.
 
 So the model is never in one place and no task holds more than a block or a share of the
-distinct grams.
+distinct grams: a block's texts stay packed and are read ``CHUNK_BYTES`` at a time, a
+share is worked on in whole subtrees of about ``SHARE_GRAMS`` grams. A block
+holds its texts whole, however long, and all rows equal in id and text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,7 @@ from tablelens.llm.pieces import LongMap
 
 DEPTH, TOP = 5, 2                 # bytes of context; levels 0 .. TOP-1 are mixed on the driver
 BLOCK_BYTES, CHUNK_BYTES = 14_000_000, 1_000_000
+SHARE_GRAMS = 500_000
 END = b"\n"
 HELD_OUT_FOLDS = 10
 LN_HALF = float(np.log(0.5))
@@ -72,26 +77,25 @@ def grams_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], size
 
 
-def _chunks(streams: list[bytes]) -> Iterator[list[bytes]]:
-    group, held = [], 0
-    for s in streams:
-        if group and held + len(s) > CHUNK_BYTES:
-            yield group
-            group, held = [], 0
-        group.append(s)
-        held += len(s)
+def _slices(docs: pa.Table) -> Iterator[tuple[list[list[bytes]], np.ndarray]]:
+    """The words of each text and which texts are held out, for about CHUNK_BYTES at a time."""
+    group, held, size = [], [], 0
+    for batch in docs.select(["text", "held"]).to_batches(max_chunksize=256):
+        for text, out in zip(batch.column(0), batch.column(1)):
+            words = stream_words(text.as_py())
+            n = sum(map(len, words))
+            if group and size + n > CHUNK_BYTES:
+                yield group, np.array(held, bool)
+                group, held, size = [], [], 0
+            group.append(words)
+            held.append(out.as_py())
+            size += n
     if group:
-        yield group
+        yield group, np.array(held, bool)
 
 
-def _count_grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for group in _chunks(streams):
-        k, n = np.unique(grams_of(group)[0], return_counts=True)
-        keys.append(k)
-        counts.append(n)
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
+def _streams(texts: list[list[bytes]]) -> list[bytes]:
+    return [b" ".join(w) + END for w in texts]
 
 
 def word_key(word: bytes) -> int:
@@ -100,27 +104,28 @@ def word_key(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word) >> 1) - (1 << 63)
 
 
-def _count_block(x: pd.DataFrame) -> pd.DataFrame:
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(keys))
+
+
+def _count_block(docs: pa.Table) -> pa.Table:
     """One row per distinct gram and word of a block with its count in the training texts."""
-    words, others = Counter(), set()
-    train, rest = [], []
-    for t, held in zip(x["text"], x["held"]):
-        w = stream_words(t)
-        (rest if held else train).append(b" ".join(w) + END)
-        w.append(END)
-        if held:
-            others.update(w)
-        else:
-            words.update(w)
-    for w in others:
-        if w not in words:
-            words[w] = 0
-    k, n = _count_grams(train)
-    extra = np.setdiff1d(_count_grams(rest)[0], k, assume_unique=True)
-    wk = np.array([word_key(w) for w in words], np.int64)
-    wn = np.array(list(words.values()), np.int64)
-    return pd.DataFrame({"block": x["block"].iloc[0], "key": np.concatenate([k, extra, wk]),
-                         "n": np.concatenate([n, np.zeros(len(extra), np.int64), wn])})
+    grams, words = [], []
+    for texts, held in _slices(docs):
+        for of, counts in (([w for w, h in zip(texts, held) if not h], 1), ([w for w, h in zip(texts, held) if h], 0)):
+            if of:
+                k, n = np.unique(grams_of(_streams(of))[0], return_counts=True)
+                grams.append((k, n * counts))
+                seen = Counter(chain.from_iterable(of))
+                seen[END] = len(of)
+                words.append((np.fromiter(map(word_key, seen), np.int64, len(seen)),
+                              np.fromiter(seen.values(), np.int64, len(seen)) * counts))
+    parts = [_counted(grams), _counted(words)]
+    key = np.concatenate([p[0] for p in parts])
+    block = np.full(len(key), docs["block"][0].as_py(), np.int32)
+    return pa.table({"block": block, "key": key, "n": np.concatenate([p[1] for p in parts]).astype(np.int64)})
 
 
 class Level:
@@ -162,23 +167,29 @@ def _levels(gram: np.ndarray, n: np.ndarray, bit: int) -> tuple[list[Level], lis
     return levels, places, value
 
 
-def _gather(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(x["key"].to_numpy(np.int64), x["n"].to_numpy(np.float64)) for x in batches if len(x)]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts in whole subtrees, about SHARE_GRAMS at a time; rows come sorted by their last TOP context bytes."""
+    key, n = np.zeros(0, np.int64), np.zeros(0)
+    for x in batches:
+        key, n = np.append(key, x["key"].to_numpy(np.int64)), np.append(n, x["n"].to_numpy(np.float64))
+        if len(key) >= SHARE_GRAMS:
+            near = _context(key, TOP)
+            cut = int(np.flatnonzero(near != near[-1]).max(initial=-1)) + 1
+            if cut:
+                yield key[:cut], n[:cut]
+                key, n = key[cut:], n[cut:]
+    if len(key):
+        yield key, n
 
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The partition's nodes of depth TOP, summed under their parents of depth TOP - 1."""
-    gram, n = _gather(batches)
-    if not len(gram):
-        return
-    for bit in range(8):
-        top = _levels(gram, n, bit)[0][-1]
-        up = (top.key >> 8 & ((1 << 8 * (TOP - 1)) - 1)) << 8 | (top.key & 255)
-        key, at = np.unique(up, return_inverse=True)
-        yield pd.DataFrame({"key": key, "n0": np.bincount(at, top.n0), "n1": np.bincount(at, top.n1), "below": np.bincount(at, top.mix)})
+    """Nodes of depth TOP, summed under their parents of depth TOP - 1."""
+    for gram, n in _subtrees(batches):
+        for bit in range(8):
+            top = _levels(gram, n, bit)[0][-1]
+            up = (top.key >> 8 & ((1 << 8 * (TOP - 1)) - 1)) << 8 | (top.key & 255)
+            key, at = np.unique(up, return_inverse=True)
+            yield pd.DataFrame({"key": key, "n0": np.bincount(at, top.n0), "n1": np.bincount(at, top.n1), "below": np.bincount(at, top.mix)})
 
 
 def _top_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -199,22 +210,20 @@ def _top_levels(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 def _gram_values(tops):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, n = _gather(batches)
-        if not len(gram):
-            return
-        total = np.zeros(len(gram))
-        for bit in range(8):
-            levels, places, value = _levels(gram, n, bit)
-            one = levels[0].one()[places[0]]
-            for level, at in zip(levels[1:], places[1:]):
-                stay = level.stay()[at]
-                one = stay * level.one()[at] + (1 - stay) * one
-            prefix = (1 << bit) | ((gram & 255) >> (8 - bit))
-            for depth, (key, stay, node_one) in zip(range(TOP - 1, -1, -1), tops.value):
-                at = np.searchsorted(key, _context(gram, depth) << 8 | prefix)
-                one = stay[at] * node_one[at] + (1 - stay[at]) * one
-            total += np.log10(np.where(value == 1, one, 1 - one))
-        yield pd.DataFrame({"key": gram, "x": total.astype(np.float32)})   # 24 bits a gram are enough and travel lighter
+        for gram, n in _subtrees(batches):
+            total = np.zeros(len(gram))
+            for bit in range(8):
+                levels, places, value = _levels(gram, n, bit)
+                one = levels[0].one()[places[0]]
+                for level, at in zip(levels[1:], places[1:]):
+                    stay = level.stay()[at]
+                    one = stay * level.one()[at] + (1 - stay) * one
+                prefix = (1 << bit) | ((gram & 255) >> (8 - bit))
+                for depth, (key, stay, node_one) in zip(range(TOP - 1, -1, -1), tops.value):
+                    at = np.searchsorted(key, _context(gram, depth) << 8 | prefix)
+                    one = stay[at] * node_one[at] + (1 - stay[at]) * one
+                total += np.log10(np.where(value == 1, one, 1 - one))
+            yield pd.DataFrame({"key": gram, "x": total})
 
     return run
 
@@ -222,33 +231,28 @@ def _gram_values(tops):
 def _score_block(base_of):
     """Adds up the values of each text's grams and words. ``base_of``: a word's log10 base probability from its count."""
 
-    def run(docs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        cols = ["doc", "held", "n_tokens", "n_known", "n_bytes", "base_score", "score"]
-        if not len(docs):
-            return pd.DataFrame({c: [] for c in cols})
-        keys, x = values["key"].to_numpy(np.int64), values["x"].to_numpy(np.float64)
+    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        keys, x = values["key"].to_numpy(), values["x"].to_numpy()
         order = np.argsort(keys)
         keys, x = keys[order], x[order]
         split = int(np.searchsorted(keys, 0))
         n, base = x[:split], base_of(x[:split])
-        distinct = {w for t in docs["text"] for w in stream_words(t)} | {END}
-        place = dict(zip(distinct, np.searchsorted(keys[:split], np.fromiter(map(word_key, distinct), np.int64, len(distinct))).tolist()))
         gram_values, grams = x[split:], LongMap(16)
         grams.put(keys[split:], np.arange(len(keys) - split, dtype=np.int32))
-        streams, out = [], []
-        for t in docs["text"]:
-            w = stream_words(t)
-            streams.append(b" ".join(w) + END)
-            w.append(END)
-            at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            out.append((len(w), int((n[at] > 0).sum()), float(base[at].sum())))
-        score = []
-        for group in _chunks(streams):
-            key, size = grams_of(group)
-            score.append(np.add.reduceat(gram_values[grams.get(key)], np.cumsum(size) - size))
-        tokens, known, total = zip(*out)
-        return pd.DataFrame({"doc": docs["doc"], "held": docs["held"], "n_tokens": tokens, "n_known": known,
-                             "n_bytes": [len(s) for s in streams], "base_score": total, "score": np.concatenate(score)})[cols]
+        parts = []
+        for texts, _ in _slices(docs):
+            distinct = list({END}.union(*texts))
+            place = dict(zip(distinct, np.searchsorted(keys[:split], np.fromiter(map(word_key, distinct), np.int64, len(distinct))).tolist()))
+            size = np.array([len(w) + 1 for w in texts], np.int64)
+            at = np.fromiter(map(place.__getitem__, chain.from_iterable([*w, END] for w in texts)), np.int64, int(size.sum()))
+            first = np.cumsum(size) - size
+            key, n_bytes = grams_of(_streams(texts))
+            score = np.add.reduceat(gram_values[grams.get(key)], np.cumsum(n_bytes) - n_bytes)
+            parts.append((size, np.add.reduceat((n[at] > 0).astype(np.int64), first), n_bytes, np.add.reduceat(base[at], first), score))
+        sums = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t)
+                for i, t in enumerate((np.int64, np.int64, np.int64, np.float64, np.float64))]
+        return pa.table([docs["doc"], docs["held"], *map(pa.array, sums)],
+                        names=["doc", "held", "n_tokens", "n_known", "n_bytes", "base_score", "score"])
 
     return run
 
@@ -266,23 +270,23 @@ def score_texts(docs: DataFrame, is_held_out, id_col: str = "doc_id", text_col:
     # the id goes through Python as text, so nulls and large ids stay what they are
     dealt = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"), is_held_out.alias("held")).withColumn(
         "block", F.pmod(F.xxhash64("doc", "text"), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy("block").applyInPandas(_count_block, "block int, key long, n long")
+    counts = dealt.groupBy("block").applyInArrow(_count_block, "block int, key long, n long")
     # a list holds a key's blocks, never its rows: as long as the number of blocks at most
     totals = written(counts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")))
     words, grams = totals.where("key < 0"), totals.where("key >= 0").select("key", "n")
     n_train, distinct = words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     n_train = n_train or 0
     near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
-    grams = grams.repartition(near)
+    grams = grams.repartition(near).sortWithinPartitions(near)
     rows = (grams.mapInPandas(_roots, "key long, n0 double, n1 double, below double")
             .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).collect())   # at most 256 * 255 rows
     tops = docs.sparkSession.sparkContext.broadcast(_top_levels(rows))
-    gram_values = grams.mapInPandas(_gram_values(tops), "key long, x float").join(totals.select("key", "blocks"), "key")
-    values = gram_values.select("blocks", "key", F.col("x").cast("double").alias("x")).unionByName(
+    gram_values = grams.mapInPandas(_gram_values(tops), "key long, x double").join(totals.select("key", "blocks"), "key")
+    values = gram_values.select("blocks", "key", "x").unionByName(
         words.select("blocks", "key", F.col("n").cast("double").alias("x")))
     values = values.select(F.explode("blocks").alias("block"), "key", "x")
     smooth = n_train + 0.1 * (distinct + 1)
-    scored = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(
+    scored = dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
         _score_block(lambda n: np.log10((n + 0.1) / smooth)),
         "doc string, held boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return scored.select(F.col("doc").cast(kind).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known",

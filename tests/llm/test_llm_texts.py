@@ -300,10 +300,31 @@ def test_language_model_equals_the_definition(spark, monkeypatch):
         ws = [*(by[i] or "").encode().lower().split(), b"\n"]
         assert rows[i].n_tokens == len(ws) and rows[i].train_tokens == n and rows[i].n_known == sum(count[w] > 0 for w in ws)
         assert rows[i].base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
-        assert rows[i].score == pytest.approx(plain_ctw(train, by[i], ctw.DEPTH), rel=1e-5)
+        assert rows[i].score == pytest.approx(plain_ctw(train, by[i], ctw.DEPTH), rel=1e-9)
     assert ctw.score_texts(docs.limit(0), held_out(F.col("doc_id"), 10)).count() == 0
 
 
+def test_language_model_slices_and_subtrees(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+    texts = [words(15, 70 + i, 4) for i in range(600)] + ["", None, "x" * 500]
+    docs = pa.table({"block": np.zeros(603, np.int32), "text": texts, "held": [i % 7 == 0 for i in range(603)]})
+    whole = ctw._count_block(docs).to_pydict()
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 300)
+    slices = list(ctw._slices(docs))
+    assert len(slices) > 100 and [w for part, _ in slices for w in part] == [ctw.stream_words(t) for t in texts]
+    assert np.concatenate([h for _, h in slices]).tolist() == docs["held"].to_pylist()
+    assert ctw._count_block(docs).to_pydict() == whole and len(set(whole["key"])) == len(whole["key"])
+    assert sum(n for k, n in zip(whole["key"], whole["n"]) if k >= 0) == sum(
+        len(b" ".join(ctw.stream_words(t))) + 1 for t, h in zip(texts, docs["held"].to_pylist()) if not h)
+    monkeypatch.setattr(ctw, "SHARE_GRAMS", 50)
+    grams = pd.DataFrame({"key": [k for k in whole["key"] if k >= 0], "n": 1})
+    grams = grams.iloc[np.argsort(ctw._context(grams["key"].to_numpy(), ctw.TOP), kind="stable")]
+    parts = list(ctw._subtrees(grams.iloc[i:i + 37] for i in range(0, len(grams), 37)))
+    near = [set(ctw._context(k, ctw.TOP).tolist()) for k, _ in parts]
+    assert len(parts) > 5 and sum(map(len, near)) == len(set.union(*near)) and sum(len(k) for k, _ in parts) == len(grams)
+
+
 def test_language_model_is_a_distribution():
     total = sum(10 ** plain_ctw(["ab a"], None, 2) for _ in range(1))
     assert 0 < total < 1
