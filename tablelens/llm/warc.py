@@ -48,39 +48,51 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, canonical_url, at, refers_to, outcome, headers, body.
 
-    ``records`` has record_id (unique), url, at (orderable), kind ('response' or 'revisit'), headers
-    (map with lower-case names) and body. "Earlier" goes by (at, record_id). outcome is
+    ``records`` has record_id, url, at (orderable), kind ('response' or 'revisit'), headers
+    (map with lower-case names) and body. "Earlier" goes by (at, record_id). Every revisit row has its own
+    result, also where records repeat; full responses that repeat, equal but for the body, count as one
+    with the smallest body. outcome is
     'resolved', 'validator_mismatch', 'no_validator' or 'no_earlier_response'; only
     'resolved' has refers_to, headers and body. Null URL or time: no earlier response;
     null headers count as none. Other columns are ignored; empty table: empty result.
     """
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "at", "kind",
+    rows = records.select("record_id", "url", "at", "kind",
                           F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "body")
-    keys = rows.select("record_id", "canonical_url", "at", (F.col("kind") == "response").alias("full"),
+    # tells records of one id apart; equal rows share it
+    copy = F.xxhash64("url", "at", "kind", F.array_sort(F.map_entries("headers")))
+    rows = rows.select("record_id", copy.alias("copy"), canonical_url(F.col("url")).alias("canonical_url"), "at", "kind", "headers", "body")
+    keys = rows.select("record_id", "copy", "canonical_url", "at", (F.col("kind") == "response").alias("full"),
                        _tag("headers").alias("tag"), F.element_at("headers", "last-modified").alias("modified"))
     timed = keys.where("canonical_url IS NOT NULL AND at IS NOT NULL")
     placed = written(timed.repartitionByRange("canonical_url", "at", "record_id").withColumn("part", F.spark_partition_id()))
-    here = F.when(F.col("full"), F.struct("record_id", "tag", "modified"))
-    inside = Window.partitionBy("part", "canonical_url").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    here = F.when(F.col("full"), F.struct("record_id", "copy", "tag", "modified"))
+    inside = Window.partitionBy("part", "canonical_url").orderBy("at", "record_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("found", F.last(here, ignorenulls=True).over(inside)).where(~F.col("full"))
-    ends = placed.groupBy("part", "canonical_url").agg(F.max_by(here, F.when(F.col("full"), F.struct("at", "record_id"))).alias("end"))
+    ends = placed.groupBy("part", "canonical_url").agg(F.max_by(here, F.when(F.col("full"), F.struct("at", "record_id", "copy"))).alias("end"))
     earlier = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(earlier)).select("part", "canonical_url", "carried")
-    seen = (local.join(carried, ["part", "canonical_url"]).withColumn("found", F.coalesce("found", "carried"))
-            .select("record_id", F.col("found.record_id").alias("of"), F.col("found.tag").alias("of_tag"),
-                    F.col("found.modified").alias("of_modified")))
-    revisits = keys.where(~F.col("full")).select("record_id", "canonical_url", "at", "tag", "modified")
-    judged = revisits.join(seen, "record_id", "left")
+    # rows that repeat a record lie in one partition: one of them stands for all
+    seen = (local.dropDuplicates(["part", "record_id", "copy"]).join(carried, ["part", "canonical_url"])
+            .withColumn("found", F.coalesce("found", "carried"))
+            .select("record_id", "copy", F.col("found.record_id").alias("of"), F.col("found.copy").alias("of_copy"),
+                    F.col("found.tag").alias("of_tag"), F.col("found.modified").alias("of_modified")))
+    revisits = rows.where("kind = 'revisit'").select(
+        "record_id", "copy", "canonical_url", "at", F.col("headers").alias("own"), _tag("headers").alias("tag"),
+        F.element_at("headers", "last-modified").alias("modified"))
+    same_record = F.col("record_id").eqNullSafe(F.col("seen_id")) & F.col("copy").eqNullSafe(F.col("seen_copy"))
+    judged = revisits.join(seen.withColumnsRenamed({"record_id": "seen_id", "copy": "seen_copy"}), same_record, "left")
     by_tag = F.col("tag").isNotNull() & F.col("of_tag").isNotNull()
     by_date = F.col("modified").isNotNull() & F.col("of_modified").isNotNull()
     same = F.when(by_tag, F.col("tag") == F.col("of_tag")).when(by_date, F.col("modified") == F.col("of_modified"))
     outcome = (F.when(F.col("of").isNull(), "no_earlier_response").when(same.isNull(), "no_validator")
                .when(same, "resolved").otherwise("validator_mismatch"))
+    resolved = F.col("outcome") == "resolved"
     judged = judged.withColumn("outcome", outcome).select(
-        "record_id", "canonical_url", "at", "outcome", F.when(F.col("outcome") == "resolved", F.col("of")).alias("refers_to"))
-    answers = rows.where("kind = 'revisit'").select("record_id", F.col("headers").alias("own"))
-    stored = rows.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), F.col("headers").alias("kept"), "body")
-    out = judged.join(answers, "record_id").join(stored, "refers_to", "left")
+        "record_id", "canonical_url", "at", "outcome", "own", F.when(resolved, F.col("of")).alias("refers_to"),
+        F.when(resolved, F.col("of_copy")).alias("of_copy"))
+    stored = (rows.where("kind = 'response'").groupBy(F.col("record_id").alias("refers_to"), F.col("copy").alias("of_copy"))
+              .agg(F.first("headers").alias("kept"), F.min("body").alias("body")))
+    out = judged.join(stored, ["refers_to", "of_copy"], "left")
     return out.select("record_id", "canonical_url", "at", "refers_to", "outcome",
                       F.when(F.col("refers_to").isNotNull(), merged_headers(F.col("kept"), F.col("own"))).alias("headers"), "body")
 

@@ -190,6 +190,13 @@ def test_revisit_rules(spark):
     assert got[3].headers == {"etag": "W/a", "content-length": "3", "server": "t", "x": "y"} and got[3].body == "one"
     assert got[4].headers is None and got[4].refers_to is None
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    # every row three times: a result per revisit row, none multiplied; a repeated response counts once
+    again = [tuple(r) for r in warc.resolve_revisits(df.union(df).union(df).repartition(4)).select(
+        "record_id", "outcome", "refers_to", "body").collect()]
+    assert sorted(again, key=str) == sorted([(r.record_id, r.outcome, r.refers_to, r.body) for r in got.values()] * 3, key=str)
+    # one id, two different revisits: each is judged by its own validators
+    more = spark.createDataFrame([(3, "http://x.example/p", 4, "revisit", {"etag": "c"}, None, None)], schema)
+    assert sorted(r.outcome for r in warc.resolve_revisits(df.union(more)).where("record_id = 3").collect()) == ["resolved", "validator_mismatch"]
 
 
 # ---- the pipeline
