@@ -3,8 +3,8 @@
 Confirmed toxic texts are the positives; unlabelled texts, which hold toxic ones too, are
 everything else. The classifier is linear over words and word beginnings and how
 often they occur, trained in numpy on the risk ``prior * R+(P) + max(0, R-(U) - prior * R-(P))`` with the logistic
-loss. Where the bracket of a minibatch falls below zero, its gradient is turned
-round, so the unlabelled part can't be fitted past the class prior.
+loss. Where the bracket of a minibatch falls below zero by more than ``SLACK`` of the prior, its
+gradient is turned round, so the unlabelled part can't be fitted past the class prior.
 
 A feature is a candidate if the class prior makes it informative: with the rates a among
 positives and b among unlabelled texts, ``prior * a / b`` estimates the share of toxic
@@ -34,6 +34,8 @@ PREFIXES, DENSE = (4, 5, 6, 7, 8), 100
 MIN_Z, MIN_SHARE = 4.0, 0.5
 COVER, MIN_GAIN = 3, 0.002
 EPOCHS, RATE, DECAY, BATCHES = 150, 0.1, 0.0, 4
+#: a minibatch's unlabelled risk may fall below zero by this share of the prior (sampling noise) before it is turned round
+SLACK = 1.0
 HELD_OUT_FOLDS = 5
 WORD_CACHE = 150_000
 
@@ -178,7 +180,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
             rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             g_rest = grad(u, su / len(u)) - prior * grad(p, sp / len(p))
-            g = prior * grad(p, (sp - 1) / len(p)) + g_rest if rest >= 0 else -g_rest
+            g = prior * grad(p, (sp - 1) / len(p)) + g_rest if rest >= -SLACK * prior else -g_rest
             g[:-1] += DECAY * w[:-1]
             t += 1
             m = 0.9 * m + 0.1 * g
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A classifier from the training rows (crc32 of the id modulo ``folds`` not 0).
 
     The prior is the share of toxic rows among the labelled training rows. Ids labelled
-    both ways count as toxic; of rows that share a chosen id the smallest text is read. Without positives every text scores the (smallest) prior.
+    both ways count as toxic. Without positives every text scores the (smallest) prior.
     """
     lab = (labels.select(F.col(id_col).alias("lid"), F.col(label_col).alias("y")).where(~held_out(F.col("lid"), folds))
            .where("lid IS NOT NULL AND y IS NOT NULL").groupBy("lid").agg(F.max("y").alias("y")))
@@ -210,8 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for x in batches:
             yield pd.DataFrame({"p": x["p"], "f": [features(t) for t in x["text"].fillna("")]})
 
-    # one row a chosen id, so at most max_positive + max_unlabelled rows of distinct feature numbers reach the driver
-    chosen = rows.join(F.broadcast(want), "id").groupBy("id", "p").agg(F.min("text").alias("text")).select("p", "text").mapInPandas(featurise, "p int, f array<long>")
+    # at most max_positive + max_unlabelled rows of distinct feature numbers reach the driver
+    chosen = rows.join(F.broadcast(want), "id").select("p", "text").mapInPandas(featurise, "p int, f array<long>")
     parts: tuple[list, list] = ([], [])
     for r in chosen.toLocalIterator():
         parts[0 if r["p"] == 1 else 1].append(np.array(r["f"], np.int64))

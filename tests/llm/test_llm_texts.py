@@ -15,7 +15,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tablelens.llm import ctw, encode, mixing, simhash, substring, tokens, toxicity
-from tablelens.llm.toxicity import fit
 from tablelens.llm.common import components, held_out
 from tablelens.llm.pieces import Transducer
 
@@ -242,19 +241,6 @@ def test_toxicity_edges(spark):
     assert toxicity.scored(docs, toxicity.train(docs, odd))[0].count() == 4
 
 
-def test_toxicity_reads_one_row_a_chosen_id(spark, monkeypatch):
-    """The sample's bound holds whatever the number of rows of one id; the smallest text stands for the id."""
-    texts = [f"vile slur {i % 3}" if i < 300 else words(8, i, 3) for i in range(600)]
-    docs = frame(spark, texts, [2] * 300 + list(range(1000, 1300)))
-    labels = spark.createDataFrame([(2, 0, 1)] + [(i, 1, 0) for i in range(1000, 1040)], "doc_id long, quality int, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: seen.append((p, u)) or fit(p, u, prior))
-    toxicity.train(docs, labels, max_unlabelled=20)
-    (positive, unlabelled), = seen
-    assert len(positive) == 1 and len(unlabelled) == 20
-    assert positive[0].tolist() == list(toxicity.features("vile slur 0"))
-
-
 # ---- 9: context-tree weighting
 
 def plain_ctw(train, text, depth):
