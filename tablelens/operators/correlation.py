@@ -145,13 +145,14 @@ def contingency_stats(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     ctot = colm.groupBy("pair").agg(F.count(F.lit(1)).alias("k"), F.min("cj").alias("c_min"),
                                     F.max("cj").alias("c_max"))
     cell = (obs.join(rowm, ["pair", "va"]).join(colm, ["pair", "vb"]).join(tot.select("pair", "n"), "pair")
-            .withColumn("e", F.col("ri") * F.col("cj") / F.col("n")))
-    per = cell.groupBy("pair").agg(F.sum(F.col("o") * F.col("o") / F.col("e")).alias("s"),
+            .withColumn("e", F.col("ri").cast("double") * F.col("cj") / F.col("n")))
+    per = cell.groupBy("pair").agg(F.sum(F.col("o").cast("double") * F.col("o") / F.col("e")).alias("s"),
                                    F.max(F.abs(F.col("o") - F.col("e"))).alias("dev"))
     out = per.join(tot, "pair").join(ctot, "pair")
     n = F.col("n").cast("double")
+    # margins as doubles: the product of four longs leaves the long range from about 110,000 rows
     yates = (F.pow(n, 3) * F.pow(F.greatest(F.lit(0.0), F.col("dev") - 0.5), 2)
-             / (F.col("r_min") * F.col("r_max") * F.col("c_min") * F.col("c_max")))
+             / (F.col("r_min").cast("double") * F.col("r_max") * F.col("c_min") * F.col("c_max")))
     chi2 = F.when((F.col("r") == 2) & (F.col("k") == 2), yates).otherwise(
         F.greatest(F.lit(0.0), F.col("s") - n))
     names = F.create_map(*[x for i, (a, b) in enumerate(pairs)

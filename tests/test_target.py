@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tablelens.functions.dist import chi2_sf, f_sf
+from tablelens.operators import correlation as co
 from tablelens.operators import target as tg
 
 
@@ -72,3 +73,17 @@ def test_class_balance_null_is_a_class(spark):
     cb = {r["class"]: r["count"] for r in tg.class_balance(df, "y").collect()}
     assert cb == {"1": 2, None: 1, "0": 1}
     assert df.where(F.col("y").isNull()).count() == 1
+
+
+def test_two_by_two_margins_beyond_long(spark):
+    """The product of the four margins of 200,000 rows is above 2^63."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("x"),
+                                     F.when(F.col("id") % 5 < 2, 1).otherwise(0).alias("y"))
+    cell = co.contingency_stats(df, [("x", "y")]).first()
+    # every cell equals its expectation, so Yates' correction leaves zero
+    assert (cell["n"], cell["r"], cell["k"], cell["chi2"], cell["cramers_v"]) == (200_000, 2, 2, 0.0, 0.0)
+    odd = df.withColumn("y", F.when((F.col("x") == "a") & (F.col("y") == 1), 0).otherwise(F.col("y")))
+    t = co.chi_square_tests(odd, "y", ["x"]).first()
+    a, b, c, d = 0, 100_000, 40_000, 60_000
+    want = 200_000 * (abs(a * d - b * c) - 100_000) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+    assert abs(t["chi2"] / want - 1) < 1e-12 and t["dof"] == 1
