@@ -34,6 +34,7 @@ TEST_SIZE = 0.2
 MAX_LEVELS = 15
 MAX_CLASSES = 1000   # classes of a target (own bound)
 TOP_IMPORTANCE = 10
+FIT_ROWS = 50_000    # rows of one fitting task (own bound): each level reads a row with its count for every tree
 CLASSIFICATION = ("binary_classification", "multiclass_classification")
 SUPERVISED = (*CLASSIFICATION, "regression")
 
@@ -163,6 +164,9 @@ def _prepare(df: DataFrame, target: str, key: str, problem_type: str):
         train, test = fe.random_split(df, key, TEST_SIZE)
     checkpoint_dir(df.sparkSession)
     train, test = train.checkpoint(), test.checkpoint()   # fitting reads them many times: the split runs once
+    tasks = -(-train.count() // FIT_ROWS)
+    if tasks > 1:
+        train = train.repartition(tasks).checkpoint()     # a small file is one split, however many rows it holds
     settings = fe.FeatureSettings(scaling="none")
     pre = fe.build_preprocessor(train, num, cat, settings)
     return num, cat, train, test, pre
