@@ -13,6 +13,8 @@ import csv
 import io
 import sys
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,18 +68,24 @@ def column_names(header: list[str]) -> list[str]:
 
 def _typed(df: DataFrame) -> DataFrame:
     """Columns cast to the narrowest of int, long, double, date, timestamp, boolean that holds all their values."""
-    kinds = ["int", "bigint", "double", "date", "timestamp", "boolean"]
-
-    def fits(x: Column, kind: str) -> Column:
-        form = {"int": _INTEGER, "bigint": _INTEGER, "double": _NUMBER, "date": _DATE, "timestamp": _TIME, "boolean": r"(?i)^(true|false)$"}[kind]
-        return x.rlike(form) & x.try_cast(kind).isNotNull()
-
-    aggs = [F.count(q(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
-    aggs += [F.count_if(fits(q(c), k)).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k in kinds]
-    got = df.agg(*aggs).first()                                              # one row
+    # one bit a value: the first of the nested kinds (int, bigint, double) or the one other kind that its text form allows
+    kinds = {"double": (_NUMBER, 4), "date": (_DATE, 8), "timestamp": (_TIME, 16),
+             "boolean": (r"(?i)^(true|false)$", 32)}
+    holds = {"int": 1, "bigint": 3, "double": 7, "date": 8, "timestamp": 16, "boolean": 32}
+
+    def bit(x: Column) -> Column:
+        whole = F.when(x.try_cast("int").isNotNull(), 1).when(x.try_cast("bigint").isNotNull(), 2).when(
+            x.try_cast("double").isNotNull(), 4).otherwise(64)
+        out = F.when(x.isNull(), 0).when(x.rlike(_INTEGER), whole)
+        for kind in ("double", "date", "timestamp", "boolean"):
+            form, b = kinds[kind]
+            out = out.when(x.rlike(form) & x.try_cast(kind).isNotNull(), b)
+        return out.otherwise(64)
+
+    got = df.agg(*[F.bit_or(bit(q(c))).alias(f"b{i}") for i, c in enumerate(df.columns)]).first()    # one row
     out = []
     for i, c in enumerate(df.columns):
-        kind = next((k for k in kinds if got[f"n{i}"] and got[f"{k}{i}"] == got[f"n{i}"]), None)
+        kind = next((k for k, bits in holds.items() if got[f"b{i}"] and not got[f"b{i}"] & ~bits), None)
         out.append((q(c).try_cast(kind) if kind else q(c)).alias(c))
     return df.select(*out)
 
@@ -90,7 +98,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str, infer: bool = True)
         return inside, 0, not inside
 
     parts = splits.pieces(spark, path, "\n")
-    starts = splits.entries(parts, "\n", step, lambda line: '"' not in line)
+    starts = splits.entries(parts, "\n", step, lambda line: '"' not in line, marks='"')
     header = starts.where("block = 0").agg(F.min_by("first", "file")).first()[0]
     head = fields(header, sep) if header else []
     if not head:
@@ -105,5 +113,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str, infer: bool = True)
         rows = fields(text, sep)[1 if begins else 0:]
         return [tuple(v or None for v in r) + (None,) * (width - len(r)) for r in rows if len(r) <= width]
 
-    strings = splits.records(parts, starts, "\n", step, lambda inside, depth: not inside, (False, 0), parse, names)
+    def plain(lines: pa.Array) -> list[pa.Array] | None:
+        if pc.any(pc.match_substring_regex(lines, '["\r\n]')).as_py():
+            return None
+        cells = pc.split_pattern(lines, sep)
+        many = pc.list_value_length(cells)
+        if width < 2 or pc.min(many).as_py() < width:
+            return None                                                      # blank or short lines
+        flat = pc.list_flatten(cells.filter(pc.equal(many, width)))
+        flat = pc.if_else(pc.equal(flat, ""), pa.scalar(None, pa.string()), flat)
+        at = pa.array(range(0, len(flat), width), pa.int64())
+        return [flat.take(pc.add(at, j)) for j in range(width)]
+
+    strings = splits.records(parts, starts, "\n", step, lambda inside, depth: not inside, (False, 0), parse, names, plain)
     return _typed(strings) if infer else strings

@@ -14,9 +14,10 @@ one task. Whether a piece starts inside a quoted string depends on all before it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,8 @@ def pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
         F.monotonically_increasing_id().alias("place"), value.alias("value"))
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bool, list[str]]]:
-    """(key, the split starts here, values) for consecutive pieces of one split."""
-    before = None
+def _stretches(batches: Iterable[pa.RecordBatch], names: list[str], before: tuple | None = None) -> Iterator[tuple[tuple, bool, list[str]]]:
+    """(key, the split starts here, values) for consecutive pieces of one split; ``before``: the key of the pieces before."""
     for b in batches:
         rows = b.to_pydict()
         keys, start = list(zip(*[rows[n] for n in names])), 0
@@ -49,30 +49,42 @@ def _stretches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
                 before, start = keys[start], at
 
 
-def entries(parts: DataFrame, separator: str, step: Step, neutral: Callable[[str], bool]) -> DataFrame:
+def _goes_on(b: pa.RecordBatch, key: tuple | None) -> bool:
+    """Whether all pieces of the batch belong to the split ``key`` (a split's pieces lie together)."""
+    ends = (0, b.num_rows - 1)
+    return key is not None and b.num_rows > 0 and all((b["file"][i].as_py(), b["block"][i].as_py()) == key[:2] for i in ends)
+
+
+def entries(parts: DataFrame, separator: str, step: Step, neutral: Callable[[str], bool],
+            marks: str | None = None) -> DataFrame:
     """(file, block, inside, depth, first): the state in which each split starts; ``first`` is a file's first record.
 
-    Pieces that are ``neutral`` change no state.
+    Pieces that are ``neutral`` change no state; with ``marks`` given, all pieces without this text are.
     """
     schema = "file string, block long, out_to boolean, out_depth long, in_to boolean, in_depth long, first string"
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list] = []
-        for (file, block), new, values in _stretches(batches, ["file", "block"]):
-            if new:
-                found.append([file, block, False, 0, True, 0, None])
-                opening: list[str] | None = [] if block == 0 else None
-                state = (False, 0)
-            row = found[-1]
-            for v in values:
-                if opening is not None:
-                    opening.append(v + separator)
-                    *state, ends = step(v, *state)
-                    if ends:
-                        row[6], opening = "".join(opening), None
-                if not neutral(v):
-                    row[2], row[3], _ = step(v, row[2], row[3])
-                    row[4], row[5], _ = step(v, row[4], row[5])
+        key, opening = None, None
+        for b in batches:
+            if marks and opening is None and _goes_on(b, key) and not pc.any(pc.match_substring(b["value"], marks)).as_py():
+                continue
+            for key_, new, values in _stretches([b], ["file", "block"], key):
+                key, block = key_, key_[1]
+                if new:
+                    found.append([*key, False, 0, True, 0, None])
+                    opening = [] if block == 0 else None
+                    state = (False, 0)
+                row = found[-1]
+                for v in values:
+                    if opening is not None:
+                        opening.append(v + separator)
+                        *state, ends = step(v, *state)
+                        if ends:
+                            row[6], opening = "".join(opening), None
+                    if not neutral(v):
+                        row[2], row[3], _ = step(v, row[2], row[3])
+                        row[4], row[5], _ = step(v, row[4], row[5])
         types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate(types)], [c.split()[0] for c in schema.split(", ")])
 
@@ -88,11 +100,13 @@ def entries(parts: DataFrame, separator: str, step: Step, neutral: Callable[[str
 
 
 def records(parts: DataFrame, starts: DataFrame, separator: str, step: Step, between: Callable[[bool, int], bool], usual: tuple[bool, int],
-            parse: Callable[[str, bool], list[tuple]], columns: list[str]) -> DataFrame:
+            parse: Callable[[str, bool], list[tuple]], columns: list[str],
+            plain: Callable[[pa.Array], list[pa.Array] | None] | None = None) -> DataFrame:
     """The string columns that ``parse(text of whole records, it begins a file)`` makes of all records.
 
     ``between(inside, depth)`` says that a split in this state starts with a new record; ``usual`` is the
-    state of most splits, which isn't sent along.
+    state of most splits, which isn't sent along. ``plain`` gives the columns of pieces that are whole records
+    each, as ``parse`` would, or None where it can't.
     """
     odd = starts.where(((F.col("inside") != usual[0]) | (F.col("depth") != usual[1])) & (F.col("block") > 0)).drop("first")
     if odd.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS:
@@ -117,26 +131,35 @@ def records(parts: DataFrame, starts: DataFrame, separator: str, step: Step, bet
         def rest() -> list[tuple]:
             return [(*key, 0 if head else 1, "".join(open_))] if open_ else []
 
-        for (file, block, inside, depth), new, values in _stretches(batches, ["file", "block", "inside", "depth"]):
-            if new:
-                if key is not None and open_:
-                    yield batch(torn=rest())
-                key, state, open_, begins = (file, block), (inside, depth), [], block == 0
-                head = block > 0 and not between(inside, depth)
-            whole = []
-            for v in values:
-                open_.append(v + separator)
-                *state, ends = step(v, *state)
-                if ends:
-                    if head:
+        last, state = None, usual
+        for b in batches:
+            if plain and not (open_ or head or begins) and tuple(state) == usual and _goes_on(b, key):
+                cells = plain(b["value"])
+                if cells is not None:
+                    gone = [pa.nulls(len(cells[0]), t) for t in (pa.string(), pa.int64(), pa.int32(), pa.string())]
+                    yield pa.RecordBatch.from_arrays(cells + gone, names)
+                    continue
+            for (file, block, inside, depth), new, values in _stretches([b], ["file", "block", "inside", "depth"], last):
+                last = (file, block, inside, depth)
+                if new:
+                    if key is not None and open_:
                         yield batch(torn=rest())
-                        head = False
-                    else:
-                        whole += open_
-                    open_ = []
-            if whole:
-                yield batch(rows=parse("".join(whole), begins))
-                begins = False
+                    key, state, open_, begins = (file, block), (inside, depth), [], block == 0
+                    head = block > 0 and not between(inside, depth)
+                whole = []
+                for v in values:
+                    open_.append(v + separator)
+                    *state, ends = step(v, *state)
+                    if ends:
+                        if head:
+                            yield batch(torn=rest())
+                            head = False
+                        else:
+                            whole += open_
+                        open_ = []
+                if whole:
+                    yield batch(rows=parse("".join(whole), begins))
+                    begins = False
         if key is not None and open_:
             yield batch(torn=rest())
 

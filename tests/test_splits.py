@@ -113,3 +113,29 @@ def test_no_cell_holds_an_array(spark, tmp_path):
     from tablelens.sources import splits
     longest = splits.pieces(spark, str(tmp_path / "big.json"), "}").agg(F.max(F.length("value"))).first()[0]
     assert longest < 200 and ld.load_dataset(spark, str(tmp_path / "big.json")).total_rows == 20_000
+
+
+def test_plain_and_quoted_stretches_of_one_file(spark, tmp_path):
+    """Long stretches without quotes (taken whole) around quoted line breaks, blank, short and long lines and empty fields."""
+    want, lines = [], ["a,b,c"]
+    for i in range(60_000):
+        if i % 25_000 == 24_999:
+            lines += [f'{i},"x ""{i}""\ny",1', "", f"{i},short", f"{i},too,many,fields"]
+            want += [(i, f'x "{i}"\ny', 1), (i, "short", None)]
+        else:
+            lines.append(f"{i},,{i % 7}" if i % 3 == 0 else f"{i},t {i},{i % 7}")
+            want.append((i, None if i % 3 == 0 else f"t {i}", i % 7))
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    from tablelens.sources import delimited
+    got = delimited.read_delimited(spark, str(tmp_path / "t.csv"), ",")
+    assert [t for _, t in got.dtypes] == ["int", "string", "int"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_types_by_the_widest_value(spark):
+    from tablelens.sources import delimited
+    rows = [("1", "1", "1", "1", "2020-01-02", "2020-01-02T03:04:05", "true", "1", None, "2020-01-02", "1"),
+            (None, "3000000000", "0.5", "99999999999999999999", "2021-01-02", "2020-01-02 03:04", "False", "x", None, "2020-01-02T03:04", "true")]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} string" for i in range(11)))
+    assert [t for _, t in delimited._typed(df).dtypes] == [
+        "int", "bigint", "double", "double", "date", "timestamp", "boolean", "string", "string", "string", "string"]
