@@ -41,6 +41,12 @@ def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
+def _counted_cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(position, value, lval, dval, n)``: the rows of each typed cell."""
+    cells = [F.struct(F.lit(i).alias("position"), *[x.alias(n) for x, n in zip(_slots(df, c), ("value", "lval", "dval"))]) for i, c in enumerate(cols)]
+    return df.select(F.inline(F.array(*cells))).groupBy("position", "value", "lval", "dval").agg(F.count(F.lit(1)).alias("n"))
+
+
 def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Counts of each distinct value per column (nulls included as a null value).
 
@@ -52,21 +58,33 @@ def frequency_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = list(df.columns) if cols is None else cols
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, position int, value string, n long")
-    cells = [F.struct(F.lit(i).alias("position"), *[x.alias(n) for x, n in zip(_slots(df, c), ("value", "lval", "dval"))]) for i, c in enumerate(cols)]
-    grouped = df.select(F.inline(F.array(*cells))).groupBy("position", "value", "lval", "dval").agg(F.count(F.lit(1)).alias("n"))
+    grouped = _counted_cells(df, cols)
     names = F.array(*[F.lit(c) for c in cols])
     return grouped.select(names[F.col("position")].alias("column"), "position",
                           F.coalesce("value", F.col("lval").cast("string"), F.col("dval").cast("string")).alias("value"), "n")
 
 
+def _summary(present, *keys: str):
+    return lambda cells: cells.groupBy(*keys).agg(
+        F.count(present).alias("unique_count"), F.count(F.lit(1)).alias("unique_with_null"),
+        F.coalesce(F.sum(F.when(present.isNull(), F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
+        F.sum("n").cast("long").alias("n_rows"))
+
+
 def distinct_summary(freq: DataFrame) -> DataFrame:
     """Per column: distinct without nulls, distinct with null counted, null count."""
-    return (freq.groupBy("column", "position")
-            .agg(F.count("value").alias("unique_count"),
-                 F.count(F.lit(1)).alias("unique_with_null"),
-                 F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-                 .cast("long").alias("null_count"),
-                 F.sum("n").cast("long").alias("n_rows")))
+    return _summary(F.col("value"), "column", "position")(freq)
+
+
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``distinct_summary`` of the named columns, ``position`` in the table: no value is rendered as text for it."""
+    if not cols:
+        return distinct_summary(frequency_table(df, cols))
+    present = F.when(F.col("value").isNotNull() | F.col("lval").isNotNull() | F.col("dval").isNotNull(), 1)
+    found = _summary(present, "position")(_counted_cells(df, cols))
+    names, places = F.array(*[F.lit(c) for c in cols]), F.array(*[F.lit(df.columns.index(c)) for c in cols])
+    return found.select(names[F.col("position")].alias("column"), places[F.col("position")].alias("position"),
+                        "unique_count", "unique_with_null", "null_count", "n_rows")
 
 
 def approx_distinct(df: DataFrame, cols: list[str], rsd: float = 0.02) -> DataFrame:

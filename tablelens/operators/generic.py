@@ -97,8 +97,7 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
 def constant_and_id(df: DataFrame, freq: DataFrame | None = None,
                     exclude: tuple[str, ...] = ()) -> DataFrame:
     """Constant (distinct with null <= 1) and ID-like (> 1 and ratio > 0.98) columns."""
-    freq = fq.frequency_table(df) if freq is None else freq
-    ds = fq.distinct_summary(freq)
+    ds = fq.distinct_counts(df, [c for c in df.columns if c not in exclude]) if freq is None else fq.distinct_summary(freq)
     t = ds.withColumn("n", F.greatest(F.col("n_rows"), F.lit(1)))  # rows counted by the same table
     flag = (F.when(F.col("unique_with_null") <= 1, "constant")
             .when(F.col("unique_with_null") / F.col("n") > ID_LIKE_RATIO, "id_like"))
