@@ -195,7 +195,8 @@ def kmeans_scan(df: DataFrame, features: list[str], max_k: int = MAX_K, n_init:
     Euclidean, linear cost), and the suggested k (best silhouette).
 
     All (k, restart) models advance together, one scan of the standardised complete rows an
-    iteration (see ``functions.lloyd``); the rows are written once, for the scans to read.
+    iteration (see ``functions.lloyd``); the rows are written once, packed and dealt over all
+    cores, for the scans to read.
     """
     spark = df.sparkSession
     z = written(standardize(df, features))
@@ -204,9 +205,10 @@ def kmeans_scan(df: DataFrame, features: list[str], max_k: int = MAX_K, n_init:
     rows = []
     if top >= 2:
         sample = lloyd.seed_rows(z, seed)
-        models = lloyd.settle(z, [lloyd.start(sample, k, seed + r) for k in range(2, top + 1) for r in range(n_init)], max_iter, tol)
+        blocks = written(lloyd.packed(z, n))
+        models = lloyd.settle(blocks, [lloyd.start(sample, k, seed + r) for k in range(2, top + 1) for r in range(n_init)], max_iter, tol)
         best = [min((m for m in models if m.k == k), key=lambda m: (m.cost, m.seed)) for k in range(2, top + 1)]
-        rows = [(m.k, round(m.cost, 3), round(s, 4)) for m, s in zip(best, lloyd.silhouettes(z, best))]
+        rows = [(m.k, round(m.cost, 3), round(s, 4)) for m, s in zip(best, lloyd.silhouettes(blocks, best))]
     out = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     if not rows:
         return out.withColumn("suggested", F.lit(False))
