@@ -22,12 +22,6 @@ from pyspark.sql import functions as F
 #: distinct rows from which starting centroids are drawn
 SEED_ROWS = 4096
 
-#: rows taken at once against all centroids: their distances stay in the processor's cache
-SLICE_ROWS = 512
-
-#: rows of a packed block, and the rows from which a task more is worth its start
-BLOCK_ROWS, TASK_ROWS = 4096, 100_000
-
 
 @dataclass
 class Model:
@@ -65,45 +59,14 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([col.to_numpy(zero_copy_only=False) for col in b.columns])
 
 
-def packed(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows as blocks of doubles (``block binary``) dealt over all cores, for scans that read them many times.
-
-    A table of few bytes is one split, however long its rows are worked on; and a block costs a scan no
-    conversion of single cells.
-    """
-    tasks = min(-(-n // BLOCK_ROWS), max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b).astype(float)
-            cut = [x[at:at + BLOCK_ROWS].tobytes() for at in range(0, len(x), BLOCK_ROWS)]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["block"])
-
-    return (rows.repartition(tasks) if tasks > 1 else rows).mapInArrow(blocks, "block binary")
-
-
-def _matrices(b: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
-    """The rows of a batch of cells or of packed blocks."""
-    if b.num_rows and b.schema.names == ["block"] and pa.types.is_binary(b.schema.types[0]):
-        for block in b.column(0):
-            yield np.frombuffer(block.as_buffer(), float).reshape(-1, width)
-    elif b.num_rows:
-        yield _matrix(b)
-
-
 def _per_centroid(rows: DataFrame, many: int, width: int, of_batch: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]):
     """Add up (count, sums, extra) of all batches per centroid: a task sends each of its totals as one (cell, value) row."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            for x in _matrices(b, width):
-                for at in range(0, len(x), SLICE_ROWS):
-                    part = of_batch(x[at:at + SLICE_ROWS])
-                    if total is None:
-                        total = part
-                    else:
-                        for t, p in zip(total, part):
-                            t += p
+            if b.num_rows:
+                part = of_batch(_matrix(b))
+                total = part if total is None else tuple(t + p for t, p in zip(total, part))
         if total is not None:
             flat = np.column_stack([total[0], total[2], total[1]]).ravel()
             cells = np.flatnonzero(flat).astype(np.int32)
@@ -146,9 +109,9 @@ def start(sample: np.ndarray, k: int, seed: int) -> Model:
 def settle(rows: DataFrame, models: list[Model], max_iter: int, tol: float) -> list[Model]:
     """Lloyd's iterations of all models, each until its next move would be at most ``tol`` (summed squared shifts)
     or ``max_iter`` scans are done. Cost and sizes are measured on the centroids that are returned; a centroid
-    without rows stays where it is. ``rows`` has a column a feature, or is ``packed``.
+    without rows stays where it is.
     """
-    width = models[0].centroids.shape[1] if models else 0
+    width = len(rows.columns)
     for step in range(max_iter):
         moving = [m for m in models if not m.settled]
         if not moving:
@@ -174,7 +137,7 @@ def silhouettes(rows: DataFrame, models: list[Model]) -> list[float]:
     """
     if not models:
         return []
-    width = models[0].centroids.shape[1]
+    width = len(rows.columns)
     c, starts = _stack(models)
 
     def stats(x: np.ndarray):
