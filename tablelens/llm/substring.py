@@ -491,6 +491,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return fewest.withColumns({c: F.col(c).cast(kind) for c in ("doc_id", "other_id")})
 
 
+def _gathered(runs: DataFrame) -> np.ndarray:
+    """The only column of a counted frame of longs, sorted, on the driver: it comes as bytes, not as a row a number."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"keys": [x.iloc[:, 0].to_numpy(np.int64).tobytes()]})
+
+    packed = runs.mapInPandas(pack, "keys binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in packed)]))
+
+
 def _exact_chains(rows: DataFrame, linked: DataFrame, found: DataFrame) -> DataFrame:
     """Chains of the runs of MIN_WORDS equal words that ``found`` leaves uncovered, wherever their seeds were linked to."""
     stretches = (linked.select("doc", "pos").repartition("doc").sortWithinPartitions("doc", "pos")
@@ -524,7 +535,7 @@ def _exact_chains(rows: DataFrame, linked: DataFrame, found: DataFrame) -> DataF
     opened = written(runs(True).distinct())
     wanted = written(opened.select("run").distinct())
     if wanted.count() <= RUN_KEYS:
-        keys = np.sort(wanted.toPandas()["run"].to_numpy(np.int64))
+        keys = _gathered(wanted)
         alike = runs(False, rows.sparkSession.sparkContext.broadcast(keys))
     else:
         alike = runs(False).join(wanted, "run", "left_semi")

@@ -210,13 +210,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"p": x["p"], "f": [features(t) for t in x["text"].fillna("")]})
+            yield pd.DataFrame({"p": x["p"], "f": [features(t).tobytes() for t in x["text"].fillna("")]})
 
-    # at most max_positive + max_unlabelled rows of distinct feature numbers reach the driver
-    chosen = rows.join(F.broadcast(want), "id").select("p", "text").mapInPandas(featurise, "p int, f array<long>")
+    # at most max_positive + max_unlabelled rows of distinct feature numbers reach the driver, as bytes: no Python number each
+    chosen = rows.join(F.broadcast(want), "id").select("p", "text").mapInPandas(featurise, "p int, f binary")
     parts: tuple[list, list] = ([], [])
     for r in chosen.toLocalIterator():
-        parts[0 if r["p"] == 1 else 1].append(np.array(r["f"], np.int64))
+        parts[0 if r["p"] == 1 else 1].append(np.frombuffer(r["f"], np.int64))
     return fit(parts[0], parts[1], min(max(share, 1e-4), 0.5))
 
 

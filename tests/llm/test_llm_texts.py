@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -230,6 +231,22 @@ def test_toxicity_held_out(spark):
     assert np.array_equal(model.names, again.names) and np.allclose(model.weight, again.weight)
 
 
+def test_training_texts_come_as_bytes(spark, monkeypatch):
+    docs = [(i, words(300, 8000 + i, 10**6)) for i in range(600)]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda *parts: seen.extend(parts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    tracemalloc.start()
+    toxicity.train(frame, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [toxicity.features(t) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(f.tolist() for f in seen[1]) == sorted(f.tolist() for f in want) and 0 < len(seen[0]) < len(want)
+    held = sum(len(f) for part in seen[:2] for f in part)
+    assert peak < 24 * held                                # 8 bytes a feature, not a Python number each
+
+
 def test_toxicity_edges(spark):
     docs = frame(spark, ["", None, "x " * 30_000, "x"], [1, None, 3, 3])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -447,6 +464,17 @@ def test_exact_runs_equal_brute_force(spark, monkeypatch, keys):
     assert shared > 20
 
 
+def test_runs_come_to_the_driver_as_bytes(spark):
+    runs = spark.range(200_000).select(F.xxhash64("id").alias("run"))
+    tracemalloc.start()
+    keys = substring._gathered(runs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) == 200_000 and (np.diff(keys) > 0).all() and peak < 200_000 * 40
+    assert set(keys.tolist()) == {r.run for r in runs.collect()}
+    assert len(substring._gathered(runs.limit(0))) == 0
+
+
 def test_cut_passages_keeps_the_rest():
     assert substring.cut_passages("  a b\tc  d\n", [(1, 3)]) == "  a d\n"
     assert substring.cut_passages("a b", [(0, 2)]) == "" and substring.cut_passages("", [(0, 1)]) == ""
