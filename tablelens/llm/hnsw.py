@@ -132,32 +132,31 @@ class Graph:
 
     def _walk_lanes(self, layer, q, start, beam):
         n, m = len(q), len(layer)
-        seen = np.zeros((n, m), bool)
-        rows = np.arange(n)
-        ids = np.full((n, beam), -1, np.int64)
-        sim = np.full((n, beam), -2.0, np.float32)
-        todo = np.zeros((n, beam), bool)
+        seen, turn = np.zeros(n * m, bool), np.empty(n * m, np.int32)
+        live = np.arange(n)
+        ids_all, sim_all = np.full((n, beam), -1, np.int64), np.full((n, beam), -2.0, np.float32)
+        # the beams of the rows still walking
+        ids, sim, todo = ids_all.copy(), sim_all.copy(), np.zeros((n, beam), bool)
         ids[:, 0], sim[:, 0], todo[:, 0] = start, np.einsum("ij,ij->i", self.x[start], q), True
-        seen[rows, start] = True
-        live = rows
+        seen[live * m + start] = True
         while len(live):
-            rank = np.where(todo[live], sim[live], -3.0)
-            pick = np.argpartition(-rank, min(EXPAND, beam) - 1, 1)[:, :min(EXPAND, beam)]
-            good = np.take_along_axis(rank, pick, 1) > -3
-            nodes = np.where(good, np.take_along_axis(ids[live], pick, 1), -1)
-            mark = todo[live]
-            np.put_along_axis(mark, pick, False, 1)
-            todo[live] = mark
-            nb = np.where((nodes >= 0)[:, :, None], layer[np.maximum(nodes, 0)], -1).reshape(len(live), -1)
-            r, c = np.nonzero(nb >= 0)
-            to = nb[r, c]
-            new = ~seen[live[r], to]
-            r, to = r[new], to[new]
-            key = np.unique(r.astype(np.int64) * m + to)       # a node reached twice in one step counts once
-            r, to = key // m, key % m
-            seen[live[r], to] = True
+            rank = np.where(todo, -sim, 3.0)
+            pick = np.argpartition(rank, min(EXPAND, beam) - 1, 1)[:, :min(EXPAND, beam)]
+            r, c = np.nonzero(np.take_along_axis(rank, pick, 1) < 3)
+            at = pick[r, c]
+            todo[r, at] = False
+            to = layer[ids[r, at]]
+            r, c = np.repeat(r, to.shape[1]), to.ravel()
+            key = (live * m)[r] + c
+            new = np.flatnonzero((c >= 0) & ~seen[key])
+            r, to, key = r[new], c[new], key[new]
+            count = np.arange(len(key), dtype=np.int32)
+            turn[key] = count
+            once = turn[key] == count                          # a node reached twice in one step counts once
+            r, to = r[once], to[once]
+            seen[key] = True
             s = np.einsum("ij,ij->i", self.x[to], q[live[r]])
-            better = s > sim[live[r]].min(1)
+            better = s > sim.min(1)[r]
             r, to, s = r[better], to[better], s[better]
             if len(r):
                 place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -165,15 +164,17 @@ class Graph:
                 add_i = np.full((len(live), wide), -1, np.int64)
                 add_s = np.full((len(live), wide), -2.0, np.float32)
                 add_i[r, place], add_s[r, place] = to, s
-                all_i = np.concatenate([ids[live], add_i], 1)
-                all_s = np.concatenate([sim[live], add_s], 1)
-                all_t = np.concatenate([todo[live], add_i >= 0], 1)
-                top = np.argpartition(-all_s, beam - 1, 1)[:, :beam]
-                ids[live], sim[live] = np.take_along_axis(all_i, top, 1), np.take_along_axis(all_s, top, 1)
-                todo[live] = np.take_along_axis(all_t, top, 1)
-            live = live[todo[live].any(1)]
-        order = np.argsort(-sim, 1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
+                more_s = np.concatenate([sim, add_s], 1)
+                top = np.argpartition(-more_s, beam - 1, 1)[:, :beam]
+                sim = np.take_along_axis(more_s, top, 1)
+                ids = np.take_along_axis(np.concatenate([ids, add_i], 1), top, 1)
+                todo = np.take_along_axis(np.concatenate([todo, add_i >= 0], 1), top, 1)
+            on = todo.any(1)
+            if not on.all():
+                ids_all[live[~on]], sim_all[live[~on]] = ids[~on], sim[~on]
+                live, ids, sim, todo = live[on], ids[on], sim[on], todo[on]
+        order = np.argsort(-sim_all, 1, kind="stable")
+        return np.take_along_axis(ids_all, order, 1), np.take_along_axis(sim_all, order, 1)
 
     def _start(self, q: np.ndarray) -> np.ndarray:
         start = np.zeros(len(q), np.int64)

@@ -1,6 +1,7 @@
 """Vector operators, archive revisits and the pipeline against brute force and SQL."""
 
 import random
+import tracemalloc
 
 import corpus_pipeline
 import duckdb
@@ -105,6 +106,19 @@ def test_audit_without_links_is_not_empty():
     assert want[300, 1500] and sorted(zip(row, at)) == sorted(zip(*np.nonzero(want)))
 
 
+def test_walk_holds_no_beam_for_each_neighbour():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph.build(x)
+    tracemalloc.start()
+    ids = g.nearest(x[:512], 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (ids[:, 0] == np.arange(512)).mean() > 0.99 and all(len(set(i)) == 512 for i in ids.tolist())
+    assert peak < 60e6                                     # with a beam (2 kB) for each of a step's neighbours: 89e6
+
+
 def plain_nearest(rows, k):
     ids = np.array([r[0] for r in rows])
     x = np.array([r[1] for r in rows], np.float64)
