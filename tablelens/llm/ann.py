@@ -11,6 +11,9 @@ all a query can use of them, so thousands of copies neither fill a window nor a
 
 The window is widened (doubled) until an audit against brute force over ``AUDIT`` queries
 finds ``TARGET`` of the true neighbours. Windows that reach over a whole curve are exact.
+A wider window reads only the ranks that the last one did not, and a block returns only what is
+no farther than the query's last place so far, so a doubling adds about as many rows a query as
+it has places, whatever the window.
 """
 
 from __future__ import annotations
@@ -118,7 +121,7 @@ def _ranked(keyed: DataFrame) -> DataFrame:
 
 
 def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest ids in block ``x`` of each query in ``q`` whose window [lo, hi] reaches into it."""
+    """The k nearest ids in block ``x`` of each query in ``q`` whose window [lo, hi] without [from, to] reaches into it, none beyond ``most``."""
     empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(q) or not len(x):
         return empty
@@ -127,11 +130,13 @@ def _best(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
     sizes = np.array([len(i) for i in ids])
     flat, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
     out = []
-    for qid, lo, hi, qv in zip(q["query_id"], q["lo"], q["hi"], q["qv"]):
+    for qid, lo, hi, known_lo, known_hi, most, qv in zip(*(q[c] for c in ("query_id", "lo", "hi", "from", "to", "most", "qv"))):
         diff = v - np.asarray(qv, np.float64)
         dist = np.sqrt((diff * diff).sum(1))
-        dist = np.where((ranks >= lo) & (ranks <= hi), dist, np.inf)[owner]
+        dist = np.where((ranks >= lo) & (ranks <= hi) & ((ranks < known_lo) | (ranks > known_hi)) & (dist <= most), dist, np.inf)[owner]
         ok = np.flatnonzero(np.isfinite(dist))
+        if not len(ok):
+            continue
         if len(ok) > k:
             edge = np.partition(dist[ok], k - 1)[k - 1]
             ok = ok[dist[ok] <= edge]
@@ -150,15 +155,20 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
-def _search(ranked: DataFrame, queries: DataFrame, window: int, k: int) -> DataFrame:
-    """Each query's window on each curve, block by block."""
-    reach = (queries.withColumn("lo", F.col("rank") - window).withColumn("hi", F.col("rank") + window)
+def _search(ranked: DataFrame, queries: DataFrame, window: int, k: int, known: int = -1, best: DataFrame | None = None) -> DataFrame:
+    """Each query's window on each curve, block by block, without the window ``known`` whose ``best`` are given; not merged."""
+    last = None if best is None else best.where(F.col("rank") == k).select("query_id", F.col("score").alias("most"))
+    bound = queries.withColumn("most", F.lit(float("inf"))) if last is None else (
+        queries.join(last, "query_id", "left").withColumn("most", F.coalesce("most", F.lit(float("inf")))))
+    first = F.col("block") * BLOCK
+    reach = (bound.withColumn("lo", F.col("rank") - window).withColumn("hi", F.col("rank") + window)
+             .withColumn("from", F.col("rank") - known).withColumn("to", F.col("rank") + known)
              .withColumn("block", F.explode(F.sequence(F.floor(F.greatest("lo", F.lit(0)) / BLOCK), F.floor(F.col("hi") / BLOCK))))
-             .select("curve", "block", "query_id", "lo", "hi", "qv"))
+             .where(~((first >= F.col("from")) & (first + (BLOCK - 1) <= F.col("to"))))
+             .select("curve", "block", "query_id", "lo", "hi", "from", "to", "most", "qv"))
     blocks = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).select("curve", "block", "rank", "ids", "v")
-    found = (reach.groupBy("curve", "block").cogroup(blocks.groupBy("curve", "block"))
-             .applyInPandas(lambda q, x: _best(q, x, k), _FOUND))
-    return _merge(found, k)
+    return (reach.groupBy("curve", "block").cogroup(blocks.groupBy("curve", "block"))
+            .applyInPandas(lambda q, x: _best(q, x, k), _FOUND))
 
 
 def brute_force(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -166,7 +176,7 @@ def brute_force(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sent = [(r["query_id"], np.array(r["qv"])) for r in queries.select("query_id", "qv").collect()]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = pd.DataFrame({"query_id": [i for i, _ in sent], "lo": 0, "hi": 0, "qv": [v for _, v in sent]})
+        q = pd.DataFrame({"query_id": [i for i, _ in sent], "lo": 0, "hi": 0, "from": 1, "to": -1, "most": np.inf, "qv": [v for _, v in sent]})
         for x in batches:
             if len(x) and len(q):
                 yield _best(q, x.assign(rank=0), k)
@@ -196,13 +206,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     probe = written(queries.where("curve = 0").orderBy(F.xxhash64("query_id")).limit(AUDIT))
     truth = written(brute_force(points, probe, k + 1))
     want = truth.count()
-    while window < n and want:
-        tried = queries.join(F.broadcast(probe.select("query_id")), "query_id", "left_semi")
-        got = _search(ranked, tried, window, k + 1)
-        if got.join(F.broadcast(truth.select("query_id", "vec_id")), ["query_id", "vec_id"], "left_semi").count() >= target * want:
+    best, known = None, -1
+    while True:
+        found = _search(ranked, queries, window, k + 1, known, best)
+        best = written(_merge(found if best is None else found.unionByName(best.select("query_id", "vec_id", "score")), k + 1))
+        if window >= n or not want:
             break
-        window *= 2
-    found = _search(ranked, queries, window, k + 1).select("query_id", "vec_id", "score")
+        if best.join(F.broadcast(truth.select("query_id", "vec_id")), ["query_id", "vec_id"], "left_semi").count() >= target * want:
+            break
+        known, window = window, 2 * window
+    found = best.select("query_id", "vec_id", "score")
     order = Window.partitionBy("asked").orderBy("score", "vec_id")
     return (asks.join(found, "query_id").where("asked <> vec_id").withColumn("rank", F.row_number().over(order).cast("int"))
             .where(F.col("rank") <= k).select(F.col("asked").alias("query_id"), "rank", "vec_id", "score"))

@@ -151,6 +151,32 @@ def test_neighbours_recall_with_small_windows(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_widened_windows_return_no_block_twice(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    search, made = ann._search, []
+
+    def counted(*args):
+        made.append(search(*args).collect())
+        return spark.createDataFrame(made[-1], ann._FOUND)
+
+    monkeypatch.setattr(ann, "_search", counted)
+    rows = vectors(1000, 40, 8)
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, 10, curves=2, window=32, target=1.1).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: ids for q, ids, _ in plain_nearest(rows, 10)}          # the last window holds all
+    # 10 queries, 2 curves, 5 doublings; the 31 blocks of the last window alone would give 10 * 2 * 31 * 11 rows
+    assert len(made) == 6 and sum(map(len, made)) < 10 * 2 * 6 * 22
+
+
+def test_blocks_return_nothing_beyond_the_last_place():
+    x = pd.DataFrame({"rank": range(6), "ids": [[10 + i] for i in range(6)], "v": [[float(i)] for i in range(6)]})
+    q = pd.DataFrame({"query_id": [1, 2], "lo": [0, 0], "hi": [5, 4], "from": [1, 0], "to": [2, -1], "most": [3.0, np.inf], "qv": [[0.0], [5.0]]})
+    got = ann._best(q, x, 2)
+    assert got.values.tolist() == [[1, 10, 0.0], [1, 13, 3.0], [2, 14, 1.0], [2, 13, 2.0]]
+
+
 def test_neighbours_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], 1), (5, [1.0, 2.5], None), (100, None, 1)], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 5, 0.5)]
