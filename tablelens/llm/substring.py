@@ -394,11 +394,15 @@ def _matches(a: np.ndarray, b: np.ndarray) -> int:
     """Equal words in an alignment of two short runs (longest common subsequence)."""
     if not len(a) or not len(b):
         return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        up = np.where(b == w, row[:-1] + 1, row[1:])
-        row = np.concatenate([[0], np.maximum.accumulate(np.maximum(up, row[1:]))])
-    return int(row[-1])
+    at: dict[int, int] = {}
+    for j, w in enumerate(b.tolist()):
+        at[w] = at.get(w, 0) | 1 << j
+    # a row of the table in one number: bit j is 0 where it rises from j to j + 1
+    full = flat = (1 << len(b)) - 1
+    for w in a.tolist():
+        hit = flat & at.get(w, 0)
+        flat = ((flat + hit) | (flat - hit)) & full
+    return len(b) - flat.bit_count()
 
 
 def _reach(equal: np.ndarray) -> int:

@@ -464,6 +464,24 @@ def test_exact_runs_equal_brute_force(spark, monkeypatch, keys):
     assert shared > 20
 
 
+def test_matches_equal_the_plain_table():
+    r = np.random.default_rng(12)
+    for n, m, kinds in [(0, 5, 3), (1, 1, 1), *((int(r.integers(1, 90)), int(r.integers(1, 90)), int(r.integers(1, 30))) for _ in range(80))]:
+        a, b = r.integers(0, kinds, n), r.integers(0, kinds, m)
+        table = np.zeros((n + 1, m + 1), int)
+        for i in range(n):
+            for j in range(m):
+                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert substring._matches(a, b) == table[n, m]
+
+
+def test_a_gap_costs_a_few_steps_a_word(monkeypatch):
+    calls = []
+    monkeypatch.setattr(substring.np, "concatenate", lambda *a, f=np.concatenate, **k: calls.append(1) or f(*a, **k))
+    words = np.arange(400)
+    assert substring._matches(words, words[::-1]) == 1 and len(calls) < 10    # no array a word
+
+
 def test_runs_come_to_the_driver_as_bytes(spark):
     runs = spark.range(200_000).select(F.xxhash64("id").alias("run"))
     tracemalloc.start()
