@@ -43,6 +43,7 @@ MIN_WORDS, SIMILARITY = 50, 0.8
 GAP_COST, MAX_GAP = 0.05, 40       # score lost per skipped word (both sides); words a chain may skip at once
 PAD, GRID = MIN_WORDS, 32           # words fetched beyond a chain; fetched spans begin and end on this grid
 PIECE = 1 << 18                     # bytes or words hashed at a time
+GROUP = 1 << 16                     # bytes of short texts hashed together
 RUN_KEYS = 1_000_000                # uncovered runs that are broadcast (8 bytes each) after they have been counted; more are joined by a shuffle
 
 _BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
@@ -104,6 +105,41 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.concatenate(found)
 
 
+def hashed_texts(texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, words, offsets): ``word_hashes`` of the texts from:to one after another, text i's at offsets[i]:offsets[i + 1].
+
+    Short texts are hashed together, GROUP bytes at a time: a few steps a group and not a text.
+    """
+    group, lo, held = [], 0, 0
+    for i, t in enumerate([*texts, None]):
+        data = (t or "").encode()
+        if group and (i == len(texts) or held + len(data) > GROUP):
+            raw = np.frombuffer(b" ".join([*group, b""]), np.uint8)
+            inside = np.zeros(len(raw) + 2, np.int8)
+            inside[1:-1] = ~_SPACE[raw]
+            edge = np.diff(inside)
+            start = np.flatnonzero(edge == 1)
+            stop = np.cumsum([len(g) + 1 for g in group])
+            yield lo, i, _range_hashes(_BYTE[raw], start, np.flatnonzero(edge == -1)), np.append(0, np.searchsorted(start, stop))
+            group, held = [], 0
+        if i == len(texts):
+            return
+        if not group:
+            lo = i
+        if len(data) > GROUP:
+            words = word_hashes(t)
+            yield i, i + 1, words, np.array([0, len(words)])
+        else:
+            group.append(data)
+            held += len(data) + 1
+
+
+def _words_of(texts: pd.Series) -> Iterator[np.ndarray]:
+    """``word_hashes`` of each text."""
+    for first, end, words, offset in hashed_texts(texts.tolist()):
+        yield from (words[offset[i]:offset[i + 1]] for i in range(end - first))
+
+
 def wide_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """As ``run_hashes``, with a few steps a word whatever ``size``."""
     n = max(0, len(words) - size + 1)
@@ -120,51 +156,65 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = max(0, len(words) - size + 1)
     h = np.zeros(n, np.uint64)
     for j in range(size):
-        h = (h + words[j:j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h += words[j:j + n]
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
-def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the minimizers of a word sequence; none below K words.
+def seeds_of(words: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position) of the minimizers of word sequences, text i's words at offset[i]:offset[i + 1]; none below K words.
 
     The n-th occurrence of one k-mer in a text has its own hash, so repeated lines and
     runs of one word match their like in order. From the second on it has the first one's
     hash too, so a passage that a document holds twice is found twice.
     """
-    h = run_hashes(words, K)
+    n_runs = np.maximum(np.diff(offset) - K + 1, 0)
+    text = np.repeat(np.arange(len(n_runs)), n_runs)
+    begin = np.cumsum(n_runs) - n_runs
+    at = np.arange(len(text)) - begin[text]
+    h = run_hashes(words, K)[at + offset[text]]
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    # a position is chosen if it equals the minimum of any window of its text that holds it; a text below WINDOW runs is one window
     n = len(h)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
     w = min(WINDOW, n)
     low = h.copy()[: n - w + 1]
     for j in range(1, w):
         np.minimum(low, h[j:n - w + 1 + j], out=low)
-    # a position is chosen if it equals the minimum of any window that holds it
+    whole = text[w - 1:] == text[: n - w + 1]
     best = np.zeros(n, bool)
     for j in range(w):
-        best[j:n - w + 1 + j] |= h[j:n - w + 1 + j] == low
-    at = np.flatnonzero(best)
-    h = h[at]
-    order = np.argsort(h, kind="stable")
-    first = np.ones(len(h), bool)
-    first[1:] = h[order][1:] != h[order][:-1]
-    start = np.flatnonzero(first)
-    nth = np.empty(len(h), np.uint64)
-    nth[order] = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+        best[j:n - w + 1 + j] |= (h[j:n - w + 1 + j] == low) & whole
+    for i in np.flatnonzero((n_runs > 0) & (n_runs < w)):
+        part = h[begin[i]:begin[i] + n_runs[i]]
+        best[begin[i]:begin[i] + n_runs[i]] = part == part.min()
+    kept = np.flatnonzero(best)
+    h, text, at = h[kept], text[kept], at[kept]
+    nth = np.zeros(len(h), np.uint64)
+    ranked = np.sort(h)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if len(twice):
+        some = np.flatnonzero(np.isin(h, twice))
+        order = some[np.argsort(h[some], kind="stable")]
+        first = np.ones(len(order), bool)
+        first[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+        start = np.flatnonzero(first)
+        nth[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
     again = nth > 0
-    h, at = np.concatenate([h + nth * np.uint64(0xD1B54A32D192ED03), h[again]]), np.concatenate([at, at[again]])
-    return h.view(np.int64), at.astype(np.int32)
+    h = np.concatenate([h + nth * np.uint64(0xD1B54A32D192ED03), h[again]])
+    return h.view(np.int64), np.concatenate([text, text[again]]), np.concatenate([at, at[again]]).astype(np.int32)
 
 
 def _seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         for lo in range(0, len(x), 1000):
             part = x.iloc[lo:lo + 1000]
-            found = [seeds_of(word_hashes(t)) for t in part["text"]]
-            yield pd.DataFrame({"seed": np.concatenate([f[0] for f in found]),
-                                "doc": np.repeat(part["doc"].to_numpy(np.int64), [len(f[0]) for f in found]),
-                                "pos": np.concatenate([f[1] for f in found])})
+            doc, out = part["doc"].to_numpy(np.int64), []
+            for first, end, words, offset in hashed_texts(part["text"].tolist()):
+                seed, text, pos = seeds_of(words, offset)
+                out.append((seed, doc[first:end][text], pos))
+            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("seed", "doc", "pos"))})
 
 
 def _link_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,16 +275,33 @@ class ReachTree:
         return -best[0], best[1]
 
 
-def segments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(x, y, length) of runs of seeds on one diagonal that overlap or nearly touch."""
+def segments(doc: np.ndarray, owner: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, owner, (x, y, length)) of runs of seeds on one diagonal that overlap or nearly touch, for all pairs at once."""
     diag = x - y
-    order = np.lexsort((x, diag))
-    x, diag = x[order], diag[order]
+    order = np.lexsort((x, diag, owner, doc))
+    doc, owner, x, diag = doc[order], owner[order], x[order], diag[order]
     new = np.ones(len(x), bool)
-    new[1:] = (diag[1:] != diag[:-1]) | (x[1:] - x[:-1] > K + WINDOW)
+    new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (diag[1:] != diag[:-1]) | (x[1:] - x[:-1] > K + WINDOW)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(x)) - 1
-    return np.stack([x[first], x[first] - diag[first], x[last] - x[first] + K], 1)
+    return doc[first], owner[first], np.stack([x[first], x[first] - diag[first], x[last] - x[first] + K], 1)
+
+
+def apart(doc: np.ndarray, owner: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the segments in an order where those that a chain could join stand together, and where each such set begins.
+
+    Sets of a pair lie over MAX_GAP words of x or of y apart. Segments of a set keep their order.
+    """
+    order = np.lexsort((owner, doc))
+    of = np.zeros(len(order), np.int64)            # each segment's set: at first its pair
+    of[order[1:]] = np.cumsum((np.diff(doc[order]) != 0) | (np.diff(owner[order]) != 0))
+    for axis in (0, 1, 0, 1):
+        order = np.lexsort((seg[:, axis], of))
+        at = (of[order] << 32) + seg[order, axis]
+        reach = np.maximum.accumulate(at + seg[order, 2])   # a set's furthest end so far: word positions are below 2^31
+        of[order] = np.append(0, np.cumsum(at[1:] - reach[:-1] > MAX_GAP))
+    order = np.argsort(of, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
 
 
 def chains(seg: np.ndarray) -> list[list[int]]:
@@ -286,45 +353,58 @@ def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], work) -> Ite
         yield work(rest)
 
 
-def _chain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chains of two seeds or more, whatever their length; anchors come sorted by (doc, owner, pos, opos)."""
-
-    def work(x: pd.DataFrame) -> pd.DataFrame:
-        doc, owner = x["doc"].to_numpy(np.int64), x["owner"].to_numpy(np.int64)
-        px, py = x["pos"].to_numpy(np.int64), x["opos"].to_numpy(np.int64)
-        new = np.ones(len(x), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(new)
-        out = []
-        for lo, hi in zip(first, np.append(first[1:], len(x))):
-            if hi - lo < 2:
+def _chain_columns(doc: np.ndarray, owner: np.ndarray, px: np.ndarray, py: np.ndarray) -> list[tuple]:
+    """Chains of two seeds or more, whatever their length, of whole pairs of a document and an owner."""
+    if not len(doc):
+        return []
+    doc, owner, seg = segments(doc, owner, px, py)
+    order, first = apart(doc, owner, seg)
+    size = np.diff(np.append(first, len(order)))
+    one = order[first[size == 1]]
+    one = one[seg[one, 2] > K]                     # one seed alone is none
+    x, y, n = seg[one].T
+    out = list(zip(doc[one].tolist(), owner[one].tolist(), x.tolist(), (x + n).tolist(), y.tolist(), (y + n).tolist(),
+                   seg[one].astype(np.int32)))
+    for lo, n in zip(first[size > 1], size[size > 1]):
+        at = order[lo:lo + n]
+        part = seg[at]
+        for chain in chains(part):
+            if len(chain) == 1 and part[chain[0], 2] == K:
                 continue
-            seg = segments(px[lo:hi], py[lo:hi])
-            for chain in chains(seg):
-                s = seg[chain]
-                x0, x1 = int(s[0, 0]), int(s[-1, 0] + s[-1, 2])
-                if x1 - x0 > K:
-                    out.append((doc[lo], owner[lo], x0, x1, int(s[0, 1]), int(s[-1, 1] + s[-1, 2]), s.ravel().astype(np.int32)))
-        return pd.DataFrame(out, columns=["doc", "owner", "x0", "x1", "y0", "y1", "seg"])
-
-    yield from _whole_groups(batches, ["doc", "owner"], work)
+            c = part[chain]
+            x0, x1 = int(c[0, 0]), int(c[-1, 0] + c[-1, 2])
+            if x1 - x0 > K:
+                out.append((int(doc[at[0]]), int(owner[at[0]]), x0, x1, int(c[0, 1]), int(c[-1, 1] + c[-1, 2]), c.ravel().astype(np.int32)))
+    return out
 
 
-def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word ranges that can hold a shared run of MIN_WORDS words; shared seeds come sorted by (doc, pos).
+def _stretches(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, a, b): word ranges that can hold a shared run of MIN_WORDS words, from all shared seeds of whole documents.
 
     Inside a shared run no two neighbouring seeds are over WINDOW apart and all are shared.
     """
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > WINDOW)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    a, b = np.maximum(pos[first] - WINDOW + 1, 0), pos[last] + K + WINDOW - 1
+    wide = b - a >= MIN_WORDS
+    return doc[first][wide], a[wide], b[wide]
+
+
+def _shared_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chains and, marked as such, stretches (from x0 to x1) of each document; its shared seeds come together, bounded by its length."""
 
     def work(x: pd.DataFrame) -> pd.DataFrame:
-        doc, pos = x["doc"].to_numpy(np.int64), x["pos"].to_numpy(np.int64)
-        new = np.ones(len(x), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] - pos[:-1] > WINDOW)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(x)) - 1
-        a, b = np.maximum(pos[first] - WINDOW + 1, 0), pos[last] + K + WINDOW - 1
-        wide = b - a >= MIN_WORDS
-        return pd.DataFrame({"doc": doc[first][wide], "a": a[wide].astype(np.int32), "b": b[wide].astype(np.int32)})
+        doc, owner, px, py = (x[c].to_numpy(np.int64) for c in ("doc", "owner", "pos", "opos"))
+        other = doc != owner
+        out = _chain_columns(doc[other], owner[other], px[other], py[other])
+        none = np.zeros(0, np.int32)
+        whole = [(d, d, a, b, 0, 0, none) for d, a, b in zip(*(c.tolist() for c in _stretches(doc, px)))]
+        rows = pd.DataFrame(out + whole, columns=["doc", "owner", "x0", "x1", "y0", "y1", "seg"])
+        return rows.assign(stretch=np.arange(len(rows)) >= len(out))
 
     yield from _whole_groups(batches, ["doc"], work)
 
@@ -482,13 +562,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = docs.select(_keyed(docs, id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     seeds = rows.where("text IS NOT NULL").select("doc", "text").mapInPandas(_seed_rows, "seed long, doc long, pos int")
-    linked = written(seeds.repartition("seed").sortWithinPartitions("seed", "doc", "pos")
-                     .mapInPandas(_link_rows, "doc long, owner long, pos int, opos int"))
-    ordered = linked.where("doc <> owner").repartition("doc").sortWithinPartitions("doc", "owner", "pos", "opos")
-    chained = written(ordered.mapInPandas(_chain_rows, _CHAIN).distinct())
+    linked = (seeds.repartition("seed").sortWithinPartitions("seed", "doc", "pos")
+              .mapInPandas(_link_rows, "doc long, owner long, pos int, opos int"))
+    # sorted by one number alone: the order inside a document is made beside the chains
+    shared = written(linked.repartition("doc").sortWithinPartitions("doc").mapInPandas(_shared_rows, f"{_CHAIN}, stretch boolean"))
+    chained = shared.where("NOT stretch").drop("stretch")
+    stretches = shared.where("stretch").select("doc", F.col("x0").alias("a"), F.col("x1").alias("b"))
     kind = docs.schema[id_col].dataType
     found = written(_aligned(rows, chained, kind))
-    both = found.unionByName(_aligned(rows, _exact_chains(rows, linked, found), kind))
+    both = found.unionByName(_aligned(rows, _exact_chains(rows, stretches, found), kind))
     # ids travel as text: a pandas column of whole numbers with nulls would lose digits
     text = both.withColumns({c: F.col(c).cast("string") for c in ("doc_id", "other_id")})
     fewest = text.repartition("doc").sortWithinPartitions("doc", "owner", "start").mapInPandas(_fewest_rows, text.schema)
@@ -506,10 +588,8 @@ def _gathered(runs: DataFrame) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in packed)]))
 
 
-def _exact_chains(rows: DataFrame, linked: DataFrame, found: DataFrame) -> DataFrame:
+def _exact_chains(rows: DataFrame, stretches: DataFrame, found: DataFrame) -> DataFrame:
     """Chains of the runs of MIN_WORDS equal words that ``found`` leaves uncovered, wherever their seeds were linked to."""
-    stretches = (linked.select("doc", "pos").repartition("doc").sortWithinPartitions("doc", "pos")
-                 .mapInPandas(_stretch_rows, "doc long, a int, b int"))
     covered = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("covered"))
     # disjoint ranges of a document: bounded by its length
     asked = written(stretches.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(covered, "doc", "left"))
@@ -521,8 +601,8 @@ def _exact_chains(rows: DataFrame, linked: DataFrame, found: DataFrame) -> DataF
             for x in batches:
                 for lo in range(0, len(x), 500):
                     out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)]
-                    for doc, text, spans, covered in x.iloc[lo:lo + 500].itertuples(index=False):
-                        words = word_hashes(text)
+                    part = x.iloc[lo:lo + 500]
+                    for (doc, _, spans, covered), words in zip(part.itertuples(index=False), _words_of(part["text"])):
                         run, at = _runs_in(words, spans)
                         keep = np.ones(len(at), bool)
                         if open_only:
@@ -569,8 +649,9 @@ def _aligned(rows: DataFrame, chained: DataFrame, kind) -> DataFrame:
         for x in batches:
             for lo in range(0, len(x), 500):
                 out = []
-                for doc, doc_id, text, of in x.iloc[lo:lo + 500].itertuples(index=False):
-                    words = word_hashes(text).view(np.int64)
+                part = x.iloc[lo:lo + 500]
+                for (doc, doc_id, _, of), words in zip(part.itertuples(index=False), _words_of(part["text"])):
+                    words = words.view(np.int64)
                     out += [(doc, doc_id, s["a"], s["b"], words[s["a"]:s["b"]]) for s in of]
                 yield pd.DataFrame(out, columns=["doc", "doc_id", "a", "b", "words"])
 

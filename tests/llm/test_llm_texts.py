@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -464,6 +465,64 @@ def test_exact_runs_equal_brute_force(spark, monkeypatch, keys):
     assert shared > 20
 
 
+def test_seeds_of_many_texts_are_those_of_each(monkeypatch):
+    r = random.Random(21)
+    texts = [" ".join(f"w{r.randrange(k)}" for _ in range(n)) for n in (0, 1, 4, 5, 6, 8, 9, 40, 300) for k in (1, 3, 10**6)]
+    texts += [None, " \t", "É Ü " * 9, "x" * (substring.GROUP + 9), "y z " * substring.GROUP] + [words(30, 950 + i) for i in range(200)]
+    calls = []
+    monkeypatch.setattr(substring, "_range_hashes", lambda *a, f=substring._range_hashes: calls.append(1) or f(*a))
+    got = pd.concat(substring._seed_rows(iter([pd.DataFrame({"doc": np.arange(len(texts)), "text": texts})])))
+    assert len(calls) < 12                         # a few steps a group of texts, none a text
+    plain = []
+    for doc, t in enumerate(texts):
+        h = substring.run_hashes(substring.word_hashes(t), substring.K).tolist()
+        w = min(substring.WINDOW, len(h))
+        at = sorted({i for lo in range(len(h) - w + 1) for i in range(lo, lo + w) if h[i] == min(h[lo:lo + w])}) if h else []
+        seen: dict = {}
+        for i in at:
+            n = seen[h[i]] = seen.get(h[i], -1) + 1
+            plain.append(((h[i] + n * 0xD1B54A32D192ED03) % 2**64, doc, i))
+            if n:
+                plain.append((h[i], doc, i))
+    assert sorted(zip(got["seed"].to_numpy().view(np.uint64).tolist(), got["doc"], got["pos"])) == sorted(plain)
+
+
+def test_chains_of_sets_apart_are_those_of_whole_pairs(monkeypatch):
+    r = np.random.default_rng(22)
+    n, far = 900, 2500
+    doc, owner = r.integers(5, 8, n), r.integers(0, 2, n)
+    px, py = r.integers(0, far, n), r.integers(0, far, n)
+    near = r.random(n) < 0.6
+    py[near] = px[near] + r.integers(0, 3, near.sum())
+    sizes = []
+    monkeypatch.setattr(substring, "chains", lambda s, f=substring.chains: sizes.append(len(s)) or f(s))
+    got = sorted((d, o, *ends, *seg.tolist()) for d, o, *ends, seg in substring._chain_columns(doc, owner, px, py))
+    split, plain, widest = max(sizes), [], 0
+    for d, o in {*zip(doc.tolist(), owner.tolist())}:
+        at = (doc == d) & (owner == o)
+        _, _, seg = substring.segments(doc[at], owner[at], px[at], py[at])
+        widest = max(widest, len(seg))
+        for chain in substring.chains(seg):
+            s = seg[chain]
+            x0, x1 = int(s[0, 0]), int(s[-1, 0] + s[-1, 2])
+            if x1 - x0 > substring.K:
+                plain.append((d, o, x0, x1, int(s[0, 1]), int(s[-1, 1] + s[-1, 2]), *s.ravel().tolist()))
+    assert got == sorted(plain) and len(got) > 20 and split < widest / 2
+    # single seeds that lie apart are never chained one by one
+    sizes.clear()
+    at = np.arange(1000) * 50
+    assert substring._chain_columns(np.ones(1000, int), np.zeros(1000, int), at, at[::-1]) == [] and not sizes
+
+
+def test_stretches_and_chains_come_from_one_pass():
+    rows = pd.DataFrame({"doc": [2] * 24 + [3], "owner": [1] * 24 + [3], "pos": [*range(0, 96, 4), 5], "opos": [*range(7, 103, 4), 5]})
+    mixed = rows.sample(frac=1, random_state=3).sort_values("doc", kind="stable")
+    out = pd.concat(substring._shared_rows(mixed.iloc[i:i + 7] for i in range(0, 25, 7)))
+    chain, = out[~out["stretch"]].itertuples(index=False)
+    assert chain[:6] == (2, 1, 0, 97, 7, 104) and list(chain.seg) == [0, 7, 97]
+    assert out[out["stretch"]][["doc", "x0", "x1"]].values.tolist() == [[2, 0, 100]]
+
+
 def test_matches_equal_the_plain_table():
     r = np.random.default_rng(12)
     for n, m, kinds in [(0, 5, 3), (1, 1, 1), *((int(r.integers(1, 90)), int(r.integers(1, 90)), int(r.integers(1, 30))) for _ in range(80))]:
