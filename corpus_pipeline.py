@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.llm import encode, mixing, simhash, substring, toxicity
-from tablelens.session import checkpoint_dir, ship_package
+from tablelens.session import bound_batches, checkpoint_dir, ship_package
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (trained on the labelled training rows among them) scores below 0.5 (3)."""
     ship_package(spark)
+    bound_batches(spark)
     scored, score = toxicity.scored(docs, toxicity.train(docs, _labels(spark, sf_dir)))
     return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
@@ -26,6 +27,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: 3-word shingles, 3 bits (8)."""
     ship_package(spark)
+    bound_batches(spark)
     marked, (_, _, kept) = simhash.near_duplicates(docs, 3, 3)
     return marked.where(F.col(kept)).select(*docs.columns)
 
@@ -33,6 +35,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that another document has too (10); n_chars follows the text."""
     ship_package(spark)
+    bound_batches(spark)
     out = substring.without_repeats(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
@@ -49,6 +52,7 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents with the ids of their texts (6)."""
     import public_tokenizers
     ship_package(spark)
+    bound_batches(spark)
     return encode.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

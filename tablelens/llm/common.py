@@ -18,6 +18,23 @@ ORACLE: dict[str, str] = {}
 BROADCAST_ROWS = 100_000
 
 
+#: what this Python worker keeps between tasks, one operator's at a time
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, held by this worker for later tasks that ask for the same key; what another key held is let go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Let go what earlier operators' tasks have left in this worker: reused workers carry it along otherwise."""
+    _KEPT.clear()
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn

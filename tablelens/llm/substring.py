@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import broadcast_if_small, fresh, register, table, written
+from tablelens.llm.common import broadcast_if_small, fresh, register, release, table, written
 
 K, WINDOW = 5, 4
 MIN_WORDS, SIMILARITY = 50, 0.8
@@ -207,6 +207,7 @@ def seeds_of(words: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _seed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
     for x in batches:
         for lo in range(0, len(x), 1000):
             part = x.iloc[lo:lo + 1000]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import register, table
+from tablelens.llm.common import kept, register, table
 from tablelens.llm.pieces import SPACE, PieceTables, Transducer, code_points, read_model, utf8_extra
 
 CHUNK, LOOKBACK, BLOCK = 64, 32, 2_000_000
@@ -142,15 +142,9 @@ def count_tokens(tr: Transducer, texts: list[str]) -> np.ndarray:
     return out
 
 
-_MACHINES: dict[int, Transducer] = {}
-
-
 def machine(tables: PieceTables) -> Transducer:
     """This process's automaton for the tables: later tasks of the same worker start with what earlier ones built."""
-    if tables.key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[tables.key] = Transducer(tables)
-    return _MACHINES[tables.key]
+    return kept(("pieces", tables.key), lambda: Transducer(tables))
 
 
 def compile_tables(model_path: str) -> PieceTables:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import fresh, held_out, register, table
+from tablelens.llm.common import fresh, held_out, register, release, table
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 2000
 PREFIXES, DENSE = (4, 5, 6, 7, 8), 100
@@ -227,6 +227,7 @@ def scored(docs: DataFrame, model: Classifier, text_col: str = "text", id_col: s
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         model = Classifier(*weights.value)
         for s in batches:
             yield pd.Series([model.score(t) for t in s.fillna("")], dtype="float64")

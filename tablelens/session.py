@@ -73,6 +73,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: bytes of an Arrow batch that goes to a Python worker in queries on whole texts (Spark's own bound is 64 MB)
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, where the session hasn't set a bound: 10,000 whole texts are too much for each of an executor's workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
 

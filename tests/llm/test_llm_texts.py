@@ -1,9 +1,11 @@
 """Text operators against the tokenizer library, brute force and SQL on small fixtures."""
 
+import gc
 import math
 import random
 import re
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -11,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -465,6 +468,35 @@ def test_exact_runs_equal_brute_force(spark, monkeypatch, keys):
     assert shared > 20
 
 
+def test_pipeline_stages_bound_a_workers_batches_and_leftovers(spark):
+    import corpus_pipeline
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = frame(spark, ["x" * 10_000] * 3000).coalesce(1).cache()
+    before = spark.conf.get(key) if key in spark.conf.getAll else None
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.sentencepiece_encoding(spark, docs, "")
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 30_000_000 and max(got) < 6_000_000      # before: 10,000 rows, whatever their length
+        spark.conf.set(key, "123456789")                            # a bound that is set stays
+        corpus_pipeline.sentencepiece_encoding(spark, docs, "")
+        assert spark.conf.get(key).startswith("123456789")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    held = tokens.machine(tokens.compile_tables(public_tokenizers.path("piece_bpe_32k.model")))
+    assert tokens.machine(held.t) is held
+    gone = weakref.ref(held)
+    del held
+    list(substring._seed_rows(iter([])))           # another operator's task in the same worker
+    gc.collect()
+    assert gone() is None
+
+
 def test_seeds_of_many_texts_are_those_of_each(monkeypatch):
     r = random.Random(21)
     texts = [" ".join(f"w{r.randrange(k)}" for _ in range(n)) for n in (0, 1, 4, 5, 6, 8, 9, 40, 300) for k in (1, 3, 10**6)]
