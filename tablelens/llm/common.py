@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,17 @@ def kept(key, make: Callable):
 
 
 def release() -> None:
-    """Let go what earlier operators' tasks have left in this worker: reused workers carry it along otherwise."""
+    """Let go what earlier operators' tasks have left in this worker: reused workers carry it along otherwise.
+
+    Memory that the allocators hold free goes back to the system too.
+    """
+    if not _KEPT:
+        return
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def register(name: str, sql: str | None = None):

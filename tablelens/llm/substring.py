@@ -701,6 +701,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([t if s is None or t is None else cut_passages(t, [(p["start"], p["end"]) for p in s]) for t, s in zip(text, of)],
                          dtype=object)
 
+    # not deterministic for Spark alone: else the filter below cuts every text a second time, in a second Python worker a task
+    cut = cut.asNondeterministic()
     marked = docs.withColumn(key, _keyed(docs, id_col, text_col)).join(broadcast_if_small(written(per)), key, "left")
     changed = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(spans)))
     out = marked.withColumn(text_col, changed).where(F.col(spans).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))

@@ -38,6 +38,8 @@ EPOCHS, RATE, DECAY, BATCHES = 150, 0.1, 0.0, 4
 SLACK = 1.0
 HELD_OUT_FOLDS = 5
 WORD_CACHE = 150_000
+#: unlabelled texts whose features are counted together
+SLAB = 500
 
 
 def word_parts(word: str) -> list[int]:
@@ -71,6 +73,12 @@ def features(text: str) -> np.ndarray:
     return np.array(sorted(levels(counts, words.total())), np.int64)
 
 
+def _feature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
+    for x in batches:
+        yield pd.DataFrame({"p": x["p"], "f": [features(t).tobytes() for t in x["text"].fillna("")]})
+
+
 class Classifier:
     """Linear scores over features: ``names`` sorted, ``weight`` alike, ``bias``."""
 
@@ -97,6 +105,16 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def holding(names: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """How many of the rows hold each of the sorted ``names``, SLAB rows at a time: no copy of all rows."""
+    out = np.zeros(len(names), np.int64)
+    for lo in range(0, len(rows) if len(names) else 0, SLAB):
+        part = np.sort(np.concatenate(rows[lo:lo + SLAB]))
+        at = np.minimum(np.searchsorted(names, part), len(names) - 1)
+        out += np.bincount(at[names[at] == part], minlength=len(names))
+    return out
+
+
 def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """The features that take part, sorted, and the class prior seen in the unlabelled texts.
 
@@ -107,14 +125,13 @@ def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     ones corrects the prior downward.
     """
     names, n_p = np.unique(np.concatenate(positive), return_counts=True)
-    all_u, n_all = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(all_u, names), len(all_u) - 1)
-    n_u = np.where(all_u[at] == names, n_all[at], 0)
+    n_u = holding(names, unlabelled)
     a, b = n_p / len(positive), n_u / len(unlabelled)
     pool = (n_p + n_u) / (len(positive) + len(unlabelled))
     z = (a - b) / np.sqrt(pool * (1 - pool) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
     share = prior * a / np.maximum(b, 0.5 / len(unlabelled))
-    names = names[(n_p >= 2) & (z >= MIN_Z) & (share >= MIN_SHARE)]
+    wanted = (n_p >= 2) & (z >= MIN_Z) & (share >= MIN_SHARE)
+    names, n_u = names[wanted], n_u[wanted]
     docs = [r[np.isin(r, names, assume_unique=True)] for r in positive]
     flat = np.searchsorted(names, np.concatenate(docs))
     owner = np.repeat(np.arange(len(docs)), [len(r) for r in docs])
@@ -135,8 +152,7 @@ def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     # the strongest first: those of toxic texts alone
     pick = names[chosen]
     if len(pick):
-        n = np.searchsorted(all_u, pick[:16])
-        u = np.where(all_u[np.minimum(n, len(all_u) - 1)] == pick[:16], n_all[np.minimum(n, len(all_u) - 1)], 0) / len(unlabelled)
+        u = n_u[chosen[:16]] / len(unlabelled)
         p = np.array([sum(f in set(r.tolist()) for r in docs) for f in pick[:16]]) / len(positive)
         prior = float(np.clip(np.median(u / p), prior / 4, prior))
     return np.sort(pick), prior
@@ -208,12 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     other = ids.orderBy(F.md5(F.concat(F.lit("u"), F.col("id").cast("string")).cast("binary"))).limit(max_unlabelled)
     want = pos.select("id", F.lit(1).alias("p")).unionByName(other.select("id", F.lit(0).alias("p")))
 
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"p": x["p"], "f": [features(t).tobytes() for t in x["text"].fillna("")]})
-
     # at most max_positive + max_unlabelled rows of distinct feature numbers reach the driver, as bytes: no Python number each
-    chosen = rows.join(F.broadcast(want), "id").select("p", "text").mapInPandas(featurise, "p int, f binary")
+    chosen = rows.join(F.broadcast(want), "id").select("p", "text").mapInPandas(_feature_rows, "p int, f binary")
     parts: tuple[list, list] = ([], [])
     for r in chosen.toLocalIterator():
         parts[0 if r["p"] == 1 else 1].append(np.frombuffer(r["f"], np.int64))

@@ -19,7 +19,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tablelens.llm import ctw, encode, mixing, simhash, substring, tokens, toxicity
+from tablelens.llm import common, ctw, encode, mixing, simhash, substring, tokens, toxicity
 from tablelens.llm.common import components, held_out
 from tablelens.llm.pieces import Transducer
 
@@ -675,3 +675,29 @@ def test_passages_with_changed_words(spark, changed):
     missed = Counter(kinds[k] for k in range(len(kinds)) if frozenset((2 * k, 2 * k + 1)) not in found)
     assert sum(missed.values()) <= 0.02 * len(kinds), missed
     assert len(rows) == len({(r.doc_id, r.other_id, r.start, r.end) for r in rows}) and len(rows) <= 1.1 * len(kinds)
+
+
+def test_passages_are_cut_once(spark):
+    p = words(80, 9100)
+    docs = frame(spark, [words(40, 9101) + " " + p, p + " " + words(40, 9102), p, None], [1, 2, 3, 4])
+    left = substring.without_repeats(docs)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan       # a second one takes another Python worker of every task
+    got = [r.text for r in left.collect()]
+    assert None in got and sum(len(t.split()) for t in got if t) == 160
+
+
+def test_training_lets_go_what_a_worker_kept():
+    common.kept(("earlier",), lambda: [0])
+    got = next(toxicity._feature_rows(iter([pd.DataFrame({"p": [1], "text": ["a bad word"]})])))
+    assert not common._KEPT
+    assert np.frombuffer(got["f"][0], np.int64).tolist() == toxicity.features("a bad word").tolist()
+
+
+def test_features_counted_in_slabs(monkeypatch):
+    r = random.Random(8)
+    rows = [np.array(sorted(r.sample(range(60), r.randrange(12))), np.int64) for _ in range(50)]
+    names = np.arange(5, 70, 3)
+    monkeypatch.setattr(toxicity, "SLAB", 7)
+    assert toxicity.holding(names, rows).tolist() == [sum(n in x for x in rows) for n in names.tolist()]
+    assert toxicity.holding(names[:0], rows).tolist() == []
